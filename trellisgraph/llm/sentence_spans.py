@@ -49,12 +49,13 @@ def removed(docs: DataFrame, span: int = 3, min_words: int = 8, id_col: str = "d
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?]*'), s -> trim(s, chr(32) || chr(9) || chr(11) || chr(12) || chr(13))), s -> s <> '') AS s FROM documents),
-e AS (SELECT doc_id, s, unnest(generate_series(1, len(s) - 2)) AS at FROM d),
-t AS (SELECT doc_id, at, lower(s[at]) || chr(10) || lower(s[at + 1]) || chr(10) || lower(s[at + 2]) AS t FROM e),
-u AS (SELECT doc_id, at, t, row_number() OVER (PARTITION BY t ORDER BY doc_id, at) AS r FROM t WHERE len(regexp_extract_all(t, '[^ \t\n\v\f\r]+')) >= 8),
-g AS (SELECT DISTINCT doc_id, unnest([at, at + 1, at + 2]) AS i FROM u WHERE r > 1),
+WITH d AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?]*'), lambda s: trim(s, chr(32) || chr(9) || chr(11) || chr(12) || chr(13))), lambda s: s <> '') AS s FROM documents),
+p AS (SELECT doc_id, list_transform(s, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS p FROM d),
+e AS (SELECT doc_id, p, unnest(generate_series(1, len(p) - 2)) AS pos FROM p),
+t AS (SELECT doc_id, pos, p[pos] || chr(10) || p[pos + 1] || chr(10) || p[pos + 2] AS t FROM e),
+u AS (SELECT doc_id, pos, t, row_number() OVER (PARTITION BY t ORDER BY doc_id, pos) AS r FROM t WHERE len(regexp_extract_all(t, '[^ \t\n\v\f\r]+')) >= 8),
+g AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1, pos + 2]) AS i FROM u WHERE r > 1),
 l AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id),
-k AS (SELECT d.doc_id, s, list_filter(s, (x, i) -> NOT coalesce(list_contains(gone, i), false)) AS kept FROM d LEFT JOIN l USING (doc_id))
+k AS (SELECT d.doc_id, s, list_filter(s, lambda x, i: NOT coalesce(list_contains(gone, i), false)) AS kept FROM d LEFT JOIN l USING (doc_id))
 SELECT doc_id, len(s) AS n_sentences, len(s) - len(kept) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
 """
