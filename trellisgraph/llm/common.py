@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 #: A side is broadcast only when its measured size stays below this; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 #: Text handled at once inside a task; one longer text is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def scratch(spark: SparkSession) -> str:
