@@ -10,8 +10,9 @@ segment. Steps:
 
 1. Equal texts become one class; only the first is looked at, the others go as a whole.
 2. Minimizers are sent, once a slice, to hash ranges; those that only one document has cannot hold a repeat.
-3. Segments with a shared minimizer meet by it. Equal segments are taken once. Where a minimizer has different segments,
-   their suffix array is built, and each run of suffixes with ``length`` equal bytes tells its first document.
+3. Segments with a shared minimizer meet by it. Of equal ones only the first document's is looked at further. Where a
+   minimizer has different segments, parts whose strings of half the length no other segment has are cut away, the
+   suffix array of the rest is built, and each run of suffixes with ``length`` equal bytes tells its first document.
 4. Removed intervals go back to their documents.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellisgraph.llm import common
-from trellisgraph.llm.common import mixed, parts, saved, sliced
+from trellisgraph.llm.common import mixed, packed, parts, saved, sliced, unpacked
 
 
 def suffix_array(text) -> list[int]:
@@ -187,9 +188,9 @@ def _send(length: int, seed: int, ranges: int, blocks: int):
     """Minimizers of a slice: one row a hash range; what the slice alone shows to be shared goes below zero."""
 
     def run(batches):
-        for batch in sliced(batches, 2 * common.SLICE_BYTES, column="text"):
-            ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
-            block = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), np.int64)
+        for batch in sliced(batches, column="text"):
+            block = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
+            ids = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), np.int64)
             doc, _, _, key = _minimizers(*common.buffers(batch.column(2)), length, seed)
             if not len(key):
                 continue
@@ -255,7 +256,7 @@ def _blocked(blocks: int):
         for batch in batches:
             if batch.num_rows:
                 ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_block_of(ids, blocks).astype(np.int32)), batch.column(1)], ["doc_id", "block", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(_block_of(ids, blocks).astype(np.int32)), batch.column(0), batch.column(1)], ["block", "doc_id", "text"])
 
     return run
 
@@ -268,10 +269,10 @@ def _segments(length: int, seed: int, ranges: int):
         ids = [np.frombuffer(x, np.int64) for x in shared.column("ids").to_pylist()]
         want = np.unique(mixed(np.concatenate([np.zeros(0, np.uint64), *keys])) ^ np.concatenate([np.zeros(0, np.int64), *ids]).view(np.uint64))
         out = []
-        if docs.num_rows and len(want):
-            for batch in sliced(docs.combine_chunks().to_batches(), column="text"):
+        for table in unpacked(docs) if len(want) else []:
+            for batch in sliced(table.combine_chunks().to_batches(), column="text"):
                 own = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
-                data, offsets = common.buffers(batch.column(2))
+                data, offsets = common.buffers(batch.column(1))
                 doc, first, last, key = _minimizers(data, offsets, length, seed)
                 hit = np.isin(mixed(key) ^ own[doc].view(np.uint64), want)
                 doc, first, last, key = doc[hit], first[hit], last[hit], key[hit]
@@ -298,30 +299,38 @@ def _repeats(length: int, blocks: int):
         at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         order = np.argsort(key, kind="stable")
         found_id, found_a, found_b = [], [], []
+        different: list[list[int]] = []  # of each minimizer with several segments, the first row of each
         for _, i, j in _cut_keys(key[order]):
-            rows = order[i:j].tolist()
             if j - i < 2:
                 continue
             of: dict[bytes, list[int]] = {}
-            for r in rows:
+            for r in order[i:j].tolist():
                 of.setdefault(body[at[r] : at[r + 1]], []).append(r)
-            segments = list(of)
-            firsts = [min(ids[r] for r in of[s]) for s in segments]
-            if len(segments) == 1:
-                rows = of[segments[0]]
+            firsts = []
+            for rows in of.values():
+                first = min(rows, key=ids.__getitem__)
+                firsts.append(first)
                 for r in rows:
-                    if ids[r] != firsts[0]:
+                    if ids[r] != ids[first]:
                         found_id.append(ids[r])
                         found_a.append(starts[r])
                         found_b.append(starts[r] + sizes[r])
-                continue
-            for s, least in zip(segments, first_documents(segments, firsts, length)):
-                for r in of[s]:
-                    late = np.flatnonzero(np.diff(np.concatenate([[0], (least < ids[r]).astype(np.int8), [0]])))
-                    for a, b in zip(late[::2].tolist(), late[1::2].tolist()):
+            if len(firsts) > 1:
+                different.append(firsts)
+        for pieces in _shared_parts(body, at, different, length):
+            of = {}
+            for r, a, b in pieces:
+                of.setdefault(body[at[r] + a : at[r] + b], []).append((r, a))
+            texts = list(of)
+            firsts = [min(int(ids[r]) for r, _ in of[t]) for t in texts]
+            least = first_documents(texts, firsts, length) if len(texts) > 1 else [np.full(len(texts[0]) - length + 1, firsts[0], np.int64)]
+            for t, m in zip(texts, least):
+                for r, a in of[t]:
+                    late = np.flatnonzero(np.diff(np.concatenate([[0], (m < ids[r]).astype(np.int8), [0]])))
+                    for x, y in zip(late[::2].tolist(), late[1::2].tolist()):
                         found_id.append(ids[r])
-                        found_a.append(starts[r] + a)
-                        found_b.append(starts[r] + b + length - 1)
+                        found_a.append(starts[r] + a + x)
+                        found_b.append(starts[r] + a + y + length - 1)
         doc = np.array(found_id, np.int64)
         block = _block_of(doc, blocks)
         order = np.argsort(block, kind="stable")
@@ -332,6 +341,49 @@ def _repeats(length: int, blocks: int):
     return run
 
 
+def _shared_parts(body: bytes, at: np.ndarray, groups: list[list[int]], length: int, most: int = 8 << 20):
+    """For each group of rows its (row, start, end) parts of at least ``length`` bytes in which every string of half that
+    length occurs twice in the group; nothing outside them can be in a window that two rows share. Groups are looked at
+    together, up to ``most`` bytes."""
+    half = length // 2
+    lot: list[list[int]] = []
+    size = 0
+    for n, rows in enumerate(groups):
+        lot.append(rows)
+        size += sum(int(at[r + 1] - at[r]) for r in rows)
+        if size < most and n < len(groups) - 1:
+            continue
+        flat = [r for g in lot for r in g]
+        data = np.frombuffer(b"".join([body[at[r] : at[r + 1]] for r in flat]), np.uint8)
+        sizes = np.array([at[r + 1] - at[r] for r in flat], np.int64)
+        ends = np.cumsum(sizes)
+        begin = ends - sizes
+        group = np.repeat(np.arange(len(lot)), [len(g) for g in lot])
+        places = np.arange(max(0, len(data) - half + 1))
+        owner = np.repeat(np.arange(len(flat)), sizes)[: len(places)]
+        inside = places + half <= ends[owner]
+        places, owner = places[inside], owner[inside]
+        h = common.span_hashes(data, places, places + half) ^ mixed(group[owner].astype(np.uint64))
+        order = np.argsort(h, kind="stable")
+        twice = np.zeros(len(h), bool)
+        same = h[order][1:] == h[order][:-1]
+        twice[order[1:]] |= same
+        twice[order[:-1]] |= same
+        places, owner = places[twice], owner[twice]
+        cut = np.ones(len(places), bool)
+        cut[1:] = (places[1:] != places[:-1] + 1) | (owner[1:] != owner[:-1])
+        first = np.flatnonzero(cut)
+        last = np.concatenate([first[1:], [len(places)]]) - 1 if len(first) else first
+        a, b = places[first], places[last] + half
+        long = b - a >= length
+        a, b, owner = a[long], b[long], owner[first][long]
+        out: dict[int, list[tuple[int, int, int]]] = {}
+        for o, x, y in zip(owner.tolist(), (a - begin[owner]).tolist(), (b - begin[owner]).tolist()):
+            out.setdefault(int(group[o]), []).append((flat[o], x, y))
+        yield from (p for p in out.values() if len(p) > 1)
+        lot, size = [], 0
+
+
 def _cut_keys(key: np.ndarray):
     if not len(key):
         return []
@@ -339,27 +391,28 @@ def _cut_keys(key: np.ndarray):
     return [(None, a, b) for a, b in zip(at, at[1:])]
 
 
-def _results(docs: pa.Table, marks: pa.Table) -> pa.Table:
+def _results(rows: pa.Table, marks: pa.Table) -> pa.Table:
     ids, a, b = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in marks.column(c).to_pylist())]) for c in ("ids", "a", "b"))
     order = np.lexsort((a, ids))
     ids, a, b = ids[order], a[order], b[order]
-    own = docs.column("doc_id").to_pylist()
-    low, high = np.searchsorted(ids, own, "left").tolist(), np.searchsorted(ids, own, "right").tolist()
     out: tuple[list, ...] = ([], [], [], [], [])
-    for doc, text, i, j in zip(own, docs.column("text").to_pylist(), low, high):
-        raw = (text or "").encode()
-        kept, spans, upto = [], 0, 0
-        for x, y in zip(a[i:j].tolist(), b[i:j].tolist()):
-            if x > upto or not spans:
-                kept.append(raw[upto:x])
-                spans += 1
-                upto = y
-            else:
-                upto = max(upto, y)
-        kept.append(raw[upto:])
-        rest = b"".join(kept)
-        for column, value in zip(out, (doc, len(raw), len(raw) - len(rest), spans, hashlib.sha256(rest).hexdigest())):
-            column.append(value)
+    for docs in unpacked(rows):
+        own = docs.column("doc_id").to_pylist()
+        low, high = np.searchsorted(ids, own, "left").tolist(), np.searchsorted(ids, own, "right").tolist()
+        for doc, text, i, j in zip(own, docs.column("text").to_pylist(), low, high):
+            raw = (text or "").encode()
+            kept, spans, upto = [], 0, 0
+            for x, y in zip(a[i:j].tolist(), b[i:j].tolist()):
+                if x > upto or not spans:
+                    kept.append(raw[upto:x])
+                    spans += 1
+                    upto = y
+                else:
+                    upto = max(upto, y)
+            kept.append(raw[upto:])
+            rest = b"".join(kept)
+            for column, value in zip(out, (doc, len(raw), len(raw) - len(rest), spans, hashlib.sha256(rest).hexdigest())):
+                column.append(value)
     return pa.table({"doc_id": pa.array(out[0], pa.int64()), "n_bytes": pa.array(out[1], pa.int64()), "n_removed": pa.array(out[2], pa.int64()), "n_spans": pa.array(out[3], pa.int64()), "kept_sha256": pa.array(out[4], pa.string())})
 
 
@@ -378,12 +431,13 @@ def repeats_removed(docs: DataFrame, length: int = 50, seed: int = 16, id_col: s
     copies = saved(copies)
     ids = copies.select("doc_id").distinct()
     late = common.small(ids, 16)
-    looked = rows.join(late, "doc_id", "left_anti").mapInArrow(_blocked(blocks), "doc_id long, block int, text string")
+    looked = rows.join(late, "doc_id", "left_anti").mapInArrow(_blocked(blocks), "block int, doc_id long, text string")
+    texts = packed(looked)
     sent = looked.mapInArrow(_send(length, seed, ranges, blocks), "range int, keys binary, ids binary")
     shared = sent.groupBy("range").applyInArrow(_shared(blocks), "block int, keys binary, ids binary")
-    found = looked.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_segments(length, seed, ranges), "range int, keys binary, ids binary, starts binary, sizes binary, body binary")
+    found = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_segments(length, seed, ranges), "range int, keys binary, ids binary, starts binary, sizes binary, body binary")
     marks = found.groupBy("range").applyInArrow(_repeats(length, blocks), "block int, ids binary, a binary, b binary")
-    kept = looked.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_results, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    kept = texts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_results, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     short = F.col("n") < length
     whole = rows.join(late, "doc_id", "left_semi")
     gone = whole.select("doc_id", F.octet_length("text").cast("long").alias("n"), "text").select("doc_id", F.col("n").alias("n_bytes"), F.when(short, 0).otherwise(F.col("n")).cast("long").alias("n_removed"), F.when(short, 0).otherwise(1).cast("long").alias("n_spans"), F.sha2(F.when(short, F.col("text")).otherwise(""), 256).alias("kept_sha256"))
