@@ -7,8 +7,9 @@ is read once from left to right; the state after a word is that word, or the emp
 the arcs of a whole slice are taken at once from sorted tables.
 
 Counts cover all training texts and never meet in one place. Texts are dealt to blocks by a hash of their id, keys to
-hash ranges. Every slice counts its keys before the shuffle; a range adds up a key's counts and answers only the blocks
-for which the total differs from what they hold themselves. Keys in many blocks are sent once for all blocks.
+hash ranges. Every slice counts its keys before the shuffle; a range adds up a key's counts and answers each block that
+has the key. Both sides sort a block's keys alike, so an answer is only the counts in that order. Keys that a slice has
+in many blocks are sent once, and answered to all blocks with their key.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from trellisgraph.llm import common
-from trellisgraph.llm.common import mixed, parts, sliced
+from trellisgraph.llm.common import mixed, packed, parts, sliced, unpacked
 
 _START, _END = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
 _ONE, _PAIR = np.uint64(1), np.uint64(0xA0761D6478BD642F)
@@ -93,7 +95,7 @@ def _send(ranges: int, blocks: int, singles: bool):
         key, block, count = _counted(key, block, weight)
         if not singles:
             distinct, of, n = np.unique(key, return_inverse=True, return_counts=True)
-            hot = n[of] >= max(8, min(blocks, len(np.unique(block))) // 4)
+            hot = n[of] >= max(4, min(blocks, len(np.unique(block))) // 6)
             total = np.bincount(of[hot], weights=count[hot], minlength=len(distinct)).astype(np.int64)
             often = np.flatnonzero(np.bincount(of[hot], minlength=len(distinct)))
             key, block, count = np.concatenate([key[~hot], distinct[often]]), np.concatenate([block[~hot], np.full(len(often), -1, block.dtype)]), np.concatenate([count[~hot], total[often]])
@@ -131,29 +133,40 @@ def _sizes(table: pa.Table) -> pa.Table:
     return pa.table({"tokens": pa.array([int(count.sum())]), "kinds": pa.array([len(np.unique(key[count > 0]))])})
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """For each block the keys whose total is not the block's own count, with the total. -1: for every block."""
-    key, block, count = _joined(table)
-    order = np.argsort(key, kind="stable")
-    key, block, count = key[order], block[order], count[order]
-    head = np.ones(len(key), bool)
-    head[1:] = key[1:] != key[:-1]
+def _answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Of one range: for each block the totals of its keys in their order; as block -1 the keys sent for all blocks."""
+    keys, block, count = _joined(table)
+    order = np.argsort(keys, kind="stable")
+    keys, block, count = keys[order], block[order], count[order]
+    head = np.ones(len(keys), bool)
+    head[1:] = keys[1:] != keys[:-1]
     of = np.cumsum(head) - 1
-    total = np.add.reduceat(count, np.flatnonzero(head)) if len(key) else count
+    total = np.add.reduceat(count, np.flatnonzero(head)) if len(keys) else count
     hot = np.zeros(len(total), bool)
     hot[of[block < 0]] = True
     plain = ~hot[of]
-    k, b, c = _counted(key[plain], block[plain], count[plain])
-    at = np.searchsorted(key[head], k)
-    other = total[at] != c
-    k = np.concatenate([k[other], key[head][hot]])
-    b = np.concatenate([b[other], np.full(hot.sum(), -1, np.int32)])
-    c = np.concatenate([total[at][other], total[hot]])
-    order = np.argsort(b, kind="stable")
-    k, b, c = k[order], b[order], c[order]
-    names, first = np.unique(b, return_index=True)
-    cut = [*first.tolist(), len(b)]
-    return pa.table({"block": pa.array(names, pa.int32()), "keys": pa.array([k[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()), "counts": pa.array([c[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())})
+    at, block = of[plain], block[plain]
+    order = np.argsort(block, kind="stable")
+    at, block = at[order], block[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1]) | (block[1:] != block[:-1])
+    at, block = at[new], block[new]
+    names, first = np.unique(block, return_index=True)
+    rows = [(int(b), None, _narrow(total[at[i:j]])) for b, i, j in zip(names, first, [*first[1:], len(at)])]
+    if hot.any():
+        rows.append((-1, keys[head][hot].tobytes(), _narrow(total[hot])))
+    own = key[0].as_py()
+    return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "range": pa.array([own] * len(rows), pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Counts in the narrowest unsigned type, its width in the first byte."""
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(x) or int(x.max()) <= np.iinfo(t).max)
+    return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
+
+
+def _wide(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, f"u{x[0]}", offset=1).astype(np.int64)
 
 
 class Automaton:
@@ -181,38 +194,44 @@ class Automaton:
         return c, np.log10(alone), np.where(state > 0, arc, np.log10(alone))
 
 
-def _score(n: int, v: int, weight: float, add: float):
+def _score(n: int, v: int, weight: float, add: float, kind: pa.DataType):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        batches = docs.combine_chunks().to_batches()
-        own, held = [], []
-        pieces = list(sliced(batches, column="text"))
+        pieces = [x for t in unpacked(docs) for x in sliced(t.combine_chunks().to_batches(), column="text")]
+        own = [np.zeros(0, np.uint64)]
         for batch in pieces:
-            learn = np.asarray(batch.column(batch.schema.get_field_index("learn")).to_numpy(zero_copy_only=False), bool)
-            key, of = _keys(*_tokens(batch.column(batch.schema.get_field_index("text"))), batch.num_rows)
-            key, count = np.unique(key[learn[of]], return_counts=True)
-            own.append((key, count))
-        for k, c in zip(answers.column("keys").to_pylist(), answers.column("counts").to_pylist()):
-            held.append((np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)))
-        key = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in own)])
-        count = np.concatenate([np.zeros(0, np.int64), *(c for _, c in own)])
-        key, of = np.unique(key, return_inverse=True)
-        count = np.bincount(of, weights=count, minlength=len(key)).astype(np.int64)
-        more = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in held)])
-        total = np.concatenate([np.zeros(0, np.int64), *(c for _, c in held)])
-        rest = ~np.isin(key, more)
-        model = Automaton(np.concatenate([key[rest], more]), np.concatenate([count[rest], total]), n, v, weight, add)
-        out = []
+            own.append(np.unique(_keys(*_tokens(batch.column(2)), batch.num_rows)[0]))
+        own = np.unique(np.concatenate(own))
+        hot, hot_counts, plain = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
+        for r, k, c in zip(answers.column("range").to_pylist(), answers.column("keys").to_pylist(), answers.column("counts").to_pylist()):
+            if k is None:
+                plain.append((r, _wide(c)))
+            elif len(own):
+                k, c = np.frombuffer(k, np.uint64), _wide(c)
+                hot.append(k)
+                hot_counts.append(c)
+        hot, hot_counts = np.concatenate(hot), np.concatenate(hot_counts)
+        rest = own[~np.isin(own, hot)]
+        counts = np.concatenate([np.zeros(0, np.int64), *(c for _, c in sorted(plain, key=lambda x: x[0]))])
+        if len(rest) != len(counts):
+            raise ValueError("the texts of a block changed between two reads of the input")
+        del own
+        model = Automaton(np.concatenate([rest, hot]), np.concatenate([counts, hot_counts]), n, v, weight, add)
+        out = [pa.table({"doc_id": pa.array([], kind), "held_out": pa.array([], pa.bool_())} | {c: pa.array([], t) for c, t in _NUMBERS.items()})]
         for batch in pieces:
-            get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
-            doc, before, word = _tokens(get("text"))
+            doc, before, word = _tokens(batch.column(2))
             c, base, score = model.steps(before, word)
             sums = [np.bincount(doc, weights=x, minlength=batch.num_rows) for x in (np.ones(len(doc)), c > 0, base, score)]
-            out.append(pa.table({"doc_id": get("doc_id"), "held_out": pa.array(~np.asarray(get("learn").to_numpy(zero_copy_only=False), bool)), "n_tokens": pa.array(sums[0].astype(np.int64)), "n_known": pa.array(sums[1].astype(np.int64)), "train_tokens": pa.array(np.full(batch.num_rows, n, np.int64)), "base_score": pa.array(sums[2]), "score": pa.array(sums[3])}))
+            held_out = ~np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
+            values = [sums[0].astype(np.int64), sums[1].astype(np.int64), np.full(batch.num_rows, n, np.int64), sums[2], sums[3]]
+            out.append(pa.table({"doc_id": batch.column(0), "held_out": pa.array(held_out)} | {c: pa.array(x) for c, x in zip(_NUMBERS, values)}))
         return pa.concat_tables(out)
 
     return run
 
 
+_NUMBERS = {"n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
+
+
 def scored(docs: DataFrame, learn: Column, weight: float = 0.3, add: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; it learns where ``learn``.
 
@@ -224,22 +243,14 @@ def scored(docs: DataFrame, learn: Column, weight: float = 0.3, add: float = 0.1
     kind = docs.schema[id_col].dataType.simpleString()
     ranges, blocks = max(16, 2 * parts(spark)), max(8, parts(spark) // 2)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int").alias("block"))
-    packed = "range int, keys binary, blocks binary, counts binary"
-    words = rows.select("text", "learn", "block").mapInArrow(_send(ranges, blocks, True), packed)
+    layout = "range int, keys binary, blocks binary, counts binary"
+    words = rows.select("text", "learn", "block").mapInArrow(_send(ranges, blocks, True), layout)
     sizes = words.groupBy("range").applyInArrow(_sizes, "tokens long, kinds long").agg(F.sum("tokens"), F.sum("kinds")).first()
     n, v = sizes[0] or 0, sizes[1] or 0
-    entries = rows.select("text", "learn", "block").mapInArrow(_send(ranges, blocks, False), packed)
-    answers = entries.groupBy("range").applyInArrow(_answer, "block int, keys binary, counts binary")
+    entries = rows.select("text", "learn", "block").mapInArrow(_send(ranges, blocks, False), layout)
+    answers = entries.groupBy("range").applyInArrow(_answer, "block int, range int, keys binary, counts binary")
     answers = answers.withColumn("block", F.explode(F.when(F.col("block") < 0, F.sequence(F.lit(0), F.lit(blocks - 1))).otherwise(F.array("block"))))
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_tolerant(_score(n, v, weight, add), kind), schema)
-
-
-def _tolerant(score, kind: str):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if docs.num_rows:
-            return score(docs, answers)
-        empty = {"held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
-        return pa.table({"doc_id": pa.array([], pa.string() if kind == "string" else pa.int64() if kind == "bigint" else pa.int32())} | {k: pa.array([], t) for k, t in empty.items()})
-
-    return run
+    texts = packed(rows.select("block", "doc_id", "learn", "text"))
+    arrow = to_arrow_type(docs.schema[id_col].dataType)
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(n, v, weight, add, arrow), schema)
