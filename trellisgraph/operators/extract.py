@@ -63,19 +63,29 @@ def matches(text: Column, pattern: str) -> Column:
     return F.arrays_zip(*[F.regexp_extract_all(text, F.lit(java), F.lit(i)).alias(name) for name, i in groups.items()])
 
 
-def entities(docs: DataFrame, patterns=ENTITY_PATTERNS, confidence: float = 0.95, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, type, name, props, confidence, ord): one row a (text, type, name); of each property the first match."""
-    every = []
-    for i, (kind, pattern) in enumerate(patterns):
-        _, groups = java_pattern(pattern)
-        props = [n for n in groups if n != "name"]
+def _entity(kind: str, pattern: str, number: int) -> Callable[[Column, Column], Column]:
+    """From a match and its place to an entity struct."""
+    _, groups = java_pattern(pattern)
+
+    def value(m: Column, n: str) -> Column:
+        v = F.nullif(m[n], F.lit(""))
+        return F.coalesce(v.try_cast(NUMBERS[n]).cast("string"), v) if n in NUMBERS else v
+
+    def make(m: Column, at: Column) -> Column:
+        pairs = [x for n in groups if n != "name" for x in (F.lit(n), value(m, n))]
+        props = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()) if pairs else F.create_map().cast("map<string,string>")
+        return F.struct(F.lit(kind).alias("type"), F.trim(m["name"]).alias("name"), props.alias("props"), (F.lit(number * 100000) + at).alias("ord"))
+
+    return make
 
-        def value(m: Column, n: str) -> Column:
-            v = F.nullif(m[n], F.lit(""))
-            return F.coalesce(v.try_cast(NUMBERS[n]).cast("string"), v) if n in NUMBERS else v
 
-        make = lambda m, k, kind=kind, i=i, props=props, value=value: F.struct(F.lit(kind).alias("type"), F.trim(m["name"]).alias("name"), (F.map_filter(F.create_map(*[x for n in props for x in (F.lit(n), value(m, n))]), lambda a, b: b.isNotNull()) if props else F.create_map().cast("map<string,string>")).alias("props"), (F.lit(i * 100000) + k).alias("ord"))
-        every.append(F.transform(matches(F.col(text), pattern), make))
+def _relation(kind: str, src: str, dst: str) -> Callable[[Column], Column]:
+    return lambda m: F.struct(F.lit(kind).alias("type"), F.lit(src).alias("src_type"), F.trim(m["source_name"]).alias("src_name"), F.lit(dst).alias("dst_type"), F.trim(m["target_name"]).alias("dst_name"))
+
+
+def entities(docs: DataFrame, patterns=ENTITY_PATTERNS, confidence: float = 0.95, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, type, name, props, confidence, ord): one row a (text, type, name); of each property the first match."""
+    every = [F.transform(matches(F.col(text), pattern), _entity(kind, pattern, i)) for i, (kind, pattern) in enumerate(patterns)]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.inline(F.concat(*every))).where("name <> ''")
     return merged(rows.withColumn("confidence", F.lit(confidence)), first=True)
 
@@ -91,7 +101,7 @@ def merged(rows: DataFrame, first: bool = True) -> DataFrame:
 
 def relations(docs: DataFrame, patterns=RELATION_PATTERNS, confidence: float = 0.95, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, type, src_type, src_name, dst_type, dst_name, confidence): every match, repeats included."""
-    every = [F.transform(matches(F.col(text), p), lambda m, kind=kind, a=a, b=b: F.struct(F.lit(kind).alias("type"), F.lit(a).alias("src_type"), F.trim(m["source_name"]).alias("src_name"), F.lit(b).alias("dst_type"), F.trim(m["target_name"]).alias("dst_name"))) for kind, a, b, p in patterns]
+    every = [F.transform(matches(F.col(text), p), _relation(kind, a, b)) for kind, a, b, p in patterns]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.inline(F.concat(*every))).where("src_name <> '' and dst_name <> ''")
     return rows.withColumn("confidence", F.lit(confidence))
 
