@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellisgraph.graph import Graph, edges_from
+from trellisgraph.lineage import cut
 from trellisgraph.operators.match import two_hop_open
 
 
@@ -57,9 +58,7 @@ def transitive_closure(edges: DataFrame, rounds: int = 32) -> DataFrame:
     n = -1
     for _ in range(rounds):
         more = have.alias("x").join(have.alias("y"), F.col("x.dst") == F.col("y.src")).select("x.src", "y.dst")
-        have = have.unionAll(more).distinct()
-        if edges.sparkSession.sparkContext.getCheckpointDir():
-            have = have.checkpoint()
+        have = cut(have.unionAll(more).distinct())
         count = have.count()
         if count == n:
             break
@@ -74,7 +73,10 @@ def subclass(g: Graph) -> DataFrame:
 
 
 def infer(g: Graph, dry_run: bool = False, domain: str | None = None) -> tuple[Graph, DataFrame]:
-    """(graph, counts by rule). Rules run in order and see what those before them wrote, unless dry_run."""
+    """(graph, counts by rule). Rules run in order and see what those before them wrote, unless dry_run.
+
+    What a rule writes is checkpointed, as the plans of later rules read it many times.
+    """
     counts, now = None, g
     for name, rule in (("symmetric", symmetric), ("transitive", transitive_step), ("inverse", inverse)):
         found = rule(now)
@@ -84,7 +86,7 @@ def infer(g: Graph, dry_run: bool = False, domain: str | None = None) -> tuple[G
         counts = row if counts is None else counts.unionByName(row)
         fresh = found.select("src", "type", "dst").distinct().select(F.concat_ws("|", "type", "src", "dst").alias("edge_id"), "src", "dst", "type", F.lit(domain).alias("domain"), F.lit(True).alias("inferred"))
         if not dry_run:
-            now = now.with_(edges=edges_from(now.edges).unionByName(edges_from(fresh)))
+            now = now.with_(edges=cut(edges_from(now.edges).unionByName(edges_from(fresh))))
     parents = subclass(now)
     counts = counts.unionByName(parents.agg(F.count("*").alias("inferred")).select(F.lit("subclass").alias("rule"), "inferred"))
     if not dry_run:
