@@ -34,7 +34,7 @@ def _grams(data: np.ndarray, q: int) -> np.ndarray:
 class ItemIndex:
     """The q-grams of a block of benchmark items, with places, bounds and a bit table for quick misses."""
 
-    def __init__(self, ids: list, texts: list[str], q: int, max_error: float, spare: int = 8):
+    def __init__(self, ids: list, texts: list[str], q: int, max_error: float, spare: int = 32):
         self.q, self.ids = q, ids
         self.items = [_FOLD[np.frombuffer(" ".join(t.split()).encode(), np.uint8)] for t in texts]
         self.edits = np.array([int(max_error * len(x)) for x in self.items], np.int64)
@@ -86,9 +86,14 @@ class ItemIndex:
         span = int(band.max() - band.min() + 3) if len(band) else 1
         low = int(band.min()) - 1 if len(band) else 0
         code = ((doc * len(self.items) + item) * span + (band - low)).astype(np.int64)
-        code, hits = np.unique(code, return_counts=True)
-        both, where = np.unique(np.concatenate([code, code - 1]), return_inverse=True)
-        total = np.bincount(where, weights=np.concatenate([hits, hits])).astype(np.int64)
+        # a q-gram of the item counts once in a band, however often the text repeats it there
+        place = self.place[row]
+        both, place = np.concatenate([code, code - 1]), np.concatenate([place, place])
+        order = np.lexsort((place, both))
+        both, place = both[order], place[order]
+        new = np.ones(len(both), bool)
+        new[1:] = (both[1:] != both[:-1]) | (place[1:] != place[:-1])
+        both, total = np.unique(both[new], return_counts=True)
         pair = both // span
         good = total >= self.bounds[pair % len(self.items)]
         return list(zip((pair[good] // len(self.items)).tolist(), (pair[good] % len(self.items)).tolist(), ((both[good] % span + low) * self.band).tolist()))
@@ -96,6 +101,10 @@ class ItemIndex:
     def aligned(self, text: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int] | None:
         """(edits, start, end) of the best match of the item on diagonals near the band, or None over the budget."""
         pattern, k = self.items[item], int(self.edits[item])
+        low = max(0, diagonal - k)
+        at = text[low : max(0, diagonal + 2 * self.band + k + len(pattern))].tobytes().find(pattern.tobytes())
+        if at >= 0:
+            return 0, low + at, low + at + len(pattern)
         a, width = diagonal - k, 2 * self.band + 2 * k + 1
         far = len(pattern) + 1
         column = np.arange(width)
@@ -116,6 +125,8 @@ class ItemIndex:
             source = np.mod(slide, width + 1)
             cost = np.minimum(best[source] + column - source, far)
             start = from_[source]
+            if i % 8 == 7 and cost.min() > k:
+                return None
         end = int(np.argmin(cost))
         edits = int(cost[end])
         return (edits, int(start[end]), a + end + len(pattern)) if edits <= k else None
@@ -129,6 +140,8 @@ def _matches(held):
             data = _FOLD[data]
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
             for doc, item, diagonal in index.regions(data, offsets):
+                if best.get((doc, item), (1,))[0] == 0:
+                    continue
                 got = index.aligned(data[offsets[doc] : offsets[doc + 1]], item, diagonal)
                 if got and got < best.get((doc, item), (1 << 60,)):
                     best[doc, item] = got
