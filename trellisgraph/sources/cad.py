@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trellisgraph.sources.files import wide_text
+
 # Prefixes of internal annotation blocks.
 ANNOTATION_PREFIXES = ["SW_NOTE", "SW_CENTERMARK", "SW_TABLE", "SW_BOM", "SW_SYMBOL", "SW_HOLETABLE"]
 # Keywords of materials and assemblies.
@@ -164,5 +166,5 @@ def dwg_strings(files: DataFrame, most: int = 60) -> DataFrame:
     runs of 2 to 30, the first ``most`` distinct ones."""
     raw = F.decode("content", "ISO-8859-1")
     runs = F.filter(F.regexp_extract_all(raw, F.lit(r"[\x20-\x7E]{4,80}"), F.lit(0)), lambda s: F.regexp_count(s, F.lit("[A-Za-z]")) >= 0.3 * F.length(s))
-    wide = F.regexp_extract_all(F.decode("content", "UTF-16LE"), F.lit("[一-鿿]{2,30}"), F.lit(0))
+    wide = F.regexp_extract_all(wide_text("content"), F.lit("[一-鿿]{2,30}"), F.lit(0))
     return files.select("path", F.regexp_extract(raw, r"^(AC10\d\d)", 1).alias("version"), F.slice(F.array_distinct(F.concat(runs, wide)), 1, most).alias("strings"))

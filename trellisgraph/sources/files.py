@@ -69,6 +69,18 @@ def decoded(content: pd.Series) -> pd.Series:
     return content.map(one)
 
 
+@F.pandas_udf(T.StringType())
+def lenient(content: pd.Series) -> pd.Series:
+    """Bytes as UTF-8, without what is not."""
+    return content.map(lambda raw: None if raw is None else raw.decode("utf-8", "ignore"))
+
+
+@F.pandas_udf(T.StringType())
+def wide_text(content: pd.Series) -> pd.Series:
+    """Bytes as UTF-16, without what is not."""
+    return content.map(lambda raw: None if raw is None else raw.decode("utf-16-le", "ignore"))
+
+
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -163,9 +175,13 @@ def url_problem(url: Column) -> Column:
     )
 
 
+def _docx(content: pd.Series) -> pd.Series:
+    return content.map(lambda raw: None if raw is None else docx_text(raw))
+
+
 def routed(files: DataFrame) -> DataFrame:
     """``files`` with ``text`` by suffix; office formats that need a converter get ``error``."""
-    docx = F.pandas_udf(lambda s: s.map(docx_text), "string")
+    docx = F.pandas_udf(_docx, T.StringType())
     kind = F.col("suffix")
-    text = F.when(kind.isin(".txt", ".md", ".csv", ".json", ".step", ".stp", ".iges", ".igs", ".dxf"), decoded("content")).when(kind == ".docx", docx("content")).when(kind.isin(".html", ".htm"), html_text(decoded("content"))).when(~kind.isin(".doc", ".xls", ".ppt", ".pptx", ".xlsx", ".pdf", ".dwg"), F.decode("content", "UTF-8"))
+    text = F.when(kind.isin(".txt", ".md", ".csv", ".json", ".step", ".stp", ".iges", ".igs", ".dxf"), decoded("content")).when(kind == ".docx", docx(F.when(kind == ".docx", F.col("content")))).when(kind.isin(".html", ".htm"), html_text(decoded("content"))).when(~kind.isin(".doc", ".xls", ".ppt", ".pptx", ".xlsx", ".pdf", ".dwg"), lenient("content"))
     return files.withColumn("text", text).withColumn("error", F.when(kind.isin(".doc", ".xls", ".ppt", ".pptx", ".xlsx"), F.concat(F.lit("unsupported: "), kind)))
