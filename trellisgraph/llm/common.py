@@ -64,6 +64,14 @@ def gapless(df: DataFrame, group: list[str], order: list[str], name: str, bucket
     return out.withColumn(name, (F.col("_from") + F.col("_rank") - 1).cast("long")).drop("_bucket", "_rank", "_from", "_g_bucket", *[f"_g_{c}" for c in group])
 
 
+def lean(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of at most ``rows`` rows from now on: rows here hold whole texts, and both the JVM and Python keep a
+    batch outside the heap. A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 

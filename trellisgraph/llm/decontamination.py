@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellisgraph.llm import common
-from trellisgraph.llm.common import BROADCAST_BYTES, sliced
+from trellisgraph.llm.common import BROADCAST_BYTES, lean, sliced
 
 _BITS = 22
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -163,6 +163,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.1, q: int
     Repeated ids are searched each for itself. Items go to the tasks in blocks whose text stays under a bound.
     """
     spark = docs.sparkSession
+    lean(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id long, n_edits long, start_byte long, end_byte long"
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and octet_length(text) >= %d" % least)

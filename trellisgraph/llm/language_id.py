@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trellisgraph.llm import common
-from trellisgraph.llm.common import sliced
+from trellisgraph.llm.common import SLICE_BYTES, lean, sliced
 
 #: A letter of any script, as Java's regular expressions see it.
 LETTER = r"\p{L}"
@@ -165,6 +165,7 @@ def train(docs: DataFrame, order: int = 3, per_language: int = 400, id_col: str
     Learns from at most ``per_language`` rows of each language, those with the least hash of their id: a bounded
     sample, so the frozen trees stay small enough to ship to every task whatever the corpus holds.
     """
+    lean(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("i"))
     ids = rows.select("lang", "h", "i").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "i"))).where(F.col("r") <= per_language)
@@ -192,7 +193,7 @@ def train(docs: DataFrame, order: int = 3, per_language: int = 400, id_col: str
 def _predict(held):
     def run(batches):
         trees = held.value
-        for batch in sliced(batches, column="_text"):
+        for batch in sliced(batches, SLICE_BYTES // 4, "_text"):
             data, offsets = common.buffers(batch.column(1))
             if trees.langs:
                 bits = trees.lengths(data, offsets)
@@ -219,6 +220,7 @@ def predict(docs: DataFrame, trees: ContextTrees, row: Column, text_col: str = "
     A text that is null or has no letter gets ``und`` and score 0, as does every text if no language was learnt. Ties go
     to the language that sorts first. Repeated rows are judged each for itself; an empty table gives no rows.
     """
+    lean(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(trees)
     text = F.col(text_col).cast("string")
     rows = docs.select(row.alias("_row"), text.alias("_text"), has_letter(text).alias("_letter"))

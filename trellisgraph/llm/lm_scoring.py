@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from trellisgraph.llm import common
-from trellisgraph.llm.common import mixed, packed, parts, sliced, unpacked
+from trellisgraph.llm.common import lean, mixed, packed, parts, sliced, unpacked
 
 _START, _END = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
 _ONE, _PAIR = np.uint64(1), np.uint64(0xA0761D6478BD642F)
@@ -240,6 +240,7 @@ def scored(docs: DataFrame, learn: Column, weight: float = 0.3, add: float = 0.1
     Sums are taken in token order within a text.
     """
     spark = docs.sparkSession
+    lean(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     ranges, blocks = max(16, 2 * parts(spark)), max(8, parts(spark) // 2)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int").alias("block"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trellisgraph.llm import common
-from trellisgraph.llm.common import mixed, parts, saved, sliced, small
+from trellisgraph.llm.common import lean, mixed, parts, saved, sliced, small
 from trellisgraph.llm.links import components
 
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) | 1 for k in range(1, 65)], dtype=object)
@@ -185,6 +185,7 @@ def jaccard_links(docs: DataFrame, percent: int = 75, width: int = 5, id_col: st
     probability of about n * m / 2**64.
     """
     spark = docs.sparkSession
+    lean(spark)
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = saved(base.mapInArrow(_fingerprints(width), "doc_id long, n_shingles long, f1 long, f2 long"))
     reps = prints.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))

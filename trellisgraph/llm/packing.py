@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellisgraph.llm.common import gapless, saved, sliced
+from trellisgraph.llm.common import gapless, lean, saved, sliced
 
 #: A blank between two other characters always parts two tokens of byte-level BPE, so what lies between is a unit.
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
@@ -27,7 +27,7 @@ _SPECIAL = re.compile(r"<\|[a-z_]+\|>")
 class _Units(dict):
     """Text between two blanks, the blank before it included -> its ids as little-endian bytes."""
 
-    most = 1_000_000
+    most = 250_000
 
     def __init__(self, encode):
         self.encode = encode
@@ -93,6 +93,7 @@ def _pieces(tokenizer_file: str, capacity: int, end_id: int):
 
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each text's ids and the end id, cut only where longer than capacity."""
+    lean(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_pieces(tokenizer_file, capacity, end_id), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

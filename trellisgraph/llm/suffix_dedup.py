@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellisgraph.llm import common
-from trellisgraph.llm.common import mixed, packed, parts, saved, sliced, unpacked
+from trellisgraph.llm.common import lean, mixed, packed, parts, saved, sliced, unpacked
 
 
 def suffix_array(text) -> list[int]:
@@ -423,6 +423,7 @@ def repeats_removed(docs: DataFrame, length: int = 50, seed: int = 16, id_col: s
     are one document: a string in both is in no smaller document by that. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    lean(spark)
     ranges, blocks = max(16, 2 * parts(spark)), max(8, parts(spark) // 2)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sums = saved(rows.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.octet_length("text").cast("long").alias("n")))
