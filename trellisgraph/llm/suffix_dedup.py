@@ -188,7 +188,7 @@ def _send(length: int, seed: int, ranges: int, blocks: int):
     """Minimizers of a slice: one row a hash range; what the slice alone shows to be shared goes below zero."""
 
     def run(batches):
-        for batch in sliced(batches, column="text"):
+        for batch in sliced(batches, common.SLICE_BYTES // 2, "text"):
             block = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
             ids = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), np.int64)
             doc, _, _, key = _minimizers(*common.buffers(batch.column(2)), length, seed)
@@ -270,7 +270,7 @@ def _segments(length: int, seed: int, ranges: int):
         want = np.unique(mixed(np.concatenate([np.zeros(0, np.uint64), *keys])) ^ np.concatenate([np.zeros(0, np.int64), *ids]).view(np.uint64))
         out = []
         for table in unpacked(docs) if len(want) else []:
-            for batch in sliced(table.combine_chunks().to_batches(), column="text"):
+            for batch in sliced(table.combine_chunks().to_batches(), common.SLICE_BYTES // 2, "text"):
                 own = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
                 data, offsets = common.buffers(batch.column(1))
                 doc, first, last, key = _minimizers(data, offsets, length, seed)
@@ -341,7 +341,7 @@ def _repeats(length: int, blocks: int):
     return run
 
 
-def _shared_parts(body: bytes, at: np.ndarray, groups: list[list[int]], length: int, most: int = 8 << 20):
+def _shared_parts(body: bytes, at: np.ndarray, groups: list[list[int]], length: int, most: int = 1 << 20):
     """For each group of rows its (row, start, end) parts of at least ``length`` bytes in which every string of half that
     length occurs twice in the group; nothing outside them can be in a window that two rows share. Groups are looked at
     together, up to ``most`` bytes."""
