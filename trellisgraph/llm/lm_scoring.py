@@ -172,16 +172,18 @@ def _wide(x: bytes) -> np.ndarray:
 class Automaton:
     """The states and arcs that one block's texts can reach."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, n: int, v: int, weight: float, add: float):
-        order = np.argsort(keys)
-        self.keys, self.counts = keys[order], counts[order].astype(np.float64)
+    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]], n: int, v: int, weight: float, add: float):
+        """tables: sorted keys with their counts; a key is in one of them at most."""
+        self.tables = [t for t in tables if len(t[0])]
         self.n, self.v, self.weight, self.add = n, v, weight, add
 
     def count(self, key: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(key))
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.counts[at], 0.0)
+        out = np.zeros(len(key))
+        for keys, counts in self.tables:
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[at] == key
+            out[hit] = counts[at[hit]]
+        return out
 
     def steps(self, before: np.ndarray, word: np.ndarray):
         """(count of the word, log10 base probability, log10 probability of the arc taken) of every token."""
@@ -197,10 +199,11 @@ class Automaton:
 def _score(n: int, v: int, weight: float, add: float, kind: pa.DataType):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         pieces = [x for t in unpacked(docs) for x in sliced(t.combine_chunks().to_batches(), column="text")]
-        own = [np.zeros(0, np.uint64)]
-        for batch in pieces:
-            own.append(np.unique(_keys(*_tokens(batch.column(2)), batch.num_rows)[0]))
-        own = np.unique(np.concatenate(own))
+        own, lot = np.zeros(0, np.uint64), []
+        for i, batch in enumerate(pieces):
+            lot.append(np.unique(_keys(*_tokens(batch.column(2)), batch.num_rows)[0]))
+            if len(lot) == 8 or i == len(pieces) - 1:
+                own, lot = np.unique(np.concatenate([own, *lot])), []
         hot, hot_counts, plain = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
         for r, k, c in zip(answers.column("range").to_pylist(), answers.column("keys").to_pylist(), answers.column("counts").to_pylist()):
             if k is None:
@@ -210,12 +213,18 @@ def _score(n: int, v: int, weight: float, add: float, kind: pa.DataType):
                 hot.append(k)
                 hot_counts.append(c)
         hot, hot_counts = np.concatenate(hot), np.concatenate(hot_counts)
-        rest = own[~np.isin(own, hot)]
+        order = np.argsort(hot)
+        hot, hot_counts = hot[order], hot_counts[order]
+        at = np.searchsorted(own, hot)
+        at = at[at < len(own)]
+        known = np.zeros(len(own), bool)
+        known[at] = own[at] == hot[: len(at)]
+        rest = own[~known]
         counts = np.concatenate([np.zeros(0, np.int64), *(c for _, c in sorted(plain, key=lambda x: x[0]))])
         if len(rest) != len(counts):
             raise ValueError("the texts of a block changed between two reads of the input")
-        del own
-        model = Automaton(np.concatenate([rest, hot]), np.concatenate([counts, hot_counts]), n, v, weight, add)
+        del own, known, plain
+        model = Automaton([(rest, counts), (hot, hot_counts)], n, v, weight, add)
         out = [pa.table({"doc_id": pa.array([], kind), "held_out": pa.array([], pa.bool_())} | {c: pa.array([], t) for c, t in _NUMBERS.items()})]
         for batch in pieces:
             doc, before, word = _tokens(batch.column(2))
@@ -242,7 +251,7 @@ def scored(docs: DataFrame, learn: Column, weight: float = 0.3, add: float = 0.1
     spark = docs.sparkSession
     lean(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    ranges, blocks = max(16, 2 * parts(spark)), max(8, parts(spark) // 2)
+    ranges, blocks = max(16, 2 * parts(spark)), max(8, 2 * parts(spark) // 3)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int").alias("block"))
     layout = "range int, keys binary, blocks binary, counts binary"
     words = rows.select("text", "learn", "block").mapInArrow(_send(ranges, blocks, True), layout)
