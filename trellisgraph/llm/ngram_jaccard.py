@@ -9,10 +9,9 @@ A document's set holds its distinct shingles of ``words`` words (64-bit hashes).
 3. The survivors' shingles are ordered by document frequency, rare first; a linked pair shares one of the first
    ``n - ceil(...) + 1`` (prefix filter). Index lists hold (set, size, position) per shingle, cut into blocks by size
    band and position; a block is skipped as a whole when its smallest position or its sizes cannot give the overlap.
-4. First every set is compared with the leader of each of its lists and blocks. Verified pairs make families. Then
-   lists are probed only across families: a set takes the family answers of a set it is linked with, so no pairs
-   are made inside a family, however large. For a remaining pair bounds come from the leaders' overlap before
-   the sets themselves are intersected.
+4. First every set is compared with the leader of each of its lists and size bands. Verified pairs make families. A set
+   then takes over the answers of its family: lists are probed only across families, and only for links that a member
+   adds to what the family has, so no pairs are made inside a family, however large.
 """
 
 from __future__ import annotations
@@ -142,7 +141,7 @@ def _members(width: int):
 
 
 def _verify(percent: int):
-    """Pairs whose shared members meet the threshold. Bounds from the leaders' overlap, if known, come first."""
+    """Pairs whose shared members meet the threshold."""
 
     def run(batches):
         for batch in batches:
