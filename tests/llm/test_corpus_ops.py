@@ -326,6 +326,38 @@ def test_suffix_dedup(spark, docs, rows, empty):
     assert suffix_dedup.repeats_removed(empty).count() == 0
 
 
+def kept_bytes(raw, length=50):
+    """n_bytes, n_removed, n_spans, kept_sha256 of every text of ``raw``, window by window."""
+    first, want = {}, {}
+    for i in sorted(raw):
+        for p in range(len(raw[i]) - length + 1):
+            first.setdefault(raw[i][p : p + length], i)
+    for i, b in raw.items():
+        gone = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            if first[b[p : p + length]] < i:
+                gone[p : p + length] = b"\1" * length
+        rest = bytes(x for x, y in zip(b, gone) if not y)
+        want[i] = (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(rest).hexdigest())
+    return want
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_suffix_dedup_passage_repeated_in_a_text(spark, seed):
+    r = random.Random(seed)
+    prose = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    texts = []
+    for _ in range(20):  # an earlier text has a part of the passage, a later one all of it several times
+        p = prose(300)
+        a = r.randrange(0, 200)
+        texts.append(prose(40) + p[a : a + 100] + prose(60))
+        texts.append(prose(30) + "".join(p + prose(r.randint(20, 80)) for _ in range(r.randint(2, 4))))
+        texts.append(p + prose(10) + p)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.repeats_removed(df).collect()}
+    assert got == kept_bytes({i: t.encode() for i, t in enumerate(texts)})
+
+
 def found(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.A) if len(m[1]) >= 6]
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if m.end() - m.start() >= 20]

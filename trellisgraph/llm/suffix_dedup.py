@@ -10,9 +10,10 @@ segment. Steps:
 
 1. Equal texts become one class; only the first is looked at, the others go as a whole.
 2. Minimizers are sent, once a slice, to hash ranges; those that only one document has cannot hold a repeat.
-3. Segments with a shared minimizer meet by it. Of equal ones only the first document's is looked at further. Where a
-   minimizer has different segments, parts whose strings of half the length no other segment has are cut away, the
-   suffix array of the rest is built, and each run of suffixes with ``length`` equal bytes tells its first document.
+3. Segments with a shared minimizer meet by it. Of equal ones only the first document's is looked at further, and what
+   is found holds wherever that document has the segment. Where a minimizer has different segments, parts whose strings
+   of half the length no other segment has are cut away, the suffix array of the rest is built, and each run of
+   suffixes with ``length`` equal bytes tells its first document.
 4. Removed intervals go back to their documents.
 """
 
@@ -300,13 +301,14 @@ def _repeats(length: int, blocks: int):
         order = np.argsort(key, kind="stable")
         found_id, found_a, found_b = [], [], []
         different: list[list[int]] = []  # of each minimizer with several segments, the first row of each
+        places: dict[int, list[int]] = {}  # of such a first row, the rows where its document has the segment again
         for _, i, j in _cut_keys(key[order]):
             if j - i < 2:
                 continue
             of: dict[bytes, list[int]] = {}
             for r in order[i:j].tolist():
                 of.setdefault(body[at[r] : at[r + 1]], []).append(r)
-            firsts = []
+            firsts, again = [], {}
             for rows in of.values():
                 first = min(rows, key=ids.__getitem__)
                 firsts.append(first)
@@ -315,8 +317,11 @@ def _repeats(length: int, blocks: int):
                         found_id.append(ids[r])
                         found_a.append(starts[r])
                         found_b.append(starts[r] + sizes[r])
+                    elif r != first:
+                        again.setdefault(first, []).append(r)
             if len(firsts) > 1:
                 different.append(firsts)
+                places.update(again)
         for pieces in _shared_parts(body, at, different, length):
             of = {}
             for r, a, b in pieces:
@@ -328,9 +333,10 @@ def _repeats(length: int, blocks: int):
                 for r, a in of[t]:
                     late = np.flatnonzero(np.diff(np.concatenate([[0], (m < ids[r]).astype(np.int8), [0]])))
                     for x, y in zip(late[::2].tolist(), late[1::2].tolist()):
-                        found_id.append(ids[r])
-                        found_a.append(starts[r] + a + x)
-                        found_b.append(starts[r] + a + y + length - 1)
+                        for o in (r, *places.get(r, ())):
+                            found_id.append(ids[o])
+                            found_a.append(starts[o] + a + x)
+                            found_b.append(starts[o] + a + y + length - 1)
         doc = np.array(found_id, np.int64)
         block = _block_of(doc, blocks)
         order = np.argsort(block, kind="stable")
