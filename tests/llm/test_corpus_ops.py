@@ -244,6 +244,26 @@ def test_near_vectors(spark, empty):
     assert projection_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_recall_at_size(spark):
+    # pairs far from all others; 20,000 vectors under a window of 4 are as hard as 320,000 under 64
+    rng = np.random.default_rng(8)
+    a = rng.standard_normal((10000, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal(a.shape)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.905 * a + math.sqrt(1 - 0.905**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(np.concatenate([a, b]))], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in projection_dedup.near_vectors(df, window=4).collect()}
+    assert sum(got[i] > 0 for i in range(10000)) >= 0.9 * 10000
+
+
+def test_near_vectors_across_ranges(spark):
+    # a chain in the order of the key, up to one cut by the only hyperplane; the edges of ranges do not break it
+    df = spark.createDataFrame([(i, [math.cos(i * 0.004), math.sin(i * 0.004)]) for i in range(400)], "vec_id long, embedding array<double>")
+    got = projection_dedup.near_vectors(df, threshold=0.99999, passes=1, window=1, bits=1).collect()
+    assert len({r["component_id"] for r in got}) <= 2
+
+
 def test_lm_scoring(spark, docs, rows, empty):
     learn = {i: i % 5 != 0 for i, *_ in rows}
     seqs = {i: [*words(t or ""), None] for i, t, *_ in rows}

@@ -1,16 +1,21 @@
 """Near-duplicate vectors by sorted projection passes.
 
-Equal vectors become one class first. In each of ``passes`` passes the classes are ordered by a key of concatenated
-random-hyperplane bits, dealt to tasks by ranges of that order, and each is compared with the ``window`` before it.
+Equal vectors become one class first. In each of a number of passes the classes are ordered by a key of concatenated
+random-hyperplane bits, dealt to tasks by ranges of that order, and each is compared with the ``window`` before it, also
+across the edges of the ranges. One bit is equal for two vectors at an angle x with probability 1 - x / pi, so a pass
+brings them within a window with about (n / window) ** log2(1 - x / pi); the number of passes follows from that and n.
 Verified pairs that join two groups not yet joined in the task are emitted, so a dense group costs one pair a
 member and not one a pair. Passes are united into components. Inside a component every pair is then verified, block
-by block, so links the windows never met are counted too: the window bounds the search and caps no answer.
+by block, so links there that the windows never met are counted too; a link whose ends no chain of met pairs joins is lost.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,16 +47,38 @@ def _keys(passes: int, bits: int, seed: int):
                 m = _unit(_matrix(part.column(1)))
                 if size not in planes:
                     planes[size] = np.random.default_rng([seed, int(size)]).standard_normal((int(size), passes * bits))
-                on = (m @ planes[size] > 0).reshape(len(m), passes, bits)
-                key = (on.astype(np.int64) << np.arange(bits - 1, -1, -1)).sum(2)
                 for p in range(passes):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), p * 65536 + int(size) % 65536, np.int64)), pa.array(key[:, p]), part.column(0), part.column(1)], ["pass", "key", "id", "v"])
+                    on = m @ planes[size][:, p * bits : (p + 1) * bits] > 0
+                    key = (on.astype(np.int64) << np.arange(bits - 1, -1, -1)).sum(1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), p * 65536 + int(size) % 65536, np.int64)), pa.array(key), part.column(0), part.column(1)], ["pass", "key", "id", "v"])
 
     return run
 
 
+def _passes(n: int, window: int, threshold: float, least: int, recall: float) -> int:
+    """The passes, ``least`` or more, after which two of ``n`` vectors at the threshold have met with probability ``recall``."""
+    same = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    if n <= window or same >= 1:
+        return least
+    met = (n / window) ** math.log2(max(same, 1e-3))
+    return max(least, math.ceil(math.log(1 - recall) / math.log1p(-met)))
+
+
 def _windows(window: int, threshold: float):
+    """Links (a, b) of one range, and its first and last ``window`` vectors (edge, late, pass, id, v) for its two edges."""
+    names = ["a", "b", "edge", "late", "pass", "id", "v"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.float64())]
+
+    def rows(count, **columns):
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(count, t) for c, t in zip(names, types)], names)
+
+    def edge(at, late, which, ids, unit):
+        n = len(ids)
+        return rows(n, edge=np.full(n, at, np.int32), late=np.full(n, late), id=ids, v=list(unit), **{"pass": np.full(n, which, np.int64)})
+
     def run(batches):
+        own = TaskContext.get().partitionId()
+        first, sent = None, 0
         above: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -74,6 +101,11 @@ def _windows(window: int, threshold: float):
                         last, ids, unit, above = which[a], new_ids[:0], new[:0], {}
                     near_ids, near = np.concatenate([ids, new_ids]), np.concatenate([unit, new])
                     k = len(ids)
+                    if first is None:
+                        first = which[a]
+                    if first == which[a] and sent < window:
+                        yield edge(own - 1, True, first, new_ids[: window - sent], new[: window - sent])
+                        sent += len(new_ids)
                     i, j = np.nonzero(new @ near.T >= threshold)
                     i += k
                     fits = (j < i) & (j >= i - window)
@@ -83,7 +115,25 @@ def _windows(window: int, threshold: float):
                             above[p] = q
                             found.append((x, y))
                     ids, unit = near_ids[-window:], near[-window:]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+            yield rows(len(found), a=[x for x, _ in found], b=[y for _, y in found])
+        if last is not None:
+            yield edge(own, False, last, ids, unit)
+
+    return run
+
+
+def _across(threshold: float):
+    """Links between the last vectors before an edge and the first ones after it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        late, which = table.column("late").to_numpy(), table.column("pass").to_numpy()
+        ids, unit = table.column("id").to_numpy(), table.column("v").to_pylist()
+        before, after = np.flatnonzero(~late), np.flatnonzero(late)
+        a, b = [], []
+        if len(before) and len(after) and which[before[0]] == which[after[0]]:
+            i, j = np.nonzero(np.array([unit[x] for x in after]) @ np.array([unit[x] for x in before]).T >= threshold)
+            a, b = ids[after[i]], ids[before[j]]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -106,21 +156,27 @@ def _counts(threshold: float):
     return run
 
 
-def near_vectors(table: DataFrame, threshold: float = 0.9, passes: int = 12, window: int = 64, bits: int = 48, block: int = 1024, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_vectors(table: DataFrame, threshold: float = 0.9, passes: int | None = None, window: int = 64, bits: int = 48, block: int = 1024, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``table``.
 
     Vectors that are null, empty, zero or hold a null or non-finite component link with nothing: n_links 0, a component
     of their own, kept. Vectors of different lengths never link. Rows that repeat an id count as further vectors. Every
-    link has a cosine >= threshold in double precision; whether all are found depends on the passes (recall is
-    measured in the tests). Other columns are not read.
+    link has a cosine >= threshold in double precision; whether all are found depends on the passes. Unless given they
+    are 12 or as many more as the number of different vectors needs for ``recall`` of the pairs at the threshold, if
+    vectors lie in all directions alike. Other columns are not read.
     """
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     fine = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     hashed = rows.withColumn("h", F.when(F.coalesce(fine, F.lit(False)), F.struct(F.xxhash64("v").alias("x"), F.hash("v").alias("y"), F.size("v").alias("z"))))
     classes = saved(hashed.where("h is not null").groupBy("h").agg(F.min("vec_id").alias("id"), F.count("*").alias("size"), F.first("v").alias("v")))
+    n = classes.count()
+    passes = passes or _passes(n, window, threshold, 12, recall)
     keyed = classes.select("id", "v").mapInArrow(_keys(passes, bits, seed), "pass long, key long, id long, v array<double>")
-    dealt = keyed.repartitionByRange(parts(table.sparkSession), "pass", "key", "id").sortWithinPartitions("pass", "key", "id")
-    links = saved(dealt.mapInArrow(_windows(window, threshold), "a long, b long"))
+    # ranges much longer than a window, so that a window reaches over one edge only
+    ranges = max(1, min(parts(table.sparkSession), n * passes // (8 * window)))
+    dealt = keyed.repartitionByRange(ranges, "pass", "key", "id").sortWithinPartitions("pass", "key", "id")
+    met = saved(dealt.mapInArrow(_windows(window, threshold), "a long, b long, edge int, late boolean, pass long, id long, v array<double>"))
+    links = met.where("edge is not null").groupBy("edge").applyInArrow(_across(threshold), "a long, b long").union(met.where("edge is null").select("a", "b"))
     of = components(links)
     members = gapless(classes.join(of, F.col("id") == F.col("node")).select("component", "id", "size", "v"), ["component"], ["id"], "rank", 16)
     members = saved(members.withColumn("block", F.expr(f"cast(rank div {block} as int)")))
