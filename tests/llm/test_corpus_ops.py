@@ -415,6 +415,21 @@ def test_secret_ledger(spark):
     assert all(not r["spans"] for r in kept.collect())  # a pair that the ledger has is not scanned again
 
 
+def test_secret_ledger_of_clean_and_absent_blobs(spark):
+    texts = ["nothing here", "token=first1", "AKIA" + "B" * 16, None, "secret=second2"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    blob = lambda i: hashlib.sha256((texts[i] or "").encode()).digest()
+    run = lambda d, ledger, rules: {bytes(r["blob"]): (list(r["scanned"]), [tuple(s) for s in r["spans"]]) for r in secrets.update(d, ledger, rules=rules)[1].collect()}
+    table = lambda x: spark.createDataFrame([(bytearray(b), *v) for b, v in x.items()], "blob binary, scanned array<string>, spans array<struct<start:int,kind:int,end:int>>")
+    first = run(df, None, secrets.RULES)
+    assert set(first) == {blob(i) for i in range(5)} and first[blob(0)][1] == first[blob(3)][1] == []
+    newer = [(k, v + (k == "assign"), "first|second" if k == "assign" else p, 0 if k == "assign" else g, 5 if k == "assign" else n) for k, v, p, g, n in secrets.RULES]
+    second = run(df.where("doc_id < 2"), table(first), newer)
+    assert all(second[blob(i)] == first[blob(i)] for i in (2, 3, 4)) and second[blob(1)] == (["assign:2", "access:1", "hex:1"], [(6, 1, 11)])
+    third = run(df, table(second), newer)  # the absent blob comes back and is scanned for the new version
+    assert third == run(df, None, newer) and third[blob(4)][1] == [(7, 1, 13)]
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 

@@ -56,30 +56,44 @@ def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
     return rows.withColumn("end", end).where("all is not null and core >= least").select("blob", "kind", "version", (F.col("end") - F.col("all")).cast("int").alias("start"), F.col("end").cast("int").alias("end"))
 
 
-def update(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rules=RULES) -> tuple[DataFrame, DataFrame]:
-    """(paths, ledger rows): ``docs`` with its content address, and one ledger row for each blob of ``docs``.
-
-    A ledger row has blob, scanned (``kind:version`` of every rule applied) and spans, an array of (start, kind
-    number, end) in order. Given an older ledger, blobs keep its findings and are scanned only for rules it lacks.
-    """
+def _scanned(docs: DataFrame, ledger: DataFrame | None, text_col: str, rules) -> tuple[DataFrame, DataFrame]:
+    """(paths, found): ``docs`` with its content address, and blob and found, the findings of the rules the ledger lacks."""
     paths = addressed(docs, text_col)
-    every = F.array(*[F.lit(f"{k}:{v}") for k, v, *_ in rules])
     kinds = F.array(*[F.lit(k) for k, *_ in rules])
     blobs = paths.groupBy("_blob").agg(F.first("_text").alias("text")).withColumnRenamed("_blob", "blob")
     if ledger is not None:
-        old = ledger.select(F.col("blob"), F.col("scanned"), F.col("spans").alias("known"))
-        blobs = blobs.join(old, "blob", "left").withColumn("todo", F.transform(F.filter(every, lambda x: ~F.array_contains(F.coalesce("scanned", F.array().cast("array<string>")), x)), lambda x: F.split(x, ":")[0]))
+        old = ledger.select("blob", "scanned")
+        blobs = blobs.join(old, "blob", "left").withColumn("todo", F.transform(F.filter(_every(rules), lambda x: ~F.array_contains(F.coalesce("scanned", F.array().cast("array<string>")), x)), lambda x: F.split(x, ":")[0]))
     else:
-        blobs = blobs.withColumn("known", F.lit(None).cast("array<struct<start:int,kind:int,end:int>>")).withColumn("todo", kinds)
+        blobs = blobs.withColumn("todo", kinds)
     number = F.array_position(kinds, F.col("kind")).cast("int")
-    fresh = scan(blobs.where(F.size("todo") > 0), rules).groupBy("blob").agg(F.collect_list(F.struct("start", number.alias("kind"), "end")).alias("found"))
-    rows = fresh.select("blob", every.alias("scanned"), F.sort_array("found").alias("spans"))
-    if ledger is not None:
-        # findings of a rule version that is no longer in force go; those of the others stay
-        current = F.transform(F.filter(F.sequence(F.lit(1), F.lit(len(rules))), lambda i: F.array_contains("scanned", F.get(every, i - 1))), lambda i: i)
-        kept = ledger.select("blob", F.filter("spans", lambda s: F.array_contains(current, s["kind"])).alias("known"))
-        rows = fresh.join(kept, "blob", "full").select("blob", every.alias("scanned"), F.sort_array(F.concat(F.coalesce("found", F.array().cast("array<struct<start:int,kind:int,end:int>>")), F.coalesce("known", F.array().cast("array<struct<start:int,kind:int,end:int>>")))).alias("spans"))
-    return paths, rows
+    found = scan(blobs.where(F.size("todo") > 0), rules).groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", number.alias("kind"), "end"))).alias("found"))
+    return paths, found
+
+
+def _every(rules) -> Column:
+    return F.array(*[F.lit(f"{k}:{v}") for k, v, *_ in rules])
+
+
+def update(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rules=RULES) -> tuple[DataFrame, DataFrame]:
+    """(paths, ledger rows): ``docs`` with its content address, and one ledger row for each blob of ``docs``, clean or not.
+
+    A ledger row has blob, scanned (``kind:version`` of every rule applied) and spans, an array of (start, kind
+    number, end) in order. Given an older ledger, blobs keep its findings and are scanned only for rules it lacks;
+    its rows for blobs that ``docs`` does not have stay as they are.
+    """
+    paths, found = _scanned(docs, ledger, text_col, rules)
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    every = _every(rules)
+    blobs = paths.select(F.col("_blob").alias("blob")).distinct()
+    rows = blobs.join(found, "blob", "left")
+    if ledger is None:
+        return paths, rows.select("blob", every.alias("scanned"), F.coalesce("found", none).alias("spans"))
+    # findings of a rule version that is no longer in force go; those of the others stay
+    current = F.filter(F.sequence(F.lit(1), F.lit(len(rules))), lambda i: F.array_contains("scanned", F.get(every, i - 1)))
+    known = ledger.select("blob", F.filter("spans", lambda s: F.array_contains(current, s["kind"])).alias("known"))
+    rows = rows.join(known, "blob", "left").select("blob", every.alias("scanned"), F.sort_array(F.concat(F.coalesce("found", none), F.coalesce("known", none))).alias("spans"))
+    return paths, rows.unionByName(ledger.select("blob", "scanned", "spans").join(blobs, "blob", "left_anti"))
 
 
 def findings(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text") -> DataFrame:
@@ -88,7 +102,11 @@ def findings(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "
     A null text is empty. Paths whose blob has no finding get an empty array. Findings are joined by content address;
     an address held by very many paths is a skewed key of that join, whose other side has one row.
     """
-    paths, rows = update(docs, ledger, text_col)
+    if ledger is None:  # all that is known is found now
+        paths, rows = _scanned(docs, None, text_col, RULES)
+        rows = rows.withColumnRenamed("found", "spans")
+    else:
+        paths, rows = update(docs, ledger, text_col)
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     out = paths.drop("_text").join(rows.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "_blob", "left")
     return out.withColumn("_spans", F.coalesce("_spans", none)).drop("_blob")
