@@ -312,6 +312,16 @@ def test_decontamination(spark, docs, rows, empty):
     assert decontamination.leaks(empty, bench).count() == 0 and decontamination.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_indented_copies(spark):
+    item = "\n".join(f"    value_{k} = compute({k}, other_{k})" for k in range(12))
+    wide = item.replace("\n    ", "\n\t\t        ").replace(" = ", "   =   ")
+    df = spark.createDataFrame([(1, "é  before\n\n" + wide.strip() + "\n\n  after"), (2, "  \n"), (3, item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+    got = {r["doc_id"]: tuple(r)[2:] for r in decontamination.leaks(df, bench).collect()}
+    size = len(wide.strip())
+    assert got == {1: (0, 12, 12 + size), 3: (0, 4, len(item))}
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):

@@ -132,12 +132,22 @@ class ItemIndex:
         return (edits, int(start[end]), a + end + len(pattern)) if edits <= k else None
 
 
+def _collapsed(data: np.ndarray, offsets: np.ndarray):
+    """(data, offsets, places): folded texts with runs of blanks as one, and where each byte was before."""
+    again = np.zeros(len(data), bool)
+    again[1:] = (data[1:] == 32) & (data[:-1] == 32)
+    again[offsets[:-1][offsets[:-1] < len(data)]] = False
+    places = np.flatnonzero(~again)
+    return data[places], np.searchsorted(places, offsets), places
+
+
 def _matches(held):
     def run(batches):
         index = held.value
         for batch in sliced(batches):
             data, offsets = common.buffers(batch.column(1))
-            data = _FOLD[data]
+            was = offsets
+            data, offsets, places = _collapsed(_FOLD[data], offsets)
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
             for doc, item, diagonal in index.regions(data, offsets):
                 if best.get((doc, item), (1,))[0] == 0:
@@ -145,6 +155,8 @@ def _matches(held):
                 got = index.aligned(data[offsets[doc] : offsets[doc + 1]], item, diagonal)
                 if got and got < best.get((doc, item), (1 << 60,)):
                     best[doc, item] = got
+            for (doc, item), (edits, start, end) in best.items():
+                best[doc, item] = edits, int(places[offsets[doc] + start] - was[doc]), int(places[offsets[doc] + end - 1] + 1 - was[doc])
             ids = batch.column(0).to_pylist()
             keys = list(best)
             yield pa.RecordBatch.from_arrays(
@@ -158,8 +170,8 @@ def _matches(held):
 def leaks(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.1, q: int = 8, id_col: str = "doc_id", text_col: str = "text", least: int = 24) -> DataFrame:
     """doc_id, item_id, n_edits, start_byte, end_byte: for every text and item the best match within the edit budget.
 
-    Texts and items are compared as UTF-8 bytes with A-Z in lower case and white space as blanks (runs of it in an item as
-    one). Null texts match nothing; null items and items under ``least`` bytes are left out, as chance would match them.
+    Texts and items are compared as UTF-8 bytes with A-Z in lower case and white space as blanks, runs of it as one;
+    start_byte and end_byte count in the text as it is. Null texts match nothing; null items and items under ``least`` bytes are left out, as chance would match them.
     Repeated ids are searched each for itself. Items go to the tasks in blocks whose text stays under a bound.
     """
     spark = docs.sparkSession
