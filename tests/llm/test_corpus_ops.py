@@ -264,24 +264,34 @@ def test_near_vectors_across_ranges(spark):
     assert len({r["component_id"] for r in got}) <= 2
 
 
-def test_lm_scoring(spark, docs, rows, empty):
+@pytest.mark.parametrize("block_bytes", [1 << 23, 3000])
+def test_lm_scoring(spark, docs, rows, empty, block_bytes):
     learn = {i: i % 5 != 0 for i, *_ in rows}
     seqs = {i: [*words(t or ""), None] for i, t, *_ in rows}
     c = Counter(w for i, s in seqs.items() if learn[i] for w in s)
-    pairs = Counter(p for i, s in seqs.items() if learn[i] for p in zip(["<s>", *s], s))
-    state = Counter()
-    for (a, _), n in pairs.items():
-        state[a] += n
+    grams, state = [Counter(), Counter()], [Counter(), Counter()]
+    for i, s in seqs.items():
+        for k in range(2) if learn[i] else ():
+            for g in zip(*(["<s>", *s][x:] for x in range(k + 2))):
+                grams[k][g] += 1
+                state[k][g[:-1]] += 1
     total, kinds = sum(c.values()), len(c)
     alone = lambda w: (c[w] + 0.1) / (total + 0.1 * (kinds + 1))
-    got = {r["doc_id"]: r for r in lm_scoring.scored(docs, F.col("doc_id") % 5 != 0).collect()}
+
+    def prob(h, w):
+        if not h:
+            return alone(w)
+        return (grams[len(h) - 1][(*h, w)] + 4 * prob(h[1:], w)) / (state[len(h) - 1][h] + 4)
+
+    got = {r["doc_id"]: r for r in lm_scoring.scored(docs, F.col("doc_id") % 5 != 0, block_bytes=block_bytes).collect()}
+    assert len(got) == len(rows)
     for i, s in seqs.items():
         r = got[i]
-        score = sum(math.log10(0.3 * pairs[a, w] / state[a] + 0.7 * alone(w)) if state[a] else math.log10(alone(w)) for a, w in zip(["<s>", *s], s))
+        score = sum(math.log10(prob(tuple(["<s>", *s[:k]][-2:]), w)) for k, w in enumerate(s))
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (not learn[i], len(s), sum(c[w] > 0 for w in s), total)
         assert math.isclose(r["base_score"], sum(math.log10(alone(w)) for w in s), rel_tol=1e-9) and math.isclose(r["score"], score, rel_tol=1e-9)
-    for a in list(state)[:20]:  # every state's probabilities sum to one
-        assert math.isclose(sum(0.3 * pairs[a, w] / state[a] + 0.7 * alone(w) for w in c) + 0.7 * alone("never seen"), 1, rel_tol=1e-9)
+    for h in [*state[0], *list(state[1])[:20]]:  # every state's probabilities sum to one
+        assert math.isclose(sum(prob(h, w) for w in c) + prob(h, "never seen"), 1, rel_tol=1e-9)
     assert lm_scoring.scored(empty, F.lit(True)).count() == 0
     odd = spark.createDataFrame([(None, None), (None, "a"), (1, "a"), (1, "a")], "doc_id long, text string")
     assert lm_scoring.scored(odd, F.lit(False)).count() == 4

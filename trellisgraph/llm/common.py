@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,15 +16,15 @@ from pyspark.sql.window import Window
 BROADCAST_BYTES = 32 << 20
 #: Text handled at once inside a task; one longer text is handled alone.
 SLICE_BYTES = 2 << 20
+#: Text of one block: a Python task holds one block, or the share of one hash range, whatever the corpus holds.
+BLOCK_BYTES = 8 << 20
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; that setting is made here only where it is unset."""
+    """A new folder below ``spark.checkpoint.dir``, which must be set: a folder of the driver's own would be lost on executors."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir() or base
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/trellis-{uuid.uuid4().hex}"
 
 
@@ -157,34 +157,94 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     return np.searchsorted(offsets, starts, "right") - 1, starts, ends, span_hashes(LOWER[data] if lower else data, starts, ends)
 
 
-def _pack(column: str):
+def _gather(size: int, column: str):
     def run(batches):
         options = pa.ipc.IpcWriteOptions(compression="zstd")
-        for batch in sliced(batches, 4 * SLICE_BYTES, column):
-            block = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
-            order = np.argsort(block, kind="stable")
-            cut = [0, *(np.flatnonzero(np.diff(block[order])) + 1).tolist(), len(order)]
-            rows = pa.Table.from_batches([batch]).select(batch.schema.names[1:])
-            blobs = []
-            for a, b in zip(cut, cut[1:]):
-                sink = pa.BufferOutputStream()
-                part = rows.take(pa.array(order[a:b]))
-                with pa.ipc.new_stream(sink, part.schema, options=options) as writer:
-                    writer.write_table(part)
-                blobs.append(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array(block[order][cut[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["block", "rows"])
+        partition, number = TaskContext.get().partitionId(), 0
+        held: list[pa.RecordBatch] = []
+        weight = 0
+
+        def flush():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=options) as writer:
+                for x in held:
+                    writer.write_batch(x)
+            return pa.RecordBatch.from_arrays([pa.array([partition << 32 | number], pa.int64()), pa.array([weight], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "bytes", "rows"])
+
+        for batch in sliced(batches, size // 8, column):
+            held.append(batch)
+            weight += pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+            if weight >= size:
+                yield flush()
+                held, weight, number = [], 0, number + 1
+        if held:
+            yield flush()
 
     return run
 
 
-def packed(df: DataFrame, column: str = "text") -> DataFrame:
-    """(block, rows): the rows of ``df`` by its first column ``block``, many in one compressed value.
+def blocked(df: DataFrame, size: int = BLOCK_BYTES, column: str = "text") -> tuple[DataFrame, int]:
+    """(table, total): a written table of block, bytes, rows, and the bytes of ``column`` in all.
 
-    Texts then cross the network in a third of their size. A value holds rows of one slice of one task.
+    A block holds the rows of one task until their texts reach ``size`` bytes, in one compressed value; a text is never
+    cut. Being written once, blocks are the same for all that read them.
     """
-    return df.mapInArrow(_pack(column), "block int, rows binary")
+    table = saved(df.mapInArrow(_gather(size, column), "block long, bytes long, rows binary"))
+    return table, int(table.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0])
 
 
-def unpacked(rows: pa.Table) -> list[pa.Table]:
-    """The tables in the values of ``packed`` rows."""
-    return [pa.ipc.open_stream(pa.py_buffer(x)).read_all() for x in rows.column("rows").to_pylist()]
+def unpacked(value: bytes) -> list[pa.RecordBatch]:
+    """The record batches in ``rows`` of a block."""
+    with pa.ipc.open_stream(pa.py_buffer(value)) as reader:
+        return list(reader)
+
+
+def hash_ranges(total: int, size: int = BLOCK_BYTES) -> int:
+    """Hash ranges for what ``total`` bytes of text send, so that one holds about what a block sends."""
+    return max(8, -(-total // size))
+
+
+def range_of(key: np.ndarray, ranges: int) -> np.ndarray:
+    """The hash range of each key; ranges ascend with the keys."""
+    return ((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def range_cuts(key: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each range starts and ends in sorted keys."""
+    return np.searchsorted(range_of(key, ranges), np.arange(ranges + 1))
+
+
+def coded(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers as one compressed value: bytes of equal weight together, empty ones left out."""
+    head, body = [len(columns)], []
+    for x in columns:
+        x = np.ascontiguousarray(x).astype("<u8")
+        width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+        head += [len(x), width]
+        body.append(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    raw = np.array(head, "<i8").tobytes() + b"".join(body)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def decoded(value: bytes) -> list[np.ndarray]:
+    """The columns of a ``coded`` value, as unsigned 64-bit numbers."""
+    raw = pa.decompress(value[8:], int.from_bytes(value[:8], "little"), codec="zstd", asbytes=True)
+    count = int(np.frombuffer(raw, "<i8", 1)[0])
+    head = np.frombuffer(raw, "<i8", 2 * count, 8).reshape(-1, 2).tolist()
+    at, out = 8 + 16 * count, []
+    for n, width in head:
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
+        out.append(x.reshape(-1).view("<u8").astype(np.uint64, copy=False) if n else np.zeros(0, np.uint64))
+        at += n * width
+    return out
+
+
+def steps(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys as the first and the differences that follow."""
+    return key[:1], np.diff(key)
+
+
+def walked(first: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """The keys that ``steps`` took apart."""
+    return np.cumsum(np.concatenate([first, rest]), dtype=np.uint64)

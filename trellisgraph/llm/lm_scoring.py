@@ -1,15 +1,17 @@
-"""Scoring with a weighted backoff automaton over word bigrams.
-
-The model interpolates (Jelinek-Mercer): p(w | h) = weight * c(hw) / c(h) + (1 - weight) * p(w), p(w) = (c(w) + a) /
-(N + a * (V + 1)). As an automaton every history h seen in training is a state; a seen bigram is an arc with its
-finished log probability; any other word takes the failure arc, log10(1 - weight), to the state without history. A text
-is read once from left to right; the state after a word is that word, or the empty one if it was never a history, so
-the arcs of a whole slice are taken at once from sorted tables.
-
-Counts cover all training texts and never meet in one place. Texts are dealt to blocks by a hash of their id, keys to
-hash ranges. Every slice counts its keys before the shuffle; a range adds up a key's counts and answers each block that
-has the key. Both sides sort a block's keys alike, so an answer is only the counts in that order. Keys that a slice has
-in many blocks are sent once, and answered to all blocks with their key.
+"""Scoring with a weighted backoff automaton over word trigrams.
+
+Smoothing is by a prior of ``prior`` tokens: p(w | h) = (c(hw) + prior * p(w | h')) / (c(h) + prior), h' being h without its
+first word, and p(w) = (c(w) + add) / (N + add * (V + 1)). As an automaton: every history of one or two words seen in
+training is a state; a seen n-gram is an arc out of its history with its finished log probability, to the longest history
+it ends in; a state's failure arc, to the state of h', weighs log10(prior / (c(h) + prior)) and is taken where no arc fits.
+The state without history has an arc for every word. Texts are read once from left to right, the state being carried
+from word to word. As two words settle the state, long texts are read in stretches side by side, each led in by the
+words before it.
+
+Counts cover all training texts and never meet in one place. Texts are written as blocks of bounded size. A block sends
+each of its n-grams once, with its count, to a hash range: trigrams travel with the bigram they end in, so a key is
+sent once. A range adds up and answers every block with the totals in the order asked. Hot n-grams come once a block.
+From these totals a block builds the states and arcs that its texts can reach, and reads them.
 """
 
 from __future__ import annotations
@@ -21,219 +23,217 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from trellisgraph.llm import common
-from trellisgraph.llm.common import lean, mixed, packed, parts, sliced, unpacked
+from trellisgraph.llm.common import BLOCK_BYTES, blocked, coded, decoded, hash_ranges, lean, mixed, range_cuts, steps, unpacked, walked
 
 _START, _END = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
-_ONE, _PAIR = np.uint64(1), np.uint64(0xA0761D6478BD642F)
-#: Tokens gathered before keys are counted and sent.
-CHUNK = 2 << 20
+_PAIR = np.uint64(0xA0761D6478BD642F)
+#: Bits that tell apart the words before one bigram.
+_BEFORE = np.uint64(40)
+#: Words that one stretch of a text reads.
+STRETCH = 256
 
 
-def _tokens(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, history and word of every token; each text ends with the end token and starts after a start mark."""
-    data, offsets = common.buffers(column)
-    doc, _, _, h = common.words(data, offsets)
-    n = len(offsets) - 1
-    count = np.bincount(doc, minlength=n)
-    first = np.concatenate([[0], np.cumsum(count + 1)])
-    word = np.empty(first[-1], np.uint64)
-    place = np.arange(len(h)) + doc
-    word[place] = h
-    word[first[1:] - 1] = _END
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    before[first[:-1]] = _START
-    return np.repeat(np.arange(n), count + 1), before, word
-
-
-def _single(h: np.ndarray) -> np.ndarray:
-    return mixed(h + np.uint64(0x2545F4914F6CDD1D)) & ~_ONE
-
-
-def _double(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mixed(h * _PAIR + w) | _ONE
-
-
-def _keys(doc, before, word, n):
-    """Keys of all tokens, their bigrams, and one start mark for each text; and the text of each."""
-    key = np.concatenate([_single(word), _double(before, word), np.repeat(_single(np.array([_START])), n)])
-    return key, np.concatenate([doc, doc, np.arange(n)])
-
-
-def _counted(key, block, weight):
-    """Distinct (block, key), sorted by both, with summed weights."""
+def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the number of each key among them."""
     order = np.argsort(key)
-    order = order[np.argsort(block[order], kind="stable")]
-    key, block, weight = key[order], block[order], weight[order]
+    ordered = key[order]
     head = np.ones(len(key), bool)
-    head[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
-    at = np.flatnonzero(head)
-    return key[at], block[at], np.add.reduceat(weight, at) if len(at) else weight
-
+    head[1:] = ordered[1:] != ordered[:-1]
+    number = np.empty(len(key), np.int64)
+    number[order] = np.cumsum(head) - 1
+    return ordered[head], number
 
-def _range_of(key, ranges):
-    return ((key >> np.uint64(33)) * np.uint64(ranges) >> np.uint64(31)).astype(np.int64)
-
-
-def _rows(key, block, count, ranges):
-    home = _range_of(key, ranges)
-    order = np.argsort(home, kind="stable")
-    home = home[order]
-    at = np.searchsorted(home, np.arange(ranges + 1))
-    key, block, count = key[order], block[order].astype(np.int32), count[order].astype(np.int64)
-    have = [(r, a, b) for r, (a, b) in enumerate(zip(at, at[1:])) if b > a]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r for r, _, _ in have], pa.int32()), *(pa.array([x[a:b].tobytes() for _, a, b in have], pa.binary()) for x in (key, block, count))], ["range", "keys", "blocks", "counts"]
-    )
 
+class Grams:
+    """The tokens of some texts, each with the number of its word, of its bigram and of its trigram among all of them.
 
-def _send(ranges: int, blocks: int, singles: bool):
-    """Counted keys of the texts of a task. singles: only words of training texts, for N and V."""
+    A text's first token has the bigram after a start mark and no trigram (-1). ``first`` says where texts start.
+    """
 
-    def flush(held):
-        key, block, weight = (np.concatenate(x) for x in zip(*held))
-        key, block, count = _counted(key, block, weight)
-        if not singles:
-            distinct, of, n = np.unique(key, return_inverse=True, return_counts=True)
-            hot = n[of] >= max(4, min(blocks, len(np.unique(block))) // 6)
-            total = np.bincount(of[hot], weights=count[hot], minlength=len(distinct)).astype(np.int64)
-            often = np.flatnonzero(np.bincount(of[hot], minlength=len(distinct)))
-            key, block, count = np.concatenate([key[~hot], distinct[often]]), np.concatenate([block[~hot], np.full(len(often), -1, block.dtype)]), np.concatenate([count[~hot], total[often]])
-        return _rows(key, block, count, ranges)
+    def __init__(self, batches: list[pa.RecordBatch], column: int):
+        hashes, counts = [], []
+        for batch in batches:
+            data, offsets = common.buffers(batch.column(column))
+            doc, _, _, h = common.words(data, offsets)
+            n = np.bincount(doc, minlength=batch.num_rows) + 1
+            end = np.cumsum(n)
+            word = np.empty(int(end[-1]) if len(end) else 0, np.uint64)
+            word[np.arange(len(h)) + doc] = h
+            word[end - 1] = _END
+            hashes.append(word)
+            counts.append(n)
+        word = np.concatenate([np.zeros(0, np.uint64), *hashes])
+        self.size = np.concatenate([np.zeros(0, np.int64), *counts])
+        self.first = np.cumsum(self.size) - self.size
+        before = np.empty_like(word)
+        before[1:] = word[:-1]
+        before[self.first] = _START
+        self.words, self.word = _numbered(mixed(word + np.uint64(0x2545F4914F6CDD1D)))
+        self.pairs, self.pair = _numbered(mixed(before * _PAIR + word))
+        longer = np.ones(len(word), bool)
+        longer[self.first] = False
+        at = np.flatnonzero(longer)
+        code = self.pair[at].astype(np.uint64) << _BEFORE | mixed(before[at - 1]) >> (np.uint64(64) - _BEFORE)
+        codes, number = _numbered(code)
+        self.triple = np.full(len(word), -1, np.int64)
+        self.triple[at] = number
+        self.pair_of_triple = (codes >> _BEFORE).astype(np.int64)
+        self.before = codes & ((np.uint64(1) << _BEFORE) - np.uint64(1))
+
+    def counts(self, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How often each word, pair and triple is in texts to learn from."""
+        on = np.repeat(learn, self.size)
+        triple = self.triple[on]
+        return np.bincount(self.word[on], minlength=len(self.words)), np.bincount(self.pair[on], minlength=len(self.pairs)), np.bincount(triple[triple >= 0], minlength=len(self.before))
+
+    def cuts(self, ranges: int):
+        """(words, pairs, triples) boundaries of every hash range."""
+        pairs = range_cuts(self.pairs, ranges)
+        return range_cuts(self.words, ranges), pairs, np.searchsorted(self.pair_of_triple, pairs)
+
+
+def _learn(batches) -> np.ndarray:
+    return np.concatenate([np.zeros(0, bool), *(np.asarray(b.column(1).to_numpy(zero_copy_only=False), bool) for b in batches)])
+
+
+def _ask(ranges: int):
+    """Each block's n-grams and their counts, one row a hash range, empty ones too."""
 
     def run(batches):
-        held, n = [], 0
-        for batch in sliced(batches, column="text"):
-            learn = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
-            block = np.asarray(batch.column(2).to_numpy(zero_copy_only=False), np.int32)
-            doc, before, word = _tokens(batch.column(0))
-            if singles:
-                key, of = _single(word), doc
-                key, of = key[learn[of]], of[learn[of]]
-                block = np.zeros_like(block)
-            else:
-                key, of = _keys(doc, before, word, batch.num_rows)
-            held.append((key, block[of], learn[of].astype(np.int64)))
-            n += len(word)
-            if n >= CHUNK:
-                yield flush(held)
-                held, n = [], 0
-        if held:
-            yield flush(held)
+        for batch in batches:
+            for block, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                texts = unpacked(value.as_py())
+                grams = Grams(texts, 2)
+                one, two, three = grams.counts(_learn(texts))
+                kinds = np.bincount(grams.pair_of_triple, minlength=len(grams.pairs))
+                u, b, t = grams.cuts(ranges)
+                asked = [
+                    coded(*steps(grams.words[u[r] : u[r + 1]]), one[u[r] : u[r + 1]], *steps(grams.pairs[b[r] : b[r + 1]]), two[b[r] : b[r + 1]], kinds[b[r] : b[r + 1]], grams.before[t[r] : t[r + 1]], three[t[r] : t[r + 1]])
+                    for r in range(ranges)
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(ranges, dtype=np.int32)), pa.array([block] * ranges, pa.int64()), pa.array(asked, pa.binary())], ["range", "block", "asked"])
 
     return run
 
 
-def _joined(table: pa.Table):
-    return (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("blocks", np.int32), ("counts", np.int64)))
-
-
-def _sizes(table: pa.Table) -> pa.Table:
-    key, _, count = _joined(table)
-    return pa.table({"tokens": pa.array([int(count.sum())]), "kinds": pa.array([len(np.unique(key[count > 0]))])})
-
-
-def _answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Of one range: for each block the totals of its keys in their order; as block -1 the keys sent for all blocks."""
-    keys, block, count = _joined(table)
-    order = np.argsort(keys, kind="stable")
-    keys, block, count = keys[order], block[order], count[order]
-    head = np.ones(len(keys), bool)
-    head[1:] = keys[1:] != keys[:-1]
-    of = np.cumsum(head) - 1
-    total = np.add.reduceat(count, np.flatnonzero(head)) if len(keys) else count
-    hot = np.zeros(len(total), bool)
-    hot[of[block < 0]] = True
-    plain = ~hot[of]
-    at, block = of[plain], block[plain]
-    order = np.argsort(block, kind="stable")
-    at, block = at[order], block[order]
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1]) | (block[1:] != block[:-1])
-    at, block = at[new], block[new]
-    names, first = np.unique(block, return_index=True)
-    rows = [(int(b), None, _narrow(total[at[i:j]])) for b, i, j in zip(names, first, [*first[1:], len(at)])]
-    if hot.any():
-        rows.append((-1, keys[head][hot].tobytes(), _narrow(total[hot])))
-    own = key[0].as_py()
-    return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "range": pa.array([own] * len(rows), pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
-
-
-def _narrow(x: np.ndarray) -> bytes:
-    """Counts in the narrowest unsigned type, its width in the first byte."""
-    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(x) or int(x.max()) <= np.iinfo(t).max)
-    return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
+def _totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Sums by key; for each list its totals in its order; and the number of each key of all lists."""
+    key, number = _numbered(np.concatenate(keys))
+    total = np.bincount(number, weights=np.concatenate(counts).astype(np.float64), minlength=len(key)).astype(np.int64)
+    return total, np.split(total[number], np.cumsum([len(k) for k in keys])[:-1]), number
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """The totals of one hash range for each block that asked, with the tokens and different words that the range has."""
+    own = table.column("range")[0].as_py()
+    asked = [decoded(x) for x in table.column("asked").to_pylist()]
+    words, one, _ = _totals([walked(a[0], a[1]) for a in asked], [a[2] for a in asked])
+    _, two, number = _totals([walked(a[3], a[4]) for a in asked], [a[5] for a in asked])
+    pair = np.repeat(number.astype(np.uint64), np.concatenate([a[6] for a in asked]).astype(np.int64))
+    cut = np.cumsum([len(a[7]) for a in asked])[:-1]
+    _, three, _ = _totals([k << _BEFORE | a[7] for k, a in zip(np.split(pair, cut), asked)], [a[8] for a in asked])
+    n = len(asked)
+    return pa.table(
+        {
+            "block": table.column("block"),
+            "range": pa.array([own] * n, pa.int32()),
+            "answer": pa.array([coded(*x) for x in zip(one, two, three)], pa.binary()),
+            "tokens": pa.array([int(words.sum())] * n, pa.int64()),
+            "kinds": pa.array([int((words > 0).sum())] * n, pa.int64()),
+        }
+    )
 
 
-def _wide(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, f"u{x[0]}", offset=1).astype(np.int64)
+class Automaton:
+    """States, arcs and failure arcs that the texts of ``grams`` can reach.
 
+    State 0 has no history, then come the one-word histories (the last of them is the start of a text) and the two-word
+    ones, in the order of ``grams``. An arc belongs to a word, pair or triple; one not seen in training has -1 as its
+    source, which no text is ever in.
+    """
 
-class Automaton:
-    """The states and arcs that one block's texts can reach."""
-
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]], n: int, v: int, weight: float, add: float):
-        """tables: sorted keys with their counts; a key is in one of them at most."""
-        self.tables = [t for t in tables if len(t[0])]
-        self.n, self.v, self.weight, self.add = n, v, weight, add
-
-    def count(self, key: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(key))
-        for keys, counts in self.tables:
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            hit = keys[at] == key
-            out[hit] = counts[at[hit]]
+    def __init__(self, grams: Grams, one: np.ndarray, two: np.ndarray, three: np.ndarray, tokens: int, kinds: int, prior: float, add: float):
+        singles, pairs = len(one), len(two)
+        end = np.searchsorted(grams.words, mixed(np.array([_END + np.uint64(0x2545F4914F6CDD1D)], np.uint64)))[0]
+        texts = one[end] if end < singles else 0
+        # the word each pair ends in, the history it starts with, and the pair each triple starts with
+        word_of, start_of = np.zeros(pairs, np.int64), np.zeros(pairs, np.int64)
+        word_of[grams.pair] = grams.word
+        start_of[grams.pair[1:]] = grams.word[:-1]
+        start_of[grams.pair[grams.first]] = singles
+        start_pair = np.zeros(len(three), np.int64)
+        at = np.flatnonzero(grams.triple >= 0)
+        start_pair[grams.triple[at]] = grams.pair[at - 1]
+        history = np.append(one, texts)
+        with np.errstate(divide="ignore"):
+            lower = np.log10(prior) - np.log10(np.concatenate([history, two]) + prior)
+        self.weight = np.concatenate([[0.0], lower])
+        self.fail = np.concatenate([np.zeros(1 + singles + 1, np.int64), 1 + word_of])
+        p1 = (one + add) / (tokens + add * (kinds + 1))
+        p2 = (two + prior * p1[word_of]) / (history[start_of] + prior)
+        p3 = (three + prior * p2[grams.pair_of_triple]) / (two[start_pair] + prior)
+        self.log1, self.log2, self.log3 = np.log10(p1), np.log10(p2), np.log10(p3)
+        self.from2 = np.where(two > 0, 1 + start_of, -1)
+        self.from3 = np.where(three > 0, 2 + singles + start_pair, -1)
+        ends = np.arange(singles) == end
+        self.to1 = np.where((one > 0) & ~ends, 1 + np.arange(singles), 0)
+        self.to2 = 2 + singles + np.arange(pairs)
+        self.to3 = self.to2[grams.pair_of_triple]
+        self.start = 1 + singles if texts else 0
+        self.long = 2 + singles
+
+    def step(self, state, word, pair, triple):
+        """(log10 probability, next state) of reading one more word in each of many texts."""
+        arc3 = (triple >= 0) & (self.from3[triple] == state) if len(self.from3) else np.zeros(len(state), bool)
+        falls = (state >= self.long) & ~arc3
+        fell = np.where(falls, self.weight[state], 0.0)
+        state = np.where(falls, self.fail[state], state)
+        arc2 = ~arc3 & (self.from2[pair] == state)
+        fell += np.where(arc3 | arc2, 0.0, self.weight[state])
+        log = np.where(arc2, self.log2[pair], self.log1[word])
+        to = np.where(arc2, self.to2[pair], self.to1[word])
+        if len(self.from3):
+            log, to = np.where(arc3, self.log3[triple], log), np.where(arc3, self.to3[triple], to)
+        return log + fell, to
+
+    def read(self, grams: Grams) -> np.ndarray:
+        """The log10 probability of every token; stretches of texts are read side by side, longest first."""
+        out = np.zeros(len(grams.word))
+        pieces = -(-grams.size // STRETCH)
+        text = np.repeat(np.arange(len(pieces)), pieces)
+        place = (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * STRETCH
+        stop = grams.first[text] + np.minimum(place + STRETCH, grams.size[text])
+        begin = grams.first[text] + place
+        lead = np.where(place > 0, begin - 2, begin)  # two words settle the state
+        order = np.argsort(-(stop - lead), kind="stable")
+        begin, stop, lead = begin[order], stop[order], lead[order]
+        state = np.where(lead == begin, self.start, 0)
+        many = np.searchsorted(-(stop - lead), -np.arange(STRETCH + 2), "left")
+        for t, n in enumerate(many.tolist()):
+            if not n:
+                break
+            at = lead[:n] + t
+            log, state = self.step(state[:n], grams.word[at], grams.pair[at], grams.triple[at])
+            out[at] = log  # those of a lead-in are written again by the stretch before, which reads them last
         return out
 
-    def steps(self, before: np.ndarray, word: np.ndarray):
-        """(count of the word, log10 base probability, log10 probability of the arc taken) of every token."""
-        c = self.count(_single(word))
-        alone = (c + self.add) / (self.n + self.add * (self.v + 1))
-        state = self.count(_single(before))
-        pair = self.count(_double(before, word))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            arc = np.where(pair > 0, np.log10(self.weight * pair / state + (1 - self.weight) * alone), np.log10(1 - self.weight) + np.log10(alone))
-        return c, np.log10(alone), np.where(state > 0, arc, np.log10(alone))
-
 
-def _score(n: int, v: int, weight: float, add: float, kind: pa.DataType):
+def _score(prior: float, add: float, kind: pa.DataType):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        pieces = [x for t in unpacked(docs) for x in sliced(t.combine_chunks().to_batches(), column="text")]
-        own, lot = np.zeros(0, np.uint64), []
-        for i, batch in enumerate(pieces):
-            lot.append(np.unique(_keys(*_tokens(batch.column(2)), batch.num_rows)[0]))
-            if len(lot) == 8 or i == len(pieces) - 1:
-                own, lot = np.unique(np.concatenate([own, *lot])), []
-        hot, hot_counts, plain = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
-        for r, k, c in zip(answers.column("range").to_pylist(), answers.column("keys").to_pylist(), answers.column("counts").to_pylist()):
-            if k is None:
-                plain.append((r, _wide(c)))
-            elif len(own):
-                k, c = np.frombuffer(k, np.uint64), _wide(c)
-                hot.append(k)
-                hot_counts.append(c)
-        hot, hot_counts = np.concatenate(hot), np.concatenate(hot_counts)
-        order = np.argsort(hot)
-        hot, hot_counts = hot[order], hot_counts[order]
-        at = np.searchsorted(own, hot)
-        at = at[at < len(own)]
-        known = np.zeros(len(own), bool)
-        known[at] = own[at] == hot[: len(at)]
-        rest = own[~known]
-        counts = np.concatenate([np.zeros(0, np.int64), *(c for _, c in sorted(plain, key=lambda x: x[0]))])
-        if len(rest) != len(counts):
-            raise ValueError("the texts of a block changed between two reads of the input")
-        del own, known, plain
-        model = Automaton([(rest, counts), (hot, hot_counts)], n, v, weight, add)
-        out = [pa.table({"doc_id": pa.array([], kind), "held_out": pa.array([], pa.bool_())} | {c: pa.array([], t) for c, t in _NUMBERS.items()})]
-        for batch in pieces:
-            doc, before, word = _tokens(batch.column(2))
-            c, base, score = model.steps(before, word)
-            sums = [np.bincount(doc, weights=x, minlength=batch.num_rows) for x in (np.ones(len(doc)), c > 0, base, score)]
-            held_out = ~np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
-            values = [sums[0].astype(np.int64), sums[1].astype(np.int64), np.full(batch.num_rows, n, np.int64), sums[2], sums[3]]
-            out.append(pa.table({"doc_id": batch.column(0), "held_out": pa.array(held_out)} | {c: pa.array(x) for c, x in zip(_NUMBERS, values)}))
-        return pa.concat_tables(out)
+        texts = [x for value in docs.column("rows").to_pylist() for x in unpacked(value)]
+        grams = Grams(texts, 2)
+        order = np.argsort(answers.column("range").to_numpy())
+        parts = [decoded(answers.column("answer")[int(i)].as_py()) for i in order]
+        one, two, three = (np.concatenate([np.zeros(0, np.uint64), *(p[k] for p in parts)]).astype(np.int64) for k in range(3))
+        tokens, kinds = (int(answers.column(c).to_numpy().sum()) for c in ("tokens", "kinds"))
+        if (len(one), len(two), len(three)) != (len(grams.words), len(grams.pairs), len(grams.before)):
+            raise ValueError("a block got other answers than it asked for")
+        model = Automaton(grams, one, two, three, tokens, kinds, prior, add)
+        doc = np.repeat(np.arange(len(grams.size)), grams.size)
+        total = lambda x: np.bincount(doc, weights=x, minlength=len(grams.size))
+        values = [grams.size, total(one[grams.word] > 0).astype(np.int64), np.full(len(grams.size), tokens, np.int64), total(model.log1[grams.word]), total(model.read(grams))]
+        ids = pa.concat_arrays([b.column(0) for b in texts]) if texts else pa.array([], kind)
+        return pa.table({"doc_id": ids.cast(kind), "held_out": pa.array(~_learn(texts))} | {c: pa.array(x, t) for (c, t), x in zip(_NUMBERS.items(), values)})
 
     return run
 
@@ -241,26 +241,21 @@ def _score(n: int, v: int, weight: float, add: float, kind: pa.DataType):
 _NUMBERS = {"n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
 
 
-def scored(docs: DataFrame, learn: Column, weight: float = 0.3, add: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, learn: Column, prior: float = 4.0, add: float = 0.1, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; it learns where ``learn``.
 
     A null text is empty and has only its end token; a null id is kept. Rows that repeat an id are scored and counted
     each. Without training rows N and V are 0 and every token has the same probability. An empty table gives no rows.
-    Sums are taken in token order within a text.
+    Other columns are not read. ``block_bytes`` bounds the text that one task holds; one longer text is held alone.
     """
     spark = docs.sparkSession
     lean(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    ranges, blocks = max(16, 2 * parts(spark)), max(8, 2 * parts(spark) // 3)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int").alias("block"))
-    layout = "range int, keys binary, blocks binary, counts binary"
-    words = rows.select("text", "learn", "block").mapInArrow(_send(ranges, blocks, True), layout)
-    sizes = words.groupBy("range").applyInArrow(_sizes, "tokens long, kinds long").agg(F.sum("tokens"), F.sum("kinds")).first()
-    n, v = sizes[0] or 0, sizes[1] or 0
-    entries = rows.select("text", "learn", "block").mapInArrow(_send(ranges, blocks, False), layout)
-    answers = entries.groupBy("range").applyInArrow(_answer, "block int, range int, keys binary, counts binary")
-    answers = answers.withColumn("block", F.explode(F.when(F.col("block") < 0, F.sequence(F.lit(0), F.lit(blocks - 1))).otherwise(F.array("block"))))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts, total = blocked(rows, block_bytes)
+    ranges = hash_ranges(total, block_bytes)
+    asked = texts.select("block", "rows").mapInArrow(_ask(ranges), "range int, block long, asked binary")
+    answers = asked.groupBy("range").applyInArrow(_answer, "block long, range int, answer binary, tokens long, kinds long")
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    texts = packed(rows.select("block", "doc_id", "learn", "text"))
     arrow = to_arrow_type(docs.schema[id_col].dataType)
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(n, v, weight, add, arrow), schema)
+    return texts.select("block", "rows").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(prior, add, arrow), schema)
