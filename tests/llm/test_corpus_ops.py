@@ -283,7 +283,7 @@ def test_lm_scoring(spark, docs, rows, empty, block_bytes):
             return alone(w)
         return (grams[len(h) - 1][(*h, w)] + 4 * prob(h[1:], w)) / (state[len(h) - 1][h] + 4)
 
-    got = {r["doc_id"]: r for r in lm_scoring.scored(docs, F.col("doc_id") % 5 != 0, block_bytes=block_bytes).collect()}
+    got = {r["doc_id"]: r for r in lm_scoring.scored(docs, F.col("doc_id") % 5 != 0, prior=4.0, block_bytes=block_bytes).collect()}
     assert len(got) == len(rows)
     for i, s in seqs.items():
         r = got[i]

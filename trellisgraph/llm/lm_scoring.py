@@ -241,7 +241,7 @@ def _score(prior: float, add: float, kind: pa.DataType):
 _NUMBERS = {"n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
 
 
-def scored(docs: DataFrame, learn: Column, prior: float = 4.0, add: float = 0.1, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, learn: Column, prior: float = 64.0, add: float = 0.1, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; it learns where ``learn``.
 
     A null text is empty and has only its end token; a null id is kept. Rows that repeat an id are scored and counted
