@@ -349,20 +349,10 @@ def test_suffix_array(seed):
 
 
 def test_suffix_dedup(spark, docs, rows, empty):
-    raw = {i: (t or "").encode() for i, t, *_ in rows}
-    first, want = {}, {}
-    for i in sorted(raw):
-        for p in range(len(raw[i]) - 49):
-            first.setdefault(raw[i][p : p + 50], i)
-    for i, b in raw.items():
-        gone = bytearray(len(b))
-        for p in range(len(b) - 49):
-            if first[b[p : p + 50]] < i:
-                gone[p : p + 50] = b"\1" * 50
-        rest = bytes(x for x, y in zip(b, gone) if not y)
-        want[i] = (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(rest).hexdigest())
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.repeats_removed(docs).collect()}
-    assert got == want and sum(w[1] for w in want.values()) > 3000
+    want = kept_bytes({i: (t or "").encode() for i, t, *_ in rows})
+    for options in ({}, {"block_bytes": 4000}, {"crowd": 2, "block_bytes": 4000}):
+        got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.repeats_removed(docs, **options).collect()}
+        assert got == want and sum(w[1] for w in want.values()) > 3000
     assert suffix_dedup.repeats_removed(empty).count() == 0
 
 
@@ -398,6 +388,16 @@ def test_suffix_dedup_passage_repeated_in_a_text(spark, seed):
     assert got == kept_bytes({i: t.encode() for i, t in enumerate(texts)})
 
 
+def test_suffix_dedup_odd_ids(spark):
+    r = random.Random(3)
+    prose = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    a, b, shared = prose(200), prose(200), prose(180)
+    rows = [(1, a), (5, a), (5, b), (5, b), (-3, prose(30) + shared), (-2, shared + prose(40)), (None, a), (9, None), (9, "é" * 40), (10, "é" * 40 + "x"), (5, shared)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.repeats_removed(df, block_bytes=300).collect())
+    assert got == sorted([(1, 200, 0), (5, 200, 200), (5, 200, 0), (5, 200, 0), (-3, 210, 0), (-2, 220, 180), (9, 0, 0), (9, 80, 0), (10, 81, 80), (5, 180, 180)])
+
+
 def found(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.A) if len(m[1]) >= 6]
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if m.end() - m.start() >= 20]

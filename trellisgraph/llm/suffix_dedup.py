@@ -6,15 +6,17 @@ is emitted in one sweep; no ranks are renamed recursively.
 
 To have equal strings meet, windows of ``length`` bytes are dealt by their minimizer: the least hash of the ``seed``-byte
 strings in a window. Equal windows have equal minimizers, and consecutive windows with one minimizer travel as one
-segment. Steps:
+segment. Texts are written as blocks of bounded size, and each step asks hash ranges, which answer every block:
 
 1. Equal texts become one class; only the first is looked at, the others go as a whole.
-2. Minimizers are sent, once a slice, to hash ranges; those that only one document has cannot hold a repeat.
-3. Segments with a shared minimizer meet by it. Of equal ones only the first document's is looked at further, and what
-   is found holds wherever that document has the segment. Where a minimizer has different segments, parts whose strings
-   of half the length no other segment has are cut away, the suffix array of the rest is built, and each run of
-   suffixes with ``length`` equal bytes tells its first document.
-4. Removed intervals go back to their documents.
+2. A block sends its distinct minimizers with the number of its texts that have each; a range answers whether a
+   minimizer is in one text only (it cannot hold a repeat), in several, or in more than ``crowd``.
+3. A block sends each different segment with a shared minimizer once, with its least document. Of a crowded minimizer
+   it sends single windows instead, which spread over all ranges by their own hash. Where a range has different segments
+   of a minimizer, parts whose strings of half the length no other segment has are cut away, the suffix array of the rest
+   is built, and each run of suffixes with ``length`` equal bytes tells its first document. Every block learns the
+   least document of each window it sent.
+4. A block removes from its texts what a smaller document has, in every place where they hold it.
 """
 
 from __future__ import annotations
@@ -27,40 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellisgraph.llm import common
-from trellisgraph.llm.common import SLICE_BYTES, lean, mixed, parts, saved, sliced
+from trellisgraph.llm.common import BLOCK_BYTES, blocked, coded, decoded, hash_ranges, lean, mixed, range_cuts, saved, steps, unpacked, walked
 
-
-def _pack(column: str):
-    def run(batches):
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
-        for batch in sliced(batches, 4 * SLICE_BYTES, column):
-            block = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
-            order = np.argsort(block, kind="stable")
-            cut = [0, *(np.flatnonzero(np.diff(block[order])) + 1).tolist(), len(order)]
-            rows = pa.Table.from_batches([batch]).select(batch.schema.names[1:])
-            blobs = []
-            for a, b in zip(cut, cut[1:]):
-                sink = pa.BufferOutputStream()
-                part = rows.take(pa.array(order[a:b]))
-                with pa.ipc.new_stream(sink, part.schema, options=options) as writer:
-                    writer.write_table(part)
-                blobs.append(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array(block[order][cut[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["block", "rows"])
-
-    return run
-
-
-def packed(df: DataFrame, column: str = "text") -> DataFrame:
-    """(block, rows): the rows of ``df`` by its first column ``block``, many in one compressed value.
-
-    Texts then cross the network in a third of their size. A value holds rows of one slice of one task.
-    """
-    return df.mapInArrow(_pack(column), "block int, rows binary")
-
-
-def unpacked(rows: pa.Table) -> list[pa.Table]:
-    """The tables in the values of ``packed`` rows."""
-    return [pa.ipc.open_stream(pa.py_buffer(x)).read_all() for x in rows.column("rows").to_pylist()]
+_WINDOW = np.uint64(0x452821E638D01377)
 
 
 def suffix_array(text) -> list[int]:
@@ -202,180 +173,190 @@ def _minimizers(data: np.ndarray, offsets: np.ndarray, length: int, seed: int):
     return doc[first], first - offsets[doc[first]], last - offsets[doc[first]], least[first]
 
 
-def _range_of(key, ranges):
-    return ((key >> np.uint64(33)) * np.uint64(ranges) >> np.uint64(31)).astype(np.int64)
+def _signed(x: np.ndarray) -> np.ndarray:
+    """Whole numbers of either sign as unsigned ones, small where they are near zero."""
+    return (x << 1 ^ x >> 63).view(np.uint64)
 
 
-def _cut(home: np.ndarray):
-    """(value, start, end) of every run of a sorted array."""
-    if not len(home):
-        return []
-    at = np.concatenate([[0], np.flatnonzero(np.diff(home)) + 1, [len(home)]])
-    return [(int(home[a]), int(a), int(b)) for a, b in zip(at, at[1:])]
+def _unsigned(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(1)).view(np.int64) ^ -(x & np.uint64(1)).view(np.int64)
 
 
-def _packed(rows, names):
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, len(names)))], names)
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each item, ``count`` numbers long, one after another."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
 
-def _send(length: int, seed: int, ranges: int, blocks: int):
-    """Minimizers of a slice: one row a hash range; what the slice alone shows to be shared goes below zero."""
+class Texts:
+    """The texts of a block and their segments: text number, first window, end window, minimizer."""
 
-    def run(batches):
-        for batch in sliced(batches, common.SLICE_BYTES // 2, "text"):
-            block = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
-            ids = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), np.int64)
-            doc, _, _, key = _minimizers(*common.buffers(batch.column(2)), length, seed)
-            if not len(key):
-                continue
-            order = np.argsort(key, kind="stable")
-            key, doc = key[order], doc[order]
-            head = np.ones(len(key), bool)
-            head[1:] = key[1:] != key[:-1]
-            first = np.flatnonzero(head)
-            run_of = np.cumsum(head) - 1
-            several = np.maximum.reduceat(doc, first) != np.minimum.reduceat(doc, first)
-            shared = several[run_of]
-            k, d = key[shared], doc[shared]
-            if len(k):
-                fresh = np.ones(len(k), bool)
-                fresh[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
-                k, d = k[fresh], d[fresh]
-                o = np.argsort(block[d], kind="stable")
-                k, d = k[o], d[o]
-                yield _packed([(-1 - b, k[i:j].tobytes(), ids[d[i:j]].tobytes()) for b, i, j in _cut(block[d])], ["range", "keys", "ids"])
-            k, d = key[first], np.where(several, -1, ids[doc[first]])
-            b = np.where(several, -1, block[doc[first]])
-            rows = []
-            for r, i, j in _cut(_range_of(k, ranges)):
-                o = np.argsort(d[i:j], kind="stable")
-                rows.append((r, k[i:j][o].tobytes(), d[i:j][o].tobytes()))
-            yield _packed(rows, ["range", "keys", "ids"])
-
-    return run
+    def __init__(self, value: bytes, length: int, seed: int, piece: int = 1 << 20):
+        batches = unpacked(value)
+        both = [common.buffers(b.column(1)) for b in batches]
+        self.ids = np.concatenate([np.zeros(0, np.int64), *(np.asarray(b.column(0).to_numpy(), np.int64) for b in batches)])
+        self.data = np.concatenate([np.zeros(0, np.uint8), *(d for d, _ in both)])
+        self.offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.concatenate([np.zeros(0, np.int64), *(np.diff(o) for _, o in both)]))])
+        cut = [0, *(np.flatnonzero(np.diff(self.offsets[1:] // piece)) + 1).tolist(), len(self.ids)] if len(self.ids) else [0]
+        found = []
+        for i, j in zip(cut, cut[1:]):
+            o = self.offsets[i : j + 1]
+            doc, first, last, key = _minimizers(self.data[o[0] : o[-1]], o - o[0], length, seed)
+            found.append((doc + i, first, last, key))
+        self.doc, self.first, self.last, self.key = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int64, np.int64, np.int64, np.uint64), zip(*found) if found else ((),) * 4))
 
 
-def _shared(blocks: int):
-    """Of one hash range: for each block of documents the (minimizer, document) pairs whose minimizer is shared."""
+def _ask(length: int, seed: int, ranges: int):
+    """Distinct minimizers of each block with the number of its texts that have them, one row a hash range."""
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        k = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
-        d = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
-        own = key[0].as_py()
-        if own < 0:
-            return pa.table({"block": pa.array([-1 - own], pa.int32()), "keys": pa.array([k.tobytes()], pa.binary()), "ids": pa.array([d.tobytes()], pa.binary())})
-        order = np.lexsort((d, k))
-        k, d = k[order], d[order]
-        head = np.ones(len(k), bool)
-        head[1:] = k[1:] != k[:-1]
-        first = np.flatnonzero(head)
-        low, high = np.minimum.reduceat(d, first), np.maximum.reduceat(d, first)
-        several = (low != high)[np.cumsum(head) - 1] & (d >= 0)
-        k, d = k[several], d[several]
-        b = _block_of(d, blocks)
-        order = np.argsort(b, kind="stable")
-        k, d, b = k[order], d[order], b[order]
-        cuts = _cut(b)
-        return pa.table({"block": pa.array([x for x, _, _ in cuts], pa.int32()), "keys": pa.array([k[i:j].tobytes() for _, i, j in cuts], pa.binary()), "ids": pa.array([d[i:j].tobytes() for _, i, j in cuts], pa.binary())})
+    def run(batches):
+        for batch in batches:
+            for block, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                texts = Texts(value.as_py(), length, seed)
+                order = np.lexsort((texts.doc, texts.key))
+                key, doc = texts.key[order], texts.doc[order]
+                head = np.ones(len(key), bool)
+                head[1:] = key[1:] != key[:-1]
+                fresh = head.copy()
+                fresh[1:] |= doc[1:] != doc[:-1]
+                key, n = key[head], np.bincount((np.cumsum(head) - 1)[fresh])
+                cut = range_cuts(key, ranges)
+                asked = [coded(*steps(key[i:j]), n[i:j]) for i, j in zip(cut, cut[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(ranges, dtype=np.int32)), pa.array([block] * ranges, pa.int64()), pa.array(asked, pa.binary())], ["range", "block", "asked"])
 
     return run
 
 
-def _block_of(ids: np.ndarray, blocks: int) -> np.ndarray:
-    return (mixed(ids.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+def _known(crowd: int):
+    """For each block and minimizer: 0 if one text of all has it, 1 if several, 2 if more than ``crowd``."""
 
-
-def _blocked(blocks: int):
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(_block_of(ids, blocks).astype(np.int32)), batch.column(0), batch.column(1)], ["block", "doc_id", "text"])
+    def run(table: pa.Table) -> pa.Table:
+        asked = [decoded(x) for x in table.column("asked").to_pylist()]
+        keys = [walked(a[0], a[1]) for a in asked]
+        _, number = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(number, weights=np.concatenate([a[2] for a in asked]).astype(np.float64))
+        kind = ((total > 1).astype(np.int64) + (total > crowd))[number]
+        answers = [coded(x) for x in np.split(kind, np.cumsum([len(k) for k in keys])[:-1])]
+        return pa.table({"block": table.column("block"), "range": table.column("range"), "answer": pa.array(answers, pa.binary())})
 
     return run
 
 
-def _segments(length: int, seed: int, ranges: int):
-    """Segments with a shared minimizer of one block of documents; equal ones of a block travel once for their first."""
-
-    def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, np.uint64) for x in shared.column("keys").to_pylist()]
-        ids = [np.frombuffer(x, np.int64) for x in shared.column("ids").to_pylist()]
-        want = np.unique(mixed(np.concatenate([np.zeros(0, np.uint64), *keys])) ^ np.concatenate([np.zeros(0, np.int64), *ids]).view(np.uint64))
-        out = []
-        for table in unpacked(docs) if len(want) else []:
-            for batch in sliced(table.combine_chunks().to_batches(), common.SLICE_BYTES // 2, "text"):
-                own = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
-                data, offsets = common.buffers(batch.column(1))
-                doc, first, last, key = _minimizers(data, offsets, length, seed)
-                hit = np.isin(mixed(key) ^ own[doc].view(np.uint64), want)
-                doc, first, last, key = doc[hit], first[hit], last[hit], key[hit]
-                order = np.argsort(_range_of(key, ranges), kind="stable")
-                doc, first, last, key = doc[order], first[order], last[order], key[order]
-                a = offsets[doc] + first
-                size = last - first + length - 1
-                raw = data.tobytes()
-                for r, i, j in _cut(_range_of(key, ranges)):
-                    body = b"".join([raw[x : x + y] for x, y in zip(a[i:j].tolist(), size[i:j].tolist())])
-                    out.append((r, key[i:j].tobytes(), own[doc[i:j]].tobytes(), first[i:j].astype(np.int32).tobytes(), size[i:j].astype(np.int32).tobytes(), body))
-        names = ["range", "keys", "ids", "starts", "sizes", "body"]
-        return pa.table({"range": pa.array([r[0] for r in out], pa.int32())} | {n: pa.array([r[i + 1] for r in out], pa.binary()) for i, n in enumerate(names[1:])})
+def _in_order(answers: pa.Table) -> list[list[np.ndarray]]:
+    """The decoded answers of a block, by range."""
+    order = np.argsort(answers.column("range").to_numpy(), kind="stable")
+    return [decoded(answers.column("answer")[int(i)].as_py()) for i in order]
+
+
+def _pieces(length: int, seed: int, ranges: int):
+    """Different pieces of a block that may hold a repeat, one row a hash range; as range -1 the places that have them."""
+    names = ["range", "block", "asked", "body"]
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))})
+        block = docs.column("block")[0].as_py()
+        texts = Texts(docs.column("rows")[0].as_py(), length, seed)
+        kind = np.concatenate([np.zeros(0, np.uint64), *(a[0] for a in _in_order(answers))])
+        keys, number = np.unique(texts.key, return_inverse=True)
+        if len(kind) != len(keys):
+            raise ValueError("a block got other answers than it asked for")
+        kind = kind[number]
+        start = texts.offsets[texts.doc] + texts.first
+        plain, crowded = kind == 1, kind == 2
+        n = (texts.last - texts.first)[crowded]
+        single = _spread(start[crowded], n)
+        doc = np.concatenate([texts.doc[plain], np.repeat(texts.doc[crowded], n)])
+        size = np.concatenate([(texts.last - texts.first)[plain] + length - 1, np.full(len(single), length)])
+        start = np.concatenate([start[plain], single])
+        print_ = common.span_hashes(texts.data, start, start + size)
+        key = np.concatenate([texts.key[plain], mixed(print_[plain.sum() :] ^ _WINDOW)])
+        order = np.lexsort((size, print_, key))
+        head = np.ones(len(order), bool)
+        for x in (key, print_, size):
+            x = x[order]
+            head[1:] &= x[1:] == x[:-1]
+        head[1:] = ~head[1:]
+        at = np.flatnonzero(head)
+        piece = np.empty(len(order), np.int64)
+        piece[order] = np.cumsum(head) - 1
+        least = np.minimum.reduceat(texts.ids[doc[order]], at) if len(at) else np.zeros(0, np.int64)
+        some = order[at]  # one place of each piece
+        raw = texts.data.tobytes()
+        cut = range_cuts(key[some], ranges)
+        rows = []
+        for r, (i, j) in enumerate(zip(cut, cut[1:])):
+            own = some[i:j]
+            body = b"".join([raw[a : a + b] for a, b in zip(start[own].tolist(), size[own].tolist())])
+            rows.append((r, coded(*steps(key[own]), size[own], _signed(least[i:j])), pa.compress(body, codec="zstd", asbytes=True)))
+        places = np.lexsort((start, doc))
+        rows.append((-1, coded(piece[places], doc[places], start[places] - texts.offsets[doc[places]]), None))
+        return pa.table({"range": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int64()), "asked": pa.array([r[1] for r in rows], pa.binary()), "body": pa.array([r[2] for r in rows], pa.binary())})
 
     return run
 
 
-def _repeats(length: int, blocks: int):
-    """Of one hash range: the intervals of each document that start in an earlier one."""
+def _firsts(length: int):
+    """Of one hash range: for each block the runs (number of windows, least document) of every piece it sent."""
 
     def run(table: pa.Table) -> pa.Table:
-        key, ids, starts, sizes = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("keys", np.uint64), ("ids", np.int64), ("starts", np.int32), ("sizes", np.int32)))
-        body = b"".join(table.column("body").to_pylist())
-        at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        order = np.argsort(key, kind="stable")
-        found_id, found_a, found_b = [], [], []
-        different: list[list[int]] = []  # of each minimizer with several segments, the first row of each
-        places: dict[int, list[int]] = {}  # of such a first row, the rows where its document has the segment again
-        for _, i, j in _cut_keys(key[order]):
-            if j - i < 2:
-                continue
-            of: dict[bytes, list[int]] = {}
-            for r in order[i:j].tolist():
-                of.setdefault(body[at[r] : at[r + 1]], []).append(r)
-            firsts, again = [], {}
-            for rows in of.values():
-                first = min(rows, key=ids.__getitem__)
-                firsts.append(first)
-                for r in rows:
-                    if ids[r] != ids[first]:
-                        found_id.append(ids[r])
-                        found_a.append(starts[r])
-                        found_b.append(starts[r] + sizes[r])
-                    elif r != first:
-                        again.setdefault(first, []).append(r)
-            if len(firsts) > 1:
-                different.append(firsts)
-                places.update(again)
-        for pieces in _shared_parts(body, at, different, length):
-            of = {}
-            for r, a, b in pieces:
-                of.setdefault(body[at[r] + a : at[r] + b], []).append((r, a))
-            texts = list(of)
-            firsts = [min(int(ids[r]) for r, _ in of[t]) for t in texts]
-            least = first_documents(texts, firsts, length) if len(texts) > 1 else [np.full(len(texts[0]) - length + 1, firsts[0], np.int64)]
-            for t, m in zip(texts, least):
-                for r, a in of[t]:
-                    late = np.flatnonzero(np.diff(np.concatenate([[0], (m < ids[r]).astype(np.int8), [0]])))
-                    for x, y in zip(late[::2].tolist(), late[1::2].tolist()):
-                        for o in (r, *places.get(r, ())):
-                            found_id.append(ids[o])
-                            found_a.append(starts[o] + a + x)
-                            found_b.append(starts[o] + a + y + length - 1)
-        doc = np.array(found_id, np.int64)
-        block = _block_of(doc, blocks)
-        order = np.argsort(block, kind="stable")
-        doc, block, a, b = doc[order], block[order], np.array(found_a, np.int64)[order], np.array(found_b, np.int64)[order]
-        cuts = _cut(block)
-        return pa.table({"block": pa.array([x for x, _, _ in cuts], pa.int32())} | {n: pa.array([x[i:j].tobytes() for _, i, j in cuts], pa.binary()) for n, x in (("ids", doc), ("a", a), ("b", b))})
+        asked = [decoded(x) for x in table.column("asked").to_pylist()]
+        bodies, prints = [], []
+        for a, value in zip(asked, table.column("body").to_pylist()):
+            n = int(a[2].sum())
+            bodies.append(pa.decompress(value, n, codec="zstd", asbytes=True) if n else b"")
+            ends = np.cumsum(a[2]).astype(np.int64)
+            prints.append(common.span_hashes(np.frombuffer(bodies[-1], np.uint8), ends - a[2].astype(np.int64), ends))
+        body = b"".join(bodies)
+        del bodies
+        key = np.concatenate([walked(a[0], a[1]) for a in asked])
+        size = np.concatenate([a[2] for a in asked]).astype(np.int64)
+        ids = _unsigned(np.concatenate([a[3] for a in asked]))
+        print_ = np.concatenate(prints)
+        at = np.concatenate([[0], np.cumsum(size)])
+        order = np.lexsort((size, print_, key))
+        head, other = np.ones(len(order), bool), np.ones(len(order), bool)
+        other[1:] = key[order][1:] != key[order][:-1]
+        head[1:] = other[1:] | (print_[order][1:] != print_[order][:-1]) | (size[order][1:] != size[order][:-1])
+        first = np.flatnonzero(head)
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(head) - 1
+        least = np.minimum.reduceat(ids[order], first) if len(first) else np.zeros(0, np.int64)
+        some = order[first]
+        # keys with different pieces
+        group = np.cumsum(other[first]) - 1
+        several = np.flatnonzero(np.bincount(group, minlength=1)[group] > 1) if len(group) else group
+        cuts = [0, *(np.flatnonzero(np.diff(group[several])) + 1).tolist(), len(several)] if len(several) else []
+        groups = [some[several[i:j]].tolist() for i, j in zip(cuts, cuts[1:])]
+        changed: dict[int, np.ndarray] = {}
+        for found in _shared_parts(body, at, groups, length):
+            same: dict[bytes, list[tuple[int, int]]] = {}
+            for r, a, b in found:
+                same.setdefault(body[at[r] + a : at[r] + b], []).append((int(of[r]), a))
+            texts = list(same)
+            firsts = [min(int(least[c]) for c, _ in same[t]) for t in texts]
+            windows = first_documents(texts, firsts, length) if len(texts) > 1 else [np.full(len(texts[0]) - length + 1, firsts[0], np.int64)]
+            for t, m in zip(texts, windows):
+                for c, a in same[t]:
+                    if (m < least[c]).any():
+                        if c not in changed:
+                            changed[c] = np.full(size[some[c]] - length + 1, least[c])
+                        np.minimum(changed[c][a : a + len(m)], m, out=changed[c][a : a + len(m)])
+        runs, count, value = np.ones(len(first), np.int64), [size[some] - length + 1], [least]
+        base = np.arange(len(first))
+        extra = 0
+        for c, m in changed.items():
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(m)) + 1])
+            runs[c] = len(cut)
+            base[c] = len(first) + extra
+            extra += len(cut)
+            count.append(np.diff(np.append(cut, len(m))))
+            value.append(m[cut])
+        count, value = np.concatenate(count), np.concatenate(value)
+        answers = []
+        for own in np.split(of, np.cumsum([len(a[2]) for a in asked])[:-1]):
+            take = _spread(base[own], runs[own])
+            answers.append(coded(runs[own], count[take], _signed(value[take])))
+        return pa.table({"block": table.column("block"), "range": table.column("range"), "answer": pa.array(answers, pa.binary())})
 
     return run
 
@@ -423,62 +404,78 @@ def _shared_parts(body: bytes, at: np.ndarray, groups: list[list[int]], length:
         lot, size = [], 0
 
 
-def _cut_keys(key: np.ndarray):
-    if not len(key):
-        return []
-    at = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]]).tolist()
-    return [(None, a, b) for a, b in zip(at, at[1:])]
-
-
-def _results(rows: pa.Table, marks: pa.Table) -> pa.Table:
-    ids, a, b = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in marks.column(c).to_pylist())]) for c in ("ids", "a", "b"))
-    order = np.lexsort((a, ids))
-    ids, a, b = ids[order], a[order], b[order]
-    out: tuple[list, ...] = ([], [], [], [], [])
-    for docs in unpacked(rows):
-        own = docs.column("doc_id").to_pylist()
-        low, high = np.searchsorted(ids, own, "left").tolist(), np.searchsorted(ids, own, "right").tolist()
-        for doc, text, i, j in zip(own, docs.column("text").to_pylist(), low, high):
-            raw = (text or "").encode()
-            kept, spans, upto = [], 0, 0
-            for x, y in zip(a[i:j].tolist(), b[i:j].tolist()):
-                if x > upto or not spans:
-                    kept.append(raw[upto:x])
-                    spans += 1
-                    upto = y
-                else:
-                    upto = max(upto, y)
-            kept.append(raw[upto:])
-            rest = b"".join(kept)
-            for column, value in zip(out, (doc, len(raw), len(raw) - len(rest), spans, hashlib.sha256(rest).hexdigest())):
-                column.append(value)
-    return pa.table({"doc_id": pa.array(out[0], pa.int64()), "n_bytes": pa.array(out[1], pa.int64()), "n_removed": pa.array(out[2], pa.int64()), "n_spans": pa.array(out[3], pa.int64()), "kept_sha256": pa.array(out[4], pa.string())})
+def _results(length: int):
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        out: tuple[list, ...] = ([], [], [], [], [])
+        own = np.asarray(answers.column("range").to_numpy()) < 0
+        (places,) = _in_order(answers.filter(pa.array(own))) or ([np.zeros(0, np.uint64)] * 3,)
+        piece, doc, start = (x.astype(np.int64) for x in places)
+        found = _in_order(answers.filter(pa.array(~own)))
+        runs, count, least = (np.concatenate([np.zeros(0, np.uint64), *(x[k] for x in found)]) for k in range(3))
+        runs, count, least = runs.astype(np.int64), count.astype(np.int64), _unsigned(least)
+        begin = np.cumsum(runs) - runs
+        before = np.cumsum(count) - count
+        take = _spread(begin[piece], runs[piece])
+        place = np.repeat(np.arange(len(piece)), runs[piece])
+        batches = [b for value in docs.column("rows").to_pylist() for b in unpacked(value)]
+        ids = np.concatenate([np.zeros(0, np.int64), *(np.asarray(b.column(0).to_numpy(), np.int64) for b in batches)])
+        late = least[take] < ids[doc[place]]
+        take, place = take[late], place[late]
+        a = start[place] + before[take] - before[begin[piece[place]]]
+        b = a + count[take] + length - 1
+        doc = doc[place]
+        order = np.lexsort((a, doc))
+        a, b = a[order].tolist(), b[order].tolist()
+        cut = np.searchsorted(doc[order], np.arange(len(ids) + 1)).tolist()
+        n = -1
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n += 1
+                raw = (text or "").encode()
+                kept, spans, upto = [], 0, 0
+                for x, y in zip(a[cut[n] : cut[n + 1]], b[cut[n] : cut[n + 1]]):
+                    if x > upto or not spans:
+                        kept.append(raw[upto:x])
+                        spans += 1
+                        upto = y
+                    elif y > upto:
+                        upto = y
+                kept.append(raw[upto:])
+                rest = b"".join(kept)
+                for column, value in zip(out, (key, len(raw), len(raw) - len(rest), spans, hashlib.sha256(rest).hexdigest())):
+                    column.append(value)
+        return pa.table({"doc_id": pa.array(out[0], pa.int64()), "n_bytes": pa.array(out[1], pa.int64()), "n_removed": pa.array(out[2], pa.int64()), "n_spans": pa.array(out[3], pa.int64()), "kept_sha256": pa.array(out[4], pa.string())})
+
+    return run
 
 
-def repeats_removed(docs: DataFrame, length: int = 50, seed: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats_removed(docs: DataFrame, length: int = 50, seed: int = 16, crowd: int = 1000, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row with an id.
 
     A null text is empty; rows with a null id are left out; texts shorter than ``length`` keep all. Rows that repeat an id
-    are one document: a string in both is in no smaller document by that. An empty table gives no rows.
+    are judged each for itself, and none removes anything from another: its id is not smaller. Ids may be negative. An
+    empty table gives no rows. Other columns are not read. Pieces of one minimizer, and texts, count as equal if 64 and
+    128 bits of hashes and their sizes are. ``block_bytes`` bounds the text that one task holds; one longer text is held alone.
     """
     spark = docs.sparkSession
     lean(spark)
-    ranges, blocks = max(16, 2 * parts(spark)), max(8, parts(spark) // 2)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sums = saved(rows.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.octet_length("text").cast("long").alias("n")))
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    n = F.octet_length("text").cast("long")
+    sums = saved(rows.select("doc_id", "h1", "h2", n.alias("n"), F.sha2(F.when(n < length, F.col("text")).otherwise(""), 256).alias("sha")))
     first = sums.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first"))
-    copies = sums.join(first, ["h1", "h2", "n"]).where("doc_id > first").select("doc_id", "n")
-    copies = saved(copies)
-    ids = copies.select("doc_id").distinct()
-    late = common.small(ids, 16)
-    looked = rows.join(late, "doc_id", "left_anti").mapInArrow(_blocked(blocks), "block int, doc_id long, text string")
-    texts = packed(looked)
-    sent = looked.mapInArrow(_send(length, seed, ranges, blocks), "range int, keys binary, ids binary")
-    shared = sent.groupBy("range").applyInArrow(_shared(blocks), "block int, keys binary, ids binary")
-    found = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_segments(length, seed, ranges), "range int, keys binary, ids binary, starts binary, sizes binary, body binary")
-    marks = found.groupBy("range").applyInArrow(_repeats(length, blocks), "block int, ids binary, a binary, b binary")
-    kept = texts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_results, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    copies = saved(sums.join(first, ["h1", "h2", "n"]).where("doc_id > first").select("doc_id", "h1", "h2", "n", "sha"))
+    late = common.small(copies.select("doc_id", "h1", "h2").distinct(), 32)
+    texts, total = blocked(rows.join(late, ["doc_id", "h1", "h2"], "left_anti").select("doc_id", "text"), block_bytes)
+    ranges = hash_ranges(total, block_bytes)
+    texts = texts.select("block", "rows")
+    asked = texts.mapInArrow(_ask(length, seed, ranges), "range int, block long, asked binary")
+    answer = "block long, range int, answer binary"
+    known = asked.groupBy("range").applyInArrow(_known(crowd), answer)
+    pieces = saved(texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_pieces(length, seed, ranges), "range int, block long, asked binary, body binary"))
+    firsts = pieces.where("range >= 0").groupBy("range").applyInArrow(_firsts(length), answer)
+    marks = firsts.union(pieces.where("range < 0").select("block", "range", "asked"))
+    kept = texts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_results(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     short = F.col("n") < length
-    whole = rows.join(late, "doc_id", "left_semi")
-    gone = whole.select("doc_id", F.octet_length("text").cast("long").alias("n"), "text").select("doc_id", F.col("n").alias("n_bytes"), F.when(short, 0).otherwise(F.col("n")).cast("long").alias("n_removed"), F.when(short, 0).otherwise(1).cast("long").alias("n_spans"), F.sha2(F.when(short, F.col("text")).otherwise(""), 256).alias("kept_sha256"))
+    gone = copies.select("doc_id", F.col("n").alias("n_bytes"), F.when(short, 0).otherwise(F.col("n")).cast("long").alias("n_removed"), F.when(short, 0).otherwise(1).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))
     return kept.unionByName(gone)
