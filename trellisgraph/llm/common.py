@@ -157,46 +157,43 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     return np.searchsorted(offsets, starts, "right") - 1, starts, ends, span_hashes(LOWER[data] if lower else data, starts, ends)
 
 
-def _gather(size: int, column: str):
+def _dealt(size: int, column: str):
     def run(batches):
         options = pa.ipc.IpcWriteOptions(compression="zstd")
-        partition, number = TaskContext.get().partitionId(), 0
-        held: list[pa.RecordBatch] = []
-        weight = 0
-
-        def flush():
+        block, weight = TaskContext.get().partitionId() << 32, 0
+        for part, batch in enumerate(sliced(batches, size // 8, column)):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=options) as writer:
-                for x in held:
-                    writer.write_batch(x)
-            return pa.RecordBatch.from_arrays([pa.array([partition << 32 | number], pa.int64()), pa.array([weight], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "bytes", "rows"])
-
-        for batch in sliced(batches, size // 8, column):
-            held.append(batch)
-            weight += pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+            with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
+                writer.write_batch(batch)
             if weight >= size:
-                yield flush()
-                held, weight, number = [], 0, number + 1
-        if held:
-            yield flush()
+                block, weight = block + 1, 0
+            weight += pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "part", "rows"])
 
     return run
 
 
-def blocked(df: DataFrame, size: int = BLOCK_BYTES, column: str = "text") -> tuple[DataFrame, int]:
-    """(table, total): a written table of block, bytes, rows, and the bytes of ``column`` in all.
+def blocked(df: DataFrame, size: int = BLOCK_BYTES, column: str = "text") -> DataFrame:
+    """(block, part, rows), partitioned by block: the rows of ``df``, many in one compressed value.
 
-    A block holds the rows of one task until their texts reach ``size`` bytes, in one compressed value; a text is never
-    cut. Being written once, blocks are the same for all that read them.
+    A block holds rows of one input partition, in order, until the bytes of ``column`` reach ``size``; a text is never cut.
+    Several reads in one plan share the exchange; ``df`` must give its partitions the same rows whenever it is read.
     """
-    table = saved(df.mapInArrow(_gather(size, column), "block long, bytes long, rows binary"))
-    return table, int(table.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0])
+    return df.mapInArrow(_dealt(size, column), "block long, part long, rows binary").repartition("block")
+
+
+def unpacked(rows: pa.Table) -> list[pa.RecordBatch]:
+    """The record batches of a block, in order."""
+    order = np.argsort(rows.column("part").to_numpy())
+    out = []
+    for i in order:
+        with pa.ipc.open_stream(pa.py_buffer(rows.column("rows")[int(i)].as_py())) as reader:
+            out += list(reader)
+    return out
 
 
-def unpacked(value: bytes) -> list[pa.RecordBatch]:
-    """The record batches in ``rows`` of a block."""
-    with pa.ipc.open_stream(pa.py_buffer(value)) as reader:
-        return list(reader)
+def text_bytes(df: DataFrame, column: str = "text") -> int:
+    return int(df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0])
 
 
 def hash_ranges(total: int, size: int = BLOCK_BYTES) -> int:

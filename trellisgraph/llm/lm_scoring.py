@@ -8,7 +8,7 @@ The state without history has an arc for every word. Texts are read once from le
 from word to word. As two words settle the state, long texts are read in stretches side by side, each led in by the
 words before it.
 
-Counts cover all training texts and never meet in one place. Texts are written as blocks of bounded size. A block sends
+Counts cover all training texts and never meet in one place. Texts are dealt to blocks of bounded size. A block sends
 each of its n-grams once, with its count, to a hash range: trigrams travel with the bigram they end in, so a key is
 sent once. A range adds up and answers every block with the totals in the order asked. Hot n-grams come once a block.
 From these totals a block builds the states and arcs that its texts can reach, and reads them.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from trellisgraph.llm import common
-from trellisgraph.llm.common import BLOCK_BYTES, blocked, coded, decoded, hash_ranges, lean, mixed, range_cuts, steps, unpacked, walked
+from trellisgraph.llm.common import BLOCK_BYTES, blocked, coded, decoded, hash_ranges, lean, mixed, range_cuts, steps, text_bytes, unpacked, walked
 
 _START, _END = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
 _PAIR = np.uint64(0xA0761D6478BD642F)
@@ -97,21 +97,19 @@ def _learn(batches) -> np.ndarray:
 
 
 def _ask(ranges: int):
-    """Each block's n-grams and their counts, one row a hash range, empty ones too."""
+    """A block's n-grams and their counts, one row a hash range, empty ones too."""
 
-    def run(batches):
-        for batch in batches:
-            for block, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                texts = unpacked(value.as_py())
-                grams = Grams(texts, 2)
-                one, two, three = grams.counts(_learn(texts))
-                kinds = np.bincount(grams.pair_of_triple, minlength=len(grams.pairs))
-                u, b, t = grams.cuts(ranges)
-                asked = [
-                    coded(*steps(grams.words[u[r] : u[r + 1]]), one[u[r] : u[r + 1]], *steps(grams.pairs[b[r] : b[r + 1]]), two[b[r] : b[r + 1]], kinds[b[r] : b[r + 1]], grams.before[t[r] : t[r + 1]], three[t[r] : t[r + 1]])
-                    for r in range(ranges)
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(ranges, dtype=np.int32)), pa.array([block] * ranges, pa.int64()), pa.array(asked, pa.binary())], ["range", "block", "asked"])
+    def run(docs: pa.Table) -> pa.Table:
+        texts = unpacked(docs)
+        grams = Grams(texts, 2)
+        one, two, three = grams.counts(_learn(texts))
+        kinds = np.bincount(grams.pair_of_triple, minlength=len(grams.pairs))
+        u, b, t = grams.cuts(ranges)
+        asked = [
+            coded(*steps(grams.words[u[r] : u[r + 1]]), one[u[r] : u[r + 1]], *steps(grams.pairs[b[r] : b[r + 1]]), two[b[r] : b[r + 1]], kinds[b[r] : b[r + 1]], grams.before[t[r] : t[r + 1]], three[t[r] : t[r + 1]])
+            for r in range(ranges)
+        ]
+        return pa.table({"range": pa.array(np.arange(ranges, dtype=np.int32)), "block": pa.array([docs.column("block")[0].as_py()] * ranges, pa.int64()), "asked": pa.array(asked, pa.binary())})
 
     return run
 
@@ -220,7 +218,7 @@ class Automaton:
 
 def _score(prior: float, add: float, kind: pa.DataType):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = [x for value in docs.column("rows").to_pylist() for x in unpacked(value)]
+        texts = unpacked(docs)
         grams = Grams(texts, 2)
         order = np.argsort(answers.column("range").to_numpy())
         parts = [decoded(answers.column("answer")[int(i)].as_py()) for i in order]
@@ -252,10 +250,10 @@ def scored(docs: DataFrame, learn: Column, prior: float = 64.0, add: float = 0.1
     lean(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    texts, total = blocked(rows, block_bytes)
-    ranges = hash_ranges(total, block_bytes)
-    asked = texts.select("block", "rows").mapInArrow(_ask(ranges), "range int, block long, asked binary")
+    ranges = hash_ranges(text_bytes(rows), block_bytes)
+    texts = blocked(rows, block_bytes)
+    asked = texts.groupBy("block").applyInArrow(_ask(ranges), "range int, block long, asked binary")
     answers = asked.groupBy("range").applyInArrow(_answer, "block long, range int, answer binary, tokens long, kinds long")
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     arrow = to_arrow_type(docs.schema[id_col].dataType)
-    return texts.select("block", "rows").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(prior, add, arrow), schema)
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(prior, add, arrow), schema)

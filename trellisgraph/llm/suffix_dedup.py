@@ -6,7 +6,7 @@ is emitted in one sweep; no ranks are renamed recursively.
 
 To have equal strings meet, windows of ``length`` bytes are dealt by their minimizer: the least hash of the ``seed``-byte
 strings in a window. Equal windows have equal minimizers, and consecutive windows with one minimizer travel as one
-segment. Texts are written as blocks of bounded size, and each step asks hash ranges, which answer every block:
+segment. Texts are dealt to blocks of bounded size, and each step asks hash ranges, which answer every block:
 
 1. Equal texts become one class; only the first is looked at, the others go as a whole.
 2. A block sends its distinct minimizers with the number of its texts that have each; a range answers whether a
@@ -190,8 +190,8 @@ def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 class Texts:
     """The texts of a block and their segments: text number, first window, end window, minimizer."""
 
-    def __init__(self, value: bytes, length: int, seed: int, piece: int = 1 << 20):
-        batches = unpacked(value)
+    def __init__(self, docs: pa.Table, length: int, seed: int, piece: int = 1 << 20):
+        batches = unpacked(docs)
         both = [common.buffers(b.column(1)) for b in batches]
         self.ids = np.concatenate([np.zeros(0, np.int64), *(np.asarray(b.column(0).to_numpy(), np.int64) for b in batches)])
         self.data = np.concatenate([np.zeros(0, np.uint8), *(d for d, _ in both)])
@@ -206,22 +206,20 @@ class Texts:
 
 
 def _ask(length: int, seed: int, ranges: int):
-    """Distinct minimizers of each block with the number of its texts that have them, one row a hash range."""
-
-    def run(batches):
-        for batch in batches:
-            for block, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                texts = Texts(value.as_py(), length, seed)
-                order = np.lexsort((texts.doc, texts.key))
-                key, doc = texts.key[order], texts.doc[order]
-                head = np.ones(len(key), bool)
-                head[1:] = key[1:] != key[:-1]
-                fresh = head.copy()
-                fresh[1:] |= doc[1:] != doc[:-1]
-                key, n = key[head], np.bincount((np.cumsum(head) - 1)[fresh])
-                cut = range_cuts(key, ranges)
-                asked = [coded(*steps(key[i:j]), n[i:j]) for i, j in zip(cut, cut[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(ranges, dtype=np.int32)), pa.array([block] * ranges, pa.int64()), pa.array(asked, pa.binary())], ["range", "block", "asked"])
+    """A block's distinct minimizers with the number of its texts that have them, one row a hash range."""
+
+    def run(docs: pa.Table) -> pa.Table:
+        texts = Texts(docs, length, seed)
+        order = np.lexsort((texts.doc, texts.key))
+        key, doc = texts.key[order], texts.doc[order]
+        head = np.ones(len(key), bool)
+        head[1:] = key[1:] != key[:-1]
+        fresh = head.copy()
+        fresh[1:] |= doc[1:] != doc[:-1]
+        key, n = key[head], np.bincount((np.cumsum(head) - 1)[fresh])
+        cut = range_cuts(key, ranges)
+        asked = [coded(*steps(key[i:j]), n[i:j]) for i, j in zip(cut, cut[1:])]
+        return pa.table({"range": pa.array(np.arange(ranges, dtype=np.int32)), "block": pa.array([docs.column("block")[0].as_py()] * ranges, pa.int64()), "asked": pa.array(asked, pa.binary())})
 
     return run
 
@@ -248,14 +246,15 @@ def _in_order(answers: pa.Table) -> list[list[np.ndarray]]:
 
 
 def _pieces(length: int, seed: int, ranges: int):
-    """Different pieces of a block that may hold a repeat, one row a hash range; as range -1 the places that have them."""
-    names = ["range", "block", "asked", "body"]
+    """Different pieces of a block that may hold a repeat, one row a hash range; and one row without pieces, ``places``,
+    where they are, which comes back with the answers."""
+    names = ["range", "block", "asked", "body", "places"]
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))})
+            return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))})
         block = docs.column("block")[0].as_py()
-        texts = Texts(docs.column("rows")[0].as_py(), length, seed)
+        texts = Texts(docs, length, seed)
         kind = np.concatenate([np.zeros(0, np.uint64), *(a[0] for a in _in_order(answers))])
         keys, number = np.unique(texts.key, return_inverse=True)
         if len(kind) != len(keys):
@@ -287,10 +286,11 @@ def _pieces(length: int, seed: int, ranges: int):
         for r, (i, j) in enumerate(zip(cut, cut[1:])):
             own = some[i:j]
             body = b"".join([raw[a : a + b] for a, b in zip(start[own].tolist(), size[own].tolist())])
-            rows.append((r, coded(*steps(key[own]), size[own], _signed(least[i:j])), pa.compress(body, codec="zstd", asbytes=True)))
-        places = np.lexsort((start, doc))
-        rows.append((-1, coded(piece[places], doc[places], start[places] - texts.offsets[doc[places]]), None))
-        return pa.table({"range": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int64()), "asked": pa.array([r[1] for r in rows], pa.binary()), "body": pa.array([r[2] for r in rows], pa.binary())})
+            rows.append((r, coded(*steps(key[own]), size[own], _signed(least[i:j])), pa.compress(body, codec="zstd", asbytes=True), None))
+        order = np.lexsort((start, doc))
+        rows.append((block % ranges, None, None, coded(piece[order], doc[order], start[order] - texts.offsets[doc[order]])))
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table({"block": pa.array([block] * len(rows), pa.int64())} | {n: pa.array(x, t) for n, x, t in zip((names[0], *names[2:]), zip(*rows), kinds)}).select(names)
 
     return run
 
@@ -299,6 +299,11 @@ def _firsts(length: int):
     """Of one hash range: for each block the runs (number of windows, least document) of every piece it sent."""
 
     def run(table: pa.Table) -> pa.Table:
+        back = table.filter(table.column("places").is_valid())
+        table = table.filter(table.column("asked").is_valid())
+        back = pa.table({"block": back.column("block"), "range": pa.array([-1] * back.num_rows, pa.int32()), "answer": back.column("places")})
+        if not table.num_rows:
+            return back
         asked = [decoded(x) for x in table.column("asked").to_pylist()]
         bodies, prints = [], []
         for a, value in zip(asked, table.column("body").to_pylist()):
@@ -356,7 +361,7 @@ def _firsts(length: int):
         for own in np.split(of, np.cumsum([len(a[2]) for a in asked])[:-1]):
             take = _spread(base[own], runs[own])
             answers.append(coded(runs[own], count[take], _signed(value[take])))
-        return pa.table({"block": table.column("block"), "range": table.column("range"), "answer": pa.array(answers, pa.binary())})
+        return pa.concat_tables([pa.table({"block": table.column("block"), "range": table.column("range"), "answer": pa.array(answers, pa.binary())}), back])
 
     return run
 
@@ -417,7 +422,7 @@ def _results(length: int):
         before = np.cumsum(count) - count
         take = _spread(begin[piece], runs[piece])
         place = np.repeat(np.arange(len(piece)), runs[piece])
-        batches = [b for value in docs.column("rows").to_pylist() for b in unpacked(value)]
+        batches = unpacked(docs)
         ids = np.concatenate([np.zeros(0, np.int64), *(np.asarray(b.column(0).to_numpy(), np.int64) for b in batches)])
         late = least[take] < ids[doc[place]]
         take, place = take[late], place[late]
@@ -466,16 +471,15 @@ def repeats_removed(docs: DataFrame, length: int = 50, seed: int = 16, crowd: in
     first = sums.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first"))
     copies = saved(sums.join(first, ["h1", "h2", "n"]).where("doc_id > first").select("doc_id", "h1", "h2", "n", "sha"))
     late = common.small(copies.select("doc_id", "h1", "h2").distinct(), 32)
-    texts, total = blocked(rows.join(late, ["doc_id", "h1", "h2"], "left_anti").select("doc_id", "text"), block_bytes)
-    ranges = hash_ranges(total, block_bytes)
-    texts = texts.select("block", "rows")
-    asked = texts.mapInArrow(_ask(length, seed, ranges), "range int, block long, asked binary")
+    looked = rows.join(late, ["doc_id", "h1", "h2"], "left_anti").select("doc_id", "text")
+    ranges = hash_ranges(int(sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), block_bytes)
+    texts = blocked(looked, block_bytes)
+    asked = texts.groupBy("block").applyInArrow(_ask(length, seed, ranges), "range int, block long, asked binary")
     answer = "block long, range int, answer binary"
     known = asked.groupBy("range").applyInArrow(_known(crowd), answer)
-    pieces = saved(texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_pieces(length, seed, ranges), "range int, block long, asked binary, body binary"))
-    firsts = pieces.where("range >= 0").groupBy("range").applyInArrow(_firsts(length), answer)
-    marks = firsts.union(pieces.where("range < 0").select("block", "range", "asked"))
-    kept = texts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_results(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    pieces = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_pieces(length, seed, ranges), "range int, block long, asked binary, body binary, places binary")
+    firsts = pieces.groupBy("range").applyInArrow(_firsts(length), answer)
+    kept = texts.groupBy("block").cogroup(firsts.groupBy("block")).applyInArrow(_results(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     short = F.col("n") < length
     gone = copies.select("doc_id", F.col("n").alias("n_bytes"), F.when(short, 0).otherwise(F.col("n")).cast("long").alias("n_removed"), F.when(short, 0).otherwise(1).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))
     return kept.unionByName(gone)
