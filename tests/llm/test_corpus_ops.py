@@ -99,24 +99,64 @@ def test_jaccard_join(spark, docs, rows, empty):
     assert sorted((r["doc_id"], r["component_id"]) for r in ngram_jaccard.jaccard_join(twice).collect()) == [(1, 1), (1, 1), (2, 2)]
 
 
-def test_sentence_spans(docs, rows, empty):
-    cut = {i: [x for x in (s.strip(" \t\x0b\x0c\r") for s in re.findall(r"[^.!?\n]+[.!?]*", t or "")) if x] for i, t, *_ in rows}
-    seen, gone = set(), {i: set() for i in cut}
-    for i in sorted(cut):
-        s = cut[i]
-        for a in range(len(s) - 2):
-            key = "\n".join(s[a : a + 3]).translate(LOW)
-            if len(re.findall(r"[^ \t\n\v\f\r]+", key)) < 8:
-                continue
+def cut_sentences(t, long=25):
+    out = []
+    for s in re.findall(r"[^.!?\n]+[.!?]*", t or ""):
+        w = re.split(r"[ \t\v\f\r]+", s.strip(" \t\x0b\x0c\r"))
+        if w == [""]:
+            continue
+        if len(w) <= long:
+            out.append(s.strip(" \t\x0b\x0c\r"))
+            continue
+        h, at = [hashlib.md5(x.translate(LOW).encode()).hexdigest() for x in w], 0
+        for k in range(len(w)):
+            if k == len(w) - 1 or h[k] == min(h[max(0, k - 4) : k + 5]):
+                out.append(" ".join(w[at : k + 1]))
+                at = k + 1
+    return out
+
+
+def sentence_removals(texts):
+    """(n_sentences, n_removed, kept_sha256) of texts in order of their documents."""
+    seen, out = set(), []
+    for t in texts:
+        s, gone = cut_sentences(t), set()
+        n = [len(re.split(r"[ \t\v\f\r]+", x)) for x in s]
+        for a in range(len(s)):
+            b = next((b for b in range(a + 2, len(s) + 1) if sum(n[a:b]) >= 20), None)
+            if b is None:
+                break
+            key = tuple(s[a:b])
+            key = "\n".join(key).translate(LOW)
             if key in seen:
-                gone[i] |= {a, a + 1, a + 2}
+                gone |= set(range(a, b))
             seen.add(key)
-    want = {i: (len(s), len(gone[i]), hashlib.sha256(" ".join(x for k, x in enumerate(s) if k not in gone[i]).encode()).hexdigest()) for i, s in cut.items()}
-    got = {r["doc_id"]: (r["n_sentences"], r["n_removed"], r["kept_sha256"]) for r in sentence_spans.removed(docs).collect()}
-    assert got == want and sum(len(g) for g in gone.values()) > 30
+        out.append((len(s), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(s) if k not in gone).encode()).hexdigest()))
+    return out
+
+
+def test_sentence_spans(spark, docs, rows, empty):
+    r = random.Random(6)
+    word = lambda n: " ".join(r.choice(VOCABULARY) + r.choice("abc") for _ in range(n))
+    bare, shout = word(70), "!! ".join(word(60).split())
+    extra = [f"{word(9)} {bare} {word(12)}", f"{bare}\n{word(5)}", f"{word(30)}. {shout}", shout.upper(), "spam " * 90, "spam " * 60, f"{word(18)}. {word(3)}"] * 2
+    every = sorted((i, t) for i, t, *_ in rows) + [(1000 + k, t) for k, t in enumerate(extra)]
+    want = dict(zip((i for i, _ in every), sentence_removals(t for _, t in every)))
+    df = spark.createDataFrame([(i, t, "x") for i, t in every], "doc_id long, text string, key string").repartition(3)
+    got = {r["doc_id"]: (r["n_sentences"], r["n_removed"], r["kept_sha256"]) for r in sentence_spans.removed(df).collect()}
+    assert got == want and sum(w[1] for w in want.values()) > 30
+    assert all(want[1000 + k][1] > 0 for k in (1, 3, 7, 8, 9, 10, 11))  # copies without sentence marks, of shouts too
     assert sentence_spans.removed(empty).count() == 0
 
 
+def test_sentence_spans_odd_ids(spark):
+    r = random.Random(7)
+    x, y = (" ".join(r.choice(VOCABULARY) + r.choice("abc") + ("." if k % 8 == 7 else "") for k in range(60)) for _ in range(2))
+    df = spark.createDataFrame([(1, x), (5, x), (5, y), (None, x), (7, y), (7, y), (-2, x)], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_removed"]) for r in sentence_spans.removed(df).collect())
+    assert got == sorted([("1", 8), ("5", 8), ("5", 0), ("None", 0), ("7", 8), ("7", 8), ("-2", 0)])
+
+
 def test_context_trees_are_exact():
     """Code lengths equal those of a plain reading of the definition."""
     r = random.Random(2)

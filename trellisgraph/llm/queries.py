@@ -22,7 +22,7 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_spans.removed(_read(spark, sf_dir, "documents"), span=3, min_words=8)
+    return sentence_spans.removed(_read(spark, sf_dir, "documents"), words=20, long=25)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Substring dedup by sliding sentence spans, in DataFrame functions.
 
-A sentence is a longest run matching ``[^.!?\\n]+[.!?]*``, trimmed, that holds more than blanks. Every run of ``span``
-consecutive sentences with at least ``min_words`` words is hashed (128 bits, A-Z in lower case); all runs of all texts
-meet by hash, the first by (id, place) stays, and sentences covered by any later run are removed.
+A sentence is a longest run matching ``[^.!?\\n]+[.!?]*``, trimmed, that holds more than blanks. One of more than ``long``
+words, as in text without sentence marks, is cut after each word whose MD5 (A-Z in lower case) is least among the four
+words on either side: equal passages are cut alike wherever they stand. From every sentence the shortest run of at
+least two sentences and ``words`` words is hashed (128 bits, A-Z in lower case); all runs of all texts meet by hash, the
+first by (id, place) stays, and sentences covered by any later run are removed.
 """
 
 from __future__ import annotations
@@ -10,52 +12,93 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trellisgraph.llm.common import saved
+
 SENTENCE = r"[^.!?\n]+[.!?]*"
+BLANKS = r"[ \t\x0B\f\r]+"
+_REACH = 4
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, inside lambdas too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _lower(c: Column) -> Column:
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
 
+def _count(sentence: Column) -> Column:
+    return F.size(F.split(sentence, BLANKS))
 
-def sentences(text: Column) -> Column:
-    blank = " \t\x0b\x0c\r"
+
+def _cut(word: Column) -> Column:
+    """The words of a long sentence as shorter ones."""
+    n = F.size(word)
+    ends = lambda h: F.concat(F.filter(F.sequence(F.lit(1), n - 1), lambda k: F.get(h, k - 1) == F.array_min(F.slice(h, F.greatest(F.lit(1), k - _REACH), F.least(k - 1, F.lit(_REACH)) + 1 + _REACH))), F.array(n))
+    pieces = lambda e: F.transform(e, lambda to, i: _let(F.when(i == 0, 1).otherwise(F.get(e, i - 1) + 1), lambda a: F.array_join(F.slice(word, a, to - a + 1), " ")))
+    return _let(F.transform(word, lambda w: F.md5(_lower(w))), lambda h: _let(ends(h), pieces))
+
+
+def sentences(text: Column, long: int = 25) -> Column:
     found = F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(SENTENCE), F.lit(0))
-    return F.filter(F.transform(found, lambda s: F.btrim(s, F.lit(blank))), lambda s: s != "")
+    found = F.filter(F.transform(found, lambda s: F.btrim(s, F.lit(" \t\x0b\x0c\r"))), lambda s: s != "")
+    return F.flatten(F.transform(found, lambda s: _let(F.split(s, BLANKS), lambda w: F.when(F.size(w) <= long, F.array(s)).otherwise(_cut(w)))))
 
 
-def spans(docs: DataFrame, span: int, min_words: int) -> DataFrame:
-    """doc_id, at, h1, h2 of every span; ``docs`` has doc_id and s, its sentences."""
-    plain = F.transform("s", lambda s: F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    starts = F.expr(f"if(size(p) >= {span}, sequence(1, size(p) - {span - 1}), cast(array() as array<int>))")
-    rows = docs.select("doc_id", plain.alias("p")).select("doc_id", "p", F.explode(starts).alias("at"))
-    rows = rows.select("doc_id", "at", F.array_join(F.slice("p", F.col("at"), span), "\n").alias("t"))
-    rows = rows.where(F.regexp_count("t", F.lit(r"[^ \t\n\x0B\f\r]+")) >= min_words)
-    return rows.select("doc_id", F.col("at").cast("long").alias("at"), F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(span), "t").alias("h2"))
+def spans(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, key, at, n, h1, h2 of every span; ``docs`` has doc_id, key and s, its sentences."""
+    rows = docs.select("doc_id", "key", F.transform("s", _lower).alias("p"), F.transform("s", _count).alias("c"))
+    enough = lambda a: (a["w"] >= words) & (a["n"] >= 2)
+    reach = lambda i: F.aggregate(F.slice("c", i, max(2, words)), F.struct(F.lit(0).alias("w"), F.lit(0).alias("n")), lambda a, c: F.when(enough(a), a).otherwise(F.struct((a["w"] + c).alias("w"), (a["n"] + 1).alias("n"))))
+    print_ = lambda i, n: _let(F.array_join(F.slice("p", i, n), "\n"), lambda t: F.struct(i.cast("long").alias("at"), n.alias("n"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(3), t).alias("h2")))
+    found = F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: _let(reach(i), lambda a: F.when(enough(a), print_(i, a["n"]))))
+    rows = rows.where(F.size("p") > 1).select("doc_id", "key", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x"))
+    return rows.select("doc_id", "key", "x.*")
 
 
-def removed(docs: DataFrame, span: int = 3, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_sentences, n_removed, kept_sha256 (of the kept sentences, joined by a blank) for every row.
+def deduplicated(docs: DataFrame, words: int = 20, long: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, s (the sentences) and kept (those that stay) for every row.
 
-    A null or blank text has no sentence. Rows that repeat an id are numbered together as one document's spans and each
-    gets the same removals; a null id takes no part and keeps everything. Counts meet by hash after a partial
-    aggregation in each task, so a passage that most texts share costs one row a task; the join back has one row a hash
-    on the other side and can be split.
+    A null or blank text has no sentence; texts of one sentence, or of fewer than ``words`` words, have no span. A null
+    id takes no part and keeps everything. Rows that repeat an id are told apart by their text; rows equal in both are
+    one document and remove nothing from each other. Other columns are not read. Spans are written once; their counts
+    meet by hash after a partial aggregation in each task, so a passage that most texts share costs one row a task; the
+    join back has one row a hash on the other side and can be split.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), sentences(F.col(text_col)).alias("s"))
-    every = spans(rows.where("doc_id is not null"), span, min_words)
-    first = every.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
-    later = every.join(first, ["h1", "h2"]).where("doc_id <> first.doc_id or at <> first.at")
-    gone = later.groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
-    marks = gone.select("doc_id", F.array_distinct(F.flatten(F.transform("starts", lambda a: F.sequence(a, a + span - 1)))).alias("gone"))
-    out = rows.join(marks, "doc_id", "left")
-    kept = F.when(F.col("gone").isNull(), F.col("s")).otherwise(F.filter("s", lambda s, i: ~F.array_contains("gone", (i + 1).cast("long"))))
-    return out.select("doc_id", F.size("s").cast("long").alias("n_sentences"), (F.size("s") - F.size(kept)).cast("long").alias("n_removed"), F.sha2(F.array_join(kept, " "), 256).alias("kept_sha256"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), sentences(F.col(text_col), long).alias("s"))
+    every = saved(spans(rows.where("doc_id is not null"), words))
+    place = F.struct("doc_id", "key", "at")
+    first = every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n_all")).where("n_all > 1").select("h1", "h2", "first")
+    later = every.join(first, ["h1", "h2"]).where(place != F.col("first"))
+    gone = later.groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
+    marks = gone.select("doc_id", "key", F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1))).alias("gone"))
+    out = rows.join(marks, ["doc_id", "key"], "left")
+    stay = F.array_except(F.sequence(F.lit(1).cast("long"), F.size("s").cast("long")), F.col("gone"))
+    return out.select("doc_id", "s", F.when(F.col("gone").isNull(), F.col("s")).otherwise(F.transform(stay, lambda i: F.get("s", (i - 1).cast("int")))).alias("kept"))
+
+
+def removed(docs: DataFrame, words: int = 20, long: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_sentences, n_removed, kept_sha256 (of the kept sentences, joined by a blank) for every row."""
+    out = deduplicated(docs, words, long, id_col, text_col)
+    return out.select("doc_id", F.size("s").cast("long").alias("n_sentences"), (F.size("s") - F.size("kept")).cast("long").alias("n_removed"), F.sha2(F.array_join("kept", " "), 256).alias("kept_sha256"))
 
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?]*'), lambda s: trim(s, chr(32) || chr(9) || chr(11) || chr(12) || chr(13))), lambda s: s <> '') AS s FROM documents),
-p AS (SELECT doc_id, list_transform(s, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS p FROM d),
-e AS (SELECT doc_id, p, unnest(generate_series(1, len(p) - 2)) AS pos FROM p),
-t AS (SELECT doc_id, pos, p[pos] || chr(10) || p[pos + 1] || chr(10) || p[pos + 2] AS t FROM e),
-u AS (SELECT doc_id, pos, t, row_number() OVER (PARTITION BY t ORDER BY doc_id, pos) AS r FROM t WHERE len(regexp_extract_all(t, '[^ \t\n\v\f\r]+')) >= 8),
-g AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1, pos + 2]) AS i FROM u WHERE r > 1),
-l AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id),
-k AS (SELECT d.doc_id, s, list_filter(s, lambda x, i: NOT coalesce(list_contains(gone, i), false)) AS kept FROM d LEFT JOIN l USING (doc_id))
+x AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS no FROM d),
+w AS (SELECT doc_id, no, s, string_split_regex(s, '[ \t\v\f\r]+') AS w FROM x),
+h AS (SELECT doc_id, no, s, w, list_transform(w, lambda y: md5(translate(y, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS h FROM w),
+c AS (SELECT doc_id, no, s, w, list_filter(range(1, len(w)), lambda k: len(w) > 25 AND h[k] = list_min(h[greatest(1, k - 4):k + 4])) AS cut FROM h),
+e AS (SELECT doc_id, no, s, w, list_append(cut, len(w)) AS e FROM c),
+o AS (SELECT doc_id, no, CASE WHEN len(w) <= 25 THEN [s] ELSE list_transform(e, lambda k, i: array_to_string(w[CASE WHEN i = 1 THEN 1 ELSE e[i - 1] + 1 END:k], ' ')) END AS o FROM e),
+g AS (SELECT doc_id, flatten(list(o ORDER BY no)) AS s FROM o GROUP BY doc_id),
+p AS (SELECT doc_id, list_transform(s, lambda y: translate(y, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS p, list_transform(s, lambda y: len(string_split_regex(y, '[ \t\v\f\r]+'))) AS c FROM g),
+a AS (SELECT doc_id, p, c, unnest(generate_series(1, len(p))) AS pos FROM p),
+r AS (SELECT doc_id, p, pos, list_filter(range(2, 21), lambda n: pos + n - 1 <= len(p) AND list_sum(c[pos:pos + n - 1]) >= 20)[1] AS n FROM a),
+t AS (SELECT doc_id, pos, n, row_number() OVER (PARTITION BY array_to_string(p[pos:pos + n - 1], chr(10)) ORDER BY doc_id, pos) AS k FROM r WHERE n IS NOT NULL),
+l AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(generate_series(pos, pos + n - 1)) AS i FROM t WHERE k > 1) GROUP BY doc_id),
+f AS (SELECT d.doc_id, coalesce(g.s, []) AS s, gone FROM d LEFT JOIN g USING (doc_id) LEFT JOIN l USING (doc_id)),
+k AS (SELECT doc_id, s, list_filter(s, lambda y, i: NOT coalesce(list_contains(gone, i), false)) AS kept FROM f)
 SELECT doc_id, len(s) AS n_sentences, len(s) - len(kept) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
 """
