@@ -192,5 +192,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.1, q: int
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item; rows with a null id are judged as one document."""
-    bad = leaks(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    bad = leaks(docs, benchmark, id_col=id_col, **options).select("doc_id").distinct()
+    rows = docs.select(F.col(id_col).alias("id"), F.struct("*").alias("row"))
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("doc_id")), "left_anti").select("row.*")

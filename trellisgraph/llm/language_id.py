@@ -11,6 +11,8 @@ finished code length of its last byte after the bytes before it, escapes include
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -159,6 +161,12 @@ class ContextTrees:
         return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def _bounds(rows: DataFrame, most: int) -> dict[str, tuple[int, int]]:
+    """For each language how many rows of the ``most`` with the least hash there are, and the last one's hash."""
+    first = rows.select("lang", "h", "i").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "i"))).where(F.col("r") <= most)
+    return {r["lang"]: (r["n"], r["most"]) for r in first.groupBy("lang").agg(F.count("*").alias("n"), F.max("h").alias("most")).collect()}
+
+
 def train(docs: DataFrame, order: int = 3, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ContextTrees:
     """Context trees of every non-null language of ``docs``.
 
@@ -168,14 +176,20 @@ def train(docs: DataFrame, order: int = 3, per_language: int = 400, id_col: str
     lean(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("i"))
-    ids = rows.select("lang", "h", "i").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "i"))).where(F.col("r") <= per_language)
-    limit = ids.groupBy("lang").agg(F.max("h").alias("most"))
-    bounds = {r["lang"]: r["most"] for r in limit.collect()}
+    # hashes spread evenly, so of n rows the wanted ones nearly surely lie below this share; if not, all are ordered
+    total = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    share = {lang: (per_language + 8 * per_language**0.5 + 16) / n for lang, n in total.items()}
+    near = F.lit(False)
+    for lang, part in share.items():
+        near |= (F.col("lang") == lang) & (F.col("h") <= (int(-(2**63) + part * 2**64) if part < 1 else 2**63 - 1))
+    bounds = _bounds(rows.where(near), per_language)
+    if any(n < min(per_language, total[lang]) for lang, (n, _) in bounds.items()) or set(bounds) != set(total):
+        bounds = _bounds(rows, per_language)
     langs = sorted(bounds)
     if not langs:
         return ContextTrees([], {}, order)
     near = F.lit(False)
-    for lang, most in bounds.items():
+    for lang, (_, most) in bounds.items():
         near |= (F.col("lang") == lang) & (F.col("h") <= most)
     grams = rows.where(near).select("lang", "text").mapInArrow(_counts(order), "lang string, length int, key long, n long").groupBy("length", "key", "lang").agg(F.sum("n").alias("n")).toArrow()
     lang = np.searchsorted(np.array(langs, dtype=object), np.array(grams.column("lang").to_pylist(), dtype=object)) if grams.num_rows else np.zeros(0, np.int64)
@@ -190,24 +204,25 @@ def train(docs: DataFrame, order: int = 3, per_language: int = 400, id_col: str
     return ContextTrees(langs, counts, order)
 
 
-def _predict(held):
-    def run(batches):
+def _judge(held):
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         trees = held.value
-        for batch in sliced(batches, SLICE_BYTES // 4, "_text"):
-            data, offsets = common.buffers(batch.column(1))
-            if trees.langs:
-                bits = trees.lengths(data, offsets)
-                best = bits.argmin(1)
-                score = 1 / np.exp2(np.maximum(-1000.0, bits.min(1)[:, None] - bits)).sum(1)
-                lang = [trees.langs[b] for b in best]
-            else:
-                score, lang = np.zeros(batch.num_rows), ["und"] * batch.num_rows
-            letter = batch.column(2).to_pylist()
-            score = [float(s) if ok else 0.0 for s, ok in zip(score, letter)]
-            lang = [x if ok else "und" for x, ok in zip(lang, letter)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["_row", "lang_pred", "score"])
-
-    return run
+        for texts, letters in batches:
+            lang, score = [], []
+            for batch in sliced([pa.RecordBatch.from_arrays([texts, letters], ["text", "letter"])], SLICE_BYTES // 4):
+                data, offsets = common.buffers(batch.column(0))
+                letter = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
+                if trees.langs:
+                    bits = trees.lengths(data, offsets)
+                    best = bits.argmin(1)
+                    likely = 1 / np.exp2(np.maximum(-1000.0, bits.min(1)[:, None] - bits)).sum(1)
+                else:
+                    best, likely, letter = np.zeros(len(letter), np.int64), np.zeros(len(letter)), np.zeros(len(letter), bool)
+                lang += [trees.langs[b] if ok else "und" for b, ok in zip(best.tolist(), letter.tolist())]
+                score.append(np.where(letter, likely, 0.0))
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(np.concatenate([np.zeros(0), *score]))], ["lang_pred", "score"])
+
+    return F.arrow_udf(run, "lang_pred string, score double")
 
 
 def has_letter(c: Column) -> Column:
@@ -218,11 +233,11 @@ def predict(docs: DataFrame, trees: ContextTrees, row: Column, text_col: str = "
     """_row (the value of ``row``, as a struct), lang_pred and score, the posterior probability of that language.
 
     A text that is null or has no letter gets ``und`` and score 0, as does every text if no language was learnt. Ties go
-    to the language that sorts first. Repeated rows are judged each for itself; an empty table gives no rows.
+    to the language that sorts first. Repeated rows are judged each for itself; an empty table gives no rows. Only texts
+    go to Python; the rest of a row stays where it is.
     """
     lean(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(trees)
     text = F.col(text_col).cast("string")
-    rows = docs.select(row.alias("_row"), text.alias("_text"), has_letter(text).alias("_letter"))
-    kind = rows.schema["_row"].dataType.simpleString()
-    return rows.mapInArrow(_predict(held), f"_row {kind}, lang_pred string, score double")
+    rows = docs.select(row.alias("_row"), _judge(held)(text, has_letter(text)).alias("_verdict"))
+    return rows.select("_row", "_verdict.lang_pred", "_verdict.score")

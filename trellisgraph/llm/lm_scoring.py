@@ -39,8 +39,8 @@ def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ordered = key[order]
     head = np.ones(len(key), bool)
     head[1:] = ordered[1:] != ordered[:-1]
-    number = np.empty(len(key), np.int64)
-    number[order] = np.cumsum(head) - 1
+    number = np.empty(len(key), np.int32)
+    number[order] = np.cumsum(head, dtype=np.int32) - 1
     return ordered[head], number
 
 
@@ -75,9 +75,9 @@ class Grams:
         at = np.flatnonzero(longer)
         code = self.pair[at].astype(np.uint64) << _BEFORE | mixed(before[at - 1]) >> (np.uint64(64) - _BEFORE)
         codes, number = _numbered(code)
-        self.triple = np.full(len(word), -1, np.int64)
+        self.triple = np.full(len(word), -1, np.int32)
         self.triple[at] = number
-        self.pair_of_triple = (codes >> _BEFORE).astype(np.int64)
+        self.pair_of_triple = (codes >> _BEFORE).astype(np.int32)
         self.before = codes & ((np.uint64(1) << _BEFORE) - np.uint64(1))
 
     def counts(self, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,18 +155,18 @@ class Automaton:
         end = np.searchsorted(grams.words, mixed(np.array([_END + np.uint64(0x2545F4914F6CDD1D)], np.uint64)))[0]
         texts = one[end] if end < singles else 0
         # the word each pair ends in, the history it starts with, and the pair each triple starts with
-        word_of, start_of = np.zeros(pairs, np.int64), np.zeros(pairs, np.int64)
+        word_of, start_of = np.zeros(pairs, np.int32), np.zeros(pairs, np.int32)
         word_of[grams.pair] = grams.word
         start_of[grams.pair[1:]] = grams.word[:-1]
         start_of[grams.pair[grams.first]] = singles
-        start_pair = np.zeros(len(three), np.int64)
+        start_pair = np.zeros(len(three), np.int32)
         at = np.flatnonzero(grams.triple >= 0)
         start_pair[grams.triple[at]] = grams.pair[at - 1]
         history = np.append(one, texts)
         with np.errstate(divide="ignore"):
             lower = np.log10(prior) - np.log10(np.concatenate([history, two]) + prior)
         self.weight = np.concatenate([[0.0], lower])
-        self.fail = np.concatenate([np.zeros(1 + singles + 1, np.int64), 1 + word_of])
+        self.fail = np.concatenate([np.zeros(1 + singles + 1, np.int32), 1 + word_of])
         p1 = (one + add) / (tokens + add * (kinds + 1))
         p2 = (two + prior * p1[word_of]) / (history[start_of] + prior)
         p3 = (three + prior * p2[grams.pair_of_triple]) / (two[start_pair] + prior)
@@ -174,8 +174,8 @@ class Automaton:
         self.from2 = np.where(two > 0, 1 + start_of, -1)
         self.from3 = np.where(three > 0, 2 + singles + start_pair, -1)
         ends = np.arange(singles) == end
-        self.to1 = np.where((one > 0) & ~ends, 1 + np.arange(singles), 0)
-        self.to2 = 2 + singles + np.arange(pairs)
+        self.to1 = np.where((one > 0) & ~ends, 1 + np.arange(singles, dtype=np.int32), 0)
+        self.to2 = 2 + singles + np.arange(pairs, dtype=np.int32)
         self.to3 = self.to2[grams.pair_of_triple]
         self.start = 1 + singles if texts else 0
         self.long = 2 + singles

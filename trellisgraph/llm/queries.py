@@ -58,7 +58,8 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(_read(spark, sf_dir, "documents"))
+    docs = _read(spark, sf_dir, "documents")
+    return secrets.digest(docs, secrets.history(docs))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

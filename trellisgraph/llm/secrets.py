@@ -1,8 +1,9 @@
 """Secret scans through an incremental blob ledger, in DataFrame functions only.
 
-Every text version is addressed by its SHA-256. The ledger says which (blob, rule, rule version) were scanned and what
-was found. A run scans only the pairs the ledger lacks, each distinct blob once however many paths hold it, and joins
-all findings back to the paths.
+Every text version is addressed by its SHA-256. The ledger is a table that only grows: one row for each (blob, kind,
+version of the kind's rule) ever scanned, with what was found, also where that is nothing. A run scans only the pairs
+the ledger lacks, each distinct blob once however many paths hold it, and appends them; rows of blobs that the run does
+not see stay as they are. Findings of the rules in force are joined back to all paths.
 """
 
 from __future__ import annotations
@@ -11,19 +12,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trellisgraph.llm.common import saved, small
+
 #: Kind, version, pattern, group with the secret, least characters of that group.
-RULES = [
+BASE = [
     ("assign", 1, r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
     ("access", 1, r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", 1, r"[0-9a-f]{24,}", 0, 24),
 ]
-KINDS = [r[0] for r in RULES]
+#: Rules added to the base ones: tokens of three parts, private keys, credentials in addresses.
+ADDED = [
+    ("jwt", 1, r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
+    ("pem", 1, r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 1),
+    ("url", 1, r"[a-z][a-z0-9+.-]*://[^\s/:@]+:([^\s/@]+)@", 1, 6),
+]
+RULES = BASE + ADDED
+LEDGER = "blob binary, kind string, version int, spans array<struct<start:int,end:int>>"
 
 
 def addressed(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_text`` (null as empty) and ``_blob``, its content address."""
+    """row (all columns of ``docs`` as a struct), text (null as empty) and blob, its content address."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumn("_text", text).withColumn("_blob", F.unhex(F.sha2(text, 256)))
+    return docs.select(F.struct("*").alias("row"), text.alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
 
 
 def _lengths(parts: Column) -> Column:
@@ -31,101 +41,92 @@ def _lengths(parts: Column) -> Column:
 
 
 def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
-    """blob, kind, version, start, end: leftmost matches of each rule that do not overlap, in code points.
+    """A ledger row for every blob and kind of ``todo``: leftmost matches that do not overlap, in code points.
 
     ``blobs`` has blob, text and ``todo``, the kinds to scan. A match's place follows from the lengths of what the
     pattern splits off before it and of the matches before it, summed in order.
     """
-    none = F.array().cast("array<int>")
     found = []
     for kind, version, pattern, group, least in rules:
-        hit = F.array_contains("todo", kind) & F.col("text").rlike(pattern)
+        hit = F.col("text").rlike(pattern)
         get = lambda g, p=pattern: F.regexp_extract_all("text", F.lit(p), F.lit(g))
-        found.append(
-            F.struct(
-                F.lit(kind).alias("kind"),
-                F.lit(version).alias("version"),
-                F.lit(least).alias("least"),
-                F.when(hit, F.arrays_zip(_lengths(F.split("text", pattern, -1)).alias("gap"), _lengths(get(0)).alias("all"), _lengths(get(group)).alias("core"))).alias("m"),
-            )
-        )
-    rows = blobs.select("blob", F.explode(F.array(*found)).alias("r")).where("r.m is not null")
-    rows = rows.select("blob", "r.kind", "r.version", "r.least", F.posexplode("r.m").alias("at", "m")).select("blob", "kind", "version", "least", "at", "m.gap", "m.all", "m.core")
+        parts = F.arrays_zip(_lengths(F.split("text", pattern, -1)).alias("gap"), _lengths(get(0)).alias("all"), _lengths(get(group)).alias("core"))
+        rule = F.struct(F.lit(kind).alias("kind"), F.lit(version).alias("version"), F.lit(least).alias("least"), F.when(hit, parts).alias("m"))
+        found.append(F.when(F.array_contains("todo", kind), rule))
+    rows = blobs.select("blob", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("r"))
+    rows = rows.select("blob", "r.kind", "r.version", "r.least", F.posexplode_outer("r.m").alias("at", "m")).select("blob", "kind", "version", "least", "at", "m.gap", "m.all", "m.core")
     before = Window.partitionBy("blob", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("gap") + F.coalesce("all", F.lit(0))).over(before)
-    return rows.withColumn("end", end).where("all is not null and core >= least").select("blob", "kind", "version", (F.col("end") - F.col("all")).cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+    span = F.when(F.col("core") >= F.col("least"), F.struct((F.col("stop") - F.col("all")).cast("int").alias("start"), F.col("stop").cast("int").alias("end")))
+    return rows.withColumn("stop", end).groupBy("blob", "kind", "version").agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 
-def _scanned(docs: DataFrame, ledger: DataFrame | None, text_col: str, rules) -> tuple[DataFrame, DataFrame]:
-    """(paths, found): ``docs`` with its content address, and blob and found, the findings of the rules the ledger lacks."""
-    paths = addressed(docs, text_col)
-    kinds = F.array(*[F.lit(k) for k, *_ in rules])
-    blobs = paths.groupBy("_blob").agg(F.first("_text").alias("text")).withColumnRenamed("_blob", "blob")
-    if ledger is not None:
-        old = ledger.select("blob", "scanned")
-        blobs = blobs.join(old, "blob", "left").withColumn("todo", F.transform(F.filter(_every(rules), lambda x: ~F.array_contains(F.coalesce("scanned", F.array().cast("array<string>")), x)), lambda x: F.split(x, ":")[0]))
+def unseen(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rules=RULES) -> DataFrame:
+    """The ledger rows that ``docs`` and ``rules`` call for and ``ledger`` lacks.
+
+    Copies of a text meet by content address after each task has dropped its own, so an address that a third of all paths
+    hold costs one text a task.
+    """
+    blobs = addressed(docs, text_col).groupBy("blob").agg(F.first("text").alias("text"))
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("version")) for k, v, *_ in rules])
+    if ledger is None:
+        todo = pairs
     else:
-        blobs = blobs.withColumn("todo", kinds)
-    number = F.array_position(kinds, F.col("kind")).cast("int")
-    found = scan(blobs.where(F.size("todo") > 0), rules).groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", number.alias("kind"), "end"))).alias("found"))
-    return paths, found
+        known = ledger.groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("known"))
+        blobs = blobs.join(known, "blob", "left")
+        todo = F.filter(pairs, lambda p: ~F.coalesce(F.exists("known", lambda k: (k["kind"] == p["kind"]) & (k["version"] == p["version"])), F.lit(False)))
+    return scan(blobs.withColumn("todo", F.transform(todo, lambda p: p["kind"])).where(F.size("todo") > 0), rules)
 
 
-def _every(rules) -> Column:
-    return F.array(*[F.lit(f"{k}:{v}") for k, v, *_ in rules])
+def update(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rules=RULES) -> DataFrame:
+    """The ledger after a run over ``docs``: what it lacked is scanned and written to the shared folder; nothing goes."""
+    new = saved(unseen(docs, ledger, text_col, rules))
+    return new if ledger is None else ledger.unionByName(new)
 
 
-def update(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rules=RULES) -> tuple[DataFrame, DataFrame]:
-    """(paths, ledger rows): ``docs`` with its content address, and one ledger row for each blob of ``docs``, clean or not.
+def findings(docs: DataFrame, ledger: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
+    """row (all columns of ``docs`` as a struct), text and spans: (start, kind number from 1, end) in order.
 
-    A ledger row has blob, scanned (``kind:version`` of every rule applied) and spans, an array of (start, kind
-    number, end) in order. Given an older ledger, blobs keep its findings and are scanned only for rules it lacks;
-    its rows for blobs that ``docs`` does not have stay as they are.
+    A null text is empty. Rows whose blob has no finding under the rules in force get an empty array. Only blobs with
+    findings join, broadcast while their count allows it; beyond, an address of very many paths is a skewed key
+    whose other side has one row, which AQE splits.
     """
-    paths, found = _scanned(docs, ledger, text_col, rules)
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    every = _every(rules)
-    blobs = paths.select(F.col("_blob").alias("blob")).distinct()
-    rows = blobs.join(found, "blob", "left")
-    if ledger is None:
-        return paths, rows.select("blob", every.alias("scanned"), F.coalesce("found", none).alias("spans"))
-    # findings of a rule version that is no longer in force go; those of the others stay
-    current = F.filter(F.sequence(F.lit(1), F.lit(len(rules))), lambda i: F.array_contains("scanned", F.get(every, i - 1)))
-    known = ledger.select("blob", F.filter("spans", lambda s: F.array_contains(current, s["kind"])).alias("known"))
-    rows = rows.join(known, "blob", "left").select("blob", every.alias("scanned"), F.sort_array(F.concat(F.coalesce("found", none), F.coalesce("known", none))).alias("spans"))
-    return paths, rows.unionByName(ledger.select("blob", "scanned", "spans").join(blobs, "blob", "left_anti"))
+    kinds = F.array(*[F.lit(k) for k, *_ in rules])
+    force = F.lit(False)
+    for k, v, *_ in rules:
+        force |= (F.col("kind") == k) & (F.col("version") == v)
+    hits = ledger.where(force & (F.size("spans") > 0)).withColumn("number", F.array_position(kinds, F.col("kind")).cast("int"))
+    hits = hits.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("number").alias("kind"), s["end"].alias("end")))))).alias("spans"))
+    out = addressed(docs, text_col).join(small(hits, 256), "blob", "left")
+    return out.select("row", "text", F.coalesce("spans", F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("spans"))
 
 
-def findings(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_spans``: (start, kind number from 1, end) of every finding in its text, in order.
+def digest(docs: DataFrame, ledger: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row."""
+    rows = findings(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ledger, rules=rules)
+    name = F.array(*[F.lit(k) for k, *_ in rules])
+    shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(name, s["kind"] - 1), s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"] <= len(BASE))
+    count = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
+    return rows.select("row.doc_id", *[count(i + 1).alias(f"n_{k}") for i, (k, *_) in enumerate(BASE)], F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
 
-    A null text is empty. Paths whose blob has no finding get an empty array. Findings are joined by content address;
-    an address held by very many paths is a skewed key of that join, whose other side has one row.
+def history(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger of two runs: first a half of all rows under the base rules, then all rows under all rules.
+
+    The second run scans blobs it has not met under every rule, and known ones under the added rules alone.
     """
-    if ledger is None:  # all that is known is found now
-        paths, rows = _scanned(docs, None, text_col, RULES)
-        rows = rows.withColumnRenamed("found", "spans")
-    else:
-        paths, rows = update(docs, ledger, text_col)
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    out = paths.drop("_text").join(rows.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "_blob", "left")
-    return out.withColumn("_spans", F.coalesce("_spans", none)).drop("_blob")
+    early = docs.where(F.coalesce(F.pmod(F.xxhash64(id_col), F.lit(2)) == 0, F.lit(False)))
+    return update(docs, update(early, None, text_col, BASE), text_col, RULES)
 
 
-def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row."""
-    rows = findings(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    name = F.array(*[F.lit(k) for k in KINDS])
-    text = F.array_join(F.transform("_spans", lambda s: F.concat_ws(":", F.get(name, s["kind"] - 1), s["start"], s["end"])), ",")
-    count = lambda i: F.size(F.filter("_spans", lambda s: s["kind"] == i)).cast("long")
-    return rows.select("doc_id", *[count(i + 1).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(text, 256).alias("base_sha256"), text.alias("spans"))
-
-
-def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of its text replaced by ``mark``; spans that overlap are replaced together."""
-    columns = docs.columns
-    rows = findings(docs.withColumn("_source", F.col(text_col)), text_col="_source")
-    text = F.col("_source").cast("string")
-    step = lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(F.concat(acc["text"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("text"), s["end"].alias("at"))).otherwise(F.struct(acc["text"].alias("text"), F.greatest(acc["at"], s["end"]).alias("at")))
-    done = F.aggregate("_spans", F.struct(F.lit("").alias("text"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["text"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return rows.withColumn(text_col, F.when(F.size("_spans") > 0, done).otherwise(F.col("_source"))).select(*columns)
+def redacted(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every span of its text replaced by ``mark``; spans that overlap are replaced together.
+
+    Scans what ``ledger`` lacks first. Null texts stay null. Any column names are allowed; repeated rows stay repeated.
+    """
+    rows = findings(docs, update(docs, ledger, text_col), text_col)
+    step = lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(F.concat(acc["text"], F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("text"), s["end"].alias("at"))).otherwise(F.struct(acc["text"].alias("text"), F.greatest(acc["at"], s["end"]).alias("at")))
+    done = F.aggregate("spans", F.struct(F.lit("").alias("text"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["text"], F.substring("text", acc["at"] + 1, F.length("text"))))
+    own = lambda c: F.col("row").getField(c)
+    return rows.select(*[(F.when(F.size("spans") > 0, done).otherwise(own(c).cast("string")) if c == text_col else own(c)).alias(c) for c in docs.columns])

@@ -204,6 +204,18 @@ class Texts:
             found.append((doc + i, first, last, key))
         self.doc, self.first, self.last, self.key = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int64, np.int64, np.int64, np.uint64), zip(*found) if found else ((),) * 4))
 
+    def prints(self, start: np.ndarray, size: np.ndarray, reach: int = 1 << 20) -> np.ndarray:
+        """Hashes of data[start : start + size], looking at about ``reach`` bytes at once."""
+        order = np.argsort(start, kind="stable")
+        cut = np.flatnonzero(np.diff(start[order] // reach)) + 1
+        out = np.empty(len(start), np.uint64)
+        for own in np.split(order, cut):
+            if len(own):
+                a, b = start[own], start[own] + size[own]
+                low = int(a[0])
+                out[own] = common.span_hashes(self.data[low : int(b.max())], a - low, b - low)
+        return out
+
 
 def _ask(length: int, seed: int, ranges: int):
     """A block's distinct minimizers with the number of its texts that have them, one row a hash range."""
@@ -267,7 +279,7 @@ def _pieces(length: int, seed: int, ranges: int):
         doc = np.concatenate([texts.doc[plain], np.repeat(texts.doc[crowded], n)])
         size = np.concatenate([(texts.last - texts.first)[plain] + length - 1, np.full(len(single), length)])
         start = np.concatenate([start[plain], single])
-        print_ = common.span_hashes(texts.data, start, start + size)
+        print_ = texts.prints(start, size)
         key = np.concatenate([texts.key[plain], mixed(print_[plain.sum() :] ^ _WINDOW)])
         order = np.lexsort((size, print_, key))
         head = np.ones(len(order), bool)
