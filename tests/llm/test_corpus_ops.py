@@ -97,6 +97,10 @@ def test_jaccard_join(spark, docs, rows, empty):
     assert ngram_jaccard.jaccard_join(empty).count() == 0
     twice = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (None, "a b c d e f", "x"), (2, None, "x")], "doc_id long, text string, token string")
     assert sorted((r["doc_id"], r["component_id"]) for r in ngram_jaccard.jaccard_join(twice).collect()) == [(1, 1), (1, 1), (2, 2)]
+    # one id with two texts, each of another group
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    two = spark.createDataFrame([(5, a), (5, b), (5, b), (3, a + " end"), (4, b + " end"), (9, a + " more")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in ngram_jaccard.jaccard_join(two).collect()) == [(3, 3), (4, 4), (5, 3), (5, 4), (5, 4), (9, 3)]
 
 
 def cut_sentences(t, long=25):
@@ -381,6 +385,51 @@ def test_decontamination_of_indented_copies(spark):
     assert got == {1: (0, 12, 12 + size), 3: (0, 4, len(item))}
 
 
+def fold(t):
+    return re.sub(rb"[ \t-\r]+", b" ", t.translate(LOW).encode())
+
+
+def all_places(text, item, k):
+    """The least number of edits with which the item is anywhere in the text, if at most k (Sellers' algorithm)."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(text):
+            last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+    return min(row) if min(row) <= k else None
+
+
+def test_decontamination_against_all_places(spark):
+    r = random.Random(12)
+    items = ["".join(r.choice("abcdefgh ") for _ in range(n)).strip() or "a" for n in (1, 3, 8, 15, 22, 24, 27, 29, 30, 31, 33, 40, 47, 60, 90)]
+    texts = []
+    for item in items:
+        k = int(0.1 * len(item)) if len(item) >= 24 else 0
+        for n in range(k + 2):
+            t = list(item)
+            step = max(1, len(t) // (n + 1))
+            for e in range(n):
+                t[min(len(t) - 1, (e + 1) * step - 1)] = r.choice("xyz")  # edits spread so that no long q-gram is left
+            texts.append("".join(r.choice("ijklm ") for _ in range(40)) + " " + "".join(t) + " " + "".join(r.choice("ijklm ") for _ in range(30)))
+    texts += ["x" + items[3] + "y", items[2], None, "", "ab" * 30000 + " " + items[-1] + "  " + "ba" * 30000]
+    df = spark.createDataFrame([(7 if i % 9 == 8 else i, t) for i, t in enumerate(texts)] + [(None, items[-1])], "doc_id long, text string")
+    bench = spark.createDataFrame([(f"k{i}", t) for i, t in enumerate(items)] + [("blank", "  ")], "item_id string, text string")
+    want = []
+    for i, t in [*((7 if i % 9 == 8 else i, t) for i, t in enumerate(texts)), (None, items[-1])]:
+        for k, item in enumerate(items):
+            item, text = fold(item), fold(t or "")
+            if len(text) > 10000:
+                edits = 0 if item in text and len(item) >= 24 or re.search(rb"(?<![a-z])" + item + rb"(?![a-z])", text) else None
+            elif len(item) < 24:
+                edits = 0 if re.search(rb"(?<![a-z])(?=\S)" + item + rb"(?![a-z])", text) else None
+            else:
+                edits = all_places(text, item, int(0.1 * len(item)))
+            if edits is not None:
+                want.append((i, f"k{k}", edits))
+    got = [(x["doc_id"], x["item_id"], x["n_edits"]) for x in decontamination.leaks(df, bench).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(want) > 40
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
@@ -437,6 +486,16 @@ def test_suffix_dedup_passage_repeated_in_a_text(spark, seed):
     assert got == kept_bytes({i: t.encode() for i, t in enumerate(texts)})
 
 
+def test_suffix_dedup_of_periodic_texts(spark):
+    r = random.Random(5)
+    prose = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    texts = [prose(20) + p * r.randint(20, 90) + prose(9) for p in ("ha! ", "Thatthantioned. ", "z", prose(34), prose(40)) for _ in range(4)] + ["z" * 60, "z" * 49 + "y", "a" * 3000]
+    r.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.repeats_removed(df, block_bytes=5000).collect()}
+    assert got == kept_bytes({i: t.encode() for i, t in enumerate(texts)})
+
+
 def test_suffix_dedup_odd_ids(spark):
     r = random.Random(3)
     prose = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
@@ -516,6 +575,81 @@ def test_secret_ledger_of_clean_and_absent_blobs(spark):
     assert [r["spans"] for r in secrets.digest(df, third, rules=new).orderBy("doc_id").collect()] == ["", "assign:6:11", "access:0:20", "", "assign:7:13"]
 
 
+AWKWARD = "_spans string, _text string, _blob string, _source string, _other string, _bad string, _row string, _verdict string, row string, id long, key string, blob string, spans string, part int"
+
+
+def awkward_rows():
+    """Null, repeated and negative ids, equal ids with different texts, ties, one very long text."""
+    r = random.Random(9)
+    prose = lambda n: " ".join(" ".join(r.choice(VOCABULARY) for _ in range(r.randint(3, 9))) + "." for _ in range(n))
+    a, b, c = prose(12), prose(12), prose(20)
+    texts = [(1, a), (5, a), (5, b), (-3, c), (-2, c + " " + prose(1)), (None, a), (None, None), (7, None), (8, ""), (9, " \n"), (10, "12 34"), (10, "12 34"), (11, prose(9000)), (12, "token=abcdef1 " + prose(3)), (13, a.replace("n", "m", 1)), (13, a.replace("n", "m", 1))]
+    return [(i, t, "xx", 3) for i, t in texts]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    names = [x.split()[0] for x in AWKWARD.split(", ")]
+    df = spark.createDataFrame(awkward_rows(), "doc_id long, text string, lang string, n_chars long").repartition(3)
+    return df.select("*", *[F.lit(7 if n in ("id", "part") else f"secret of {n}").alias(n) for n in names])
+
+
+def test_operators_on_awkward_rows(spark, awkward):
+    texts = [(i, t) for i, t, *_ in awkward_rows()]
+    key = lambda rows: sorted(map(repr, rows))
+    learnt = F.col("doc_id").isNotNull()
+    assert key(r["doc_id"] for r in lm_scoring.scored(awkward, learnt).collect()) == key(i for i, _ in texts)
+    got = sentence_spans.removed(awkward).collect()
+    assert key(r["doc_id"] for r in got) == key(i for i, _ in texts)
+    # (5, b) and null ids share nothing; (5, a) and both rows of 13 repeat what 1 has
+    assert sorted(r["n_removed"] > 0 for r in got if r["doc_id"] == 5) == [False, True]
+    assert all(r["n_removed"] == 0 for r in got if r["doc_id"] in (None, 1, 7, 8, 9, 10, 11, 12, -3))
+    raw = {}
+    for k, (i, t) in enumerate(sorted((x for x in texts if x[0] is not None), key=lambda x: x[0])):
+        raw[k] = (i, (t or "").encode())
+    first = {}
+    for i, b in raw.values():
+        for p in range(len(b) - 49):
+            first.setdefault(b[p : p + 50], i)
+    want = []
+    for i, b in raw.values():
+        gone = bytearray(len(b))
+        for p in range(len(b) - 49):
+            if first[b[p : p + 50]] < i:
+                gone[p : p + 50] = b"\1" * 50
+        want.append((i, len(b), sum(gone)))
+    assert key((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.repeats_removed(awkward).collect()) == key(want)
+    groups = ngram_jaccard.jaccard_join(awkward).collect()
+    assert key(r["doc_id"] for r in groups) == key(i for i, _ in texts if i is not None)
+    assert sorted(r["component_id"] for r in groups if r["doc_id"] in (1, 5, 13)) == [1, 1, 1, 1, 5] and all(r["component_id"] == r["doc_id"] for r in groups if r["doc_id"] in (7, 8, 9, 11, 12))
+    assert hash_tree.shard(awkward).count() == len(texts)
+    packed = packing.pack(awkward, public_tokenizers.path("byte_bpe_50k.json")).where("piece = 0")
+    assert key(r["doc_id"] for r in packed.collect()) == key(i for i, _ in texts)
+    spans = secrets.digest(awkward, secrets.history(awkward)).collect()
+    assert key((r["doc_id"], r["n_assign"]) for r in spans) == key((i, int(i == 12)) for i, _ in texts)
+    item = spark.createDataFrame([(1, texts[3][1][:200])], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontamination.leaks(awkward, item).collect()) == [-3, -2]
+    assert key(r["_row"]["doc_id"] for r in language_id.predict(awkward, language_id.train(awkward), F.struct("*")).collect()) == key(i for i, _ in texts)
+
+
+def test_stages_on_awkward_rows(spark, sf_dir, awkward):
+    import corpus_pipeline
+
+    texts = [i for i, t, *_ in awkward_rows()]
+    left = {"language_id": [i for i, t, *_ in awkward_rows() if t and re.search("[a-z]", t)]}
+    left["ngram_jaccard_join"] = [i for k, (i, *_) in enumerate(awkward_rows()) if i not in (13, -2) and k != 1]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, awkward, sf_dir)
+        assert out.columns == awkward.columns
+        rows = out.collect()
+        assert sorted(map(repr, (r["doc_id"] for r in rows))) == sorted(map(repr, left.get(name, texts)))
+        assert all(r["_source"] == "secret of _source" and r["id"] == 7 for r in rows)
+        if name == "secret_scans":
+            assert all(r["text"].startswith("[SECRET] ") for r in rows if r["doc_id"] == 12) and all(r["n_chars"] == (len(r["text"]) if r["text"] is not None else 3) for r in rows)
+        assert stage(spark, awkward.limit(0), sf_dir).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, awkward, sf_dir).where("piece = 0").count() == len(texts)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 

@@ -3,7 +3,8 @@
 An item of m characters that occurs in a text with at most k = max_error * m edits shares at least m + 1 - q * (k + 1) of
 its q-grams with the place, all on diagonals within k of each other. Shared q-grams are counted in overlapping bands of
 diagonals; a band under the bound cannot hold a match and is dropped, the rest is aligned in a band around it. To keep
-counts short an item's most common q-grams are left out and the bound is lowered by as many, which loses nothing.
+counts short an item's most common q-grams are left out and the bound is lowered by as many, which loses nothing. An item
+too short for the bound to be above zero takes the longest q for which it is.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 #: A-Z in lower case, white space as blank.
 _FOLD = common.LOWER.copy()
 _FOLD[[9, 10, 11, 12, 13]] = 32
+#: Bytes of letters, digits and of all that is not ASCII.
+_WORD = np.array([chr(b).isalnum() or b > 127 for b in range(256)])
 
 
 def _grams(data: np.ndarray, q: int) -> np.ndarray:
@@ -34,10 +37,10 @@ def _grams(data: np.ndarray, q: int) -> np.ndarray:
 class ItemIndex:
     """The q-grams of a block of benchmark items, with places, bounds and a bit table for quick misses."""
 
-    def __init__(self, ids: list, texts: list[str], q: int, max_error: float, spare: int = 32):
-        self.q, self.ids = q, ids
-        self.items = [_FOLD[np.frombuffer(" ".join(t.split()).encode(), np.uint8)] for t in texts]
-        self.edits = np.array([int(max_error * len(x)) for x in self.items], np.int64)
+    def __init__(self, ids: list, items: list[np.ndarray], edits: list[int], whole: list[bool], q: int, spare: int = 32):
+        """whole: of items that count only where no word goes on before or after them."""
+        self.q, self.ids, self.items, self.whole = q, ids, items, whole
+        self.edits = np.array(edits, np.int64)
         own = [_grams(x, q) for x in self.items]
         every = np.concatenate([np.zeros(0, np.uint64), *own])
         kinds, counts = np.unique(every, return_counts=True)
@@ -102,9 +105,14 @@ class ItemIndex:
         """(edits, start, end) of the best match of the item on diagonals near the band, or None over the budget."""
         pattern, k = self.items[item], int(self.edits[item])
         low = max(0, diagonal - k)
-        at = text[low : max(0, diagonal + 2 * self.band + k + len(pattern))].tobytes().find(pattern.tobytes())
+        near = text[low : max(0, diagonal + 2 * self.band + k + len(pattern))].tobytes()
+        at = near.find(pattern.tobytes())
+        while at >= 0 and self.whole[item] and not _apart(text, low + at, low + at + len(pattern)):
+            at = near.find(pattern.tobytes(), at + 1)
         if at >= 0:
             return 0, low + at, low + at + len(pattern)
+        if not k:
+            return None
         a, width = diagonal - k, 2 * self.band + 2 * k + 1
         far = len(pattern) + 1
         column = np.arange(width)
@@ -132,6 +140,26 @@ class ItemIndex:
         return (edits, int(start[end]), a + end + len(pattern)) if edits <= k else None
 
 
+def _apart(text: np.ndarray, start: int, end: int) -> bool:
+    """Whether no letter, digit or byte of another script touches text[start:end]."""
+    return not ((start and _WORD[text[start - 1]] and _WORD[text[start]]) or (end < len(text) and _WORD[text[end]] and _WORD[text[end - 1]]))
+
+
+def indexes(ids: list, texts: list[str], q: int, max_error: float, least: int) -> list[ItemIndex]:
+    """The items by the q they can be found with; those under ``least`` bytes have no edits and must be whole words."""
+    by: dict[int, tuple[list, ...]] = {}
+    for key, text in zip(ids, texts):
+        item = _FOLD[np.frombuffer(" ".join(text.split()).encode(), np.uint8)]
+        if not len(item):
+            continue
+        short = len(item) < least
+        edits = 0 if short else int(max_error * len(item))
+        own = by.setdefault(max(1, min(q, len(item) // (edits + 1))), ([], [], [], []))
+        for column, value in zip(own, (key, item, edits, short)):
+            column.append(value)
+    return [ItemIndex(*own, q=size) for size, own in sorted(by.items())]
+
+
 def _collapsed(data: np.ndarray, offsets: np.ndarray):
     """(data, offsets, places): folded texts with runs of blanks as one, and where each byte was before."""
     again = np.zeros(len(data), bool)
@@ -143,26 +171,28 @@ def _collapsed(data: np.ndarray, offsets: np.ndarray):
 
 def _matches(held):
     def run(batches):
-        index = held.value
-        for batch in sliced(batches):
-            data, offsets = common.buffers(batch.column(1))
-            was = offsets
-            data, offsets, places = _collapsed(_FOLD[data], offsets)
-            best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for doc, item, diagonal in index.regions(data, offsets):
-                if best.get((doc, item), (1,))[0] == 0:
-                    continue
-                got = index.aligned(data[offsets[doc] : offsets[doc + 1]], item, diagonal)
-                if got and got < best.get((doc, item), (1 << 60,)):
-                    best[doc, item] = got
-            for (doc, item), (edits, start, end) in best.items():
-                best[doc, item] = edits, int(places[offsets[doc] + start] - was[doc]), int(places[offsets[doc] + end - 1] + 1 - was[doc])
-            ids = batch.column(0).to_pylist()
-            keys = list(best)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[d] for d, _ in keys], batch.schema.field(0).type), pa.array([index.ids[i] for _, i in keys], pa.int64()), *(pa.array([best[k][j] for k in keys], pa.int64()) for j in range(3))],
-                ["doc_id", "item_id", "n_edits", "start_byte", "end_byte"],
-            )
+        for batch in batches:
+            schema = batch.schema
+            for part in sliced([batch]):
+                data, offsets = common.buffers(part.column(1))
+                was = offsets
+                data, offsets, places = _collapsed(_FOLD[data], offsets)
+                ids = part.column(0).to_pylist()
+                for index in held.value:
+                    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+                    for doc, item, diagonal in index.regions(data, offsets):
+                        if best.get((doc, item), (1,))[0] == 0:
+                            continue
+                        got = index.aligned(data[offsets[doc] : offsets[doc + 1]], item, diagonal)
+                        if got and got < best.get((doc, item), (1 << 60,)):
+                            best[doc, item] = got
+                    for (doc, item), (edits, start, end) in best.items():
+                        best[doc, item] = edits, int(places[offsets[doc] + start] - was[doc]), int(places[offsets[doc] + end - 1] + 1 - was[doc])
+                    keys = list(best)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([ids[d] for d, _ in keys], schema.field(0).type), pa.array([index.ids[i] for _, i in keys], pa.string()), *(pa.array([best[k][j] for k in keys], pa.int64()) for j in range(3))],
+                        ["doc_id", "item_id", "n_edits", "start_byte", "end_byte"],
+                    )
 
     return run
 
@@ -171,27 +201,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_error: float = 0.1, q: int
     """doc_id, item_id, n_edits, start_byte, end_byte: for every text and item the best match within the edit budget.
 
     Texts and items are compared as UTF-8 bytes with A-Z in lower case and white space as blanks, runs of it as one;
-    start_byte and end_byte count in the text as it is. Null texts match nothing; null items and items under ``least`` bytes are left out, as chance would match them.
-    Repeated ids are searched each for itself. Items go to the tasks in blocks whose text stays under a bound.
+    start_byte and end_byte count in the text as it is. Null texts match nothing; null and blank items are left out. Items
+    under ``least`` bytes, which chance would match with edits, are found only as they are, where no word goes on before
+    or after them. Repeated ids are searched each for itself, repeated items give a row each. Items go to the tasks in
+    blocks whose text stays under a bound.
     """
     spark = docs.sparkSession
     lean(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id long, n_edits long, start_byte long, end_byte long"
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and octet_length(text) >= %d" % least)
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id string, n_edits long, start_byte long, end_byte long"
+    kind = benchmark.schema["item_id"].dataType
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = 1 + 40 * size // BROADCAST_BYTES  # an index takes up to 40 bytes for each byte of text
     out = None
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        held = spark.sparkContext.broadcast(ItemIndex([r["item_id"] for r in own], [r["text"] for r in own], q, max_error))
+        held = spark.sparkContext.broadcast(indexes([r["item_id"] for r in own], [r["text"] for r in own], q, max_error, least))
         found = rows.mapInArrow(_matches(held), schema)
         out = found if out is None else out.union(found)
-    return out
+    return out.withColumn("item_id", F.col("item_id").cast(kind))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item; rows with a null id are judged as one document."""
-    bad = leaks(docs, benchmark, id_col=id_col, **options).select("doc_id").distinct()
-    rows = docs.select(F.col(id_col).alias("id"), F.struct("*").alias("row"))
-    return rows.join(bad, F.col("id").eqNullSafe(F.col("doc_id")), "left_anti").select("row.*")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows whose text holds a benchmark item; each row is judged by its own text."""
+    key = F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
+    bad = leaks(docs.select(key.alias("key"), F.col(text_col).alias("text")), benchmark, id_col="key", **options).select(F.col("doc_id").alias("key")).distinct()
+    return docs.select(key.alias("key"), F.struct("*").alias("row")).join(bad, "key", "left_anti").select("row.*")

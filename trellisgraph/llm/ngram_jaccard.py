@@ -20,12 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from trellisgraph.llm import common
-from trellisgraph.llm.common import lean, mixed, parts, saved, sliced, small
+from trellisgraph.llm.common import lean, mixed, saved, sliced, small
 from trellisgraph.llm.links import components
 
+#: Shingles whose sampled hashes one bucket holds, in mean.
+SHINGLES = 1 << 20
+
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) | 1 for k in range(1, 65)], dtype=object)
 
 
@@ -69,7 +71,7 @@ def _fingerprints(width: int):
             for batch in sliced([whole]):
                 sets = shingle_sets(batch.column(1), width)
                 both = [_prints(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in both], pa.int64()), pa.array([x[1] for x in both], pa.int64())], ["doc_id", "n_shingles", "f1", "f2"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in both], pa.int64()), pa.array([x[1] for x in both], pa.int64())], ["doc_id", "text_hash", "n_shingles", "f1", "f2"])
 
     return run
 
@@ -129,13 +131,17 @@ def _shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"f1": pa.array(hit, pa.int64()), "n": pa.array(n, pa.int64())})
 
 
-def _members(width: int):
+def _members(width: int, most: int = 1 << 17):
+    """(class, shingle) of every text, a bounded number at once."""
+
     def run(batches):
         for batch in sliced(batches):
-            sets = shingle_sets(batch.column(1), width)
-            ids = np.repeat(np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64), [len(s) for s in sets])
-            if len(ids):
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64))], ["id", "token"])
+            sets = [s for s in shingle_sets(batch.column(0), width) if len(s)]
+            ids = np.repeat(np.array([_prints(s)[0] for s in sets], np.int64), [len(s) for s in sets])
+            every = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            del sets
+            for a in range(0, len(ids), most):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + most]), pa.array(every[a : a + most])], ["id", "token"])
 
     return run
 
@@ -175,34 +181,38 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_links(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(classes, links): classes has doc_id, n_shingles, rep (the least doc_id with an equal set; null for an empty
-    set); links has verified pairs of representatives that connect every group of linked sets.
+    """(rows, links): rows has doc_id, text_hash, n_shingles, class (a print of the set; null for an empty one) and rep (the least
+    doc_id with an equal set); links has verified pairs of classes that connect every group of linked sets.
 
-    Nulls: a null text is empty; rows with a null id are left out. Rows that repeat an id count as copies. An empty
-    table gives empty results; other columns are not read. Links inside a family that its leader already connects
-    are not listed. Hashes have 64 bits: two different shingles of a compared pair are taken for equal with a
-    probability of about n * m / 2**64.
+    Nulls: a null text is empty; rows with a null id are left out. Rows that repeat an id stand each for their own set. An
+    empty table gives empty results; other columns are not read. Links inside a family that its leader already connects
+    are not listed. Hashes have 64 bits: two different shingles of a compared pair, or two sets, are taken for equal with
+    a probability of about n * m / 2**64.
     """
     spark = docs.sparkSession
     lean(spark)
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    prints = saved(base.mapInArrow(_fingerprints(width), "doc_id long, n_shingles long, f1 long, f2 long"))
+    hashed = base.withColumn("text_hash", F.xxhash64("text"))
+    prints = saved(hashed.mapInArrow(_fingerprints(width), "doc_id long, text_hash long, n_shingles long, f1 long, f2 long"))
     reps = prints.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    classes = prints.join(reps, ["f1", "f2", "n_shingles"], "left").select("doc_id", "n_shingles", "rep")
+    classes = prints.join(reps, ["f1", "f2", "n_shingles"], "left").select("doc_id", "text_hash", "n_shingles", F.when(F.col("rep").isNotNull(), F.col("f1")).alias("class"), "rep")
 
-    buckets = max(16, 2 * parts(spark))
+    # a bucket holds the sampled hashes of a bounded number of shingles
+    total = prints.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    buckets = max(16, int(total) // SHINGLES)
     dealt = base.select("text").mapInArrow(_samples(width, percent, buckets), "bucket int, x binary, y binary")
     counts = dealt.groupBy("bucket").applyInArrow(_shared, "f1 long, n long").groupBy("f1").agg(F.sum("n").alias("hits"))
-    alive = saved(reps.join(counts, "f1").where(F.col("hits") >= F.greatest(F.lit(1), F.expr("n_shingles div 8"))).select(F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n")))
+    alive = saved(reps.join(counts, "f1").where(F.col("hits") >= F.greatest(F.lit(1), F.expr("n_shingles div 8"))).select(F.col("f1").alias("id"), F.col("n_shingles").alias("n"), F.col("rep").alias("doc_id")))
 
-    # a repeated id must not count its shingles twice; the check reads ids only
+    # rows that repeat an id may bring a set twice, or one that is not alive
     repeats = prints.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    kept = base.join(small(alive.select("doc_id"), 16), "doc_id", "left_semi").select("doc_id", "text")
-    tokens = kept.dropDuplicates(["doc_id"]).mapInArrow(_members(width), "id long, token long") if repeats else kept.mapInArrow(_members(width), "id long, token long")
-    df = F.count("*").over(Window.partitionBy("token"))
-    common_tokens = tokens.withColumn("df", df).where("df > 1")
-    grouped = common_tokens.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    rich = saved(grouped.join(alive.toDF("id", "n"), "id").where(F.expr(f"size(t) >= ({percent} * n + 99) div 100")).select("id", "n", F.transform("t", lambda x: x["token"]).alias("tokens")))
+    tokens = base.join(small(alive.select("doc_id"), 16), "doc_id", "left_semi").select("text").mapInArrow(_members(width), "id long, token long")
+    if repeats:
+        tokens = tokens.distinct().join(alive.select("id"), "id", "left_semi")
+    tokens = saved(tokens)
+    often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    grouped = tokens.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    rich = saved(grouped.join(alive.select("id", "n"), "id").where(F.expr(f"size(t) >= ({percent} * n + 99) div 100")).select("id", "n", F.transform("t", lambda x: x["token"]).alias("tokens")))
     sets = rich.select("id", "n", "tokens").mapInArrow(_packed, "id long, n long, members binary")
 
     # Index lists over the prefix: positions count the rare members that no other set has.
@@ -211,14 +221,15 @@ def jaccard_links(docs: DataFrame, percent: int = 75, width: int = 5, id_col: st
     index = rich.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")).select("id", "n", "band", F.posexplode(F.slice("tokens", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))).alias("pos", "token"), unshared.alias("skip"))
     index = saved(index.select("token", "band", "id", "n", (F.col("pos") + F.col("skip")).alias("pos")))
 
-    leader = F.min("id").over(Window.partitionBy("token", "band"))
-    stars = index.withColumn("a", leader).where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    leader = index.groupBy("token", "band").agg(F.min("id").alias("a"))
+    stars = index.join(leader, ["token", "band"]).where("a <> id").select("a", F.col("id").alias("b")).distinct()
     star_links = saved(verified(stars, sets, percent))
     family = saved(components(star_links).toDF("id", "family"))
 
     # Lists that reach more than one family, as blocks of one family, size band and position band.
     entries = index.join(family, "id", "left").withColumn("family", F.coalesce("family", "id"))
-    entries = entries.withColumn("cell", F.expr("pmod(xxhash64(id), 1 + count(*) over (partition by token, band, family) div 256)"))
+    cells = entries.groupBy("token", "band", "family").agg(F.expr("1 + count(*) div 256").alias("cells"))
+    entries = entries.join(cells, ["token", "band", "family"]).withColumn("cell", F.expr("pmod(xxhash64(id), cells)"))
     blocks = entries.groupBy("token", "band", "family", "cell").agg(F.collect_list(F.struct("id", "n", "pos")).alias("of"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.expr("n - pos")).alias("rest"))
     several = blocks.groupBy("token").agg(F.count_distinct("family").alias("families")).where("families > 1").select("token")
     blocks = blocks.join(several, "token", "left_semi")
@@ -233,8 +244,9 @@ def jaccard_links(docs: DataFrame, percent: int = 75, width: int = 5, id_col: st
 
 
 def jaccard_join(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included) for every row."""
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included), text_hash for every row."""
     classes, links = jaccard_links(docs, percent, width, id_col, text_col)
-    of = components(links)
-    out = classes.join(of, F.col("rep") == F.col("node"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    of = saved(components(links))
+    least = of.join(classes.select(F.col("class").alias("node"), "rep").distinct(), "node").groupBy("component").agg(F.min("rep").alias("least"))
+    out = classes.join(of.join(least, "component").select("node", "least"), F.col("class") == F.col("node"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("least", "rep", "doc_id").alias("component_id"), "text_hash")

@@ -146,8 +146,13 @@ def first_documents(segments: list[bytes], firsts: list[int], length: int) -> li
     return out
 
 
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each item, ``count`` numbers long, one after another."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
 def _minimizers(data: np.ndarray, offsets: np.ndarray, length: int, seed: int):
-    """(text, first window, end window, minimizer) of every run of a text's windows with one minimizer."""
+    """(text, first window, end window, minimizer) of every run of at most length - seed + 1 windows with one minimizer."""
     n = len(data) - seed + 1
     wide = length - seed + 1
     if n < wide:
@@ -170,6 +175,10 @@ def _minimizers(data: np.ndarray, offsets: np.ndarray, length: int, seed: int):
     tail = inside.copy()
     tail[:-1] &= (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]) | ~inside[1:]
     first, last = np.flatnonzero(head), np.flatnonzero(tail) + 1
+    # a text of short periods has one minimizer throughout; its segments are cut to the usual length, and become equal
+    n = -(-(last - first) // wide)
+    part = _spread(np.zeros(len(n), np.int64), n)
+    first, last = np.repeat(first, n) + part * wide, np.minimum(np.repeat(first, n) + (part + 1) * wide, np.repeat(last, n))
     return doc[first], first - offsets[doc[first]], last - offsets[doc[first]], least[first]
 
 
@@ -182,11 +191,6 @@ def _unsigned(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(1)).view(np.int64) ^ -(x & np.uint64(1)).view(np.int64)
 
 
-def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """first, first + 1, ... of each item, ``count`` numbers long, one after another."""
-    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-
-
 class Texts:
     """The texts of a block and their segments: text number, first window, end window, minimizer."""
 
