@@ -28,33 +28,40 @@ def _lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def _count(sentence: Column) -> Column:
-    return F.size(F.split(sentence, BLANKS))
+def _one(s: Column, n: Column) -> Column:
+    return F.struct(s.alias("s"), n.alias("n"))
 
 
 def _cut(word: Column) -> Column:
     """The words of a long sentence as shorter ones."""
     n = F.size(word)
     ends = lambda h: F.concat(F.filter(F.sequence(F.lit(1), n - 1), lambda k: F.get(h, k - 1) == F.array_min(F.slice(h, F.greatest(F.lit(1), k - _REACH), F.least(k - 1, F.lit(_REACH)) + 1 + _REACH))), F.array(n))
-    pieces = lambda e: F.transform(e, lambda to, i: _let(F.when(i == 0, 1).otherwise(F.get(e, i - 1) + 1), lambda a: F.array_join(F.slice(word, a, to - a + 1), " ")))
+    pieces = lambda e: F.transform(e, lambda to, i: _let(F.when(i == 0, 1).otherwise(F.get(e, i - 1) + 1), lambda a: _one(F.array_join(F.slice(word, a, to - a + 1), " "), to - a + 1)))
     return _let(F.transform(word, lambda w: F.md5(_lower(w))), lambda h: _let(ends(h), pieces))
 
 
 def sentences(text: Column, long: int = 25) -> Column:
+    """array<struct<s, n>>: the sentences of a text with their words."""
     found = F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(SENTENCE), F.lit(0))
     found = F.filter(F.transform(found, lambda s: F.btrim(s, F.lit(" \t\x0b\x0c\r"))), lambda s: s != "")
-    return F.flatten(F.transform(found, lambda s: _let(F.split(s, BLANKS), lambda w: F.when(F.size(w) <= long, F.array(s)).otherwise(_cut(w)))))
+    return F.flatten(F.transform(found, lambda s: _let(F.split(s, BLANKS), lambda w: F.when(F.size(w) <= long, F.array(_one(s, F.size(w)))).otherwise(_cut(w)))))
 
 
-def spans(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, key, at, n, h1, h2 of every span; ``docs`` has doc_id, key and s, its sentences."""
-    rows = docs.select("doc_id", "key", F.transform("s", _lower).alias("p"), F.transform("s", _count).alias("c"))
+def _reach(c: Column, i: Column, words: int) -> Column:
+    """How many sentences from the i-th on are two at least and have ``words`` words; null if there are too few."""
+    get = lambda k: F.coalesce(F.get(c, i + (k - 1)), F.lit(0))
     enough = lambda a: (a["w"] >= words) & (a["n"] >= 2)
-    reach = lambda i: F.aggregate(F.slice("c", i, max(2, words)), F.struct(F.lit(0).alias("w"), F.lit(0).alias("n")), lambda a, c: F.when(enough(a), a).otherwise(F.struct((a["w"] + c).alias("w"), (a["n"] + 1).alias("n"))))
-    print_ = lambda i, n: _let(F.array_join(F.slice("p", i, n), "\n"), lambda t: F.struct(i.cast("long").alias("at"), n.alias("n"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(3), t).alias("h2")))
-    found = F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: _let(reach(i), lambda a: F.when(enough(a), print_(i, a["n"]))))
-    rows = rows.where(F.size("p") > 1).select("doc_id", "key", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x"))
-    return rows.select("doc_id", "key", "x.*")
+    rest = F.aggregate(F.slice(c, i, max(2, words)), F.struct(F.lit(0).alias("w"), F.lit(0).alias("n")), lambda a, x: F.when(enough(a), a).otherwise(F.struct((a["w"] + x).alias("w"), (a["n"] + 1).alias("n"))))
+    # most runs are short
+    return F.when(i >= F.size(c), None).when(get(0) + get(1) >= words, 2).when(get(0) + get(1) + get(2) >= words, 3).otherwise(_let(rest, lambda a: F.when(enough(a), a["n"])))
+
+
+def spans(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, key, at, n, h1, h2 of every span; ``docs`` has doc_id, key and s, its sentences in lower case."""
+    print_ = lambda i, n: _let(F.array_join(F.slice("p", i, n), "\n"), lambda t: F.struct(i.alias("at"), n.cast("short").alias("n"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(3), t).alias("h2")))
+    found = F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: _let(_reach(F.col("c"), i, words), lambda n: F.when(n.isNotNull(), print_(i, n))))
+    rows = docs.select("doc_id", "key", F.col("s")["s"].alias("p"), F.col("s")["n"].alias("c")).where(F.size("p") > 1)
+    return rows.select("doc_id", "key", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("doc_id", "key", "x.*")
 
 
 def deduplicated(docs: DataFrame, words: int = 20, long: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,16 +73,19 @@ def deduplicated(docs: DataFrame, words: int = 20, long: int = 25, id_col: str =
     meet by hash after a partial aggregation in each task, so a passage that most texts share costs one row a task; the
     join back has one row a hash on the other side and can be split.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), sentences(F.col(text_col), long).alias("s"))
-    every = saved(spans(rows.where("doc_id is not null"), words))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # only ids are read; without repeats an id alone names a row
+    repeats = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    rows = rows.withColumn("key", F.xxhash64("text") if repeats else F.lit(0).cast("long"))
+    every = saved(spans(rows.where("doc_id is not null").select("doc_id", "key", sentences(_lower(F.col("text")), long).alias("s")), words))
     place = F.struct("doc_id", "key", "at")
     first = every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n_all")).where("n_all > 1").select("h1", "h2", "first")
     later = every.join(first, ["h1", "h2"]).where(place != F.col("first"))
     gone = later.groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
     marks = gone.select("doc_id", "key", F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1))).alias("gone"))
-    out = rows.join(marks, ["doc_id", "key"], "left")
-    stay = F.array_except(F.sequence(F.lit(1).cast("long"), F.size("s").cast("long")), F.col("gone"))
-    return out.select("doc_id", "s", F.when(F.col("gone").isNull(), F.col("s")).otherwise(F.transform(stay, lambda i: F.get("s", (i - 1).cast("int")))).alias("kept"))
+    out = rows.join(marks, ["doc_id", "key"], "left").select("doc_id", sentences(F.col("text"), long)["s"].alias("s"), "gone")
+    stay = F.array_except(F.sequence(F.lit(1), F.size("s")), F.col("gone"))
+    return out.select("doc_id", "s", F.when(F.col("gone").isNull(), F.col("s")).otherwise(F.transform(stay, lambda i: F.get("s", i - 1))).alias("kept"))
 
 
 def removed(docs: DataFrame, words: int = 20, long: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
