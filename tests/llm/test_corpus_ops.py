@@ -110,7 +110,7 @@ def cut_sentences(t, long=25):
         if w == [""]:
             continue
         if len(w) <= long:
-            out.append(s.strip(" \t\x0b\x0c\r"))
+            out.append(" ".join(w))
             continue
         h, at = [hashlib.md5(x.translate(LOW).encode()).hexdigest() for x in w], 0
         for k in range(len(w)):
@@ -131,7 +131,7 @@ def sentence_removals(texts):
             if b is None:
                 break
             key = tuple(s[a:b])
-            key = "\n".join(key).translate(LOW)
+            key = " ".join(key).translate(LOW)
             if key in seen:
                 gone |= set(range(a, b))
             seen.add(key)
@@ -143,13 +143,15 @@ def test_sentence_spans(spark, docs, rows, empty):
     r = random.Random(6)
     word = lambda n: " ".join(r.choice(VOCABULARY) + r.choice("abc") for _ in range(n))
     bare, shout = word(70), "!! ".join(word(60).split())
-    extra = [f"{word(9)} {bare} {word(12)}", f"{bare}\n{word(5)}", f"{word(30)}. {shout}", shout.upper(), "spam " * 90, "spam " * 60, f"{word(18)}. {word(3)}"] * 2
+    marks = "...!? " + word(9) + ".\n!! " + word(8) + "?!x.y " + word(7) + "\n\n. \t . " + word(9) + "\u00a0 é. \r\n"
+    extra = [f"{word(9)} {bare} {word(12)}", f"{bare}\n{word(5)}", f"{word(30)}. {shout}", shout.upper(), "spam " * 90, "spam " * 60, f"{word(18)}. {word(3)}", marks, "!!", ". a", "a ."] * 2
     every = sorted((i, t) for i, t, *_ in rows) + [(1000 + k, t) for k, t in enumerate(extra)]
     want = dict(zip((i for i, _ in every), sentence_removals(t for _, t in every)))
     df = spark.createDataFrame([(i, t, "x") for i, t in every], "doc_id long, text string, key string").repartition(3)
-    got = {r["doc_id"]: (r["n_sentences"], r["n_removed"], r["kept_sha256"]) for r in sentence_spans.removed(df).collect()}
-    assert got == want and sum(w[1] for w in want.values()) > 30
-    assert all(want[1000 + k][1] > 0 for k in (1, 3, 7, 8, 9, 10, 11))  # copies without sentence marks, of shouts too
+    for size in (1 << 23, 3000):
+        got = {r["doc_id"]: (r["n_sentences"], r["n_removed"], r["kept_sha256"]) for r in sentence_spans.removed(df, block_bytes=size).collect()}
+        assert got == want and sum(w[1] for w in want.values()) > 30
+    assert all(want[1000 + k][1] > 0 for k in (1, 3, 11, 12, 13, 14, 15))  # copies without sentence marks, of shouts too
     assert sentence_spans.removed(empty).count() == 0
 
 

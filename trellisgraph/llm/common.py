@@ -245,3 +245,23 @@ def steps(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def walked(first: np.ndarray, rest: np.ndarray) -> np.ndarray:
     """The keys that ``steps`` took apart."""
     return np.cumsum(np.concatenate([first, rest]), dtype=np.uint64)
+
+
+def signed(x: np.ndarray) -> np.ndarray:
+    """Whole numbers of either sign as unsigned ones, small where they are near zero."""
+    return (x << 1 ^ x >> 63).view(np.uint64)
+
+
+def unsigned(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(1)).view(np.int64) ^ -(x & np.uint64(1)).view(np.int64)
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each item, ``count`` numbers long, one after another."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+def in_order(answers: pa.Table) -> list[list[np.ndarray]]:
+    """The decoded answers of a block, by range."""
+    order = np.argsort(answers.column("range").to_numpy(), kind="stable")
+    return [decoded(answers.column("answer")[int(i)].as_py()) for i in order]

@@ -1,97 +1,205 @@
-"""Substring dedup by sliding sentence spans, in DataFrame functions.
+"""Substring dedup by sliding sentence spans.
 
-A sentence is a longest run matching ``[^.!?\\n]+[.!?]*``, trimmed, that holds more than blanks. One of more than ``long``
-words, as in text without sentence marks, is cut after each word whose MD5 (A-Z in lower case) is least among the four
-words on either side: equal passages are cut alike wherever they stand. From every sentence the shortest run of at
-least two sentences and ``words`` words is hashed (128 bits, A-Z in lower case); all runs of all texts meet by hash, the
-first by (id, place) stays, and sentences covered by any later run are removed.
+A sentence is a longest run matching ``[^.!?\\n]+[.!?]*`` with its words, between blanks, in their order. One of more than
+``long`` words, as in text without sentence marks, is cut after each word whose MD5 (A-Z in lower case) is least among
+the four words on either side: equal passages are cut alike wherever they stand. From every sentence the shortest run of
+at least two sentences and ``words`` words is hashed, A-Z in lower case; all runs of all texts meet by hash, the first
+by (id, place) stays, and sentences covered by any later run are removed.
+
+Texts are dealt to blocks of bounded size. A block sends each different run once, with the least id that has it, to a
+hash range, which answers with one bit a run: whether the block has the first of all. So a passage that most texts share
+costs a row of a block, not one of a text, wherever it is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from trellisgraph.llm.common import saved
+from trellisgraph.llm import common
+from trellisgraph.llm.common import BLOCK_BYTES, LOWER, SPACE, blocked, coded, decoded, hash_ranges, in_order, lean, range_cuts, signed, spread, steps, text_bytes, unpacked, unsigned, walked
 
-SENTENCE = r"[^.!?\n]+[.!?]*"
-BLANKS = r"[ \t\x0B\f\r]+"
+_MARK = np.zeros(256, bool)
+_MARK[[33, 46, 63]] = True
 _REACH = 4
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, inside lambdas too."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _lower(c: Column) -> Column:
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def _one(s: Column, n: Column) -> Column:
-    return F.struct(s.alias("s"), n.alias("n"))
-
-
-def _cut(word: Column) -> Column:
-    """The words of a long sentence as shorter ones."""
-    n = F.size(word)
-    ends = lambda h: F.concat(F.filter(F.sequence(F.lit(1), n - 1), lambda k: F.get(h, k - 1) == F.array_min(F.slice(h, F.greatest(F.lit(1), k - _REACH), F.least(k - 1, F.lit(_REACH)) + 1 + _REACH))), F.array(n))
-    pieces = lambda e: F.transform(e, lambda to, i: _let(F.when(i == 0, 1).otherwise(F.get(e, i - 1) + 1), lambda a: _one(F.array_join(F.slice(word, a, to - a + 1), " "), to - a + 1)))
-    return _let(F.transform(word, lambda w: F.md5(_lower(w))), lambda h: _let(ends(h), pieces))
-
-
-def sentences(text: Column, long: int = 25) -> Column:
-    """array<struct<s, n>>: the sentences of a text with their words."""
-    found = F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(SENTENCE), F.lit(0))
-    found = F.filter(F.transform(found, lambda s: F.btrim(s, F.lit(" \t\x0b\x0c\r"))), lambda s: s != "")
-    return F.flatten(F.transform(found, lambda s: _let(F.split(s, BLANKS), lambda w: F.when(F.size(w) <= long, F.array(_one(s, F.size(w)))).otherwise(_cut(w)))))
-
-
-def _reach(c: Column, i: Column, words: int) -> Column:
-    """How many sentences from the i-th on are two at least and have ``words`` words; null if there are too few."""
-    get = lambda k: F.coalesce(F.get(c, i + (k - 1)), F.lit(0))
-    enough = lambda a: (a["w"] >= words) & (a["n"] >= 2)
-    rest = F.aggregate(F.slice(c, i, max(2, words)), F.struct(F.lit(0).alias("w"), F.lit(0).alias("n")), lambda a, x: F.when(enough(a), a).otherwise(F.struct((a["w"] + x).alias("w"), (a["n"] + 1).alias("n"))))
-    # most runs are short
-    return F.when(i >= F.size(c), None).when(get(0) + get(1) >= words, 2).when(get(0) + get(1) + get(2) >= words, 3).otherwise(_let(rest, lambda a: F.when(enough(a), a["n"])))
-
-
-def spans(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, key, at, n, h1, h2 of every span; ``docs`` has doc_id, key and s, its sentences in lower case."""
-    print_ = lambda i, n: _let(F.array_join(F.slice("p", i, n), "\n"), lambda t: F.struct(i.alias("at"), n.cast("short").alias("n"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(3), t).alias("h2")))
-    found = F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: _let(_reach(F.col("c"), i, words), lambda n: F.when(n.isNotNull(), print_(i, n))))
-    rows = docs.select("doc_id", "key", F.col("s")["s"].alias("p"), F.col("s")["n"].alias("c")).where(F.size("p") > 1)
-    return rows.select("doc_id", "key", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("doc_id", "key", "x.*")
-
+class Sentences:
+    """The words of some texts, the sentences they make, and the runs that start at sentences."""
+
+    def __init__(self, column: pa.Array, words: int, long: int):
+        data, offsets = common.buffers(column)
+        self.data, n = data, len(data)
+        at, line, starts = np.arange(n), data == 10, np.zeros(n + 1, bool)
+        starts[offsets[:-1]] = True
+        starts = starts[:n]
+        body = ~(_MARK[data] | line)
+        head = body.copy()
+        head[1:] &= ~body[:-1] | starts[1:]
+        sentence = np.cumsum(head) - 1
+        # marks belong to the sentence before them unless a line or a text begins in between
+        since = np.append(np.flatnonzero(head), 0)[sentence]
+        inside = (sentence >= 0) & ~line & (since >= np.maximum.accumulate(np.where(line | starts, at, 0)))
+        letter = inside & ~SPACE[data]
+        first, last = letter.copy(), letter.copy()
+        first[1:] &= ~letter[:-1] | head[1:] | starts[1:]
+        last[:-1] &= ~letter[1:] | head[1:] | starts[1:]
+        self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        low = LOWER[data]
+        print_ = common.span_hashes(low, self.start, self.end)
+        of = sentence[self.start]
+        cut = np.ones(len(of), bool)
+        cut[1:] = of[1:] != of[:-1]
+        size = np.diff(np.append(np.flatnonzero(cut), len(of)))
+        wide = np.flatnonzero(np.repeat(size, size) > long)
+        if len(wide):
+            cut[wide[1:]] |= self._cuts(low, wide, of)
+        self.first = np.flatnonzero(cut)
+        self.stop = np.append(self.first[1:], len(of)).astype(np.int64)
+        self.texts = len(offsets) - 1
+        self.doc = np.searchsorted(offsets, self.start[self.first], "right") - 1
+        to = np.maximum(np.searchsorted(self.stop, self.first + words), np.arange(len(self.first)) + 1)
+        fits = np.flatnonzero(to < len(self.first))
+        fits = fits[self.doc[to[fits]] == self.doc[fits]]
+        #: of each run its first and last sentence and its hash
+        self.a, self.b = fits, to[fits]
+        self.key = common.span_hashes(print_, self.first[self.a], self.stop[self.b])
+
+    def _cuts(self, low: np.ndarray, wide: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Whether each word of long sentences but the first starts a new one: the word before has the least MD5 around."""
+        raw, known = low.tobytes(), {}
+
+        def rank(word: bytes) -> int:
+            if word not in known:
+                known[word] = int.from_bytes(hashlib.md5(word).digest()[:8], "big")
+            return known[word]
+
+        h = np.array([rank(raw[a:b]) for a, b in zip(self.start[wide].tolist(), self.end[wide].tolist())], np.uint64)
+        of = of[wide]
+        least = h.copy()
+        for k in range(1, _REACH + 1):
+            same = of[k:] == of[:-k]
+            least[k:][same] = np.minimum(least[k:][same], h[:-k][same])
+            least[:-k][same] = np.minimum(least[:-k][same], h[k:][same])
+        return (h == least)[:-1] & (of[1:] == of[:-1])
+
+    def kept(self, gone: np.ndarray) -> list[bytes]:
+        """Each text's words of sentences that stay, parted by one blank."""
+        stay = np.repeat(~gone, self.stop - self.first)
+        start, size = self.start[stay], (self.end - self.start)[stay]
+        place = np.cumsum(size + 1) - size - 1
+        out = np.full(int((size + 1).sum()), 32, np.uint8)
+        out[spread(place, size)] = self.data[spread(start, size)]
+        doc = np.repeat(self.doc, self.stop - self.first)[stay]
+        count = np.bincount(doc, weights=size + 1, minlength=self.texts).astype(np.int64)
+        ends = np.cumsum(count)
+        raw = out.tobytes()
+        return [raw[b - n : b - 1] if n else b"" for b, n in zip(ends.tolist(), count.tolist())]
+
+
+class Block:
+    """The sentences of a block, slice by slice, and its runs: place of the text, and number among the different ones."""
+
+    def __init__(self, docs: pa.Table, words: int, long: int):
+        self.batches = unpacked(docs)
+        self.slices = [Sentences(b.column(2), words, long) for b in self.batches]
+        none = np.zeros(0, np.int64)
+        ids = np.concatenate([none, *(np.asarray(b.column(1).to_numpy(zero_copy_only=False), np.int64) for b in self.batches)])
+        self.null = np.concatenate([np.zeros(0, bool), *(np.asarray(b.column(0).is_null()) for b in self.batches)])
+        before = np.cumsum([0, *(s.texts for s in self.slices)])
+        doc = np.concatenate([none, *(s.doc[s.a] + n for s, n in zip(self.slices, before))]).astype(np.int64)
+        key = np.concatenate([np.zeros(0, np.uint64), *(s.key for s in self.slices)])
+        self.run = np.flatnonzero(~self.null[doc])
+        doc, key = doc[self.run], key[self.run]
+        self.keys, self.number = np.unique(key, return_inverse=True)
+        # the first run of each key: least id, then first in the block
+        order = np.lexsort((np.arange(len(doc)), ids[doc], self.number))
+        at = np.flatnonzero(np.diff(self.number[order], prepend=-1))
+        self.firsts = order[at]
+        self.least = ids[doc[self.firsts]]
+
+    def gone(self, own: np.ndarray) -> list[np.ndarray]:
+        """For each slice which sentences go; own: whether the block has the first of all runs of a key."""
+        late = np.ones(len(self.number), bool)
+        late[self.firsts[own]] = False
+        run = np.zeros(sum(len(s.a) for s in self.slices), bool)
+        run[self.run] = late
+        out = []
+        for s, hit in zip(self.slices, np.split(run, np.cumsum([len(s.a) for s in self.slices])[:-1])):
+            change = np.zeros(len(s.first) + 1, np.int64)
+            np.add.at(change, s.a[hit], 1)
+            np.add.at(change, s.b[hit] + 1, -1)
+            out.append(np.cumsum(change)[:-1] > 0)
+        return out
+
+
+def _ask(words: int, long: int, ranges: int):
+    """A block's different runs with the least id of each, one row a hash range."""
+
+    def run(docs: pa.Table) -> pa.Table:
+        block = Block(docs, words, long)
+        cut = range_cuts(block.keys, ranges)
+        asked = [coded(*steps(block.keys[i:j]), signed(block.least[i:j])) for i, j in zip(cut, cut[1:])]
+        return pa.table({"range": pa.array(np.arange(ranges, dtype=np.int32)), "block": pa.array([docs.column("block")[0].as_py()] * ranges, pa.int64()), "asked": pa.array(asked, pa.binary())})
+
+    return run
+
+
+def _owners(table: pa.Table) -> pa.Table:
+    """For each block and key: 1 if no other block has a smaller id with it, or the same id and a lower number."""
+    asked = [decoded(x) for x in table.column("asked").to_pylist()]
+    keys = [walked(a[0], a[1]) for a in asked]
+    size = [len(k) for k in keys]
+    block = np.repeat(table.column("block").to_numpy(), size)
+    key, least = np.concatenate(keys), unsigned(np.concatenate([a[2] for a in asked]))
+    order = np.lexsort((block, least, key))
+    own = np.zeros(len(key), np.int64)
+    own[order[np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))] if len(key) else order] = 1
+    answers = [coded(x) for x in np.split(own, np.cumsum(size)[:-1])]
+    return pa.table({"block": table.column("block"), "range": table.column("range"), "answer": pa.array(answers, pa.binary())})
+
+
+def _results(words: int, long: int, kind: pa.DataType):
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        block = Block(docs, words, long)
+        own = np.concatenate([np.zeros(0, np.uint64), *(a[0] for a in in_order(answers))]) > 0
+        if len(own) != len(block.keys):
+            raise ValueError("a block got other answers than it asked for")
+        out = []
+        for batch, s, gone in zip(block.batches, block.slices, block.gone(own)):
+            count = [np.bincount(x, minlength=s.texts).astype(np.int64) for x in (s.doc, s.doc[gone])]
+            out.append(pa.table({"doc_id": batch.column(0).cast(kind), "n_sentences": count[0], "n_removed": count[1], "kept": pa.array([x.decode() for x in s.kept(gone)], pa.string())}))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def deduplicated(docs: DataFrame, words: int = 20, long: int = 25, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_sentences, n_removed, kept (the words of the sentences that stay, parted by a blank) for every row.
+
+    A null or blank text has no sentence; texts of one sentence, or of fewer than ``words`` words, have no run. A null
+    id takes no part and keeps everything. Ids are whole numbers, of either sign. Rows that repeat an id are judged each
+    by its own text; of equal ones the first in the input stays. Other columns are not read. Runs count as equal if 64
+    bits of hashes are. ``block_bytes`` bounds the text that one task holds; one longer text is held alone.
+    """
+    lean(docs.sparkSession)
+    kind = docs.schema[id_col].dataType
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    ranges = hash_ranges(text_bytes(rows), block_bytes)
+    texts = blocked(rows, block_bytes)
+    asked = texts.groupBy("block").applyInArrow(_ask(words, long, ranges), "range int, block long, asked binary")
+    owners = asked.groupBy("range").applyInArrow(_owners, "block long, range int, answer binary")
+    return texts.groupBy("block").cogroup(owners.groupBy("block")).applyInArrow(_results(words, long, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, n_sentences long, n_removed long, kept string")
 
-def deduplicated(docs: DataFrame, words: int = 20, long: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, s (the sentences) and kept (those that stay) for every row.
 
-    A null or blank text has no sentence; texts of one sentence, or of fewer than ``words`` words, have no span. A null
-    id takes no part and keeps everything. Rows that repeat an id are told apart by their text; rows equal in both are
-    one document and remove nothing from each other. Other columns are not read. Spans are written once; their counts
-    meet by hash after a partial aggregation in each task, so a passage that most texts share costs one row a task; the
-    join back has one row a hash on the other side and can be split.
-    """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # only ids are read; without repeats an id alone names a row
-    repeats = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    rows = rows.withColumn("key", F.xxhash64("text") if repeats else F.lit(0).cast("long"))
-    every = saved(spans(rows.where("doc_id is not null").select("doc_id", "key", sentences(_lower(F.col("text")), long).alias("s")), words))
-    place = F.struct("doc_id", "key", "at")
-    first = every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n_all")).where("n_all > 1").select("h1", "h2", "first")
-    later = every.join(first, ["h1", "h2"]).where(place != F.col("first"))
-    gone = later.groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
-    marks = gone.select("doc_id", "key", F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1))).alias("gone"))
-    out = rows.join(marks, ["doc_id", "key"], "left").select("doc_id", sentences(F.col("text"), long)["s"].alias("s"), "gone")
-    stay = F.array_except(F.sequence(F.lit(1), F.size("s")), F.col("gone"))
-    return out.select("doc_id", "s", F.when(F.col("gone").isNull(), F.col("s")).otherwise(F.transform(stay, lambda i: F.get("s", i - 1))).alias("kept"))
-
-
-def removed(docs: DataFrame, words: int = 20, long: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_sentences, n_removed, kept_sha256 (of the kept sentences, joined by a blank) for every row."""
-    out = deduplicated(docs, words, long, id_col, text_col)
-    return out.select("doc_id", F.size("s").cast("long").alias("n_sentences"), (F.size("s") - F.size("kept")).cast("long").alias("n_removed"), F.sha2(F.array_join("kept", " "), 256).alias("kept_sha256"))
+def removed(docs: DataFrame, words: int = 20, long: int = 25, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_sentences, n_removed, kept_sha256 for every row."""
+    return deduplicated(docs, words, long, block_bytes, id_col, text_col).select("doc_id", "n_sentences", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 ORACLE = r"""
@@ -101,12 +209,12 @@ w AS (SELECT doc_id, no, s, string_split_regex(s, '[ \t\v\f\r]+') AS w FROM x),
 h AS (SELECT doc_id, no, s, w, list_transform(w, lambda y: md5(translate(y, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS h FROM w),
 c AS (SELECT doc_id, no, s, w, list_filter(range(1, len(w)), lambda k: len(w) > 25 AND h[k] = list_min(h[greatest(1, k - 4):k + 4])) AS cut FROM h),
 e AS (SELECT doc_id, no, s, w, list_append(cut, len(w)) AS e FROM c),
-o AS (SELECT doc_id, no, CASE WHEN len(w) <= 25 THEN [s] ELSE list_transform(e, lambda k, i: array_to_string(w[CASE WHEN i = 1 THEN 1 ELSE e[i - 1] + 1 END:k], ' ')) END AS o FROM e),
+o AS (SELECT doc_id, no, list_transform(e, lambda k, i: array_to_string(w[CASE WHEN i = 1 THEN 1 ELSE e[i - 1] + 1 END:k], ' ')) AS o FROM e),
 g AS (SELECT doc_id, flatten(list(o ORDER BY no)) AS s FROM o GROUP BY doc_id),
 p AS (SELECT doc_id, list_transform(s, lambda y: translate(y, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS p, list_transform(s, lambda y: len(string_split_regex(y, '[ \t\v\f\r]+'))) AS c FROM g),
 a AS (SELECT doc_id, p, c, unnest(generate_series(1, len(p))) AS pos FROM p),
 r AS (SELECT doc_id, p, pos, list_filter(range(2, 21), lambda n: pos + n - 1 <= len(p) AND list_sum(c[pos:pos + n - 1]) >= 20)[1] AS n FROM a),
-t AS (SELECT doc_id, pos, n, row_number() OVER (PARTITION BY array_to_string(p[pos:pos + n - 1], chr(10)) ORDER BY doc_id, pos) AS k FROM r WHERE n IS NOT NULL),
+t AS (SELECT doc_id, pos, n, row_number() OVER (PARTITION BY array_to_string(p[pos:pos + n - 1], ' ') ORDER BY doc_id, pos) AS k FROM r WHERE n IS NOT NULL),
 l AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(generate_series(pos, pos + n - 1)) AS i FROM t WHERE k > 1) GROUP BY doc_id),
 f AS (SELECT d.doc_id, coalesce(g.s, []) AS s, gone FROM d LEFT JOIN g USING (doc_id) LEFT JOIN l USING (doc_id)),
 k AS (SELECT doc_id, s, list_filter(s, lambda y, i: NOT coalesce(list_contains(gone, i), false)) AS kept FROM f)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellisgraph.llm import common
-from trellisgraph.llm.common import BLOCK_BYTES, blocked, coded, decoded, hash_ranges, lean, mixed, range_cuts, saved, steps, unpacked, walked
+from trellisgraph.llm.common import BLOCK_BYTES, blocked, coded, decoded, hash_ranges, in_order, lean, mixed, range_cuts, saved, signed, spread, steps, unpacked, unsigned, walked
 
 _WINDOW = np.uint64(0x452821E638D01377)
 
@@ -146,11 +146,6 @@ def first_documents(segments: list[bytes], firsts: list[int], length: int) -> li
     return out
 
 
-def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """first, first + 1, ... of each item, ``count`` numbers long, one after another."""
-    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-
-
 def _minimizers(data: np.ndarray, offsets: np.ndarray, length: int, seed: int):
     """(text, first window, end window, minimizer) of every run of at most length - seed + 1 windows with one minimizer."""
     n = len(data) - seed + 1
@@ -177,20 +172,11 @@ def _minimizers(data: np.ndarray, offsets: np.ndarray, length: int, seed: int):
     first, last = np.flatnonzero(head), np.flatnonzero(tail) + 1
     # a text of short periods has one minimizer throughout; its segments are cut to the usual length, and become equal
     n = -(-(last - first) // wide)
-    part = _spread(np.zeros(len(n), np.int64), n)
+    part = spread(np.zeros(len(n), np.int64), n)
     first, last = np.repeat(first, n) + part * wide, np.minimum(np.repeat(first, n) + (part + 1) * wide, np.repeat(last, n))
     return doc[first], first - offsets[doc[first]], last - offsets[doc[first]], least[first]
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    """Whole numbers of either sign as unsigned ones, small where they are near zero."""
-    return (x << 1 ^ x >> 63).view(np.uint64)
-
-
-def _unsigned(x: np.ndarray) -> np.ndarray:
-    return (x >> np.uint64(1)).view(np.int64) ^ -(x & np.uint64(1)).view(np.int64)
-
-
 class Texts:
     """The texts of a block and their segments: text number, first window, end window, minimizer."""
 
@@ -255,12 +241,6 @@ def _known(crowd: int):
     return run
 
 
-def _in_order(answers: pa.Table) -> list[list[np.ndarray]]:
-    """The decoded answers of a block, by range."""
-    order = np.argsort(answers.column("range").to_numpy(), kind="stable")
-    return [decoded(answers.column("answer")[int(i)].as_py()) for i in order]
-
-
 def _pieces(length: int, seed: int, ranges: int):
     """Different pieces of a block that may hold a repeat, one row a hash range; and one row without pieces, ``places``,
     where they are, which comes back with the answers."""
@@ -271,7 +251,7 @@ def _pieces(length: int, seed: int, ranges: int):
             return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))})
         block = docs.column("block")[0].as_py()
         texts = Texts(docs, length, seed)
-        kind = np.concatenate([np.zeros(0, np.uint64), *(a[0] for a in _in_order(answers))])
+        kind = np.concatenate([np.zeros(0, np.uint64), *(a[0] for a in in_order(answers))])
         keys, number = np.unique(texts.key, return_inverse=True)
         if len(kind) != len(keys):
             raise ValueError("a block got other answers than it asked for")
@@ -279,7 +259,7 @@ def _pieces(length: int, seed: int, ranges: int):
         start = texts.offsets[texts.doc] + texts.first
         plain, crowded = kind == 1, kind == 2
         n = (texts.last - texts.first)[crowded]
-        single = _spread(start[crowded], n)
+        single = spread(start[crowded], n)
         doc = np.concatenate([texts.doc[plain], np.repeat(texts.doc[crowded], n)])
         size = np.concatenate([(texts.last - texts.first)[plain] + length - 1, np.full(len(single), length)])
         start = np.concatenate([start[plain], single])
@@ -302,7 +282,7 @@ def _pieces(length: int, seed: int, ranges: int):
         for r, (i, j) in enumerate(zip(cut, cut[1:])):
             own = some[i:j]
             body = b"".join([raw[a : a + b] for a, b in zip(start[own].tolist(), size[own].tolist())])
-            rows.append((r, coded(*steps(key[own]), size[own], _signed(least[i:j])), pa.compress(body, codec="zstd", asbytes=True), None))
+            rows.append((r, coded(*steps(key[own]), size[own], signed(least[i:j])), pa.compress(body, codec="zstd", asbytes=True), None))
         order = np.lexsort((start, doc))
         rows.append((block % ranges, None, None, coded(piece[order], doc[order], start[order] - texts.offsets[doc[order]])))
         kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
@@ -331,7 +311,7 @@ def _firsts(length: int):
         del bodies
         key = np.concatenate([walked(a[0], a[1]) for a in asked])
         size = np.concatenate([a[2] for a in asked]).astype(np.int64)
-        ids = _unsigned(np.concatenate([a[3] for a in asked]))
+        ids = unsigned(np.concatenate([a[3] for a in asked]))
         print_ = np.concatenate(prints)
         at = np.concatenate([[0], np.cumsum(size)])
         order = np.lexsort((size, print_, key))
@@ -375,8 +355,8 @@ def _firsts(length: int):
         count, value = np.concatenate(count), np.concatenate(value)
         answers = []
         for own in np.split(of, np.cumsum([len(a[2]) for a in asked])[:-1]):
-            take = _spread(base[own], runs[own])
-            answers.append(coded(runs[own], count[take], _signed(value[take])))
+            take = spread(base[own], runs[own])
+            answers.append(coded(runs[own], count[take], signed(value[take])))
         return pa.concat_tables([pa.table({"block": table.column("block"), "range": table.column("range"), "answer": pa.array(answers, pa.binary())}), back])
 
     return run
@@ -429,14 +409,14 @@ def _results(length: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         out: tuple[list, ...] = ([], [], [], [], [])
         own = np.asarray(answers.column("range").to_numpy()) < 0
-        (places,) = _in_order(answers.filter(pa.array(own))) or ([np.zeros(0, np.uint64)] * 3,)
+        (places,) = in_order(answers.filter(pa.array(own))) or ([np.zeros(0, np.uint64)] * 3,)
         piece, doc, start = (x.astype(np.int64) for x in places)
-        found = _in_order(answers.filter(pa.array(~own)))
+        found = in_order(answers.filter(pa.array(~own)))
         runs, count, least = (np.concatenate([np.zeros(0, np.uint64), *(x[k] for x in found)]) for k in range(3))
-        runs, count, least = runs.astype(np.int64), count.astype(np.int64), _unsigned(least)
+        runs, count, least = runs.astype(np.int64), count.astype(np.int64), unsigned(least)
         begin = np.cumsum(runs) - runs
         before = np.cumsum(count) - count
-        take = _spread(begin[piece], runs[piece])
+        take = spread(begin[piece], runs[piece])
         place = np.repeat(np.arange(len(piece)), runs[piece])
         batches = unpacked(docs)
         ids = np.concatenate([np.zeros(0, np.int64), *(np.asarray(b.column(0).to_numpy(), np.int64) for b in batches)])
