@@ -491,11 +491,14 @@ def test_suffix_dedup_passage_repeated_in_a_text(spark, seed):
 def test_suffix_dedup_of_periodic_texts(spark):
     r = random.Random(5)
     prose = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
-    texts = [prose(20) + p * r.randint(20, 90) + prose(9) for p in ("ha! ", "Thatthantioned. ", "z", prose(34), prose(40)) for _ in range(4)] + ["z" * 60, "z" * 49 + "y", "a" * 3000]
+    texts = ["".join("the same seed every time " + prose(14) for _ in range(40)) for _ in range(3)]  # one minimizer, many contexts
+    texts += [texts[0][100:700] + prose(30), prose(10) + texts[1][333:600]]
+    texts += [prose(20) + p * r.randint(20, 90) + prose(9) for p in ("ha! ", "Thatthantioned. ", "z", prose(34), prose(40)) for _ in range(4)] + ["z" * 60, "z" * 49 + "y", "a" * 3000]
     r.shuffle(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.repeats_removed(df, block_bytes=5000).collect()}
-    assert got == kept_bytes({i: t.encode() for i, t in enumerate(texts)})
+    for crowd in (1000, 30):
+        got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.repeats_removed(df, crowd=crowd, block_bytes=5000).collect()}
+        assert got == kept_bytes({i: t.encode() for i, t in enumerate(texts)})
 
 
 def test_suffix_dedup_odd_ids(spark):

@@ -9,8 +9,9 @@ strings in a window. Equal windows have equal minimizers, and consecutive window
 segment. Texts are dealt to blocks of bounded size, and each step asks hash ranges, which answer every block:
 
 1. Equal texts become one class; only the first is looked at, the others go as a whole.
-2. A block sends its distinct minimizers with the number of its texts that have each; a range answers whether a
-   minimizer is in one text only (it cannot hold a repeat), in several, or in more than ``crowd``.
+2. A block sends its distinct minimizers with the number of its texts and of its different segments that have each; a
+   range answers whether a minimizer is in one text only (it cannot hold a repeat), in several, or in more than ``crowd``
+   segments as well.
 3. A block sends each different segment with a shared minimizer once, with its least document. Of a crowded minimizer
    it sends single windows instead, which spread over all ranges by their own hash. Where a range has different segments
    of a minimizer, parts whose strings of half the length no other segment has are cut away, the suffix array of the rest
@@ -208,33 +209,38 @@ class Texts:
 
 
 def _ask(length: int, seed: int, ranges: int):
-    """A block's distinct minimizers with the number of its texts that have them, one row a hash range."""
+    """A block's distinct minimizers, for each how many texts and how many different segments have it, one row a range."""
 
     def run(docs: pa.Table) -> pa.Table:
         texts = Texts(docs, length, seed)
-        order = np.lexsort((texts.doc, texts.key))
-        key, doc = texts.key[order], texts.doc[order]
-        head = np.ones(len(key), bool)
-        head[1:] = key[1:] != key[:-1]
-        fresh = head.copy()
-        fresh[1:] |= doc[1:] != doc[:-1]
-        key, n = key[head], np.bincount((np.cumsum(head) - 1)[fresh])
+        size = texts.last - texts.first + length - 1
+        print_ = texts.prints(texts.offsets[texts.doc] + texts.first, size)
+        counts = []
+        for other in (texts.doc, print_):
+            order = np.lexsort((other, texts.key))
+            key, other = texts.key[order], other[order]
+            head = np.ones(len(key), bool)
+            head[1:] = key[1:] != key[:-1]
+            fresh = head.copy()
+            fresh[1:] |= other[1:] != other[:-1]
+            counts.append(np.bincount((np.cumsum(head) - 1)[fresh]))
+        key = key[head]
         cut = range_cuts(key, ranges)
-        asked = [coded(*steps(key[i:j]), n[i:j]) for i, j in zip(cut, cut[1:])]
+        asked = [coded(*steps(key[i:j]), *(n[i:j] for n in counts)) for i, j in zip(cut, cut[1:])]
         return pa.table({"range": pa.array(np.arange(ranges, dtype=np.int32)), "block": pa.array([docs.column("block")[0].as_py()] * ranges, pa.int64()), "asked": pa.array(asked, pa.binary())})
 
     return run
 
 
 def _known(crowd: int):
-    """For each block and minimizer: 0 if one text of all has it, 1 if several, 2 if more than ``crowd``."""
+    """For each block and minimizer: 0 if one text of all has it, 1 if several, 2 if with more than ``crowd`` segments."""
 
     def run(table: pa.Table) -> pa.Table:
         asked = [decoded(x) for x in table.column("asked").to_pylist()]
         keys = [walked(a[0], a[1]) for a in asked]
         _, number = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(number, weights=np.concatenate([a[2] for a in asked]).astype(np.float64))
-        kind = ((total > 1).astype(np.int64) + (total > crowd))[number]
+        texts, segments = (np.bincount(number, weights=np.concatenate([a[k] for a in asked]).astype(np.float64)) for k in (2, 3))
+        kind = ((texts > 1).astype(np.int64) + ((texts > 1) & (segments > crowd)))[number]
         answers = [coded(x) for x in np.split(kind, np.cumsum([len(k) for k in keys])[:-1])]
         return pa.table({"block": table.column("block"), "range": table.column("range"), "answer": pa.array(answers, pa.binary())})
 
