@@ -171,11 +171,12 @@ def _minimizers(data: np.ndarray, offsets: np.ndarray, length: int, seed: int):
     tail = inside.copy()
     tail[:-1] &= (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]) | ~inside[1:]
     first, last = np.flatnonzero(head), np.flatnonzero(tail) + 1
+    key = mixed(least[first])  # least hashes are small ones; mixed again they spread over all ranges
     # a text of short periods has one minimizer throughout; its segments are cut to the usual length, and become equal
     n = -(-(last - first) // wide)
     part = spread(np.zeros(len(n), np.int64), n)
     first, last = np.repeat(first, n) + part * wide, np.minimum(np.repeat(first, n) + (part + 1) * wide, np.repeat(last, n))
-    return doc[first], first - offsets[doc[first]], last - offsets[doc[first]], least[first]
+    return doc[first], first - offsets[doc[first]], last - offsets[doc[first]], np.repeat(key, n)
 
 
 class Texts:
