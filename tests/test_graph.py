@@ -186,7 +186,7 @@ def test_search(spark, g):
     assert {r["name"] for r in hits} == {"FANUC", "FANUC M-20iA"}
     assert [r["score"] for r in search.fulltext(g.nodes, "anuc M").collect()] == [1.0] or len(search.fulltext(g.nodes, "anuc M").collect()) >= 1
     s = spark.createDataFrame([("fanuc", "FANUC"), ("the fanuc robot", "FANUC"), ("fan", "FANUC"), ("red old robot", "old robot arm"), ("motor12345", "motor12346"), ("x", "completely else")], "q string, n string").select(search.match_score(F.col("q"), F.col("n")).alias("s")).collect()
-    assert [round(x["s"], 3) for x in s] == [100, round(85 + 10 * 5 / 15, 3), 86, 70, round(55 + 0.25 * 10, 3), 0]
+    assert [round(x["s"], 3) for x in s] == [100, round(85 + 10 * 5 / 15, 3), 86, 70, round(55 + 0.25 * (1800 / 19 - 80), 3), 0]
     assert spark.range(1).select(search.longest_common(F.lit("abcxyz"), F.lit("zbcxy")).alias("x")).first()["x"] == "bcxy"
     assert spark.range(1).select(search.indel_ratio(F.lit("abcd"), F.lit("abed")).alias("x")).first()["x"] == 0.75
 
@@ -243,11 +243,12 @@ def test_cad(spark):
 
 
 def test_label_cleaning(spark):
-    e = spark.createDataFrame([(1, "Part", "4-M10"), (1, "Part", "M10"), (1, "Part", "LINE"), (1, "Assembly", "Box")], "sample_id int, type string, name string")
+    e = spark.createDataFrame([(1, "Part", "4-M10"), (1, "Part", " M10螺纹孔"), (1, "Part", "4-M"), (1, "Part", "圆弧"), (1, "Component", "底座"), (1, "Material", "金属"), (1, "Part", "金属"), (1, "Process", "图层"), (1, "Process", "焊接"), (1, "Part", "")], "sample_id int, type string, name string")
     kept = extract.clean_entity_names(e)
-    assert names(kept) == ["Box", "M10"]
-    r = spark.createDataFrame([(1, "contains", "Part", "M10", "Assembly", "Box", 1), (1, "contains", "Assembly", "Box", "Part", "M10", 2), (1, "contains", "Assembly", "Box", "Part", "LINE", 3)], "sample_id int, type string, src_type string, src_name string, dst_type string, dst_name string, ord int")
-    assert [(x["src_name"], x["dst_name"]) for x in extract.clean_relations(r, kept).collect()] == [("Box", "M10")]
+    assert names(kept) == sorted(["M10螺纹孔", "M4螺纹孔", "底座", "金属", "焊接"])
+    rows = [("contains", "Part", "M10螺纹孔", "Component", "底座", 1), ("contains", "Component", "底座", "Part", "M10螺纹孔", 2), ("performs_process", "Process", "焊接", "Component", "底座", 3), ("contains", "Component", "底座", "Part", "圆弧", 4)]
+    r = spark.createDataFrame([(1, *x) for x in rows], "sample_id int, type string, src_type string, src_name string, dst_type string, dst_name string, ord int")
+    assert sorted((x["type"], x["src_name"], x["dst_name"]) for x in extract.clean_relations(r, kept).collect()) == [("contains", "底座", "M10螺纹孔"), ("performs_process", "底座", "焊接")]
 
 
 def test_ontology(spark):

@@ -21,6 +21,47 @@ def chunks(text: Column, size: int) -> Column:
     return F.transform(starts, lambda i: F.substring(text, i + 1, F.lit(size)))
 
 
+def overlapping_chunks(text: Column, size: int = 1000, overlap: int = 200, look: int = 100) -> Column:
+    """Pieces of about ``size`` characters, each starting ``overlap`` before the end of the one before.
+
+    A piece ends at the last line break within its last ``look`` characters, if there is one. Pieces are trimmed, blank
+    ones dropped; a text no longer than ``size`` is one piece, or none if it is blank.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be less than size")
+    n = F.length(text)
+    none = F.array().cast("array<string>")
+
+    def step(acc: Column, _: Column) -> Column:
+        start = acc["start"]
+        full = start + size
+        low = F.greatest(full - look, start)
+        # the place (from 0) of the last line break in [low, full)
+        tail = F.substring(text, low + 1, full - low)
+        last = low + F.length(tail) - F.instr(F.reverse(tail), "\n")
+        end = F.when((full < n) & F.contains(tail, F.lit("\n")) & (last > start), last).otherwise(full)
+        piece = F.btrim(F.substring(text, start + 1, end - start), F.lit(" \t\n\r\x0b\x0c"))
+        after = end - overlap
+        after = F.when(after <= end - size, end).otherwise(after)
+        grown = F.struct(F.when(piece != "", F.concat(acc["pieces"], F.array(piece))).otherwise(acc["pieces"]).alias("pieces"), F.greatest(after, start + 1).cast("int").alias("start"))
+        return F.when(start >= n, acc).otherwise(grown)
+
+    # a piece moves on by size - look - overlap characters at least, or by one
+    most = F.ceil(n / F.lit(max(1, size - look - overlap))).cast("int") + 1
+    whole = F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+    many = F.aggregate(F.sequence(F.lit(1), most), F.struct(none.alias("pieces"), F.lit(0).alias("start")), step, lambda acc: acc["pieces"])
+    return F.when(n <= size, F.when(whole == "", none).otherwise(F.array(text))).otherwise(many)
+
+
+#: What a read-only statement must not hold, as whole words in either case.
+WRITES = [("CREATE", r"\bCREATE\b"), ("MERGE", r"\bMERGE\b"), ("DELETE", r"\bDELETE\b"), ("DETACH DELETE", r"\bDETACH\s+DELETE\b"), ("SET", r"\bSET\b"), ("REMOVE", r"\bREMOVE\b"), ("DROP", r"\bDROP\b"), ("LOAD CSV", r"\bLOAD\s+CSV\b"), ("CALL db.*", r"\bCALL\s+db\b"), ("CALL apoc.*", r"\bCALL\s+apoc\b")]
+
+
+def write_operation(statement: Column) -> Column:
+    """The first write operation that a statement holds, or null if it only reads."""
+    return F.coalesce(*[F.when(statement.rlike(f"(?i){pattern}"), name) for name, pattern in WRITES])
+
+
 def clean(text: Column) -> Column:
     """At most one empty line, single blanks, no white space at the ends."""
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")

@@ -151,27 +151,64 @@ def longer_of_overlapping(rows: DataFrame) -> DataFrame:
 
 # Label cleaning ------------------------------------------------------------------------------------------------
 
-# Drawing primitives that are no entities, and types taken for components.
-PRIMITIVES = ["LINE", "CIRCLE", "ARC", "TEXT", "MTEXT", "INSERT", "DIMENSION", "POLYLINE", "LWPOLYLINE", "HATCH"]
+# Names of drawing primitives, of vague materials and of processes that are none.
+PRIMITIVES = ["圆", "圆弧", "线段", "多段线", "椭圆", "样条曲线", "点", "图块/组件", "图块", "组件", "标注文字", "尺寸标注", "注释", "中心线", "中心标记", "中心标记符号", "剖面线"]
+VAGUE_MATERIALS = ["标准材料", "标准件", "金属", "钢材", "非金属"]
+NOISE_PROCESSES = ["中心标记", "中心标记符号", "尺寸信息", "尺寸标注", "标注文字", "注释", "图块", "图层"]
+# The word for a threaded hole; words of large components, which contain and are not contained.
+THREADED_HOLE = "螺纹孔"
+LARGE = ["法兰", "涡轮箱", "底板", "底座", "手臂", "机身"]
+# Types and relations of labelled samples, and types that stand for a component.
+SAMPLE_RELATIONS = ["manufactures", "uses_reducer", "uses_servo", "uses_controller", "uses_component", "applied_in", "contains", "complies_with", "performs_process", "process_material"]
+AS_COMPONENT = ["Part", "Assembly", "零件", "组件", "部件", "法兰", "箱体", "盖板"]
+
+
+def clean_name(name: Column) -> Column:
+    """``6-M14`` is the hole M14, ``4-M`` the hole M4; blanks at the ends go."""
+    name = F.regexp_replace(name, r"^(\d+)-M(\d+)$", f"M$2{THREADED_HOLE}")
+    name = F.regexp_replace(name, r"^(\d+)-M$", f"M$1{THREADED_HOLE}")
+    return F.regexp_replace(name, r"^\s+|\s+$", "")
 
 
 def clean_entity_names(rows: DataFrame) -> DataFrame:
-    """Names normalised (``4-M10`` is M10), primitives and empty names removed, one row a (sample, type, name)."""
-    name = F.regexp_replace(F.trim("name"), r"^(\d+)-M(\d+)$", "M$2")
-    rows = rows.withColumn("name", name).where("name <> '' and not startswith(name, '*') and name <> '_None'")
-    return rows.where(~F.upper("name").isin(PRIMITIVES)).dropDuplicates(["sample_id", "type", "name"])
+    """Names normalised; primitives, vague materials, false processes and empty names removed; one row a (sample, name)."""
+    rows = rows.withColumn("name", clean_name(F.col("name"))).where("name <> ''")
+    noise = F.col("name").isin(PRIMITIVES) | ((F.col("type") == "Material") & F.col("name").isin(VAGUE_MATERIALS)) | ((F.col("type") == "Process") & F.col("name").isin(NOISE_PROCESSES))
+    return rows.where(~noise).dropDuplicates(["sample_id", "type", "name"])
+
+
+def turned(type_: Column, src_type: Column, src: Column, dst_type: Column, dst: Column) -> Column:
+    """Whether a relation points the wrong way: a small thing contains a large one, or a process performs a component."""
+    small = src.rlike(r"[M\d]") | (F.length(src) <= 6)
+    large = dst.rlike("|".join(LARGE))
+    return ((type_ == "contains") & small & large) | ((type_ == "performs_process") & (dst_type == "Component") & (src_type == "Process"))
 
 
 def clean_relations(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """Relations between kept names; ``contains`` turned from whole to part, reversed repeats removed."""
+    """Relations between kept names, turned where they point the wrong way, reversed repeats removed."""
     ids = kept.select("sample_id", "name").distinct()
     rows = rows.join(ids.withColumnRenamed("name", "src_name"), ["sample_id", "src_name"], "left_semi").join(ids.withColumnRenamed("name", "dst_name"), ["sample_id", "dst_name"], "left_semi")
-    turn = (F.col("type") == "contains") & (F.col("src_type") == "Part") & (F.col("dst_type") == "Assembly")
+    turn = F.coalesce(turned(*[F.col(c) for c in ("type", "src_type", "src_name", "dst_type", "dst_name")]), F.lit(False))
     swap = lambda a, b: F.when(turn, F.col(b)).otherwise(F.col(a))
     rows = rows.select("sample_id", "type", swap("src_type", "dst_type").alias("src_type"), swap("src_name", "dst_name").alias("src_name"), swap("dst_type", "src_type").alias("dst_type"), swap("dst_name", "src_name").alias("dst_name"), "ord")
     w = Window.partitionBy("sample_id", "type", F.least("src_name", "dst_name"), F.greatest("src_name", "dst_name")).orderBy("ord")
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def listed_entities(rows: DataFrame, types: list[str]) -> DataFrame:
+    """``rows`` with a name and a type of ``types``; types that stand for a component become one, others go."""
+    kind = F.when(F.col("type").isin(types), F.col("type")).when(F.col("type").isin(AS_COMPONENT), "Component")
+    return rows.withColumn("type", kind).where("type is not null and coalesce(name, '') <> ''")
+
+
+def listed_relations(rows: DataFrame, entities: DataFrame, types: list[str] = SAMPLE_RELATIONS) -> DataFrame:
+    """Relations of ``types`` whose ends are both among the sample's entities."""
+    names = entities.select("sample_id", "name").distinct()
+    rows = rows.where(F.col("type").isin(types))
+    for end in ("src_name", "dst_name"):
+        rows = rows.join(names.withColumnRenamed("name", end), ["sample_id", end], "left_semi")
+    return rows
+
+
 def grade(entities_: Column, relations_: Column) -> Column:
     return F.when((entities_ >= 3) & (relations_ >= 2), "good").when(entities_ >= 1, "ok").otherwise("review")

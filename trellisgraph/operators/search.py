@@ -10,6 +10,9 @@ from pyspark.sql.window import Window
 
 from trellisgraph.functions.text import search_tokens
 
+#: Query vectors that go to every task at once.
+QUERY_BYTES = 32 << 20
+
 
 def inverted_index(rows: DataFrame, id_col: str, text: Column) -> tuple[DataFrame, DataFrame]:
     """(postings: term, id, tf, len; terms: term, df). A term's postings are spread by the aggregation."""
@@ -22,14 +25,14 @@ def inverted_index(rows: DataFrame, id_col: str, text: Column) -> tuple[DataFram
 def bm25(rows: DataFrame, id_col: str, text: Column, queries: DataFrame, k1: float = 1.2, b: float = 0.75, limit: int | None = None) -> DataFrame:
     """(query_id, id, score) for queries (query_id, query); the best ``limit`` of each, ties by id.
 
-    Corpus size and mean length are two numbers from an aggregate; terms of the queries cut the postings by a semi
-    join before anything is scored. The term side of that join is as large as the queries.
+    Corpus size and mean length are two numbers from an aggregate; words that no query has are dropped by a semi join
+    before anything is grouped. The term side of that join is as large as the queries.
     """
-    docs = rows.select(F.col(id_col).alias("id"), F.size(search_tokens(F.coalesce(text, F.lit("")))).alias("len"))
-    stats = docs.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len"))
+    words = rows.select(F.col(id_col).alias("id"), search_tokens(F.coalesce(text, F.lit(""))).alias("w")).withColumn("len", F.size("w"))
+    stats = words.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len"))
     terms = queries.select("query_id", F.explode(F.array_distinct(search_tokens(F.col("query")))).alias("term"))
-    postings, _ = inverted_index(rows, id_col, text)
-    hits = postings.join(terms.select("term").distinct(), "term", "left_semi")
+    wanted = terms.select("term").distinct()
+    hits = words.select("id", "len", F.explode("w").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     scored = hits.join(terms, "term").join(df, "term").crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -74,13 +77,21 @@ def usable(v: Column) -> Column:
 def vector_search(rows: DataFrame, id_col: str, vec_col: str, queries: DataFrame, top_k: int = 10, normalized: bool = True) -> DataFrame:
     """(query_id, id, score): the exact best by dot product (or cosine) for queries (query_id, q), ties by id.
 
-    The query side is a stated set and goes to every task; the best are kept before the shuffle.
+    The query side is a stated set; it is measured and goes to every task in blocks of at most ``QUERY_BYTES``. The best
+    are kept before the shuffle.
     """
     score = dot(F.col("v"), F.col("q")) if normalized else cosine(F.col("v"), F.col("q"))
     base = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where(usable(F.col("v")))
-    pairs = base.join(F.broadcast(queries), F.size("v") == F.size("q")).select("query_id", "id", score.alias("score"))
+    size = queries.agg(F.coalesce(F.sum(8 * F.size("q") + 32), F.lit(0))).first()[0]
+    blocks = 1 + int(size) // QUERY_BYTES
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= top_k)
+    out = None
+    for b in range(blocks):
+        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        pairs = base.join(F.broadcast(own), F.size("v") == F.size("q")).select("query_id", "id", score.alias("score"))
+        best = pairs.withColumn("rank", rank).where(F.col("rank") <= top_k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def hyperplane_buckets(rows: DataFrame, id_col: str, vec_col: str, dim: int, bits: int = 8, tables: int = 4) -> DataFrame:
@@ -99,33 +110,89 @@ def hybrid(vector_hits: DataFrame, keyword_hits: DataFrame, limit: int = 10) ->
     return ranked.where(F.col("rank") <= limit).select("name", "score", "source", "rank")
 
 
+def _subsequence(a: str, b: str) -> int:
+    """The length of the longest common subsequence, a row of the table being the bits of one number."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    row = full = (1 << len(a)) - 1
+    for c in b:
+        hit = row & places.get(c, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
+
+
+@F.pandas_udf(T.DoubleType())
+def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """1 - (insertions + deletions) / total length; 1 for two empty strings, a null is empty."""
+    return pd.Series([2 * _subsequence(x or "", y or "") / (len(x or "") + len(y or "")) if x or y else 1.0 for x, y in zip(a, b)], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The best indel ratio of the shorter string with a window of the longer one, of its length or shorter at the ends;
+    0 if either is null or empty."""
+
+    def one(x: str | None, y: str | None) -> float:
+        if not x or not y:
+            return 0.0
+        x, y = sorted((x, y), key=len)
+        m, n = len(x), len(y)
+        spans = [(i, i + m) for i in range(n - m + 1)] + [(0, k) for k in range(1, m)] + [(n - k, n) for k in range(1, m)]
+        return max(2 * _subsequence(x, y[i:j]) / (m + j - i) for i, j in spans)
+
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
 def match_score(query: Column, name: Column) -> Column:
     """How well a name fits a query: equal 100; name in query 85 + 10 r; query in name 80 + 10 r, r the ratio of their
-    lengths; word Jaccard over 0.3 gives 60 + 20 j; similarity over 0.8 gives 55 + 0.25 (100 s - 80); else 0."""
+    lengths; word Jaccard over 0.3 gives 60 + 20 j; a partial ratio s over 80 of 100 gives 55 + 0.25 (s - 80); else 0.
+
+    The partial ratio is worked out only where nothing before it fits.
+    """
     q, n = F.lower(F.trim(query)), F.lower(F.trim(name))
     ratio = F.least(F.length(q), F.length(n)) / F.greatest(F.length(q), F.length(n))
     a, b = F.split(q, r"\s+"), F.split(n, r"\s+")
     jaccard = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
-    alike = 1 - F.levenshtein(q, n) / F.greatest(F.length(q), F.length(n))
-    return (
-        F.when((q == "") | (n == ""), 0.0)
-        .when(q == n, 100.0)
-        .when(F.contains(q, n), 85 + 10 * ratio)
-        .when(F.contains(n, q), 80 + 10 * ratio)
-        .when(jaccard > 0.3, 60 + 20 * jaccard)
-        .when(alike > 0.8, 55 + 0.25 * (100 * alike - 80))
-        .otherwise(0.0)
-    )
-
-
-def link(mentions: DataFrame, candidates: DataFrame, top_k: int = 5, min_score: float = 60.0) -> DataFrame:
-    """(mention_id, node_id, score, rank) from candidate pairs (mention_id, mention, node_id, name); best of each first."""
-    rows = mentions.join(candidates, "mention_id").withColumn("score", match_score(F.col("mention"), F.col("name"))).where(F.col("score") >= min_score)
+    plain = F.when((q == "") | (n == ""), 0.0).when(q == n, 100.0).when(F.contains(q, n), 85 + 10 * ratio).when(F.contains(n, q), 80 + 10 * ratio).when(jaccard > 0.3, 60 + 20 * jaccard)
+    alike = 100 * partial_ratio(F.when(plain.isNull(), q), F.when(plain.isNull(), n))
+    return F.coalesce(plain, F.when(alike > 80, 55 + 0.25 * (alike - 80)), F.lit(0.0))
+
+
+def link(mentions: DataFrame, candidates: DataFrame, top_k: int = 5, min_score: float = 60.0, aliases: DataFrame | None = None) -> DataFrame:
+    """(mention_id, node_id, score, rank) from candidate pairs (mention_id, mention, node_id, name); best of each first.
+
+    aliases: (name, canonical), one row a name; a candidate is scored under its canonical name too, the better counts.
+    """
+    rows = mentions.join(candidates, "mention_id")
+    score = match_score(F.col("mention"), F.col("name"))
+    if aliases is not None:
+        rows = rows.join(aliases.select("name", "canonical").dropDuplicates(["name"]), "name", "left")
+        score = F.greatest(score, match_score(F.col("mention"), F.coalesce("canonical", "name")))
+    rows = rows.withColumn("score", score).where(F.col("score") >= min_score)
     best = rows.groupBy("mention_id", "node_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("mention_id").orderBy(F.desc("score"), "node_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= top_k)
 
 
+def span_links(pairs: DataFrame, top: int = 10, min_score: float = 70.0) -> DataFrame:
+    """(query_id, name, span, score, rank) from candidate pairs (query_id, query, name).
+
+    A name in the query is its span, 85 + 10 r; otherwise the longest common substring of two characters or more is,
+    if the match score is ``min_score`` or more. The best of each name, ``top`` a query.
+    """
+    q, n = F.lower("query"), F.lower("name")
+    inside = F.expr("locate(lower(name), lower(query))") > 0
+    common = longest_common(F.when(~inside, q), F.when(~inside, n))
+    rows = pairs.where("name <> ''").withColumn("_in", inside).withColumn("_common", common).withColumn("_score", match_score(F.col("query"), F.col("name")))
+    span = F.when(F.col("_in"), F.expr("substring(query, locate(lower(name), lower(query)), length(name))")).otherwise(F.col("_common"))
+    score = F.when(F.col("_in"), 85 + 10 * F.least(F.length("name") / F.length("query"), F.lit(1.0))).when((F.length("_common") >= 2) & (F.col("_score") >= min_score), F.col("_score"))
+    found = rows.select("query_id", "name", span.alias("span"), score.alias("score")).where("score is not null")
+    best = found.groupBy("query_id", "name").agg(F.max_by("span", "score").alias("span"), F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "name"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= top)
+
+
 @F.pandas_udf(T.StringType())
 def longest_common(a: pd.Series, b: pd.Series) -> pd.Series:
     """The first longest common substring."""
@@ -147,24 +214,6 @@ def longest_common(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)])
 
 
-@F.pandas_udf(T.DoubleType())
-def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """1 - (insertions + deletions) / total length, by the longest common subsequence."""
-
-    def one(x: str | None, y: str | None) -> float:
-        x, y = x or "", y or ""
-        if not x and not y:
-            return 1.0
-        row = [0] * (len(y) + 1)
-        for c in x:
-            last = 0
-            for j, d in enumerate(y):
-                last, row[j + 1] = row[j + 1], last + 1 if c == d else max(row[j + 1], row[j])
-        return 2 * row[-1] / (len(x) + len(y))
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)])
-
-
 def spans(queries: DataFrame, entities: DataFrame, top: int = 10) -> DataFrame:
     """(query_id, name, start, score): entity names that occur in a query, 85 + 10 r; best of each name, ``top`` each.
 
@@ -188,21 +237,22 @@ def exact_duplicates(names: DataFrame) -> DataFrame:
 
 
 def fuzzy_duplicates(names: DataFrame, low: float = 0.85, high: float = 0.98) -> DataFrame:
-    """(type, a, b, score) of names of one type with Levenshtein similarity in [low, high).
+    """(type, a, b, score) of names of one type whose lower-cased forms have an indel ratio in [low, high).
 
-    With at most k = (1 - low) * length edits one of k + 1 equal pieces of the shorter name is in the other unchanged;
-    pairs meet on such pieces at every place they can shift to, so no name is compared with all others.
+    Of a shorter name of n characters at most k = 2 n (1 - low) / low may be lost or parted by insertions, so one of k + 1
+    equal pieces of it is in the other unchanged; pairs meet on such pieces at every place they can shift to, so no
+    name is compared with all others.
     """
-    n = names.select("type", "name").distinct().withColumn("l", F.length("name")).where("l > 0")
-    edits = F.floor((1 - low) * F.col("l") / low + F.lit(1e-9)).cast("int")
-    a = n.withColumn("k", edits + 1).withColumn("w", F.greatest(F.floor(F.col("l") / F.col("k")), F.lit(1)).cast("int"))
-    cuts = a.select("type", F.col("name").alias("a"), "l", "w", F.explode(F.expr("transform(sequence(0, k - 1), i -> substring(name, i * w + 1, w))")).alias("piece")).distinct()
+    n = names.select("type", "name", F.lower("name").alias("lower")).distinct().withColumn("l", F.length("lower")).where("l > 0")
+    edits = F.floor(2 * (1 - low) * F.col("l") / low + F.lit(1e-9)).cast("int")
+    a = n.withColumn("k", F.least(edits + 1, F.col("l"))).withColumn("w", F.greatest(F.floor(F.col("l") / F.col("k")), F.lit(1)).cast("int"))
+    cuts = a.select("type", F.col("name").alias("a"), "l", "w", F.explode(F.expr("transform(sequence(0, k - 1), i -> substring(lower, i * w + 1, w))")).alias("piece")).distinct()
     sizes = a.select("type", "w").distinct()
-    b = n.select("type", F.col("name").alias("b"), F.col("l").alias("lb")).join(sizes, "type").where("w <= lb")
-    grams = b.select("type", "b", "lb", "w", F.explode(F.expr("array_distinct(transform(sequence(1, lb - w + 1), i -> substring(b, i, w)))")).alias("piece"))
-    pairs = cuts.join(grams, ["type", "w", "piece"]).where("l <= lb and l >= lb * %r and a <> b" % low).select("type", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    score = 1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"))
-    return pairs.withColumn("score", score).where((F.col("score") >= low) & (F.col("score") < high))
+    b = n.select("type", F.col("name").alias("b"), F.col("lower").alias("bl"), F.col("l").alias("lb")).join(sizes, "type").where("w <= lb")
+    grams = b.select("type", "b", "lb", "w", F.explode(F.expr("array_distinct(transform(sequence(1, lb - w + 1), i -> substring(bl, i, w)))")).alias("piece"))
+    fits = "l <= lb and l * %r >= lb and a <> b" % ((2 - low) / low)
+    pairs = cuts.join(grams, ["type", "w", "piece"]).where(fits).select("type", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.withColumn("score", indel_ratio(F.lower("a"), F.lower("b"))).where((F.col("score") >= low) & (F.col("score") < high))
 
 
 def embedding_text(label: Column, name: Column, description: Column) -> Column:

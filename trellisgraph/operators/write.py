@@ -177,6 +177,11 @@ def log_entry(spark: SparkSession, source: str, filename: str, entities: int, re
     return spark.createDataFrame([(content_hash, source, filename, entities, relations, success, at)], "name string, source string, filename string, entities long, relations long, success boolean, at string")
 
 
+def delete_log(log: DataFrame, source: str) -> DataFrame:
+    """The log without the entries of a source."""
+    return log.where(F.coalesce(F.col("source") != source, F.lit(True)))
+
+
 def clean_log(log: DataFrame) -> DataFrame:
     return log.where(F.coalesce("name", F.lit("")) != "")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 _found: dict[str, tuple] = {}
-_MODULES = ("graph_queries", "text_queries")
+_MODULES = ("graph_queries", "text_queries", "training_queries")
 
 
 def query(name: str, oracle: str | None = None):

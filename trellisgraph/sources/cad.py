@@ -13,15 +13,27 @@ from pyspark.sql.window import Window
 from trellisgraph.sources.files import wide_text
 
 # Prefixes of internal annotation blocks.
-ANNOTATION_PREFIXES = ["SW_NOTE", "SW_CENTERMARK", "SW_TABLE", "SW_BOM", "SW_SYMBOL", "SW_HOLETABLE"]
-# Keywords of materials and assemblies.
-MATERIALS = ["Q235", "Q345", "45钢", "304", "316", "6061", "7075", "HT200", "HT250", "QT450", "40Cr", "GCr15", "铝合金", "不锈钢", "铸铁", "铸铝"]
-ASSEMBLY_WORDS = ["ASSY", "ASSEMBLY", "ASM", "装配", "总成", "组件"]
+ANNOTATION_PREFIXES = [
+    "SW_CENTERMARK", "SW_NOTE", "SW_SFSYMBOL", "SW_DATUMTAG", "SW_TABLEANN", "SW_CHAMFER", "SW_DIMENSION", "SW_BOM", "SW_VIEWLABEL", "SW_HATCH",
+    "SW_BALLOON", "SW_GTOL", "SW_REVISION", "SW_SECTION", "SW_DETAIL", "SW_AUX", "ACAD_", "AECC_", "A$C", "DimensionTick",
+]
+# Keywords of materials, and of assemblies.
+MATERIALS = [
+    "钢", "铁", "铝", "铜", "不锈钢", "合金", "铸铁", "STEEL", "ALUMINUM", "ALUMINIUM", "COPPER", "IRON",
+    "BRASS", "TITANIUM", "PLASTIC", "NYLON", "RUBBER", "Q235", "45#", "40Cr", "6061", "7075", "SUS304", "SUS316",
+]
+ASSEMBLY_WORDS = ["asm", "assy", "assembly", "装配", "总成", "subasm", "subassembly"]
+# Drawing types, by their inserts and blocks.
+DRAWING_TYPES = {"assembly": "装配图", "part": "零件图", "electrical": "电气图"}
 
 
 def internal_symbol(name: Column) -> Column:
     """Empty, anonymous (``*...``) or annotation blocks."""
-    return F.coalesce(F.trim(name) == "", F.lit(True)) | F.startswith(name, F.lit("*")) | F.upper(name).rlike("^(" + "|".join(ANNOTATION_PREFIXES) + ")")
+    plain = F.trim(name)
+    own = F.lit(False)
+    for prefix in ANNOTATION_PREFIXES:
+        own |= F.startswith(F.upper(plain), F.lit(prefix.upper()))
+    return F.coalesce((plain == "") | F.startswith(plain, F.lit("*")) | own, F.lit(True))
 
 
 def valid_name(name: Column) -> Column:
@@ -96,15 +108,33 @@ def dimension(text: Column) -> Column:
 
 
 def assembly_name(name: Column) -> Column:
-    return F.upper(name).rlike("|".join(ASSEMBLY_WORDS))
+    return F.lower(name).rlike("|".join(ASSEMBLY_WORDS))
 
 
 def drawing_type(inserts: Column, blocks: Column) -> Column:
-    return F.when((inserts > 2) | (blocks > 3), "assembly").otherwise("part")
+    """Of the numbers of inserts and blocks: many are an assembly, none an electrical drawing."""
+    return F.when((inserts > 2) | (blocks > 3), DRAWING_TYPES["assembly"]).when(blocks > 0, DRAWING_TYPES["part"]).otherwise(DRAWING_TYPES["electrical"])
+
+
+def sanitized(name: Column) -> Column:
+    """Trimmed, blanks as underscores, slashes as hyphens."""
+    return F.replace(F.replace(F.trim(name), F.lit(" "), F.lit("_")), F.lit("/"), F.lit("-"))
+
+
+def dimension_name(text: Column, number: Column) -> Column:
+    """The first 40 characters with underscores for blanks, or a numbered name."""
+    short = F.replace(F.trim(F.left(text, F.lit(40))), F.lit(" "), F.lit("_"))
+    return F.when(F.coalesce(short, F.lit("")) != "", short).otherwise(F.concat(F.lit("dim_"), number.cast("string")))
+
+
+def inserted_blocks(inserts: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(path, name, n): the blocks of a drawing that it inserts, and how often; anonymous ones (``*...``) are left out."""
+    named = inserts.where(~F.startswith("name", F.lit("*"))).groupBy("path", "name").agg(F.count("*").alias("n"))
+    return named.join(blocks.select("path", "name").distinct(), ["path", "name"])
 
 
 def materials(texts: DataFrame) -> DataFrame:
-    """(path, material, at): material keywords in a drawing's texts, by first place."""
+    """(path, material, at): material keywords in a drawing's texts, A-Z in either case, by first place."""
     words = F.array(*[F.lit(m) for m in MATERIALS])
     hits = texts.select("path", "at", F.explode(F.filter(words, lambda m: F.contains(F.upper("text"), F.upper(m)))).alias("material"))
     return hits.groupBy("path", "material").agg(F.min("at").alias("at"))
@@ -168,3 +198,57 @@ def dwg_strings(files: DataFrame, most: int = 60) -> DataFrame:
     runs = F.filter(F.regexp_extract_all(raw, F.lit(r"[\x20-\x7E]{4,80}"), F.lit(0)), lambda s: F.regexp_count(s, F.lit("[A-Za-z]")) >= 0.3 * F.length(s))
     wide = F.regexp_extract_all(wide_text("content"), F.lit("[一-鿿]{2,30}"), F.lit(0))
     return files.select("path", F.regexp_extract(raw, r"^(AC10\d\d)", 1).alias("version"), F.slice(F.array_distinct(F.concat(runs, wide)), 1, most).alias("strings"))
+
+
+def step_graph(meta: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities: path, type, name, confidence, props; relations: path, type, src_type, src_name, dst_type, dst_name,
+    confidence) of STEP files: a drawing defines its products; assemblies contain their references; the first product is
+    made of the drawing's materials; measures become dimensions."""
+    stem = sanitized(F.regexp_replace(F.regexp_extract("path", r"[^/\\]+$", 0), r"\.[^.]*$", ""))
+    rows = meta.withColumn("drawing", F.when(stem == "", "unnamed").otherwise(stem))
+    none = F.create_map().cast("map<string,string>")
+
+    def ent(df, kind, name, confidence, **props):
+        m = F.map_filter(F.create_map(*[x for k, v in props.items() for x in (F.lit(k), v.cast("string"))]), lambda k, v: v.isNotNull()) if props else none
+        return df.select("path", F.lit(kind).alias("type"), name.alias("name"), F.lit(confidence).alias("confidence"), m.alias("props"))
+
+    def rel(df, kind, a, an, b, bn, confidence):
+        return df.select("path", F.lit(kind).alias("type"), F.lit(a).alias("src_type"), an.alias("src_name"), F.lit(b).alias("dst_type"), bn.alias("dst_name"), F.lit(confidence).alias("confidence"))
+
+    drawing, name = F.col("drawing"), F.col("name")
+    products = rows.join(step_products(meta), "path").select("path", "drawing", "at", F.col("product").alias("name"), F.coalesce(F.nullif("part_number", F.lit("")), "product").alias("number"))
+    refs = rows.select("path", "drawing", F.explode("assemblies").alias("name")).where("name <> ''")
+    found = materials(rows.select("path", F.lit(0).alias("at"), F.array_join("products", " ").alias("text"))).select("path", F.col("material").alias("name"))
+    sizes = rows.select("path", F.explode("measures").alias("m")).select("path", F.col("m.kind").alias("name"), F.col("m.value").alias("value"))
+    kind = F.when(F.size("assemblies") > 0, DRAWING_TYPES["assembly"]).otherwise(DRAWING_TYPES["part"])
+    ents = [
+        ent(rows, "Drawing", drawing, 0.95, file_format=F.lit("STEP"), drawing_type=kind),
+        ent(products, "Part", name, 0.9, part_number=F.col("number")),
+        ent(rows.where(F.size("assemblies") > 0), "Assembly", drawing, 0.9, assembly_type=F.lit("总成"), level=F.lit(0)),
+        ent(refs, "Part", name, 0.85, part_number=name),
+        ent(found, "Material", name, 0.85),
+        ent(sizes, "Dimension", sanitized(name), 0.8, dimension_type=F.lit("linear"), value=F.col("value")),
+    ]
+    first = products.groupBy("path").agg(F.min_by("name", "at").alias("part"))
+    rels = [
+        rel(products, "drawing_defines", "Drawing", drawing, "Part", name, 0.9),
+        rel(rows.where(F.size("assemblies") > 0), "drawing_defines_assembly", "Drawing", drawing, "Assembly", drawing, 0.9),
+        rel(refs, "assembly_contains_part", "Assembly", drawing, "Part", name, 0.85),
+        rel(found.join(first, "path"), "part_made_of", "Part", F.col("part"), "Material", name, 0.8),
+    ]
+    every, links = ents[0], rels[0]
+    for x in ents[1:]:
+        every = every.unionByName(x)
+    for x in rels[1:]:
+        links = links.unionByName(x)
+    # the surest of equal entities stays, its properties with it
+    best = every.where(valid_name(name)).groupBy("path", "type", "name").agg(F.max_by(F.struct("confidence", "props"), "confidence").alias("b"))
+    return best.select("path", "type", "name", "b.confidence", "b.props"), links.distinct()
+
+
+def step_text(meta: DataFrame) -> DataFrame:
+    """(path, text): products, assemblies, measures and the bounding box of a STEP file in words."""
+    listed = lambda head, parts: F.when(F.size(parts) > 0, F.concat(F.lit(head), F.array_join(parts, ", ")))
+    box = F.when(F.col("box.min_x").isNotNull(), F.concat(F.lit("Bounding box: "), F.array_join(F.array(*[F.format_string("%s %.3f to %.3f", F.lit(a), F.col(f"box.min_{a}"), F.col(f"box.max_{a}")) for a in "xyz"]), ", ")))
+    sizes = F.transform("measures", lambda m: F.concat_ws("=", m["kind"], m["value"].cast("string")))
+    return meta.select("path", F.concat_ws("\n", listed("Products: ", F.array_distinct("products")), listed("Assemblies: ", F.array_distinct("assemblies")), listed("Measures: ", F.slice(sizes, 1, 20)), box).alias("text"))

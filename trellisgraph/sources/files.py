@@ -35,7 +35,7 @@ def read_sql(spark: SparkSession, url: str, query: str, **options) -> DataFrame:
 
 def read_table(spark: SparkSession, url: str, table: str, limit: int | None = None, **options) -> DataFrame:
     """A whole table; with partitionColumn, bounds and numPartitions among the options it is read in parallel."""
-    if not IDENTIFIER.fullmatch(table.rpartition(".")[2]):
+    if not all(IDENTIFIER.fullmatch(part) for part in table.split(".")):
         raise ValueError(f"not a table name: {table!r}")
     df = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
     return df.limit(limit) if limit is not None else df
