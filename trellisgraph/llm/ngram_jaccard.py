@@ -9,7 +9,7 @@ A document's set holds its distinct shingles of ``words`` words (64-bit hashes).
 3. The survivors' shingles are ordered by document frequency, rare first; a linked pair shares one of the first
    ``n - ceil(...) + 1`` (prefix filter). Index lists hold (set, size, position) per shingle, cut into blocks by size
    band and position; a block is skipped as a whole when its smallest position or its sizes cannot give the overlap.
-4. First every set is compared with the leader of each of its lists and size bands. Verified pairs make families. A set
+4. First every set is compared with two leaders of each of its lists and size bands. Verified pairs make families. A set
    then takes over the answers of its family: lists are probed only across families, and only for links that a member
    adds to what the family has, so no pairs are made inside a family, however large.
 """
@@ -26,7 +26,7 @@ from trellisgraph.llm.common import lean, mixed, saved, sliced, small
 from trellisgraph.llm.links import components
 
 #: Shingles whose sampled hashes one bucket holds, in mean.
-SHINGLES = 1 << 20
+SHINGLES = 1 << 22
 
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) | 1 for k in range(1, 65)], dtype=object)
 
@@ -212,17 +212,18 @@ def jaccard_links(docs: DataFrame, percent: int = 75, width: int = 5, id_col: st
     tokens = saved(tokens)
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     grouped = tokens.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    rich = saved(grouped.join(alive.select("id", "n"), "id").where(F.expr(f"size(t) >= ({percent} * n + 99) div 100")).select("id", "n", F.transform("t", lambda x: x["token"]).alias("tokens")))
+    rich = saved(grouped.join(alive.toDF("id", "n", "rep"), "id").where(F.expr(f"size(t) >= ({percent} * n + 99) div 100")).select("id", "n", "rep", F.transform("t", lambda x: x["token"]).alias("tokens")))
     sets = rich.select("id", "n", "tokens").mapInArrow(_packed, "id long, n long, members binary")
 
     # Index lists over the prefix: positions count the rare members that no other set has.
     unshared = F.expr("n - size(tokens)")
     length = F.expr(f"n - ({percent} * n + 99) div 100 + 1") - unshared
-    index = rich.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")).select("id", "n", "band", F.posexplode(F.slice("tokens", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))).alias("pos", "token"), unshared.alias("skip"))
-    index = saved(index.select("token", "band", "id", "n", (F.col("pos") + F.col("skip")).alias("pos")))
+    index = rich.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")).select("id", "n", "rep", "band", (F.size("tokens") / F.col("n")).alias("core"), F.posexplode(F.slice("tokens", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))).alias("pos", "token"), unshared.alias("skip"))
+    index = saved(index.select("token", "band", "id", "n", "rep", "core", (F.col("pos") + F.col("skip")).alias("pos")))
 
-    leader = index.groupBy("token", "band").agg(F.min("id").alias("a"))
-    stars = index.join(leader, ["token", "band"]).where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    # two leaders of a list: the first of all, and the one that shares the largest part of itself with others
+    leaders = index.groupBy("token", "band").agg(F.array(F.min(F.struct("rep", "id"))["id"], F.max(F.struct("core", -F.col("rep"), "id"))["id"]).alias("leaders"))
+    stars = index.join(leaders, ["token", "band"]).select(F.explode(F.array_distinct("leaders")).alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
     star_links = saved(verified(stars, sets, percent))
     family = saved(components(star_links).toDF("id", "family"))
 
