@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from trellisgraph.llm.common import gapless
 
 
-def tree(shards: int, racks: int = 2, per_rack: int = 4) -> dict[int, dict[int, list[int]]]:
-    """region -> rack -> shards, filled in order; a new shard opens a new region when all others are full."""
+def tree(shards: int, base: int = 16, racks: int = 2, per_rack: int = 4) -> dict[int, dict[int, list[int]]]:
+    """region -> rack -> shards: the first ``base`` shards fill regions in order, every later one opens a region."""
     out: dict[int, dict[int, list[int]]] = {}
     for s in range(shards):
-        out.setdefault(s // (racks * per_rack), {}).setdefault(s // per_rack, []).append(s)
+        region = s // (racks * per_rack) if s < base else base + s
+        out.setdefault(region, {}).setdefault(s // per_rack if s < base else base + s, []).append(s)
     return out
 
 
@@ -32,10 +33,10 @@ def _draw(key: Column, level: str, weights: dict[int, float]) -> Column:
     return F.array_min(F.array(*draws))["c"]
 
 
-def shard_of(df: DataFrame, key: str, shards: int, name: str, weights: dict[int, float] | None = None) -> DataFrame:
-    """``df`` with column ``name``: the shard of each row. weights: of shards, 1 unless given."""
+def shard_of(df: DataFrame, key: str, shards: int, name: str, weights: dict[int, float] | None = None, base: int = 16) -> DataFrame:
+    """``df`` with column ``name``: the shard of each row. weights: of shards, 1 unless given; base: see ``tree``."""
     weight = {s: float((weights or {}).get(s, 1.0)) for s in range(shards)}
-    regions = tree(shards)
+    regions = tree(shards, base)
     total = lambda kids: sum(weight[s] for s in kids)
     df = df.withColumn("_region", _draw(F.col(key), "region", {r: total([s for kids in racks.values() for s in kids]) for r, racks in regions.items()}))
     rack = F.lit(None).cast("int")
@@ -52,12 +53,12 @@ def shard_of(df: DataFrame, key: str, shards: int, name: str, weights: dict[int,
 def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row.
 
-    Law ``key``: the id and the number of shards decide; with one more shard, rows move only into that one, as long as
-    it opens a region (at 8, 16, 24, ... shards). A null text has no bytes (size 1, checksum 0). Rows with the same
+    Law ``key``: the id and the number of shards decide; with one more shard, which opens a region of its own, rows move
+    only into that one, whatever the number. A null text has no bytes (size 1, checksum 0). Rows with the same
     id share a shard, a null id has one too. Slots are numbered by id within hash buckets of each shard.
     """
     data = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(data).cast("long") + 1).alias("size"), F.crc32(data).alias("text_crc32"))
-    rows = shard_of(shard_of(rows, "doc_id", shards, "shard"), "doc_id", shards + 1, "grown_shard")
+    rows = shard_of(shard_of(rows, "doc_id", shards, "shard", base=shards), "doc_id", shards + 1, "grown_shard", base=shards)
     out = gapless(rows, ["shard"], ["doc_id", "text_crc32", "size"], "slot", 256)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
