@@ -21,7 +21,6 @@ from trellisgraph.llm.common import gapless, lean, saved, sliced
 #: A blank between two other characters always parts two tokens of byte-level BPE, so what lies between is a unit.
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 _DOUBLE = re.compile(r"\s\s")
-_SPECIAL = re.compile(r"<\|[a-z_]+\|>")
 
 
 class _Units(dict):
@@ -61,9 +60,10 @@ def id_bytes(tokenizer_file: str):
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     units = _Units(fast)
+    specials = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or r"(?!)")
 
     def run(text: str) -> bytes:
-        if _SPECIAL.search(text):
+        if specials.search(text):
             return array("I", own.encode(text, add_special_tokens=False).ids).tobytes()
         # without two white spaces in a row, every blank is such a break
         first, *rest = _BREAK.split(text) if _DOUBLE.search(text) else text.split(" ")
