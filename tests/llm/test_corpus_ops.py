@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -210,6 +211,27 @@ def test_language_id(spark, sf_dir, empty):
     assert language_id.predict(empty, trees, F.struct(*empty.columns)).count() == 0
 
 
+def drawn(key, regions):
+    """The shard of a key by the draws as they are defined."""
+    import xxhash
+
+    def child(level, weights):
+        if len(weights) == 1:
+            return next(iter(weights))
+
+        def draw(c):
+            h = xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+            h = xxhash.xxh64_intdigest(level.encode(), h)
+            h = xxhash.xxh64_intdigest(struct.pack("<i", c), h)
+            return -math.log(((h >> 11) + 0.5) / 2**53) / weights[c], c
+
+        return min(draw(c) for c in weights)[1]
+
+    region = regions[child("region", {r: sum(map(len, racks.values())) for r, racks in regions.items()})]
+    rack = region[child("rack", {k: len(kids) for k, kids in region.items()})]
+    return child("shard", dict.fromkeys(rack, 1))
+
+
 def test_hash_tree(spark, docs, rows, empty):
     got = hash_tree.shard(docs).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(i for i, *_ in rows)
@@ -226,6 +248,11 @@ def test_hash_tree(spark, docs, rows, empty):
     assert many.where("a <> b and b <> 16").count() == 0 and abs(many.where("b = 16").count() - 20000 / 17) < 150
     heavy = hash_tree.shard_of(hash_tree.shard_of(spark.range(20000), "id", 16, "a"), "id", 16, "b", {3: 2.0})
     assert heavy.where("a div 8 <> b div 8 and b div 8 <> 0").count() == 0  # only into the region that gained
+    for n in (1, 7, 10, 17):  # one more shard takes rows only into itself, whatever the number
+        rows_ = hash_tree.shard(many.select(F.col("id").alias("doc_id"), F.lit("x").alias("text")), n)
+        assert rows_.where("shard <> grown_shard and grown_shard <> %d" % n).count() == 0 and rows_.where("grown_shard = %d" % n).count() > 700
+    for r in many.limit(300).collect():
+        assert (r["a"], r["b"]) == (drawn(r["id"], hash_tree.tree(16)), drawn(r["id"], hash_tree.tree(17)))
     assert hash_tree.shard(empty).count() == 0
     odd = spark.createDataFrame([(None, None), (None, None), (1, "a"), (1, "a")], "doc_id long, text string")
     assert hash_tree.shard(odd).count() == 4
@@ -279,6 +306,43 @@ def test_packing_plan(seed):
     assert all(v <= 100 for v in used.values()) and len(used) <= math.ceil(1.25 * total / 100) + 1
 
 
+def test_packing_ids_of_all_texts(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, encode = Tokenizer.from_file(path), packing.id_bytes(path)
+    folder = sf_dir.replace("sf0.001", "sf0.01")
+    texts = [r["text"] or "" for t, c in (("documents", "text"), ("benchmark", "text"), ("pages", "html")) for r in spark.read.parquet(f"{folder}/{t}.parquet").select(F.col(c).alias("text")).collect()]
+    texts += [f"a {t['content']} b{t['content']}" for t in json.loads(own.to_str())["added_tokens"]]
+    for t in texts:
+        assert np.frombuffer(encode(t), "<u4").tolist() == own.encode(t, add_special_tokens=False).ids
+
+
+def fewest_bins(items, capacity):
+    """The least number of bins, over all subsets."""
+    n = len(items)
+    best = [(0, 0)] + [(n + 1, 0)] * ((1 << n) - 1)
+    for mask in range(1, 1 << n):
+        for i in range(n):
+            if mask >> i & 1:
+                bins, room = best[mask ^ 1 << i]
+                new = (bins, room - items[i]) if room >= items[i] else (bins + 1, capacity - items[i])
+                best[mask] = min(best[mask], new, key=lambda x: (x[0], -x[1]))
+    return best[-1][0]
+
+
+def test_packing_against_the_optimum():
+    r = random.Random(8)
+    over = []
+    for _ in range(150):
+        items = [r.randint(1, r.choice([6, 12, 20])) for _ in range(r.randint(1, 9))]
+        used = set()
+        for _, a, b, each, first, _ in packing.plan(dict(Counter(items)), 20):
+            used |= set(range(first, first + (b - a) // each))
+        over.append(len(used) - fewest_bins(items, 20))
+    assert min(over) >= 0 and max(over) <= 1 and sum(over) <= 8
+
+
 def test_near_vectors(spark, empty):
     rng = np.random.default_rng(3)
     centers = rng.standard_normal((400, 32))
@@ -287,6 +351,8 @@ def test_near_vectors(spark, empty):
     bad = [(9000, None, "c"), (9001, [0.0] * 32, "c"), (9002, [float("nan")] * 32, "c"), (9003, [None] * 32, "c"), (9004, [], "c"), (9005, [1.0, 2.0], "c")]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, component string").repartition(3)
     got = {r["vec_id"]: r for r in projection_dedup.near_vectors(df).collect()}
+    small = {r["vec_id"]: r for r in projection_dedup.near_vectors(df, block=37).collect()}
+    assert all(small[i]["n_links"] == got[i]["n_links"] for i in got)
     m = np.array([x for _, x, _ in rows], float)
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     near = m @ m.T >= 0.9

@@ -147,16 +147,22 @@ def _counts(threshold: float):
         unit = _unit(_matrix(lists if isinstance(lists, pa.Array) else lists.chunk(0)))
         left = np.flatnonzero(block == i)
         right = np.flatnonzero(block == j)
-        near = unit[left] @ unit[right].T >= threshold
+        found, back = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+        for a in range(0, len(left), 512):
+            part = left[a : a + 512]
+            near = unit[part] @ unit[right].T >= threshold
+            if i == j:
+                near[np.arange(len(part)), a + np.arange(len(part))] = False
+            found[a : a + 512] = near @ size[right]
+            back += near.T @ size[part]
         if i == j:
-            np.fill_diagonal(near, False)
-            return pa.table({"id": pa.array(ids[left]), "n": pa.array(near @ size[right])})
-        return pa.table({"id": pa.array(np.concatenate([ids[left], ids[right]])), "n": pa.array(np.concatenate([near @ size[right], near.T @ size[left]]))})
+            return pa.table({"id": pa.array(ids[left]), "n": pa.array(found)})
+        return pa.table({"id": pa.array(np.concatenate([ids[left], ids[right]])), "n": pa.array(np.concatenate([found, back]))})
 
     return run
 
 
-def near_vectors(table: DataFrame, threshold: float = 0.9, passes: int | None = None, window: int = 64, bits: int = 48, block: int = 1024, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.95) -> DataFrame:
+def near_vectors(table: DataFrame, threshold: float = 0.9, passes: int | None = None, window: int = 64, bits: int = 48, block: int = 4096, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``table``.
 
     Vectors that are null, empty, zero or hold a null or non-finite component link with nothing: n_links 0, a component
