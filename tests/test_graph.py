@@ -85,6 +85,39 @@ def test_communities(g):
     assert q >= community.modularity(g, flat).first()["modularity"]
 
 
+def plain_graph(spark, pairs, alone=()):
+    nodes = spark.createDataFrame([(x, "N", ["N"], x, "d") for x in sorted({x for p in pairs for x in p} | set(alone))], "node_id string, label string, labels array<string>, name string, domain string")
+    edges = spark.createDataFrame([(f"{a}|{b}", a, b, "r", "d") for a, b in pairs], "edge_id string, src string, dst string, type string, domain string")
+    return graph.Graph(graph.nodes_from(nodes), graph.edges_from(edges), graph.Ontology())
+
+
+def test_louvain_finds_cliques(spark):
+    clique = lambda k: [(f"{k}{i}", f"{k}{j}") for i in range(5) for j in range(i)]
+    pairs = [e for k in "abcdef" for e in clique(k)] + [(f"{a}0", f"{b}1") for a, b in zip("abcdef", "bcdefa")]
+    got = {r["node_id"]: r["community"] for r in community.louvain(plain_graph(spark, pairs, ["z"])).collect()}
+    assert got == {f"{k}{i}": f"{k}0" for k in "abcdef" for i in range(5)} | {"z": "z"}
+
+
+def test_closure_and_components(spark):
+    import random
+
+    r = random.Random(3)
+    pairs = sorted({(f"n{r.randrange(40)}", f"n{r.randrange(40)}") for _ in range(45)} | {(f"c{i}", f"c{i + 1}") for i in range(30)})
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    want = set(pairs)
+    while True:
+        more = want | {(a, d) for a, b in want for c, d in want if b == c}
+        if more == want:
+            break
+        want = more
+    assert {tuple(x) for x in infer.transitive_closure(edges).collect()} == want
+    top = {x: x for p in pairs for x in p}
+    for _ in range(80):
+        for a, b in pairs:
+            top[a] = top[b] = min(top[a], top[b])
+    assert {x["node_id"]: x["component"] for x in community.components(plain_graph(spark, pairs)).collect()} == top
+
+
 def test_write(spark, g):
     ents = spark.createDataFrame([("Manufacturer", "发那科", {"country": "JP"}, 0.9, 1), ("Manufacturer", " fanuc ", {"website": "x"}, 0.8, 2), ("Robot", "M-20", {"axes": "6"}, 1.0, 3), ("Ghost", "g", {}, 1.0, 4), ("Robot", " ", {}, 1.0, 5)], "type string, name string, props map<string,string>, confidence double, ord long")
     rels = spark.createDataFrame([("manufactures", "Manufacturer", "发那科", "Robot", "M-20", 1), ("manufactures", "Robot", "M-20", "Manufacturer", "发那科", 2), ("nothing", "Robot", "M-20", "Robot", "M-20", 3), ("manufactures", "Manufacturer", "发那科", "Robot", "missing", 4)], "type string, src_type string, src_name string, dst_type string, dst_name string, ord long").withColumn("props", F.create_map().cast("map<string,string>")).withColumn("confidence", F.lit(1.0))

@@ -4,12 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Where none is set, one is made if driver and tasks are one process, as in tests;
+    on a cluster a folder of the driver's own would be lost on executors, so that is an error."""
+    sc = spark.sparkContext
+    have = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if have:
+        return have
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed and written to the session's checkpoint folder; one is made only where none is set."""
-    sc = df.sparkSession.sparkContext
+    """``df`` computed and written to the session's checkpoint folder."""
+    folder, sc = shared_folder(df.sparkSession), df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(folder)
     return df.checkpoint()

@@ -49,21 +49,21 @@ def transitive_step(g: Graph) -> DataFrame:
     return out
 
 
-def transitive_closure(edges: DataFrame, rounds: int = 32) -> DataFrame:
-    """(src, dst) reachable by one or more edges. Path lengths double each round; it ends when nothing is added.
+def transitive_closure(edges: DataFrame) -> DataFrame:
+    """(src, dst) reachable by one or more edges.
 
-    Each round is checkpointed to the shared folder and the driver sees one count.
+    Each round joins what the last one added with all that is known, on either side, so path lengths double and nothing
+    is derived from old rows alone; it ends when nothing is added. Rounds are written to the checkpoint folder; the
+    driver sees one count a round.
     """
-    have = edges.select("src", "dst").distinct()
-    n = -1
-    for _ in range(rounds):
-        more = have.alias("x").join(have.alias("y"), F.col("x.dst") == F.col("y.src")).select("x.src", "y.dst")
-        have = cut(have.unionAll(more).distinct())
-        count = have.count()
-        if count == n:
-            break
-        n = count
-    return have
+    have = new = cut(edges.select("src", "dst").distinct())
+    while True:
+        left, right = new.toDF("src", "mid"), new.toDF("mid", "dst")
+        more = left.join(have.toDF("mid", "dst"), "mid").select("src", "dst").union(have.toDF("src", "mid").join(right, "mid").select("src", "dst"))
+        new = cut(more.distinct().join(have, ["src", "dst"], "left_anti"))
+        if not new.count():
+            return have
+        have = cut(have.unionAll(new))
 
 
 def subclass(g: Graph) -> DataFrame:

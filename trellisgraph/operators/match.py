@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trellisgraph.graph import Graph
+from trellisgraph.lineage import cut
 
 
 def get_node(g: Graph, label: str, name: str) -> DataFrame:
@@ -65,12 +66,18 @@ def trails(g: Graph, seeds: DataFrame, max_hops: int = 3, limit: int | None = No
         n = have.join(g.nodes.select(F.col("node_id").alias("seed")), "seed", "left_semi").agg(F.count("*").alias("n"))
         have = have.crossJoin(F.broadcast(n)).where(F.col("n") >= (wanted if wanted is not None else 0)).drop("n")  # n is one row
     level = have.select("seed", F.col("seed").alias("last"), F.array("seed").alias("nodes"), F.array().cast("array<string>").alias("edges"))
-    out = None
+    out, missing = None, limit
     for hops in range(1, max_hops + 1):
         step = level.join(both, F.col("last") == F.col("a")).where(~F.array_contains("edges", F.col("edge_id")))
         level = step.select("seed", F.col("b").alias("last"), F.concat("nodes", F.array("b")).alias("nodes"), F.concat("edges", F.array("edge_id")).alias("edges"))
+        if limit:  # longer trails come last, so a level that fills the limit ends the search
+            level = cut(level)
         rows = level.withColumn("hops", F.lit(hops))
         out = rows if out is None else out.unionByName(rows)
+        if limit:
+            missing -= level.limit(missing).count()
+            if not missing:
+                break
     out = out.select("seed", "hops", "last", "nodes", "edges")
     return out.orderBy("hops", F.array_join("nodes", "|"), F.array_join("edges", "|")).limit(limit) if limit else out
 
