@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trellisgraph.lineage import shared_folder
+
 #: A side is broadcast only when its measured size stays below this; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 #: Text handled at once inside a task; one longer text is handled alone.
@@ -21,11 +23,8 @@ BLOCK_BYTES = 8 << 20
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which must be set: a folder of the driver's own would be lost on executors."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base.rstrip('/')}/trellis-{uuid.uuid4().hex}"
+    """A new folder below the session's checkpoint folder."""
+    return f"{shared_folder(spark).rstrip('/')}/trellis-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame) -> DataFrame:
