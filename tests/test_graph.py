@@ -159,13 +159,13 @@ def test_incremental(spark):
 @pytest.mark.parametrize(
     "text, kind, name, props",
     [
-        ("FANUC M-20iA 是一款 6 轴工业机器人。", "Robot", "M-20iA", {"axes": "6"}),
-        ("FANUC M-20iA 负载 20kg。", "Robot", "M-20iA", {"payload": "20.0"}),
-        ("FANUC M-20iA 臂展 1853mm。", "Robot", "M-20iA", {"reach": "1853.0"}),
-        ("该机器人采用 RV-40E 减速器，减速比 40:1。", "Reducer", "RV-40E", {}),
-        ("R-30iB Plus 控制器支持 EtherCAT 通信协议。", "Controller", "R-30iB Plus", {}),
-        ("该机器人符合 ISO 10218-1 安全标准。", "Standard", "ISO 10218-1", {}),
-        ("FANUC M-20iA 是一款 6 轴机器人，FANUC M-20iA 负载 20kg。", "Robot", "M-20iA", {"axes": "6", "payload": "20.0"}),
+        ("本线选用 NACHI MZ07 为 6 轴小型机。", "Robot", "MZ07", {"axes": "6"}),
+        ("NACHI MZ07 额定负载：7.5 kg", "Robot", "MZ07", {"payload": "7.5"}),
+        ("NACHI MZ07 最大臂展 723 mm", "Robot", "MZ07", {"reach": "723.0"}),
+        ("第二关节为 RV-80N 减速器。", "Reducer", "RV-80N", {}),
+        ("柜内装有 R-50 Mate 控制器。", "Controller", "R-50 Mate", {}),
+        ("焊缝按 DIN 5817 验收。", "Standard", "DIN 5817", {}),
+        ("NACHI MZ07 为 6 轴，NACHI MZ07 负载 7 kg。", "Robot", "MZ07", {"axes": "6", "payload": "7.0"}),
     ],
 )
 def test_rule_entities(spark, text, kind, name, props):
@@ -175,15 +175,15 @@ def test_rule_entities(spark, text, kind, name, props):
 
 
 def test_rule_relations(spark):
-    docs = spark.createDataFrame([(1, "FANUC 推出了 M-20iA 工业机器人。"), (2, "M-20iA采用RV-40E减速器"), (3, "今天天气很好，适合出去散步。"), (4, "")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "KUKA 制造 KR10 搬运设备。"), (2, "KR10搭载X9减速器"), (3, "明天开会，请带上图纸。"), (4, "")], "doc_id long, text string")
     rows = {r["doc_id"]: r for r in extract.relations(docs).collect()}
-    assert rows[1]["type"] == "manufactures" and rows[1]["src_name"] == "FANUC"
+    assert rows[1]["type"] == "manufactures" and rows[1]["src_name"] == "KUKA"
     assert rows[2]["type"] == "uses_reducer" and 3 not in rows and 4 not in rows
     assert extract.entities(docs.where("doc_id > 2")).count() == 0
 
 
 def test_funnel(spark):
-    docs = spark.createDataFrame([(1, "FANUC"), (2, "FANUC M-20iA 是一款 6 轴机器人，ISO 10218-1 点焊 焊枪")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "FANUC"), (2, "KUKA KR10 为 6 轴，DIN 5817 弧焊 夹爪")], "doc_id long, text string")
     model = lambda d: d.select("doc_id", F.lit("Software").alias("type"), F.lit("RoboGuide").alias("name"), F.create_map().cast("map<string,string>").alias("props"), F.lit(0.4).alias("confidence"), F.lit(0).cast("long").alias("ord"))
     rows = extract.funnel(docs, model).where("type = 'Software'").collect()
     assert [(r["doc_id"], r["confidence"]) for r in rows] == [(1, 0.7)]

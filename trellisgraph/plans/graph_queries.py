@@ -434,7 +434,19 @@ def m01(spark, sf_dir):
     return community.modularity(g, community.components(g).withColumnRenamed("component", "community")).select(F.round("modularity", 6).alias("modularity"))
 
 
-@query("m02_label_propagation")
+@query(
+    "m03_components_of_all",
+    WITH + ", b AS (SELECT a AS x, b AS y FROM both0), k AS (SELECT 'Customer::1' AS x UNION SELECT y FROM k JOIN b USING (x)), m AS (SELECT min(x) AS c FROM k) SELECT node_id, CASE WHEN node_id IN (SELECT x FROM k) THEN (SELECT c FROM m) ELSE node_id END AS component FROM nodes",
+)
+def m03a(spark, sf_dir):
+    """All nodes and edges, hubs and cycles included; the SQL knows that one component has every edge."""
+    return community.components(star(spark, sf_dir))
+
+
+_VOTES = "".join(f", v{i} AS (SELECT a, c, count(*) AS n FROM e JOIN l{i} ON b = x GROUP BY a, c), w{i} AS (SELECT a, c FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, c) AS r FROM v{i}) WHERE r = 1), l{i + 1} AS (SELECT x, coalesce(w{i}.c, l{i}.c) AS c FROM l{i} LEFT JOIN w{i} ON a = x)" for i in range(3))
+
+
+@query("m02_label_propagation", WITH + ", e AS (SELECT DISTINCT a, b FROM sboth), l0 AS (SELECT node_id AS x, node_id AS c FROM sn)" + _VOTES + " SELECT x AS node_id, c AS community FROM l3")
 def m02(spark, sf_dir):
     return community.label_propagation(small_star(spark, sf_dir), 3)
 
