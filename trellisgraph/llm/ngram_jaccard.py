@@ -88,7 +88,7 @@ def _samples(width: int, percent: int, buckets: int):
                     taken[_prints(s)[0]] = s[: len(s) - needed(len(s), percent) + max(1, len(s) // 8)]
             if not taken:
                 continue
-            tokens = np.concatenate(list(taken.values()))
+            tokens = mixed(np.concatenate(list(taken.values())))  # the least hashes, mixed again, spread over all buckets
             prints = np.repeat(np.fromiter(taken, np.int64, len(taken)), [len(s) for s in taken.values()])
             order = np.argsort(tokens, kind="stable")
             tokens, prints = tokens[order], prints[order]
