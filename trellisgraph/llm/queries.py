@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellisgraph.llm import decontamination, hash_tree, language_id, lm_scoring, ngram_jaccard, packing, projection_dedup, secrets, sentence_spans, suffix_dedup
+from trellisgraph.llm import decontamination, fill_in_middle, hash_tree, language_id, lm_scoring, ngram_jaccard, packing, prefix_trie, projection_dedup, secrets, sentence_spans, suffix_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,6 +62,20 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(docs, secrets.history(docs))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(_read(spark, sf_dir, "documents"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _read(spark, sf_dir, "documents"), F.coalesce(_fold(3) == 1, F.lit(False))
+    model = toxicity.train(docs, _read(spark, sf_dir, "labels").where(~held_out), most=20_000)
+    return toxicity.scored(docs, model, F.struct("doc_id", held_out.alias("held_out")), threshold=0.7).select("_row.*", "score", "predicted")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(_read(spark, sf_dir, "conversations"), local_turns=500_000)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,8 +83,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_sentence_spans, op3_language_id, op4_hash_tree, op5_packing, op6_projection_dedup, op7_lm_scoring, op8_decontamination, op9_suffix_dedup, op10_secret_scans, pipeline)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_sentence_spans, op3_language_id, op4_hash_tree, op5_packing, op6_projection_dedup, op7_lm_scoring, op8_decontamination, op9_suffix_dedup, op10_secret_scans, op11_fill_in_middle, op12_toxicity, op13_prefix_trie, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sentence_spans": sentence_spans.ORACLE}
+    return {"op2_sentence_spans": sentence_spans.ORACLE, "op11_fill_in_middle": fill_in_middle.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
