@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from trellisgraph.functions import text as fn
-from trellisgraph.operators import answers, search, training, write
+from trellisgraph.graph import Graph, edges_from, nodes_from
+from trellisgraph.operators import answers, match, retrieve, search, training, write
 from trellisgraph.sources import files
 
 
@@ -140,3 +141,68 @@ def test_small_parts(spark):
     for table in ("(select 1) x.y", "a b", "x.y;z", ""):
         with pytest.raises(ValueError):
             files.read_table(spark, "jdbc:none", table)
+
+
+CITED = [
+    ("The FANUC robot lifts 20 kg [P1].", ["FANUC"], "ok"),
+    ("安川电机 makes robots [P1].", ["ABB"], "unsupported_entity"),
+    ("FANUC-Robotics is known [P1].", ["FANUC"], "ok"),
+    ("FANUC M-20iA has payload 20kg[P1].", ["FANUC M-20iA"], "ok"),
+    ("KUKA KR60的精度为0.02mm[P1]。", ["ABB IRB 6700"], "unsupported_entity"),
+    ("Test[P1].", None, "empty_path"),
+    ("all lower case [P1].", [], "ok"),
+    ("Some claim[P1].", [], "unsupported_entity"),
+    ("的了为是[P1] 与及", ["x"], "ok"),
+    ("Far KUKA" + " and so on" * 8 + " [P1]", ["x"], "ok"),
+    ("Near KUKA" + " and so on" * 3 + " [P1]", ["near"], "unsupported_entity"),
+    ("[P1] " + "so on and " * 5 + "KUKA " + "KUKA", ["abb"], "unsupported_entity"),
+    ("[P1] " + "so on and " * 6 + "KUKA", ["abb"], "ok"),
+    ("fanuc FANUC Fanuc [P1]", ["FANUC M-20iA"], "ok"),
+    ("fanuc [P01]", ["FANUC"], "unsupported_entity"),  # a mark of three characters counts as a name itself
+]
+
+
+def test_citation_rules(spark):
+    answers = spark.createDataFrame([(i, a) for i, (a, *_) in enumerate(CITED)] + [(100, "Twice [P1][P2] and [P1]; [P9]"), (103, "[P99999999999]"), (101, None), (102, "no mark")], "answer_id int, answer string")
+    paths = spark.createDataFrame([(i, 1, n) for i, (_, n, _) in enumerate(CITED)] + [(100, 1, ["twice"])], "answer_id int, index int, nodes array<string>")
+    rows = retrieve.verified_citations(answers, paths)
+    got = {(x["answer_id"], x["index"]): x["verdict"] for x in rows.collect()}
+    assert got == {(i, 1): v for i, (_, _, v) in enumerate(CITED)} | {(100, 1): "ok", (100, 2): "invalid_ref", (100, 9): "invalid_ref", (103, 2**31 - 1): "invalid_ref"}
+    assert {x["answer_id"]: (x["total"], x["ok"], x["invalid_ref"]) for x in retrieve.citation_summary(rows).collect()}[100] == (3, 1, 2)
+    assert {x["answer_id"]: x["issues"] for x in rows.collect() if x["issues"]}[4] == ["KUKA", "KR60的精度为0"]
+
+
+def test_shortest_paths(spark):
+    r = random.Random(8)
+    edges = [(f"e{k}", f"n{r.randrange(40)}", f"n{r.randrange(40)}", "t") for k in range(55)] + [(f"h{k}", "hub", f"n{k}", "t") for k in range(0, 40, 3)] + [("loop", "n1", "n1", "t"), ("far1", "f1", "f2", "t")]
+    g = Graph(nodes_from(spark.createDataFrame([(f"n{k}", "L") for k in range(40)], "node_id string, label string")), edges_from(spark.createDataFrame(edges, "edge_id string, src string, dst string, type string")))
+    near: dict[str, set] = {}
+    for _, a, b, _ in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def best(a, b, most):
+        level = {a: [a]}
+        seen = {a}
+        for hops in range(1, most + 1):
+            new: dict[str, list] = {}
+            for path in level.values():
+                for x in near.get(path[-1], ()):
+                    if x not in seen and (x not in new or path + [x] < new[x]):
+                        new[x] = path + [x]
+            seen |= set(new)
+            level = new
+            if b in new:
+                return hops, new[b]
+
+    pairs = [(f"n{r.randrange(40)}", f"n{r.randrange(40)}") for _ in range(60)] + [("n1", "n1"), ("n2", "f1"), ("f1", "f2"), ("hub", "n5"), ("gone", "n1"), (None, "n1"), ("n1", None)]
+    for most in (1, 2, 5, 9):
+        got = {(x["source"], x["target"]): (x["hops"], x["nodes"]) for x in match.shortest_paths(g, spark.createDataFrame(pairs, "source string, target string"), most).collect()}
+        assert got == {p: w for p in pairs if None not in p and p[0] != p[1] and (w := best(*p, most))}
+    # nodes and edges near seeds, as the trails give them
+    seeds = spark.createDataFrame([("n1",), ("n7",), ("gone",)], "node_id string")
+    for most in (1, 2, 3):
+        t = match.trails(g, seeds, most).collect()
+        nodes, rows = match.subgraph(g, seeds, most)
+        assert {x["edge_id"] for x in rows.collect()} == {e for x in t for e in x["edges"]}
+        assert {x["node_id"] for x in nodes.collect()} == {n for x in t for n in x["nodes"]} & {f"n{k}" for k in range(40)}

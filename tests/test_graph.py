@@ -226,7 +226,7 @@ def test_search(spark, g):
 
 def test_citations(spark):
     answers = spark.createDataFrame([(1, "Robot [P1] and [P1], FANUC [P2], [P9].")], "answer_id int, answer string")
-    paths = spark.createDataFrame([(1, 1, []), (1, 2, ["FANUC", "Robot one"])], "answer_id int, index int, nodes array<string>")
+    paths = spark.createDataFrame([(1, 1, None), (1, 2, ["FANUC", "Robot one"])], "answer_id int, index int, nodes array<string>")
     got = {r["index"]: r["verdict"] for r in retrieve.verified_citations(answers, paths).collect()}
     assert got == {1: "empty_path", 2: "ok", 9: "invalid_ref"}
     assert retrieve.citation_summary(retrieve.verified_citations(answers, paths)).first()["total"] == 3
@@ -267,7 +267,7 @@ def test_cad(spark):
     x = meta["extents"].first()
     assert (x["min_x"], x["max_x"], x["min_y"], x["max_y"]) == (1.0, 5.0, -1.0, 2.0)
     ents, rels = cad.dxf_graph(meta)
-    assert {(r["type"], r["name"]) for r in ents.collect()} == {("Drawing", "d.dxf"), ("CADLayer", "L1"), ("Part", "GEAR"), ("Assembly", "BOX ASSY"), ("Dimension", "Ø12.5"), ("Material", "Q235")}
+    assert {(r["type"], r["name"]) for r in ents.collect()} == {("Drawing", "d.dxf"), ("CADLayer", "L1"), ("Part", "GEAR"), ("Assembly", "BOX ASSY"), ("Dimension", "Ø12.5"), ("Material", "Q235"), ("Material", "STEEL")}
     assert {r["type"] for r in rels.collect()} == {"drawing_has_layer", "drawing_defines", "drawing_defines_assembly", "part_has_dimension", "part_made_of"}
     assert "GEAR x2" in cad.dxf_summary(meta).first()["summary"]
     raw = b"AC1032" + b"\x00\x01" + b"PART NAME" + b"\xff" + b"12" + b"\x00"

@@ -94,8 +94,8 @@ def judged_score(text: Column) -> Column:
 
 
 def citation_numbers(answer: Column) -> Column:
-    """The distinct n of ``[Pn]`` in order of first mention."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[P([0-9]+)\]"), F.lit(1)), lambda x: x.cast("int")))
+    """The distinct n of ``[Pn]`` in order of first mention; a number too long for an integer is the greatest one."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[P([0-9]+)\]"), F.lit(1)), lambda x: F.coalesce(x.try_cast("int"), F.lit(2**31 - 1))))
 
 
 def keywords(text: Column) -> Column:

@@ -102,6 +102,45 @@ def shortest_path(g: Graph, source: Column, target: Column, max_depth: int = 5)
     return found.join(ends, F.col("last") == F.col("target")).where("source <> target").select("source", "target", "hops", "nodes")
 
 
+def shortest_paths(g: Graph, pairs: DataFrame, max_depth: int = 5) -> DataFrame:
+    """(source, target, hops, nodes) of one shortest undirected path for each of ``pairs`` (source, target); ties by the
+    least node list. Pairs with a null end, with equal ends or with none within ``max_depth`` edges have no row.
+
+    Two searches a pair, one from each end. A round widens the smaller frontier of every pair by one edge and drops nodes
+    that search had before; of several ways into a node the least stays. A pair whose frontiers meet is done and takes
+    part no more, as is one whose frontier is empty. Rounds are written out, so a plan never grows; no node is widened
+    for a pair twice.
+    """
+    both = g.both_ways().select("a", "b").distinct()
+    pairs = pairs.select("source", "target").where("source <> target").distinct()
+    start = pairs.select("source", "target", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("source").alias("node")), F.struct(F.lit(1).alias("side"), F.col("target").alias("node")))).alias("x"))
+    frontier = cut(start.select("source", "target", "x.side", "x.node", F.array("x.node").alias("nodes")))
+    seen, found, pair = frontier.select("source", "target", "side", "node"), [], ["source", "target"]
+    for hops in range(1, max_depth + 1):
+        size = frontier.groupBy(*pair).agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"))
+        turn = size.where("n0 > 0 and n1 > 0").select(*pair, F.when(F.col("n0") <= F.col("n1"), 0).otherwise(1).alias("turn"))
+        live = cut(frontier.join(turn, pair))
+        if live.isEmpty():
+            break
+        longer = F.when(F.col("side") == 0, F.concat("nodes", F.array("b"))).otherwise(F.concat(F.array("b"), "nodes"))
+        step = live.where("side = turn").join(both, F.col("node") == F.col("a")).select(*pair, "side", F.col("b").alias("node"), longer.alias("nodes"))
+        step = step.groupBy(*pair, "side", "node").agg(F.min("nodes").alias("nodes")).join(seen, [*pair, "side", "node"], "left_anti")
+        rest = live.where("side <> turn").select(*pair, "side", "node", "nodes")
+        frontier = cut(step.unionByName(rest))
+        ahead, back = (frontier.where(F.col("side") == k).select(*pair, "node", F.col("nodes").alias(f"_{k}")) for k in (0, 1))
+        met = ahead.join(back, [*pair, "node"]).groupBy(*pair).agg(F.min(F.concat("_0", F.slice("_1", F.lit(2), F.size("_1")))).alias("nodes"))
+        met = cut(met)
+        found.append(met.select(*pair, F.lit(hops).alias("hops"), "nodes"))
+        frontier = frontier.join(met.select(*pair), pair, "left_anti")
+        seen = seen.unionByName(frontier.select(*seen.columns)).distinct()
+        if hops < max_depth:
+            seen = cut(seen.join(frontier.select(*pair).distinct(), pair, "left_semi"))
+    out = found[0] if found else pairs.limit(0).select(*pair, F.lit(0).alias("hops"), F.array("source").alias("nodes"))
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def reach(g: Graph, seeds: DataFrame, max_hops: int) -> DataFrame:
     """(seed, node_id, hops): every node within max_hops of each seed, with its least distance."""
     both = g.both_ways().select("a", "b").distinct()
@@ -109,13 +148,23 @@ def reach(g: Graph, seeds: DataFrame, max_hops: int) -> DataFrame:
     out = level
     for hops in range(1, max_hops + 1):
         step = level.join(both, F.col("node_id") == F.col("a")).select("seed", F.col("b").alias("node_id")).distinct()
-        level = step.join(out, ["seed", "node_id"], "left_anti").withColumn("hops", F.lit(hops))
+        level = cut(step.join(out, ["seed", "node_id"], "left_anti").withColumn("hops", F.lit(hops)))
         out = out.unionByName(level)
     return out
 
 
 def subgraph(g: Graph, seeds: DataFrame, max_hops: int = 2, limit: int | None = None, raw: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) on the trails from ``seeds``; raw keeps an edge once for every trail. An isolated seed gives none."""
+    """(nodes, edges) on the trails from ``seeds``; raw keeps an edge once for every trail. An isolated seed gives none.
+
+    Without a limit and without ``raw`` no trail is listed: what lies on one is found from least distances, the edges
+    with an end less than ``max_hops`` from a seed.
+    """
+    if limit is None and not raw:
+        near = reach(g, seeds, max_hops - 1).select("node_id").distinct()
+        ends = g.edges.select("edge_id", F.explode(F.array("src", "dst")).alias("node_id"))
+        edges = g.edges.join(ends.join(near, "node_id", "left_semi").select("edge_id").distinct(), "edge_id", "left_semi")
+        ids = edges.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+        return g.nodes.join(ids, "node_id", "left_semi"), edges
     t = trails(g, seeds, max_hops, limit)
     nodes = t.select(F.explode("nodes").alias("node_id")).distinct()
     edges = t.select(F.explode("edges").alias("edge_id"))

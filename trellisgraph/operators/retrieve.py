@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from trellisgraph.functions.text import citation_numbers, token_estimate
@@ -50,16 +46,17 @@ def path_score(seed_share: Column, weight: Column, confidence: Column, hops: Col
     return seed_share * 0.35 + weight * 0.20 + confidence * 0.15 + F.greatest(F.lit(0.0), 1.0 - (hops - 1) * 0.2) * 0.30
 
 
-def scored_paths(g: Graph, paths: DataFrame, seeds: list[str]) -> DataFrame:
+def scored_paths(g: Graph, paths: DataFrame, seeds: list[str] | Column) -> DataFrame:
     """``paths`` (nodes, edges as id arrays, hops, ...) with types, seed_share, weight, confidence and score.
 
+    seeds: node ids, or a column of ``paths`` with those of the path's own question.
     Edge values are joined by id after a positional explode and put together again, so no wide rows are shuffled.
     """
-    rows = paths.withColumn("path_id", F.xxhash64(F.array_join("nodes", "|"), F.array_join("edges", "|"), *[c for c in ("seed",) if c in paths.columns]))
+    rows = paths.withColumn("path_id", F.xxhash64(F.array_join("nodes", "|"), F.array_join("edges", "|"), *[c for c in ("seed", "question_id") if c in paths.columns]))
     e = rows.select("path_id", F.posexplode("edges").alias("pos", "edge_id")).join(g.edges.select("edge_id", "type", "confidence"), "edge_id")
     per = e.groupBy("path_id").agg(F.avg(relation_weight(F.col("type"))).alias("weight"), F.avg(F.coalesce("confidence", F.lit(0.7))).alias("confidence"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "type"))), lambda x: x["type"]).alias("types"))
-    names = F.array(*[F.lit(s) for s in seeds]) if seeds else F.array().cast("array<string>")
-    share = F.size(F.array_intersect(F.array_distinct("nodes"), F.array_distinct(names))) / F.lit(max(len(set(seeds)), 1))
+    names = F.array_distinct(F.array(*[F.lit(s) for s in seeds]).cast("array<string>") if isinstance(seeds, list) else seeds)
+    share = F.size(F.array_intersect(F.array_distinct("nodes"), names)) / F.greatest(F.size(names), F.lit(1))
     out = rows.join(per, "path_id", "left").withColumn("weight", F.coalesce("weight", F.lit(0.5))).withColumn("confidence", F.coalesce("confidence", F.lit(0.7))).withColumn("seed_share", F.least(share, F.lit(1.0)))
     return out.withColumn("score", path_score(F.col("seed_share"), F.col("weight"), F.col("confidence"), F.col("hops")))
 
@@ -105,40 +102,54 @@ def fallback_answer(lines: Column) -> Column:
     return F.concat(F.lit("Related facts:\n"), F.array_join(F.slice(lines, 1, 5), "\n"))
 
 
-_CITED = T.ArrayType(T.StructType([T.StructField("index", T.IntegerType()), T.StructField("snippet", T.StringType()), T.StructField("entities", T.ArrayType(T.StringType()))]))
+# Capitalised words that name nothing, and Han characters of which a run names nothing.
+COMMON_WORDS = ["THE", "AND", "FOR", "HAS", "ITS", "CAN", "ALL", "NOT", "THIS", "THAT", "WITH", "FROM", "WHEN", "WILL", "WHAT", "WHICH", "THEIR", "ABOUT", "THERE", "WOULD", "COULD"]
+COMMON_HAN = "的了为是在有和与及或对从到被把让给向朝于由因以而能会可要就也都不但只仅还又更很太最极非每各某其之这那此该个种次回度倍率性化体量值数点线面位方式法"
+#: What may be a name: a capital with two more word characters or hyphens, or two to six Han characters.
+NAME = r"[A-Z][\p{L}\p{N}_\-]{2,}|[一-鿿]{2,6}"
+
+
+def citations(answer: Column, around: int = 60) -> Column:
+    """index, snippet of every ``[Pn]`` once, at its first place, in order; ``around`` characters either side of the mark."""
+    number = citation_numbers(answer)
+
+    def one(n: Column) -> Column:
+        mark = F.concat(F.lit("[P"), n.cast("string"), F.lit("]"))
+        # a number may be written with zeros before it
+        place = F.regexp_instr(answer, F.concat(F.lit(r"\[P0*"), n.cast("string"), F.lit(r"\]")))
+        length = F.length(F.coalesce(F.regexp_substr(answer, F.concat(F.lit(r"\[P0*"), n.cast("string"), F.lit(r"\]"))), mark))
+        first = F.greatest(place - around, F.lit(1))
+        return F.struct(n.alias("index"), F.btrim(F.substring(answer, first, place + length + around - first), F.lit(" \t\n\r\x0b\x0c")).alias("snippet"))
+
+    return F.transform(number, one)
 
 
-@F.pandas_udf(_CITED)
-def citations(answers: pd.Series) -> pd.Series:
-    """Every ``[Pn]`` once, with 40 characters before and 60 after it, and the names in capitals near it."""
+def possible_names(snippet: Column) -> Column:
+    """The different tokens of a text that may name an entity, the first of each in either case."""
+    found = F.regexp_extract_all(snippet, F.lit(NAME), F.lit(0))
+    return F.filter(found, lambda x, i: F.array_position(F.transform(found, F.lower), F.lower(x)) == i + 1)
 
-    def one(text: str | None):
-        out, seen = [], set()
-        for m in re.finditer(r"\[P(\d+)\]", text or ""):
-            n = int(m[1])
-            if n in seen:
-                continue
-            seen.add(n)
-            near = text[max(0, m.start() - 40) : m.end() + 60]
-            out.append({"index": n, "snippet": near, "entities": sorted(set(re.findall(r"[A-Z][\w\-]{2,}", near)))})
-        return out
 
-    return pd.Series([one(t) for t in answers])
+def unsupported_names(snippet: Column, names: Column) -> Column:
+    """Possible names of three characters or more that are no common words, are in no node's name and hold none."""
+    lower = F.filter(F.transform(names, F.lower), lambda n: n != "")
+    common = lambda x: F.upper(x).isin(COMMON_WORDS) | x.rlike(f"^[{COMMON_HAN}]+$")
+    supported = lambda x: F.exists(lower, lambda n: F.contains(n, F.lower(x)) | F.contains(F.lower(x), n))
+    return F.filter(possible_names(snippet), lambda x: (F.length(x) >= 3) & ~common(x) & ~supported(x))
 
 
 def verified_citations(answers: DataFrame, paths: DataFrame) -> DataFrame:
-    """(answer_id, index, verdict) for answers (answer_id, answer) and paths (answer_id, index, nodes as names or null).
+    """(answer_id, index, verdict, issues) for answers (answer_id, answer) and paths (answer_id, index, nodes as names or
+    null), one row for each answer and number.
 
-    invalid_ref: no such path; empty_path: a path without nodes; unsupported_entity: a name near the mark that is in no
-    node's name; else ok.
+    invalid_ref: no such path; empty_path: a null path; unsupported_entity: names near the mark (``issues``) that the path
+    does not bear out; else ok.
     """
-    c = answers.select("answer_id", F.inline(citations("answer")))
-    rows = c.join(paths, ["answer_id", "index"], "left").withColumn("_have", F.col("nodes"))
-    present = paths.select("answer_id", "index", F.lit(True).alias("_known"))
-    rows = rows.join(present, ["answer_id", "index"], "left")
-    missing = F.filter("entities", lambda e: ~F.exists("_have", lambda n: F.contains(F.lower(n), F.lower(e))))
-    verdict = F.when(F.col("_known").isNull(), "invalid_ref").when(F.col("_have").isNull() | (F.size("_have") == 0), "empty_path").when(F.size(missing) > 0, "unsupported_entity").otherwise("ok")
-    return rows.select("answer_id", "index", verdict.alias("verdict"))
+    c = answers.select("answer_id", F.inline(citations(F.col("answer"))))
+    rows = c.join(paths.select("answer_id", "index", "nodes", F.lit(True).alias("_known")), ["answer_id", "index"], "left")
+    issues = F.when(F.col("nodes").isNotNull(), unsupported_names(F.col("snippet"), F.col("nodes")))
+    verdict = F.when(F.col("_known").isNull(), "invalid_ref").when(F.col("nodes").isNull(), "empty_path").when(F.size("issues") > 0, "unsupported_entity").otherwise("ok")
+    return rows.withColumn("issues", issues).select("answer_id", "index", verdict.alias("verdict"), "issues")
 
 
 def citation_summary(verdicts: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from trellisgraph.functions.text import search_tokens
+from trellisgraph.operators.patterns import occurrences
 
 #: Query vectors that go to every task at once.
 QUERY_BYTES = 32 << 20
@@ -183,8 +184,9 @@ def span_links(pairs: DataFrame, top: int = 10, min_score: float = 70.0) -> Data
     """
     q, n = F.lower("query"), F.lower("name")
     inside = F.expr("locate(lower(name), lower(query))") > 0
-    common = longest_common(F.when(~inside, q), F.when(~inside, n))
-    rows = pairs.where("name <> ''").withColumn("_in", inside).withColumn("_common", common).withColumn("_score", match_score(F.col("query"), F.col("name")))
+    rows = pairs.where("name <> ''").withColumn("_in", inside).withColumn("_score", F.when(~inside, match_score(F.col("query"), F.col("name"))))
+    near = F.col("_score") >= min_score  # only there is the common substring worked out
+    rows = rows.withColumn("_common", longest_common(F.when(near, q), F.when(near, n)))
     span = F.when(F.col("_in"), F.expr("substring(query, locate(lower(name), lower(query)), length(name))")).otherwise(F.col("_common"))
     score = F.when(F.col("_in"), 85 + 10 * F.least(F.length("name") / F.length("query"), F.lit(1.0))).when((F.length("_common") >= 2) & (F.col("_score") >= min_score), F.col("_score"))
     found = rows.select("query_id", "name", span.alias("span"), score.alias("score")).where("score is not null")
@@ -217,13 +219,12 @@ def longest_common(a: pd.Series, b: pd.Series) -> pd.Series:
 def spans(queries: DataFrame, entities: DataFrame, top: int = 10) -> DataFrame:
     """(query_id, name, start, score): entity names that occur in a query, 85 + 10 r; best of each name, ``top`` each.
 
-    Names meet queries by their first word, so only names that can occur are compared.
+    An automaton over the names reads each query once; ``start`` counts from 1.
     """
     q = queries.select("query_id", F.lower("query").alias("q"))
-    heads = q.select("query_id", "q", F.explode(F.array_distinct(search_tokens(F.col("q")))).alias("head"))
-    n = entities.select("name", F.lower("name").alias("n")).where("n <> ''").withColumn("head", F.get(search_tokens(F.col("n")), F.lit(0)))
-    rows = heads.join(n.distinct(), "head").where(F.contains("q", F.col("n")))
-    scored = rows.select("query_id", "name", F.expr("locate(n, q)").alias("start"), (85 + 10 * F.length("n") / F.length("q")).alias("score"))
+    n = entities.select("name", F.lower("name").alias("n")).where("n <> ''").distinct()
+    found = occurrences(q, "query_id", "q", n, "n", first=True).select(F.col("id").alias("query_id"), F.col("name").alias("n"), (F.col("start") + 1).alias("start"), "length")
+    scored = found.join(n, "n").select("query_id", "name", "start", (85 + 10 * F.length("n") / F.col("length")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "name"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top)
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trellisgraph.graph import Graph, edges_from
-from trellisgraph.operators import community, infer, match, quality, retrieve, stats, write
+from trellisgraph.lineage import scratch, stored
+from trellisgraph.operators import ask, community, infer, match, postings, quality, retrieve, stats, write
 from trellisgraph.plans.registry import query
 from trellisgraph.plans.star import STAR, WITH, read, small_star, star
 
@@ -74,6 +75,25 @@ _BFS = """, r AS (SELECT DISTINCT a, b FROM sboth), p(source, last, hops) AS (
   SELECT node_id, node_id, 0 FROM sn WHERE label = 'Supplier' UNION SELECT source, b, hops + 1 FROM p JOIN r ON a = last WHERE hops < 4)"""
 
 
+@query(
+    "j05_paths_between",
+    WITH + """, pair AS (SELECT 'Supplier::' || s_suppkey AS source, 'Customer::' || c_custkey AS target FROM supplier JOIN customer ON c_custkey = s_suppkey),
+n AS (SELECT DISTINCT a, b FROM both0),
+a1 AS (SELECT source, target, b FROM pair JOIN n ON a = source), a2 AS (SELECT DISTINCT source, target, n.b FROM a1 JOIN n ON n.a = a1.b), a3 AS (SELECT DISTINCT source, target, n.b FROM a2 JOIN n ON n.a = a2.b),
+b1 AS (SELECT source, target, b FROM pair JOIN n ON a = target), b2 AS (SELECT DISTINCT source, target, n.b FROM b1 JOIN n ON n.a = b1.b),
+h AS (SELECT source, target, 1 AS hops FROM a1 WHERE b = target UNION ALL SELECT source, target, 2 FROM a1 JOIN b1 USING (source, target, b) UNION ALL SELECT source, target, 3 FROM a2 JOIN b1 USING (source, target, b)
+  UNION ALL SELECT source, target, 4 FROM a2 JOIN b2 USING (source, target, b) UNION ALL SELECT source, target, 5 FROM a3 JOIN b2 USING (source, target, b))
+SELECT source, target, min(hops) AS hops FROM h GROUP BY source, target""",
+)
+def j05b(spark, sf_dir):
+    """Shortest paths of up to five edges, over all edges of the star, from each supplier to the customer of its number."""
+    g = star(spark, sf_dir)
+    g = g.with_(edges=stored(g.edges.select("edge_id", "type", "src", "dst")))
+    s = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("s_suppkey"))
+    pairs = s.select(F.concat(F.lit("Supplier::"), F.col("s_suppkey").cast("string")).alias("source"), F.concat(F.lit("Customer::"), F.col("c_custkey").cast("string")).alias("target"))
+    return match.shortest_paths(g, pairs, 5).select("source", "target", "hops")
+
+
 @query("j05_shortest_path", WITH + _BFS + " SELECT source, last AS target, min(hops) AS hops FROM p WHERE last LIKE 'Region::%' GROUP BY source, last")
 def j05(spark, sf_dir):
     g = small_star(spark, sf_dir)
@@ -195,6 +215,17 @@ def x01r(spark, sf_dir):
     return retrieve.retrieve(small_star(spark, sf_dir), ["Supplier::1", "Supplier::2"]).select("marker", "rank", "line", F.round("score", 6).alias("score"))
 
 
+@query("x01_questions")
+def x01q(spark, sf_dir):
+    """One question for every customer: linking, search, seeds, trails over the whole star, scores and budget."""
+    g = star(spark, sf_dir)
+    g = g.with_(nodes=stored(g.nodes), edges=stored(g.edges))
+    names = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    questions = names.select(F.col("c_custkey").alias("question_id"), F.concat(F.lit("what did "), "c_name", F.lit(" of "), "n_name", F.lit(" order?")).alias("question"))
+    index = postings.build(g.nodes, "node_id", ask.node_text(), scratch(spark))
+    return ask.retrieve_all(g, questions, index, max_hops=2).select("question_id", "marker", "rank", "line", F.round("score", 6).alias("score"))
+
+
 @query(
     "x04_compare",
     "WITH a AS (SELECT unnest(['brand', 'kind', 'size']) AS prop, unnest([p_brand, p_type, CAST(p_size AS VARCHAR)]) AS a FROM part WHERE p_partkey = 1), b AS (SELECT unnest(['brand', 'kind', 'size']) AS prop, unnest([p_brand, p_type, CAST(p_size AS VARCHAR)]) AS b FROM part WHERE p_partkey = 2) SELECT prop, a, b FROM a FULL JOIN b USING (prop)",

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trellisgraph.functions import text as fn
-from trellisgraph.operators import extract, retrieve, search, stats
+from trellisgraph.lineage import scratch
+from trellisgraph.operators import cells, extract, patterns, postings, retrieve, search, stats
 from trellisgraph.plans.registry import query
 from trellisgraph.plans.star import read, star
 from trellisgraph.sources import cad, files, mapping
@@ -88,23 +89,32 @@ def c16(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(n).alias("n"), F.get(n, F.lit(0)).alias("first"))
 
 
-@query(
-    "c18_citation_verdicts",
-    "WITH x AS (SELECT doc_id FROM documents) SELECT doc_id AS answer_id, 1 AS index, CASE doc_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'invalid_ref' WHEN 2 THEN 'empty_path' ELSE 'unsupported_entity' END AS verdict FROM x",
+_VERDICTS = r"""
+WITH a AS (SELECT doc_id AS answer_id, substring(text, 1, 50) || ' [P1]' AS s, lower(regexp_extract(text, '[^ \t\r\n]+')) AS n FROM documents),
+v AS (
+  SELECT answer_id, 1 AS index,
+    CASE WHEN answer_id % 5 = 0 THEN 'invalid_ref' WHEN answer_id % 5 = 1 THEN 'empty_path'
+      WHEN len(list_filter(regexp_extract_all(s, '[A-Z][\p{L}\p{N}_\-]{2,}|[一-鿿]{2,6}'), lambda x: length(x) >= 3
+        AND upper(x) NOT IN ('THE', 'AND', 'FOR', 'HAS', 'ITS', 'CAN', 'ALL', 'NOT', 'THIS', 'THAT', 'WITH', 'FROM', 'WHEN', 'WILL', 'WHAT', 'WHICH', 'THEIR', 'ABOUT', 'THERE', 'WOULD', 'COULD')
+        AND NOT contains(n, lower(x)) AND NOT contains(lower(x), n))) > 0 THEN 'unsupported_entity' ELSE 'ok' END AS verdict
+  FROM a
 )
+"""
+
+
+@query("c18_citation_verdicts", _VERDICTS + "SELECT answer_id, index, verdict FROM v")
 def c18(spark, sf_dir):
-    """Answers that cite a path which is right, missing, empty or about something else."""
-    ids = _docs(spark, sf_dir)
-    answers = ids.select(F.col("doc_id").alias("answer_id"), F.lit("The robot Mover3 lifts much [P1].").alias("answer"))
-    kind = F.col("doc_id") % 4
-    nodes = F.when(kind == 0, F.array(F.lit("Mover3"), F.lit("The plant"))).when(kind == 3, F.array(F.lit("Lifter"), F.lit("The plant"))).otherwise(F.array().cast("array<string>"))
-    paths = ids.where(kind != 1).select(F.col("doc_id").alias("answer_id"), F.lit(1).alias("index"), nodes.alias("nodes"))
-    return retrieve.verified_citations(answers, paths)
+    """The beginnings of all documents as answers that cite a path over their own first word; some paths are null or missing."""
+    docs = _docs(spark, sf_dir, "text")
+    answers = docs.select(F.col("doc_id").alias("answer_id"), F.concat(F.substring("text", 1, 50), F.lit(" [P1]")).alias("answer"))
+    nodes = F.when(F.col("doc_id") % 5 != 1, F.array(F.regexp_extract("text", r"[^ \t\r\n]+", 0)))
+    paths = docs.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("answer_id"), F.lit(1).alias("index"), nodes.alias("nodes"))
+    return retrieve.verified_citations(answers, paths).select("answer_id", "index", "verdict")
 
 
-@query("a18_citation_summary", "WITH x AS (SELECT doc_id FROM documents) SELECT doc_id AS answer_id, 1 AS total, CAST(doc_id % 4 = 0 AS BIGINT) AS ok, CAST(doc_id % 4 = 1 AS BIGINT) AS invalid_ref FROM x")
+@query("a18_citation_summary", _VERDICTS + "SELECT answer_id, 1 AS total, CAST(verdict = 'ok' AS BIGINT) AS ok, CAST(verdict = 'invalid_ref' AS BIGINT) AS invalid_ref, CAST(verdict = 'empty_path' AS BIGINT) AS empty_path, CAST(verdict = 'unsupported_entity' AS BIGINT) AS unsupported_entity FROM v")
 def a18(spark, sf_dir):
-    return retrieve.citation_summary(c18(spark, sf_dir)).select("answer_id", "total", "ok", "invalid_ref")
+    return retrieve.citation_summary(c18(spark, sf_dir))
 
 
 @query("p20_model_output", "SELECT conv_id, turn, 1 AS entities, 'E' || turn AS name FROM conversations")
@@ -146,6 +156,23 @@ def f01(spark, sf_dir):
     return rows.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 5).alias("best"), F.round(F.sum("score"), 3).alias("total"))
 
 
+@query("f01_stored_index", _BM25 + ", t AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM r) SELECT item_id AS query_id, count(*) AS n, round(max(score), 5) AS best, round(sum(score), 3) AS total FROM t WHERE rank <= 10 GROUP BY item_id")
+def f01_stored(spark, sf_dir):
+    """The ten best documents of every item from an index of four fifths of the documents and the postings of the rest."""
+    docs = _docs(spark, sf_dir, "text")
+    index = postings.build(docs.where("doc_id % 5 <> 0"), "doc_id", F.col("text"), scratch(spark)).with_new(docs.where("doc_id % 5 = 0"), "doc_id", F.col("text"))
+    q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return postings.search(index, q, 10).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 5).alias("best"), F.round(F.sum("score"), 3).alias("total"))
+
+
+@query("f07_names_in_documents", "WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{7,}')) AS name FROM benchmark) SELECT name, count(*) AS n_docs FROM n JOIN documents ON contains(lower(text), name) GROUP BY name")
+def f07_names(spark, sf_dir):
+    """In how many documents each longer word of the benchmark is, inside other words too."""
+    names = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), 0)).alias("name"))
+    found = patterns.occurrences(_docs(spark, sf_dir, F.lower("text").alias("text")), "doc_id", "text", names, first=True)
+    return found.groupBy("name").agg(F.count("*").alias("n_docs"))
+
+
 @query("f03_substring", "SELECT 'Part::' || p_partkey AS node_id, p_name AS name FROM part WHERE contains(p_name, '1') ORDER BY node_id LIMIT 10")
 def f03(spark, sf_dir):
     return search.substring_hits(star(spark, sf_dir).nodes.where("label = 'Part'"), "1").select("node_id", "name")
@@ -180,6 +207,24 @@ def v03(spark, sf_dir):
     return rows.select("query_id", "id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def _cells(spark, sf_dir):
+    return cells.build(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", scratch(spark))
+
+
+@query("v01_cells_exact", _VECTORS.format("list_dot_product(v, q)"))
+def v01_exact(spark, sf_dir):
+    """The exact path of the stored vector index."""
+    rows = cells.search(_cells(spark, sf_dir), _queries(spark, sf_dir), 5, exact=True)
+    return rows.select("query_id", "id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("v01_vector_cells")
+def v01(spark, sf_dir):
+    """The ten nearest by cosine from the eight cells nearest to each query."""
+    rows = cells.search(_cells(spark, sf_dir), _queries(spark, sf_dir), 10, probes=8, normalized=False)
+    return rows.select("query_id", "id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("v05_hyperplane_buckets")
 def v05(spark, sf_dir):
     return search.hyperplane_buckets(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64)
