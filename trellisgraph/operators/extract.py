@@ -1,6 +1,6 @@
 """Rule-based extraction of entities and relations from texts, the confidence funnel, and label cleaning.
 
-Patterns run as ``regexp_extract_all``, one call a group, zipped by match number; nothing leaves the JVM. Models (NER,
+Patterns run as ``regexp_extract_all``, one call a group, zipped by match number, in the JVM. Models (NER,
 language models) plug in as functions from a DataFrame of texts to rows of the same shape.
 """
 
@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -112,10 +114,15 @@ def merge_relations(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def funnel(docs: DataFrame, model: Callable[[DataFrame], DataFrame] | None = None, floor: float = 0.70, gate: float = 0.7, least: int = 3) -> DataFrame:
-    """Entities by rules; texts with a weak entity or fewer than ``least`` go to ``model``, whose unseen keys are added
-    with at least the floor confidence. Without a model, rules only."""
+def funnel(docs: DataFrame, model: Callable[[DataFrame], DataFrame] | None = None, floor: float = 0.70, gate: float = 0.7, least: int = 3, tagger: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Entities by rules, then by ``tagger`` (see ``tagged``), merged by type and name with the higher confidence; texts
+    with a weak entity or fewer than ``least`` go to ``model``, whose unseen keys are added with at least the floor
+    confidence. Each is a function from documents to rows; without them, rules only."""
     found = entities(docs)
+    if tagger is not None:
+        # properties of rules come first
+        more = tagger(docs).withColumn("ord", F.col("ord") + (1 << 40))
+        found = merged(found.unionByName(more.select(*found.columns)), first=True).select(*found.columns)
     if model is None:
         return found
     state = found.groupBy("doc_id").agg(F.min("confidence").alias("weak"), F.count("*").alias("n"))
@@ -125,6 +132,65 @@ def funnel(docs: DataFrame, model: Callable[[DataFrame], DataFrame] | None = Non
     return found.unionByName(more.select(*found.columns))
 
 
+def _touching(names: list[str]) -> list[set[int]]:
+    """For each of some different names the numbers of those that hold it or that it holds, by one automaton."""
+    import ahocorasick
+
+    made = ahocorasick.Automaton()
+    for i, name in enumerate(names):
+        made.add_word(name, i)
+    made.make_automaton()
+    out: list[set[int]] = [set() for _ in names]
+    for i, name in enumerate(names):
+        for _, j in made.iter(name):
+            if j != i:
+                out[i].add(j)
+                out[j].add(i)
+    return out
+
+
+def _one_of_overlapping(table: pa.Table) -> pa.Table:
+    """The rows of one text and type, first-tier rows before others, in order: see ``tagged``."""
+    order = np.lexsort((table.column("ord").to_numpy(), table.column("tier").to_numpy()))
+    names, sure = table.column("name").to_pylist(), table.column("confidence").to_pylist()
+    listed = list(dict.fromkeys(names))
+    number = {name: i for i, name in enumerate(listed)}
+    near, kept, since = _touching(listed), {}, 0  # kept: name number -> (place, row, confidence)
+    for row in order.tolist():
+        own, c, since = number[names[row]], sure[row], since + 1
+        if own in kept:
+            place, old, best = kept[own]
+            kept[own] = (place, old, max(best, c))
+            continue
+        mates = [m for m in near[own] if m in kept] if table.column("tier")[row].as_py() else []
+        first = min(mates, key=lambda m: kept[m][0], default=None)
+        if first is None:
+            kept[own] = (since, row, c)
+        elif len(names[row]) > len(listed[first]):
+            kept.pop(first)
+            kept[own] = (since, row, c)
+        else:
+            place, old, best = kept[first]
+            kept[first] = (place, old, max(best, c))
+    rows = table.take(pa.array([r for _, r, _ in kept.values()], pa.int64()))
+    return rows.set_column(rows.schema.get_field_index("confidence"), "confidence", pa.array([c for *_, c in kept.values()], pa.float64()))
+
+
+def tagged(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Names found by patterns (``first``) and by a recogniser (``second``), both (doc_id, type, name, props, confidence,
+    ord), as one list.
+
+    A name of the second list that is in the first raises its confidence. One that is part of a name kept before it, or
+    holds one, of its text and type does not stand beside it: of the two the longer stays, with the higher confidence where
+    the one before stays. Order decides among several. The names of one text and type meet in a task; what touches what
+    is found by one automaton, so memory follows from the names and not from their pairs.
+    """
+    columns = ["doc_id", "type", "name", "props", "confidence", "ord"]
+    part = lambda df, tier: df.select(*columns[:4], F.col("confidence").cast("double").alias("confidence"), F.col("ord").cast("long").alias("ord"), F.lit(tier).alias("tier"))
+    rows = part(first, 0).unionByName(part(second, 1)).where("name <> ''")
+    return rows.groupBy("doc_id", "type").applyInArrow(_one_of_overlapping, rows.schema).select(*columns)
+
+
 def parsed_model_output(rows: DataFrame, text: str = "text") -> DataFrame:
     """``rows`` with ``entities`` and ``relations`` read from a model's JSON answer; unreadable answers give null."""
     schema = "entities array<struct<name:string,type:string,properties:map<string,string>,confidence:double>>, relations array<struct<source:struct<name:string,type:string>,target:struct<name:string,type:string>,relation_type:string,confidence:double>>"
@@ -144,9 +210,14 @@ def co_occurrences(docs: DataFrame, found: DataFrame, verbs: list[str]) -> DataF
 
 def longer_of_overlapping(rows: DataFrame) -> DataFrame:
     """Without names that are part of a longer name of the same text and type."""
-    a, b = rows.alias("a"), rows.select("doc_id", "type", F.col("name").alias("other")).alias("b")
-    inside = a.join(b, ["doc_id", "type"]).where("name <> other and contains(other, name)").select("doc_id", "type", "name").distinct()
-    return rows.join(inside, ["doc_id", "type", "name"], "left_anti")
+
+    def run(table: pa.Table) -> pa.Table:
+        names = table.column("name").to_pylist()
+        listed = list(dict.fromkeys(names))
+        inside = {n for n, near in zip(listed, _touching(listed)) if any(len(listed[m]) > len(n) for m in near)}
+        return table.filter(pa.array([n not in inside for n in names], pa.bool_()))
+
+    return rows.where("name <> ''").groupBy("doc_id", "type").applyInArrow(run, rows.schema)
 
 
 # Label cleaning ------------------------------------------------------------------------------------------------

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trellisgraph.graph import Graph, Ontology, edges_from, nodes_from
+from trellisgraph.operators.embed import with_embeddings
 
 IDENTIFIER = r"^[A-Za-z_][A-Za-z0-9_]*$"
 
@@ -123,8 +124,10 @@ class Written:
     summary: DataFrame
 
 
-def write(g: Graph, entities: DataFrame, relations: DataFrame, alias_table: DataFrame | None = None, domain: str = "default", source: str = "") -> Written:
-    """Resolve names, validate, upsert nodes, then edges. Relations without entities are written if their ends exist.
+def write(g: Graph, entities: DataFrame, relations: DataFrame, alias_table: DataFrame | None = None, domain: str = "default", source: str = "", model=None) -> Written:
+    """Resolve names, validate, upsert nodes, embed, then edges. Relations without entities are written if their ends exist.
+
+    model: opens an embedding model (see ``embed.embedding``); it sees written nodes whose text is new or has changed.
 
     entities: type, name, props, confidence, ord; relations: type, src_type, src_name, dst_type, dst_name, props,
     confidence, ord.
@@ -139,6 +142,8 @@ def write(g: Graph, entities: DataFrame, relations: DataFrame, alias_table: Data
     key = lambda t, n: F.concat_ws("::", F.lit(domain), t, n)
     new = good.select(key("type", "name").alias("node_id"), F.col("type").alias("label"), F.array("type").alias("labels"), "name", F.lit(domain).alias("domain"), "props", F.lit(source).alias("source"), "confidence", "ord")
     nodes = upsert_nodes(g.nodes, nodes_from(new))
+    if model is not None:
+        nodes = with_embeddings(g.nodes, nodes, new, model)
     links = rels.where("error is null").select(key("src_type", "src_name").alias("src"), key("dst_type", "dst_name").alias("dst"), "type", F.lit(domain).alias("domain"), "props", F.lit(source).alias("source"), "confidence", "ord")
     edges, dangling = upsert_edges(nodes, g.edges, edges_from(links))
     errors = ents.where("error is not null").select(F.lit("entity").alias("kind"), "name", "error").unionByName(rels.where("error is not null").select(F.lit("relation").alias("kind"), F.concat_ws(" -> ", "src_name", "dst_name").alias("name"), "error"))
