@@ -211,25 +211,19 @@ def test_language_id(spark, sf_dir, empty):
     assert language_id.predict(empty, trees, F.struct(*empty.columns)).count() == 0
 
 
-def drawn(key, regions):
-    """The shard of a key by the draws as they are defined."""
+def drawn(key, shards):
+    """The shard of a key: the least draw on the way down is the least of all."""
     import xxhash
 
-    def child(level, weights):
-        if len(weights) == 1:
-            return next(iter(weights))
+    def draw(s):
+        h = xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+        h = xxhash.xxh64_intdigest(b"shard", h)
+        h = xxhash.xxh64_intdigest(struct.pack("<i", s), h)
+        return -math.log(((h >> 11) + 0.5) / 2**53)
 
-        def draw(c):
-            h = xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
-            h = xxhash.xxh64_intdigest(level.encode(), h)
-            h = xxhash.xxh64_intdigest(struct.pack("<i", c), h)
-            return -math.log(((h >> 11) + 0.5) / 2**53) / weights[c], c
-
-        return min(draw(c) for c in weights)[1]
-
-    region = regions[child("region", {r: sum(map(len, racks.values())) for r, racks in regions.items()})]
-    rack = region[child("rack", {k: len(kids) for k, kids in region.items()})]
-    return child("shard", dict.fromkeys(rack, 1))
+    regions = {r: min((min(map(draw, kids)), k) for k, kids in racks.items()) for r, racks in hash_tree.tree(shards).items()}
+    region = min(regions, key=lambda r: regions[r])
+    return min(hash_tree.tree(shards)[region][regions[region][1]], key=draw)
 
 
 def test_hash_tree(spark, docs, rows, empty):
@@ -246,13 +240,19 @@ def test_hash_tree(spark, docs, rows, empty):
     n = {r["a"]: r["count"] for r in many.groupBy("a").count().collect()}
     assert len(n) == 16 and max(n.values()) < 1.2 * min(n.values())
     assert many.where("a <> b and b <> 16").count() == 0 and abs(many.where("b = 16").count() - 20000 / 17) < 150
-    heavy = hash_tree.shard_of(hash_tree.shard_of(spark.range(20000), "id", 16, "a"), "id", 16, "b", {3: 2.0})
-    assert heavy.where("a div 8 <> b div 8 and b div 8 <> 0").count() == 0  # only into the region that gained
-    for n in (1, 7, 10, 17):  # one more shard takes rows only into itself, whatever the number
-        rows_ = hash_tree.shard(many.select(F.col("id").alias("doc_id"), F.lit("x").alias("text")), n)
-        assert rows_.where("shard <> grown_shard and grown_shard <> %d" % n).count() == 0 and rows_.where("grown_shard = %d" % n).count() > 700
+    for weight, moved in ((2.0, "b"), (0.5, "a")):  # only into the subtree that gained, or out of the one that lost
+        other = hash_tree.shard_of(hash_tree.shard_of(spark.range(20000), "id", 16, "a"), "id", 16, "b", {3: weight})
+        assert other.where(f"a <> b and {moved} <> 3").count() == 0 and other.where("a <> b").count() > 400
+    before = None
+    for n in range(1, 42):  # the count alone decides, and one more shard takes rows only into itself
+        now = [r["a"] for r in hash_tree.shard_of(spark.range(0, 600, 1, 1), "id", n, "a").orderBy("id").collect()]
+        assert before is None or all(b in (a, n - 1) for a, b in zip(before, now)) and n - 1 in now
+        before = now
+    for n in (1, 8, 17):
+        out = hash_tree.shard(many.limit(500).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")), n).select("doc_id", "shard", "grown_shard").collect()
+        assert all((r["shard"], r["grown_shard"]) == (drawn(r["doc_id"], n), drawn(r["doc_id"], n + 1)) for r in out)
     for r in many.limit(300).collect():
-        assert (r["a"], r["b"]) == (drawn(r["id"], hash_tree.tree(16)), drawn(r["id"], hash_tree.tree(17)))
+        assert (r["a"], r["b"]) == (drawn(r["id"], 16), drawn(r["id"], 17))
     assert hash_tree.shard(empty).count() == 0
     odd = spark.createDataFrame([(None, None), (None, None), (1, "a"), (1, "a")], "doc_id long, text string")
     assert hash_tree.shard(odd).count() == 4
