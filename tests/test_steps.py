@@ -213,3 +213,35 @@ def test_funnel_with_tagger(spark):
     assert both[robot]["confidence"] == 0.99 and both[robot]["props"]["payload"] == rules[robot]["props"]["payload"] and both[2, "Robot", robot[2]]["props"] == {"payload": "9"}
     last = extract.funnel(docs, more("Software", "S", 0.1), tagger=more("Part", "P", 0.9)).collect()
     assert {x["doc_id"]: x["confidence"] for x in last if x["type"] == "Software"} and all(x["confidence"] == 0.7 for x in last if x["type"] == "Software")
+
+
+def test_small_operators(spark):
+    from trellisgraph.operators import retrieve, stats
+
+    node = lambda i, label, file, source: (i, label, label + i, {"file": file} if file else {}, source)
+    schema = "node_id string, label string, name string, props map<string,string>, source string"
+    make = lambda rows: Graph(nodes_from(spark.createDataFrame(rows, schema)), edges_from(spark.createDataFrame([], "edge_id string, src string, dst string, type string")))
+    rows = [node("1", "Robot", "b.txt", "s"), node("2", "Part", "b.txt", "s"), node("3", "Part", "a.txt", "t"), node("4", "Part", "", "u")]
+    assert [tuple(x) for x in stats.files(make(rows)).collect()] == [("b.txt", 2, ["Part", "Robot"]), ("a.txt", 1, ["Part"])]
+    assert [(x["file"], x["entities"]) for x in stats.files(make([r[:3] + ({}, r[4]) for r in rows])).collect()] == [("s", 2), ("t", 1), ("u", 1)]
+    log = write.log_entry(spark, "s", "f", 3, 1, True, "2024-01-02T00:00:00", "h").unionByName(write.log_entry(spark, "s2", "f2", 0, 0, False, "2024-01-03T00:00:00", "")).unionByName(write.log_entry(spark, "s3", "f3", 0, 0, False, "2024-01-01T00:00:00", None))
+    assert [x["source"] for x in stats.latest(log).collect()] == ["s2", "s", "s3"] and [x["source"] for x in write.clean_log(log).collect()] == ["s"]
+    assert tuple(stats.log_totals(log).first()) == (3, 1, 2, 3, 1)
+    gold, said = ([(1, 0, "A"), (1, 5, "A"), (2, 0, "B")], [(1, 0, "A"), (2, 3, "B")])
+    scores = stats.precision_recall(*(spark.createDataFrame(x, "doc int, at int, label string") for x in (gold, said)), ["doc", "at"])
+    assert tuple(round(x, 4) for x in stats.macro_average(scores).first()) == (0.5, 0.25, 0.3333)
+    # results of several chunks, folded in order: later values win where asked
+    chunks = spark.createDataFrame([(1, "Robot", "R", {"a": "1", "b": None}, 0.7, 0), (1, "Robot", "R", {"a": "2", "b": "3"}, 0.9, 1), (1, "Robot", "R", {"a": "4"}, 0.8, 2), (1, "Part", "R", {}, 0.1, 3)], "doc_id int, type string, name string, props map<string,string>, confidence double, ord long")
+    for first, want in ((True, {"a": "1", "b": "3"}), (False, {"a": "4", "b": "3"})):
+        got = {x["type"]: x for x in extract.merged(chunks, first).collect()}
+        assert got["Robot"]["props"] == want and got["Robot"]["confidence"] == 0.9 and got["Part"]["props"] == {}
+    docs = spark.createDataFrame([(1, "FANUC makes M1. KUKA sees nothing; ABB makes. M1 uses G2 and makes G3")], "doc_id int, text string")
+    found = spark.createDataFrame([(1, n) for n in ("FANUC", "M1", "KUKA", "ABB", "G2", "G3")], "doc_id int, name string")
+    assert {tuple(x)[1:] for x in extract.co_occurrences(docs, found, ["makes", "uses"]).collect()} == {("FANUC", "M1", "makes"), ("M1", "G2", "uses"), ("M1", "G3", "uses"), ("G2", "G3", "makes")}
+    v, k = ([("a", 0.5), ("b", 0.9), ("b", 0.1)], [("b", 9.0), ("c", 3.0), ("d", 1.0)])
+    got = search.hybrid(*(spark.createDataFrame(x, "name string, score double") for x in (v, k)), 3).orderBy("rank").collect()
+    assert [(x["name"], x["source"]) for x in got] == [("b", "vector"), ("a", "vector"), ("c", "fulltext")]
+    two = make([("1", "P", "x", {"zeta": "1", "alpha": "2"}, ""), ("2", "P", "y", {"mid": "5", "alpha": "3"}, "")])
+    props = retrieve.compare(two, "1", "2")[0]
+    assert [tuple(x)[:3] for x in props.orderBy("ord").collect()] == [("zeta", "1", None), ("alpha", "2", "3"), ("mid", None, "5")]
+    assert [x.split(" | ")[0] for x in retrieve.comparison_text(props, "x", "y").first()["markdown"].splitlines()[2:]] == ["| zeta", "| alpha", "| mid"]

@@ -161,13 +161,14 @@ def citation_marks(answer: Column) -> Column:
 
 
 def compare(g: Graph, a: str, b: str) -> tuple[DataFrame, DataFrame]:
-    """(properties: prop, a, b; relations: type, a_targets, b_targets) of two node ids."""
-    side = lambda node, name: g.nodes.where(F.col("node_id") == node).select(F.explode(public_props(F.col("props"))).alias("prop", name))
-    return side(a, "a").join(side(b, "b"), "prop", "full"), common_relations(g, a, b)
+    """(properties: prop, a, b, ord; relations: type, a_targets, b_targets) of two node ids; properties of a come first."""
+    side = lambda node, name, base: g.nodes.where(F.col("node_id") == node).select(F.posexplode(public_props(F.col("props"))).alias("_o", "prop", name)).select("prop", name, (F.col("_o") + base).alias(f"_{name}"))
+    props = side(a, "a", 0).join(side(b, "b", 1 << 20), "prop", "full")
+    return props.select("prop", "a", "b", F.coalesce("_a", "_b").alias("ord")), common_relations(g, a, b)
 
 
 def comparison_text(props: DataFrame, a: str, b: str) -> DataFrame:
     """One row with the property table as Markdown."""
     line = F.concat(F.lit("| "), "prop", F.lit(" | "), F.coalesce("a", F.lit("-")), F.lit(" | "), F.coalesce("b", F.lit("-")), F.lit(" |"))
     head = f"| property | {a} | {b} |\n|-|-|-|\n"
-    return props.select("prop", line.alias("line")).agg(F.array_sort(F.collect_list(F.struct("prop", "line"))).alias("x")).select(F.concat(F.lit(head), F.array_join(F.transform("x", lambda r: r["line"]), "\n")).alias("markdown"))
+    return props.select("ord", line.alias("line")).agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("x")).select(F.concat(F.lit(head), F.array_join(F.transform("x", lambda r: r["line"]), "\n")).alias("markdown"))

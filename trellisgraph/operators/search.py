@@ -104,7 +104,10 @@ def hyperplane_buckets(rows: DataFrame, id_col: str, vec_col: str, dim: int, bit
 
 def hybrid(vector_hits: DataFrame, keyword_hits: DataFrame, limit: int = 10) -> DataFrame:
     """(name, score, source, rank) of two lists (name, score): vector hits first, the first of each name stays."""
-    part = lambda df, source, n: df.select("name", "score", F.lit(source).alias("source"), F.lit(n).alias("_s"), F.row_number().over(Window.orderBy(F.desc("score"), "name")).alias("_r"))  # noqa: E731  lists are top-k
+    def part(df: DataFrame, source: str, n: int) -> DataFrame:
+        best = df.groupBy("name").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "name").limit(limit)  # so the windows below hold few rows
+        return best.select("name", "score", F.lit(source).alias("source"), F.lit(n).alias("_s"), F.row_number().over(Window.orderBy(F.desc("score"), "name")).alias("_r"))
+
     rows = part(vector_hits, "vector", 0).unionByName(part(keyword_hits, "fulltext", 1))
     first = rows.withColumn("_f", F.row_number().over(Window.partitionBy("name").orderBy("_s", "_r"))).where("_f = 1")
     ranked = first.withColumn("rank", F.row_number().over(Window.orderBy("_s", "_r")))

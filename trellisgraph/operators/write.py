@@ -15,9 +15,6 @@ from pyspark.sql.window import Window
 from trellisgraph.graph import Graph, Ontology, edges_from, nodes_from
 from trellisgraph.operators.embed import with_embeddings
 
-IDENTIFIER = r"^[A-Za-z_][A-Za-z0-9_]*$"
-
-
 def last_wins(key: list[str], order: str = "ord") -> Window:
     return Window.partitionBy(*key).orderBy(F.col(order).desc())
 
