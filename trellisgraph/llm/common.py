@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -75,6 +76,16 @@ def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
+def give_back() -> None:
+    """Returns freed memory of this worker to the system: workers live on from stage to stage, and what one stage needed
+    once would stay with them beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def sliced(batches, size: int = SLICE_BYTES, column: str = "text"):
     """Arrow batches cut so that the text of each piece stays near ``size`` bytes; rows are never cut."""
     for batch in batches:
@@ -87,6 +98,7 @@ def sliced(batches, size: int = SLICE_BYTES, column: str = "text"):
         for a, b in zip(edges, edges[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    give_back()
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
