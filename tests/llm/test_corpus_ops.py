@@ -149,8 +149,8 @@ def test_sentence_spans(spark, docs, rows, empty):
     every = sorted((i, t) for i, t, *_ in rows) + [(1000 + k, t) for k, t in enumerate(extra)]
     want = dict(zip((i for i, _ in every), sentence_removals(t for _, t in every)))
     df = spark.createDataFrame([(i, t, "x") for i, t in every], "doc_id long, text string, key string").repartition(3)
-    for size in (1 << 23, 3000):
-        got = {r["doc_id"]: (r["n_sentences"], r["n_removed"], r["kept_sha256"]) for r in sentence_spans.removed(df, block_bytes=size).collect()}
+    for size, fan in ((1 << 23, 256), (3000, 256), (3000, 3)):
+        got = {r["doc_id"]: (r["n_sentences"], r["n_removed"], r["kept_sha256"]) for r in sentence_spans.removed(df, block_bytes=size, fan=fan).collect()}
         assert got == want and sum(w[1] for w in want.values()) > 30
     assert all(want[1000 + k][1] > 0 for k in (1, 3, 11, 12, 13, 14, 15))  # copies without sentence marks, of shouts too
     assert sentence_spans.removed(empty).count() == 0
@@ -385,8 +385,8 @@ def test_near_vectors_across_ranges(spark):
     assert len({r["component_id"] for r in got}) <= 2
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 23, 3000])
-def test_lm_scoring(spark, docs, rows, empty, block_bytes):
+@pytest.mark.parametrize("block_bytes, fan", [(1 << 23, 256), (3000, 256), (3000, 3)])
+def test_lm_scoring(spark, docs, rows, empty, block_bytes, fan):
     learn = {i: i % 5 != 0 for i, *_ in rows}
     seqs = {i: [*words(t or ""), None] for i, t, *_ in rows}
     c = Counter(w for i, s in seqs.items() if learn[i] for w in s)
@@ -404,7 +404,7 @@ def test_lm_scoring(spark, docs, rows, empty, block_bytes):
             return alone(w)
         return (grams[len(h) - 1][(*h, w)] + 4 * prob(h[1:], w)) / (state[len(h) - 1][h] + 4)
 
-    got = {r["doc_id"]: r for r in lm_scoring.scored(docs, F.col("doc_id") % 5 != 0, prior=4.0, block_bytes=block_bytes).collect()}
+    got = {r["doc_id"]: r for r in lm_scoring.scored(docs, F.col("doc_id") % 5 != 0, prior=4.0, block_bytes=block_bytes, fan=fan).collect()}
     assert len(got) == len(rows)
     for i, s in seqs.items():
         r = got[i]
@@ -516,7 +516,7 @@ def test_suffix_array(seed):
 
 def test_suffix_dedup(spark, docs, rows, empty):
     want = kept_bytes({i: (t or "").encode() for i, t, *_ in rows})
-    for options in ({}, {"block_bytes": 4000}, {"crowd": 2, "block_bytes": 4000}):
+    for options in ({}, {"block_bytes": 4000}, {"block_bytes": 4000, "fan": 3}, {"crowd": 2, "block_bytes": 4000}):
         got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.repeats_removed(docs, **options).collect()}
         assert got == want and sum(w[1] for w in want.values()) > 3000
     assert suffix_dedup.repeats_removed(empty).count() == 0

@@ -184,13 +184,18 @@ def _dealt(size: int, column: str):
     return run
 
 
-def blocked(df: DataFrame, size: int = BLOCK_BYTES, column: str = "text") -> DataFrame:
-    """(block, part, rows), partitioned by block: the rows of ``df``, many in one compressed value.
+def dealt(df: DataFrame, size: int = BLOCK_BYTES, column: str = "text") -> DataFrame:
+    """(block, part, rows): the rows of ``df``, many in one compressed value.
 
     A block holds rows of one input partition, in order, until the bytes of ``column`` reach ``size``; a text is never cut.
-    Several reads in one plan share the exchange; ``df`` must give its partitions the same rows whenever it is read.
     """
-    return df.mapInArrow(_dealt(size, column), "block long, part long, rows binary").repartition("block")
+    return df.mapInArrow(_dealt(size, column), "block long, part long, rows binary")
+
+
+def blocked(df: DataFrame, size: int = BLOCK_BYTES, column: str = "text") -> DataFrame:
+    """``dealt`` rows, partitioned by block. Several reads in one plan share the exchange; ``df`` must give its partitions
+    the same rows whenever it is read."""
+    return dealt(df, size, column).repartition("block")
 
 
 def unpacked(rows: pa.Table) -> list[pa.RecordBatch]:
@@ -217,28 +222,21 @@ def range_of(key: np.ndarray, ranges: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
-def range_cuts(key: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each range starts and ends in sorted keys."""
-    return np.searchsorted(range_of(key, ranges), np.arange(ranges + 1))
-
-
-def coded(*columns: np.ndarray) -> bytes:
-    """Columns of whole numbers as one compressed value: bytes of equal weight together, empty ones left out."""
+def plain(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers as one value: bytes of equal weight together, empty ones left out."""
     head, body = [len(columns)], []
     for x in columns:
         x = np.ascontiguousarray(x).astype("<u8")
         width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
         head += [len(x), width]
         body.append(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
-    raw = np.array(head, "<i8").tobytes() + b"".join(body)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return np.array(head, "<i8").tobytes() + b"".join(body)
 
 
-def decoded(value: bytes) -> list[np.ndarray]:
-    """The columns of a ``coded`` value, as unsigned 64-bit numbers."""
-    raw = pa.decompress(value[8:], int.from_bytes(value[:8], "little"), codec="zstd", asbytes=True)
+def numbers(raw: bytes, most: int | None = None) -> list[np.ndarray]:
+    """The columns of a ``plain`` value, or the first ``most``, as unsigned 64-bit numbers; what follows them is not read."""
     count = int(np.frombuffer(raw, "<i8", 1)[0])
-    head = np.frombuffer(raw, "<i8", 2 * count, 8).reshape(-1, 2).tolist()
+    head = np.frombuffer(raw, "<i8", 2 * count, 8).reshape(-1, 2)[:most].tolist()
     at, out = 8 + 16 * count, []
     for n, width in head:
         x = np.zeros((n, 8), np.uint8)
@@ -248,6 +246,17 @@ def decoded(value: bytes) -> list[np.ndarray]:
     return out
 
 
+def coded(*columns: np.ndarray) -> bytes:
+    """A ``plain`` value, compressed."""
+    raw = plain(*columns)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def decoded(value: bytes) -> list[np.ndarray]:
+    """The columns of a ``coded`` value."""
+    return numbers(pa.decompress(value[8:], int.from_bytes(value[:8], "little"), codec="zstd", asbytes=True))
+
+
 def steps(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys as the first and the differences that follow."""
     return key[:1], np.diff(key)
@@ -270,9 +279,3 @@ def unsigned(x: np.ndarray) -> np.ndarray:
 def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """first, first + 1, ... of each item, ``count`` numbers long, one after another."""
     return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-
-
-def in_order(answers: pa.Table) -> list[list[np.ndarray]]:
-    """The decoded answers of a block, by range."""
-    order = np.argsort(answers.column("range").to_numpy(), kind="stable")
-    return [decoded(answers.column("answer")[int(i)].as_py()) for i in order]

@@ -22,8 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from trellisgraph.llm import common
-from trellisgraph.llm.common import BLOCK_BYTES, blocked, coded, decoded, hash_ranges, lean, mixed, range_cuts, steps, text_bytes, unpacked, walked
+from trellisgraph.llm import common, exchange
+from trellisgraph.llm.common import BLOCK_BYTES, blocked, hash_ranges, lean, mixed, numbers, plain, steps, text_bytes, unpacked, walked
+from trellisgraph.llm.exchange import FAN, Route, route
 
 _START, _END = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
 _PAIR = np.uint64(0xA0761D6478BD642F)
@@ -87,29 +88,29 @@ class Grams:
         return np.bincount(self.word[on], minlength=len(self.words)), np.bincount(self.pair[on], minlength=len(self.pairs)), np.bincount(triple[triple >= 0], minlength=len(self.before))
 
     def cuts(self, ranges: int):
-        """(words, pairs, triples) boundaries of every hash range."""
-        pairs = range_cuts(self.pairs, ranges)
-        return range_cuts(self.words, ranges), pairs, np.searchsorted(self.pair_of_triple, pairs)
+        """The hash ranges of these n-grams, and the boundaries of each in words, pairs and triples."""
+        used, (words, pairs) = exchange.cuts(ranges, self.words, self.pairs)
+        return used, words, pairs, np.searchsorted(self.pair_of_triple, pairs)
 
 
 def _learn(batches) -> np.ndarray:
     return np.concatenate([np.zeros(0, bool), *(np.asarray(b.column(1).to_numpy(zero_copy_only=False), bool) for b in batches)])
 
 
-def _ask(ranges: int):
-    """A block's n-grams and their counts, one row a hash range, empty ones too."""
+def _ask(way: Route):
+    """A block's n-grams and their counts, a message to each hash range that it has some for."""
 
     def run(docs: pa.Table) -> pa.Table:
         texts = unpacked(docs)
         grams = Grams(texts, 2)
         one, two, three = grams.counts(_learn(texts))
         kinds = np.bincount(grams.pair_of_triple, minlength=len(grams.pairs))
-        u, b, t = grams.cuts(ranges)
+        used, u, b, t = grams.cuts(way.ranges)
         asked = [
-            coded(*steps(grams.words[u[r] : u[r + 1]]), one[u[r] : u[r + 1]], *steps(grams.pairs[b[r] : b[r + 1]]), two[b[r] : b[r + 1]], kinds[b[r] : b[r + 1]], grams.before[t[r] : t[r + 1]], three[t[r] : t[r + 1]])
-            for r in range(ranges)
+            plain(*steps(grams.words[u[r] : u[r + 1]]), one[u[r] : u[r + 1]], *steps(grams.pairs[b[r] : b[r + 1]]), two[b[r] : b[r + 1]], kinds[b[r] : b[r + 1]], grams.before[t[r] : t[r + 1]], three[t[r] : t[r + 1]])
+            for r in range(len(used))
         ]
-        return pa.table({"range": pa.array(np.arange(ranges, dtype=np.int32)), "block": pa.array([docs.column("block")[0].as_py()] * ranges, pa.int64()), "asked": pa.array(asked, pa.binary())})
+        return exchange.posted(docs.column("block")[0].as_py(), used, asked, way)
 
     return run
 
@@ -121,25 +122,23 @@ def _totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return total, np.split(total[number], np.cumsum([len(k) for k in keys])[:-1]), number
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """The totals of one hash range for each block that asked, with the tokens and different words that the range has."""
-    own = table.column("range")[0].as_py()
-    asked = [decoded(x) for x in table.column("asked").to_pylist()]
-    words, one, _ = _totals([walked(a[0], a[1]) for a in asked], [a[2] for a in asked])
-    _, two, number = _totals([walked(a[3], a[4]) for a in asked], [a[5] for a in asked])
+def _answer(_: np.ndarray, values: list[bytes]) -> list[bytes]:
+    """The totals of one hash range for each block that asked."""
+    asked = [numbers(x) for x in values]
+    words, pairs = [walked(a[0], a[1]) for a in asked], [walked(a[3], a[4]) for a in asked]
+    _, one, _ = _totals(words, [a[2] for a in asked])
+    _, two, number = _totals(pairs, [a[5] for a in asked])
     pair = np.repeat(number.astype(np.uint64), np.concatenate([a[6] for a in asked]).astype(np.int64))
     cut = np.cumsum([len(a[7]) for a in asked])[:-1]
     _, three, _ = _totals([k << _BEFORE | a[7] for k, a in zip(np.split(pair, cut), asked)], [a[8] for a in asked])
-    n = len(asked)
-    return pa.table(
-        {
-            "block": table.column("block"),
-            "range": pa.array([own] * n, pa.int32()),
-            "answer": pa.array([coded(*x) for x in zip(one, two, three)], pa.binary()),
-            "tokens": pa.array([int(words.sum())] * n, pa.int64()),
-            "kinds": pa.array([int((words > 0).sum())] * n, pa.int64()),
-        }
-    )
+    return [plain(exchange.check(w, p, a[7]), *x) for w, p, a, x in zip(words, pairs, asked, zip(one, two, three))]
+
+
+def _sums(mail: pa.Table) -> pa.Table:
+    """How many tokens and different words of one hash range are in texts to learn from."""
+    asked = [numbers(x, 3) for x in exchange.values_at(mail)]
+    words, _, _ = _totals([walked(a[0], a[1]) for a in asked], [a[2] for a in asked])
+    return pa.table({"tokens": pa.array([int(words.sum())], pa.int64()), "kinds": pa.array([int((words > 0).sum())], pa.int64())})
 
 
 class Automaton:
@@ -216,16 +215,15 @@ class Automaton:
         return out
 
 
-def _score(prior: float, add: float, kind: pa.DataType):
+def _score(prior: float, add: float, ranges: int, kind: pa.DataType):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         texts = unpacked(docs)
         grams = Grams(texts, 2)
-        order = np.argsort(answers.column("range").to_numpy())
-        parts = [decoded(answers.column("answer")[int(i)].as_py()) for i in order]
+        used, u, b, t = grams.cuts(ranges)
+        checks = {r: int(exchange.check(grams.words[u[i] : u[i + 1]], grams.pairs[b[i] : b[i + 1]], grams.before[t[i] : t[i + 1]])[0]) for i, r in enumerate(used.tolist())}
+        parts = exchange.answers(answers, checks)
         one, two, three = (np.concatenate([np.zeros(0, np.uint64), *(p[k] for p in parts)]).astype(np.int64) for k in range(3))
-        tokens, kinds = (int(answers.column(c).to_numpy().sum()) for c in ("tokens", "kinds"))
-        if (len(one), len(two), len(three)) != (len(grams.words), len(grams.pairs), len(grams.before)):
-            raise ValueError("a block got other answers than it asked for")
+        tokens, kinds = answers.column("sums")[0].as_py() if answers.num_rows else (0, 0)
         model = Automaton(grams, one, two, three, tokens, kinds, prior, add)
         doc = np.repeat(np.arange(len(grams.size)), grams.size)
         total = lambda x: np.bincount(doc, weights=x, minlength=len(grams.size))
@@ -239,21 +237,23 @@ def _score(prior: float, add: float, kind: pa.DataType):
 _NUMBERS = {"n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
 
 
-def scored(docs: DataFrame, learn: Column, prior: float = 64.0, add: float = 0.1, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, learn: Column, prior: float = 64.0, add: float = 0.1, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", fan: int = FAN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; it learns where ``learn``.
 
     A null text is empty and has only its end token; a null id is kept. Rows that repeat an id are scored and counted
     each. Without training rows N and V are 0 and every token has the same probability. An empty table gives no rows.
     Other columns are not read. ``block_bytes`` bounds the text that one task holds; one longer text is held alone.
+    ``fan`` bounds the rows that a block sends in one hop.
     """
     spark = docs.sparkSession
     lean(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ranges = hash_ranges(text_bytes(rows), block_bytes)
+    way = route(hash_ranges(text_bytes(rows), block_bytes), fan)
     texts = blocked(rows, block_bytes)
-    asked = texts.groupBy("block").applyInArrow(_ask(ranges), "range int, block long, asked binary")
-    answers = asked.groupBy("range").applyInArrow(_answer, "block long, range int, answer binary, tokens long, kinds long")
+    asked = exchange.arrived(texts.groupBy("block"), _ask(way), way)
+    sums = asked.groupBy("to").applyInArrow(_sums, "tokens long, kinds long").agg(F.array(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "kinds")]).alias("sums"))
+    answers = exchange.answered(asked, _answer, way).withColumn("sums", sums.scalar())
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     arrow = to_arrow_type(docs.schema[id_col].dataType)
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(prior, add, arrow), schema)
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(prior, add, way.ranges, arrow), schema)

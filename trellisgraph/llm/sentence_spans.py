@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from trellisgraph.llm import common
-from trellisgraph.llm.common import BLOCK_BYTES, LOWER, SPACE, blocked, coded, decoded, hash_ranges, in_order, lean, range_cuts, signed, spread, steps, text_bytes, unpacked, unsigned, walked
+from trellisgraph.llm import common, exchange
+from trellisgraph.llm.common import BLOCK_BYTES, LOWER, SPACE, blocked, hash_ranges, lean, numbers, plain, signed, spread, steps, text_bytes, unpacked, unsigned, walked
+from trellisgraph.llm.exchange import FAN, Route, route
 
 _MARK = np.zeros(256, bool)
 _MARK[[33, 46, 63]] = True
@@ -138,38 +139,36 @@ class Block:
         return out
 
 
-def _ask(words: int, long: int, ranges: int):
-    """A block's different runs with the least id of each, one row a hash range."""
+def _ask(words: int, long: int, way: Route):
+    """A block's different runs with the least id of each, a message to each hash range that it has runs for."""
 
     def run(docs: pa.Table) -> pa.Table:
         block = Block(docs, words, long)
-        cut = range_cuts(block.keys, ranges)
-        asked = [coded(*steps(block.keys[i:j]), signed(block.least[i:j])) for i, j in zip(cut, cut[1:])]
-        return pa.table({"range": pa.array(np.arange(ranges, dtype=np.int32)), "block": pa.array([docs.column("block")[0].as_py()] * ranges, pa.int64()), "asked": pa.array(asked, pa.binary())})
+        used, (cut,) = exchange.cuts(way.ranges, block.keys)
+        asked = [plain(*steps(block.keys[i:j]), signed(block.least[i:j])) for i, j in zip(cut, cut[1:])]
+        return exchange.posted(docs.column("block")[0].as_py(), used, asked, way)
 
     return run
 
 
-def _owners(table: pa.Table) -> pa.Table:
+def _owners(block: np.ndarray, values: list[bytes]) -> list[bytes]:
     """For each block and key: 1 if no other block has a smaller id with it, or the same id and a lower number."""
-    asked = [decoded(x) for x in table.column("asked").to_pylist()]
+    asked = [numbers(x) for x in values]
     keys = [walked(a[0], a[1]) for a in asked]
     size = [len(k) for k in keys]
-    block = np.repeat(table.column("block").to_numpy(), size)
     key, least = np.concatenate(keys), unsigned(np.concatenate([a[2] for a in asked]))
-    order = np.lexsort((block, least, key))
+    order = np.lexsort((np.repeat(block, size), least, key))
     own = np.zeros(len(key), np.int64)
-    own[order[np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))] if len(key) else order] = 1
-    answers = [coded(x) for x in np.split(own, np.cumsum(size)[:-1])]
-    return pa.table({"block": table.column("block"), "range": table.column("range"), "answer": pa.array(answers, pa.binary())})
+    own[order[np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))]] = 1
+    return [plain(exchange.check(k), x) for k, x in zip(keys, np.split(own, np.cumsum(size)[:-1]))]
 
 
-def _results(words: int, long: int, kind: pa.DataType):
+def _results(words: int, long: int, ranges: int, kind: pa.DataType):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block(docs, words, long)
-        own = np.concatenate([np.zeros(0, np.uint64), *(a[0] for a in in_order(answers))]) > 0
-        if len(own) != len(block.keys):
-            raise ValueError("a block got other answers than it asked for")
+        used, (cut,) = exchange.cuts(ranges, block.keys)
+        checks = {r: int(exchange.check(block.keys[i:j])[0]) for r, i, j in zip(used.tolist(), cut, cut[1:])}
+        own = np.concatenate([np.zeros(0, np.uint64), *(a[0] for a in exchange.answers(answers, checks))]) > 0
         out = []
         for batch, s, gone in zip(block.batches, block.slices, block.gone(own)):
             count = [np.bincount(x, minlength=s.texts).astype(np.int64) for x in (s.doc, s.doc[gone])]
@@ -179,27 +178,28 @@ def _results(words: int, long: int, kind: pa.DataType):
     return run
 
 
-def deduplicated(docs: DataFrame, words: int = 20, long: int = 25, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, words: int = 20, long: int = 25, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", fan: int = FAN) -> DataFrame:
     """doc_id, n_sentences, n_removed, kept (the words of the sentences that stay, parted by a blank) for every row.
 
     A null or blank text has no sentence; texts of one sentence, or of fewer than ``words`` words, have no run. A null
     id takes no part and keeps everything. Ids are whole numbers, of either sign. Rows that repeat an id are judged each
     by its own text; of equal ones the first in the input stays. Other columns are not read. Runs count as equal if 64
     bits of hashes are. ``block_bytes`` bounds the text that one task holds; one longer text is held alone.
+    ``fan`` bounds the rows that a block sends in one hop.
     """
     lean(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ranges = hash_ranges(text_bytes(rows), block_bytes)
+    way = route(hash_ranges(text_bytes(rows), block_bytes), fan)
     texts = blocked(rows, block_bytes)
-    asked = texts.groupBy("block").applyInArrow(_ask(words, long, ranges), "range int, block long, asked binary")
-    owners = asked.groupBy("range").applyInArrow(_owners, "block long, range int, answer binary")
-    return texts.groupBy("block").cogroup(owners.groupBy("block")).applyInArrow(_results(words, long, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, n_sentences long, n_removed long, kept string")
+    asked = exchange.arrived(texts.groupBy("block"), _ask(words, long, way), way)
+    owners = exchange.answered(asked, _owners, way)
+    return texts.groupBy("block").cogroup(owners.groupBy("block")).applyInArrow(_results(words, long, way.ranges, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, n_sentences long, n_removed long, kept string")
 
 
-def removed(docs: DataFrame, words: int = 20, long: int = 25, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed(docs: DataFrame, words: int = 20, long: int = 25, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", fan: int = FAN) -> DataFrame:
     """doc_id, n_sentences, n_removed, kept_sha256 for every row."""
-    return deduplicated(docs, words, long, block_bytes, id_col, text_col).select("doc_id", "n_sentences", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return deduplicated(docs, words, long, block_bytes, id_col, text_col, fan).select("doc_id", "n_sentences", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 ORACLE = r"""

@@ -29,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellisgraph.llm import common
-from trellisgraph.llm.common import BLOCK_BYTES, blocked, coded, decoded, hash_ranges, in_order, lean, mixed, range_cuts, saved, signed, spread, steps, unpacked, unsigned, walked
+from trellisgraph.llm import common, exchange
+from trellisgraph.llm.common import BLOCK_BYTES, dealt, hash_ranges, lean, mixed, numbers, plain, saved, signed, spread, steps, unpacked, unsigned, walked
+from trellisgraph.llm.exchange import FAN, Route, route
 
 _WINDOW = np.uint64(0x452821E638D01377)
 
@@ -209,8 +210,8 @@ class Texts:
         return out
 
 
-def _ask(length: int, seed: int, ranges: int):
-    """A block's distinct minimizers, for each how many texts and how many different segments have it, one row a range."""
+def _ask(length: int, seed: int, way: Route):
+    """A block's distinct minimizers, for each how many texts and how many different segments have it, by range."""
 
     def run(docs: pa.Table) -> pa.Table:
         texts = Texts(docs, length, seed)
@@ -226,9 +227,9 @@ def _ask(length: int, seed: int, ranges: int):
             fresh[1:] |= other[1:] != other[:-1]
             counts.append(np.bincount((np.cumsum(head) - 1)[fresh]))
         key = key[head]
-        cut = range_cuts(key, ranges)
-        asked = [coded(*steps(key[i:j]), *(n[i:j] for n in counts)) for i, j in zip(cut, cut[1:])]
-        return pa.table({"range": pa.array(np.arange(ranges, dtype=np.int32)), "block": pa.array([docs.column("block")[0].as_py()] * ranges, pa.int64()), "asked": pa.array(asked, pa.binary())})
+        used, (cut,) = exchange.cuts(way.ranges, key)
+        asked = [plain(*steps(key[i:j]), *(n[i:j] for n in counts)) for i, j in zip(cut, cut[1:])]
+        return exchange.posted(docs.column("block")[0].as_py(), used, asked, way)
 
     return run
 
@@ -236,42 +237,38 @@ def _ask(length: int, seed: int, ranges: int):
 def _known(crowd: int):
     """For each block and minimizer: 0 if one text of all has it, 1 if several, 2 if with more than ``crowd`` segments."""
 
-    def run(table: pa.Table) -> pa.Table:
-        asked = [decoded(x) for x in table.column("asked").to_pylist()]
+    def run(_: np.ndarray, values: list[bytes]) -> list[bytes]:
+        asked = [numbers(x) for x in values]
         keys = [walked(a[0], a[1]) for a in asked]
         _, number = np.unique(np.concatenate(keys), return_inverse=True)
         texts, segments = (np.bincount(number, weights=np.concatenate([a[k] for a in asked]).astype(np.float64)) for k in (2, 3))
         kind = ((texts > 1).astype(np.int64) + ((texts > 1) & (segments > crowd)))[number]
-        answers = [coded(x) for x in np.split(kind, np.cumsum([len(k) for k in keys])[:-1])]
-        return pa.table({"block": table.column("block"), "range": table.column("range"), "answer": pa.array(answers, pa.binary())})
+        return [plain(exchange.check(k), x) for k, x in zip(keys, np.split(kind, np.cumsum([len(k) for k in keys])[:-1]))]
 
     return run
 
 
-def _pieces(length: int, seed: int, ranges: int):
-    """Different pieces of a block that may hold a repeat, one row a hash range; and one row without pieces, ``places``,
-    where they are, which comes back with the answers."""
-    names = ["range", "block", "asked", "body", "places"]
+def _pieces(length: int, seed: int, way: Route):
+    """Different pieces of a block that may hold a repeat, a message to each hash range; and a note where they are, which
+    comes back with the answers."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))})
         block = docs.column("block")[0].as_py()
         texts = Texts(docs, length, seed)
-        kind = np.concatenate([np.zeros(0, np.uint64), *(a[0] for a in in_order(answers))])
         keys, number = np.unique(texts.key, return_inverse=True)
-        if len(kind) != len(keys):
-            raise ValueError("a block got other answers than it asked for")
+        used, (cut,) = exchange.cuts(way.ranges, keys)
+        checks = {r: int(exchange.check(keys[i:j])[0]) for r, i, j in zip(used.tolist(), cut, cut[1:])}
+        kind = np.concatenate([np.zeros(0, np.uint64), *(a[0] for a in exchange.answers(answers, checks))])
         kind = kind[number]
         start = texts.offsets[texts.doc] + texts.first
-        plain, crowded = kind == 1, kind == 2
+        whole, crowded = kind == 1, kind == 2
         n = (texts.last - texts.first)[crowded]
         single = spread(start[crowded], n)
-        doc = np.concatenate([texts.doc[plain], np.repeat(texts.doc[crowded], n)])
-        size = np.concatenate([(texts.last - texts.first)[plain] + length - 1, np.full(len(single), length)])
-        start = np.concatenate([start[plain], single])
+        doc = np.concatenate([texts.doc[whole], np.repeat(texts.doc[crowded], n)])
+        size = np.concatenate([(texts.last - texts.first)[whole] + length - 1, np.full(len(single), length)])
+        start = np.concatenate([start[whole], single])
         print_ = texts.prints(start, size)
-        key = np.concatenate([texts.key[plain], mixed(print_[plain.sum() :] ^ _WINDOW)])
+        key = np.concatenate([texts.key[whole], mixed(print_[whole.sum() :] ^ _WINDOW)])
         order = np.lexsort((size, print_, key))
         head = np.ones(len(order), bool)
         for x in (key, print_, size):
@@ -284,16 +281,15 @@ def _pieces(length: int, seed: int, ranges: int):
         least = np.minimum.reduceat(texts.ids[doc[order]], at) if len(at) else np.zeros(0, np.int64)
         some = order[at]  # one place of each piece
         raw = texts.data.tobytes()
-        cut = range_cuts(key[some], ranges)
-        rows = []
-        for r, (i, j) in enumerate(zip(cut, cut[1:])):
+        used, (cut,) = exchange.cuts(way.ranges, key[some])
+        asked = []
+        for i, j in zip(cut, cut[1:]):
             own = some[i:j]
             body = b"".join([raw[a : a + b] for a, b in zip(start[own].tolist(), size[own].tolist())])
-            rows.append((r, coded(*steps(key[own]), size[own], signed(least[i:j])), pa.compress(body, codec="zstd", asbytes=True), None))
+            asked.append(plain(*steps(key[own]), size[own], signed(least[i:j])) + body)
         order = np.lexsort((start, doc))
-        rows.append((block % ranges, None, None, coded(piece[order], doc[order], start[order] - texts.offsets[doc[order]])))
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table({"block": pa.array([block] * len(rows), pa.int64())} | {n: pa.array(x, t) for n, x, t in zip((names[0], *names[2:]), zip(*rows), kinds)}).select(names)
+        asked.append(plain(piece[order], doc[order], start[order] - texts.offsets[doc[order]]))
+        return exchange.posted(block, np.append(used, ~(block % way.ranges)), asked, way)
 
     return run
 
@@ -301,17 +297,11 @@ def _pieces(length: int, seed: int, ranges: int):
 def _firsts(length: int):
     """Of one hash range: for each block the runs (number of windows, least document) of every piece it sent."""
 
-    def run(table: pa.Table) -> pa.Table:
-        back = table.filter(table.column("places").is_valid())
-        table = table.filter(table.column("asked").is_valid())
-        back = pa.table({"block": back.column("block"), "range": pa.array([-1] * back.num_rows, pa.int32()), "answer": back.column("places")})
-        if not table.num_rows:
-            return back
-        asked = [decoded(x) for x in table.column("asked").to_pylist()]
+    def run(_: np.ndarray, values: list[bytes]) -> list[bytes]:
+        asked = [numbers(x) for x in values]
         bodies, prints = [], []
-        for a, value in zip(asked, table.column("body").to_pylist()):
-            n = int(a[2].sum())
-            bodies.append(pa.decompress(value, n, codec="zstd", asbytes=True) if n else b"")
+        for a, value in zip(asked, values):
+            bodies.append(value[len(value) - int(a[2].sum()) :])
             ends = np.cumsum(a[2]).astype(np.int64)
             prints.append(common.span_hashes(np.frombuffer(bodies[-1], np.uint8), ends - a[2].astype(np.int64), ends))
         body = b"".join(bodies)
@@ -361,10 +351,10 @@ def _firsts(length: int):
             value.append(m[cut])
         count, value = np.concatenate(count), np.concatenate(value)
         answers = []
-        for own in np.split(of, np.cumsum([len(a[2]) for a in asked])[:-1]):
+        for a, own in zip(asked, np.split(of, np.cumsum([len(a[2]) for a in asked])[:-1])):
             take = spread(base[own], runs[own])
-            answers.append(coded(runs[own], count[take], signed(value[take])))
-        return pa.concat_tables([pa.table({"block": table.column("block"), "range": table.column("range"), "answer": pa.array(answers, pa.binary())}), back])
+            answers.append(plain(exchange.check(walked(a[0], a[1])), runs[own], count[take], signed(value[take])))
+        return answers
 
     return run
 
@@ -415,10 +405,9 @@ def _shared_parts(body: bytes, at: np.ndarray, groups: list[list[int]], length:
 def _results(length: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         out: tuple[list, ...] = ([], [], [], [], [])
-        own = np.asarray(answers.column("range").to_numpy()) < 0
-        (places,) = in_order(answers.filter(pa.array(own))) or ([np.zeros(0, np.uint64)] * 3,)
+        notes, found = exchange.noted(answers)
+        places = numbers(notes[0]) if notes else [np.zeros(0, np.uint64)] * 3
         piece, doc, start = (x.astype(np.int64) for x in places)
-        found = in_order(answers.filter(pa.array(~own)))
         runs, count, least = (np.concatenate([np.zeros(0, np.uint64), *(x[k] for x in found)]) for k in range(3))
         runs, count, least = runs.astype(np.int64), count.astype(np.int64), unsigned(least)
         begin = np.cumsum(runs) - runs
@@ -457,13 +446,14 @@ def _results(length: int):
     return run
 
 
-def repeats_removed(docs: DataFrame, length: int = 50, seed: int = 16, crowd: int = 1000, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats_removed(docs: DataFrame, length: int = 50, seed: int = 16, crowd: int = 1000, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", fan: int = FAN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row with an id.
 
     A null text is empty; rows with a null id are left out; texts shorter than ``length`` keep all. Rows that repeat an id
     are judged each for itself, and none removes anything from another: its id is not smaller. Ids may be negative. An
     empty table gives no rows. Other columns are not read. Pieces of one minimizer, and texts, count as equal if 64 and
     128 bits of hashes and their sizes are. ``block_bytes`` bounds the text that one task holds; one longer text is held alone.
+    ``fan`` bounds the rows that a block sends in one hop.
     """
     spark = docs.sparkSession
     lean(spark)
@@ -475,13 +465,12 @@ def repeats_removed(docs: DataFrame, length: int = 50, seed: int = 16, crowd: in
     copies = saved(sums.join(first, ["h1", "h2", "n"]).where("doc_id > first").select("doc_id", "h1", "h2", "n", "sha"))
     late = common.small(copies.select("doc_id", "h1", "h2").distinct(), 32)
     looked = rows.join(late, ["doc_id", "h1", "h2"], "left_anti").select("doc_id", "text")
-    ranges = hash_ranges(int(sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), block_bytes)
-    texts = blocked(looked, block_bytes)
-    asked = texts.groupBy("block").applyInArrow(_ask(length, seed, ranges), "range int, block long, asked binary")
-    answer = "block long, range int, answer binary"
-    known = asked.groupBy("range").applyInArrow(_known(crowd), answer)
-    pieces = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_pieces(length, seed, ranges), "range int, block long, asked binary, body binary, places binary")
-    firsts = pieces.groupBy("range").applyInArrow(_firsts(length), answer)
+    way = route(hash_ranges(int(sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), block_bytes), fan)
+    texts = saved(dealt(looked, block_bytes)).repartition("block")  # rows out of a join may come in another order when read again
+    asked = exchange.arrived(texts.groupBy("block"), _ask(length, seed, way), way)
+    known = exchange.answered(asked, _known(crowd), way)
+    pieces = exchange.arrived(texts.groupBy("block").cogroup(known.groupBy("block")), _pieces(length, seed, way), way)
+    firsts = exchange.answered(pieces, _firsts(length), way)
     kept = texts.groupBy("block").cogroup(firsts.groupBy("block")).applyInArrow(_results(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     short = F.col("n") < length
     gone = copies.select("doc_id", F.col("n").alias("n_bytes"), F.when(short, 0).otherwise(F.col("n")).cast("long").alias("n_removed"), F.when(short, 0).otherwise(1).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))
