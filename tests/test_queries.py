@@ -12,7 +12,7 @@ from trellisgraph.plans import registry  # noqa: E402
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 # One or two of each family; the driver compares them all.
-NAMES = ["j02_neighbors", "j04_trails", "a04_statistics", "k02_upsert_edges", "r03_inverse", "g02_consistency", "m03_components", "x04_compare", "c03_token_estimate", "c18_citation_verdicts", "f01_bm25", "v03_cosine_top_k", "f08_match_score", "f12_fuzzy_duplicates", "p01_mapped_rows", "o08_token_budget", "n07_sessions"]
+NAMES = ["j02_neighbors", "j04_trails", "a04_statistics", "k02_upsert_edges", "r03_inverse", "g02_consistency", "m03_components", "x04_compare", "c03_token_estimate", "c18_citation_verdicts", "f01_bm25", "v03_cosine_top_k", "f08_match_score", "f12_fuzzy_duplicates", "p01_mapped_rows", "p01_mapped_in_sql", "k15_prompt_rows", "s30_exported_samples", "o08_token_budget", "n07_sessions"]
 
 
 def plain(df):

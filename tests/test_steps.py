@@ -245,3 +245,26 @@ def test_small_operators(spark):
     props = retrieve.compare(two, "1", "2")[0]
     assert [tuple(x)[:3] for x in props.orderBy("ord").collect()] == [("zeta", "1", None), ("alpha", "2", "3"), ("mid", None, "5")]
     assert [x.split(" | ")[0] for x in retrieve.comparison_text(props, "x", "y").first()["markdown"].splitlines()[2:]] == ["| zeta", "| alpha", "| mid"]
+
+
+def test_table_functions(spark, sf_dir):
+    from trellisgraph.functions import tables
+    from trellisgraph.operators import training
+    from trellisgraph.plans import registry
+    from trellisgraph.sources import mapping
+
+    made = registry.queries()
+    plain, said = ({x["text_id"]: (x["text"], [tuple(s) for s in x["spans"]]) for x in made[name](spark, sf_dir).collect()} for name in ("e13_dictionary_spans", "e13_spans_in_sql"))
+    assert plain == said and len(plain) > 10
+    tables.register(spark)
+    texts = spark.createDataFrame([(1, "FANUC M-20iA 是 6 轴机器人，配备力矩传感器，用于点焊"), (2, ""), (3, None)], "doc_id int, text string")
+    names = spark.sql("SELECT d.doc_id, n.type, n.name FROM {d} d, LATERAL pattern_names(d.text) n", d=texts)
+    assert {tuple(x) for x in names.collect()} == {(x["doc_id"], x["type"], x["name"]) for x in training.prefiltered(texts).collect()} != set()
+    odd = spark.createDataFrame([(1, "abab", [(0, "ab", "Robot"), (1, "ba", "Part")]), (2, "abab", [(1, "ab", "Part"), (0, "bab", "Robot"), (2, None, "Part"), (3, "a", "Part")]), (3, None, [(0, "ab", "Part")]), (4, "ab", None), (5, "ab", [(0, "ab", "Nothing")])], "i int, text string, names array<struct<ord int, name string, type string>>")
+    got = spark.sql("SELECT o.i, s.* FROM {o} o, LATERAL dictionary_spans(o.text, o.names) s", o=odd).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 0, 2, "ROBOT"), (1, 1, 2, 4, "ROBOT"), (2, 0, 1, 4, "ROBOT")]
+    rows = spark.createDataFrame([("R1", "6.9", " 1e2 ", "z"), ("", "4", "1", "z"), ("R2", "x", "", "z"), (None, "1", "1", "z"), ("R3", "99999999999", "-0.5", None)], "name string, axes string, payload_kg string, extra string")
+    want = {x["name"]: x["props"] for x in mapping.to_entities(rows, mapping.matching_rule("robots.csv")).collect()}
+    got = spark.sql("SELECT m.* FROM {r} r, LATERAL mapped_entities('data/robots.csv', map('name', r.name, 'axes', r.axes, 'payload_kg', r.payload_kg, 'extra', r.extra)) m", r=rows).collect()
+    assert {x["name"]: x["props"] for x in got} == want and {x["type"] for x in got} == {"Robot"} and set(want) == {"R1", "R2", "R3"}
+    assert spark.sql("SELECT m.* FROM {r} r, LATERAL mapped_entities('other.csv', map('name', r.name)) m", r=rows).count() == 0

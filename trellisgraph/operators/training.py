@@ -170,6 +170,11 @@ def exported(g: Graph, files: int = 20, instruction: str = "") -> DataFrame:
     return rows.select("file", F.lit(instruction).alias("instruction"), F.concat(F.lit("Entities of the file "), "file").alias("input"), F.to_json(F.struct("entities", F.coalesce("relations", none).alias("relations"))).alias("output"))
 
 
+def prompt_rows(samples: DataFrame) -> DataFrame:
+    """prompt, query, response, system, history of samples (instruction, input, output): one turn each, no system text."""
+    return samples.select(F.col("instruction").alias("prompt"), F.col("input").alias("query"), F.col("output").alias("response"), F.lit("").alias("system"), F.array().cast("array<array<string>>").alias("history"))
+
+
 def concatenated(first: DataFrame, second: DataFrame) -> DataFrame:
     """All rows of both, those of ``first`` before the others by (part, ord); nothing is dropped."""
     return first.withColumn("part", F.lit(0)).unionByName(second.withColumn("part", F.lit(1)), allowMissingColumns=True)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trellisgraph.functions import tables
 from trellisgraph.functions import text as fn
 from trellisgraph.graph import Graph, edges_from, nodes_from
 from trellisgraph.operators import answers, extract, quality, search, training, write
 from trellisgraph.plans.registry import query
 from trellisgraph.plans.star import EDGES_SQL, NODES_SQL, STAR, read, star
-from trellisgraph.sources import cad
+from trellisgraph.sources import cad, mapping
 
 #: The longest common subsequence of the pairs (a, b) of a relation ``pairs``, row by row of its table.
 LCS_SQL = """
@@ -180,6 +181,33 @@ def e13(spark, sf_dir):
     return training.dictionary_spans(texts, names)
 
 
+@query("e13_spans_in_sql")
+def e13_in_sql(spark, sf_dir):
+    """``e13_dictionary_spans`` as a statement that calls the table function for every turn."""
+    tables.register(spark)
+    texts = read(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("text_id"), "text")
+    return spark.sql(
+        r"""
+        SELECT text_id, text, transform(array_sort(collect_list(struct(s.place, s.start, s.end, s.label))), x -> struct(x.start, x.end, x.label)) AS spans
+        FROM (SELECT text_id, text, transform(slice(filter(split(text, '[\\s.,!?]+'), w -> w <> ''), 1, 2), (w, i) -> struct(i AS ord, w AS name, if(i = 0, 'Robot', 'Part') AS type)) AS names FROM {texts}) t,
+          LATERAL dictionary_spans(t.text, t.names) s
+        GROUP BY text_id, text""",
+        texts=texts,
+    )
+
+
+@query("p01_mapped_in_sql", "SELECT p_name AS name, CAST(trunc(p_retailprice) AS INTEGER) AS price, p_size > 0 AS flag FROM part WHERE p_name <> ''")
+def p01_in_sql(spark, sf_dir):
+    """``p01_mapped_rows`` as a statement that calls the table function for every part."""
+    tables.register(spark, [mapping.Rule(r"parts.*\.csv", "Part", {"p_retailprice": ("price", "int"), "flag": ("flag", "boolean")}, key="p_name")])
+    return spark.sql(
+        """
+        SELECT m.name, CAST(m.props['price'] AS INT) AS price, CAST(m.props['flag'] AS BOOLEAN) AS flag
+        FROM {part} p, LATERAL mapped_entities('parts_1.csv', map('p_name', p.p_name, 'p_retailprice', CAST(p.p_retailprice AS STRING), 'flag', if(p.p_size > 0, 'yes', 'no'))) m""",
+        part=read(spark, sf_dir, "part"),
+    )
+
+
 @query("e14_pattern_spans")
 def e14(spark, sf_dir):
     return training.pattern_spans(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "line", F.sha2("text", 256).alias("h"), F.to_json("spans").alias("spans"))
@@ -212,17 +240,30 @@ def o13(spark, sf_dir):
     return training.split(read(spark, sf_dir, "documents").select("doc_id", "lang"), ["doc_id"]).select("doc_id", "part")
 
 
-@query(
-    "s30_exported_samples",
-    "WITH s AS (SELECT s_suppkey AS k, 'f' || s_nationkey AS file, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS nxt FROM supplier) SELECT file, count(*) AS entities, count(nxt) AS relations FROM s GROUP BY file ORDER BY file LIMIT 20",
-)
-def s30(spark, sf_dir):
+def _filed_suppliers(spark, sf_dir):
     """Suppliers in a file for each nation, each before the next."""
     s = read(spark, sf_dir, "supplier").withColumn("nxt", F.lead("s_suppkey").over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")))
     key = lambda c: F.concat(F.lit("Supplier::"), F.col(c).cast("string"))
     nodes = s.select(key("s_suppkey").alias("node_id"), F.lit("Supplier").alias("label"), F.array(F.lit("Supplier")).alias("labels"), F.col("s_name").alias("name"), F.lit("x").alias("domain"), F.create_map(F.lit("file"), F.concat(F.lit("f"), F.col("s_nationkey").cast("string"))).alias("props"))
     edges = s.where("nxt is not null").select(F.concat_ws("|", F.lit("before"), key("s_suppkey"), key("nxt")).alias("edge_id"), key("s_suppkey").alias("src"), key("nxt").alias("dst"), F.lit("before").alias("type"), F.lit("x").alias("domain"))
-    rows = training.exported(Graph(nodes_from(nodes), edges_from(edges), STAR))
+    return Graph(nodes_from(nodes), edges_from(edges), STAR)
+
+
+@query(
+    "k15_prompt_rows",
+    "WITH n AS (SELECT DISTINCT s_nationkey AS k FROM supplier), f AS (SELECT 'f' || k AS file FROM n ORDER BY 1 LIMIT 20) SELECT 'List them.' AS prompt, 'Entities of the file ' || file AS query, '' AS system, 0 AS turns FROM f",
+)
+def k15(spark, sf_dir):
+    rows = training.prompt_rows(training.exported(_filed_suppliers(spark, sf_dir), instruction="List them."))
+    return rows.where("response <> ''").select("prompt", "query", "system", F.size("history").alias("turns"))
+
+
+@query(
+    "s30_exported_samples",
+    "WITH s AS (SELECT s_suppkey AS k, 'f' || s_nationkey AS file, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS nxt FROM supplier) SELECT file, count(*) AS entities, count(nxt) AS relations FROM s GROUP BY file ORDER BY file LIMIT 20",
+)
+def s30(spark, sf_dir):
+    rows = training.exported(_filed_suppliers(spark, sf_dir))
     read_back = F.from_json("output", "entities array<struct<name:string,type:string>>, relations array<struct<relation_type:string>>")
     return rows.select("file", read_back.alias("o")).select("file", F.size("o.entities").cast("long").alias("entities"), F.size("o.relations").cast("long").alias("relations"))
 
