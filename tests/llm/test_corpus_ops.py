@@ -318,6 +318,24 @@ def test_packing_ids_of_all_texts(spark, sf_dir):
         assert np.frombuffer(encode(t), "<u4").tolist() == own.encode(t, add_special_tokens=False).ids
 
 
+def test_packing_follows_the_file(tmp_path):
+    """Files with other rules, or with merges in another order than their ids, go through their own tokenizer."""
+    from tokenizers import Tokenizer
+
+    given = json.loads(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).to_str())
+    assert packing.same_by_ranks(given)
+    swapped = given["model"] | {"merges": [given["model"]["merges"][i ^ 1] for i in range(len(given["model"]["merges"]) // 2 * 2)]}
+    others = [given | {"model": swapped}, given | {"pre_tokenizer": given["pre_tokenizer"] | {"add_prefix_space": True}}, given | {"normalizer": {"type": "Lowercase"}}, given | {"model": given["model"] | {"ignore_merges": True}}]
+    for i, other in enumerate(others):
+        path = str(tmp_path / f"{i}.json")
+        with open(path, "w") as f:
+            json.dump(other, f)
+        own, encode = Tokenizer.from_file(path), packing.id_bytes(path)
+        assert not packing.same_by_ranks(json.loads(own.to_str()))
+        for t in ["", "The heat of the IN  and the Others", "it's\n 12 x", "über 机器人"]:
+            assert np.frombuffer(encode(t), "<u4").tolist() == own.encode(t, add_special_tokens=False).ids
+
+
 def fewest_bins(items, capacity):
     """The least number of bins, over all subsets."""
     n = len(items)

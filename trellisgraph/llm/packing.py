@@ -39,6 +39,22 @@ class _Units(dict):
 
 
 _open: dict[str, object] = {}
+#: How byte-level BPE files part a text before they merge, unless they say otherwise.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def same_by_ranks(model: dict) -> bool:
+    """Whether a tokenizer file parts texts by ``_PATTERN`` and merges by the order of its ids, so that an encoder that
+    knows the ranks alone gives the same ids. A file with any other rule, or merges in another order, does not."""
+    pre, bpe = model.get("pre_tokenizer") or {}, model["model"]
+    plain = bpe["type"] == "BPE" and not any(bpe.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    if not plain or not level or model.get("normalizer") or model.get("truncation"):
+        return False
+    vocab, special = bpe["vocab"], {x["content"] for x in model["added_tokens"]}
+    made = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in bpe["merges"]]
+    whole = {i for t, i in vocab.items() if t not in special and len(t) > 1}
+    return None not in made and all(a < b for a, b in zip(made, made[1:])) and whole <= set(made)
 
 
 def id_bytes(tokenizer_file: str):
@@ -52,13 +68,15 @@ def id_bytes(tokenizer_file: str):
 
     own = Tokenizer.from_file(tokenizer_file)
     model = json.loads(own.to_str())
+    if not same_by_ranks(model):
+        _open[tokenizer_file] = lambda text: array("I", own.encode(text, add_special_tokens=False).ids).tobytes()
+        return _open[tokenizer_file]
     # Byte-level BPE writes bytes as printable characters; the same ranks serve the faster encoder.
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(plain))}
     special = {x["content"] for x in model["added_tokens"]}
     ranks = {bytes(of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    fast = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     units = _Units(fast)
     specials = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or r"(?!)")
 
@@ -187,7 +205,8 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 1024, end_id: int
     cut = saved(pieces(docs, tokenizer_file, capacity, end_id, id_col, text_col))
     count = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     places = spark.createDataFrame(plan(count, capacity) or [(0, 0, 0, 1, 0, 0)], "p_length long, p_from long, p_to long, p_each long, p_bin long, p_offset long")
-    ranked = gapless(cut, ["length"], ["doc_id", "piece", "ids_crc32"], "rank", 64)
+    # a bucket numbers about a million pieces of one length, whatever the number of pieces
+    ranked = gapless(cut, ["length"], ["doc_id", "piece", "ids_crc32"], "rank", max(64, max(count.values(), default=0) // 1_000_000))
     here = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("p_from")) & (F.col("rank") < F.col("p_to"))
     out = ranked.join(F.broadcast(places), here)  # at most a few kinds of bins for each length
     at = F.col("rank") - F.col("p_from")

@@ -184,7 +184,7 @@ def near_vectors(table: DataFrame, threshold: float = 0.9, passes: int | None =
     met = saved(dealt.mapInArrow(_windows(window, threshold), "a long, b long, edge int, late boolean, pass long, id long, v array<double>"))
     links = met.where("edge is not null").groupBy("edge").applyInArrow(_across(threshold), "a long, b long").union(met.where("edge is null").select("a", "b"))
     of = components(links)
-    members = gapless(classes.join(of, F.col("id") == F.col("node")).select("component", "id", "size", "v"), ["component"], ["id"], "rank", 16)
+    members = gapless(classes.join(of, F.col("id") == F.col("node")).select("component", "id", "size", "v"), ["component"], ["id"], "rank", max(16, n // 1_000_000))
     members = saved(members.withColumn("block", F.expr(f"cast(rank div {block} as int)")))
     blocks = members.groupBy("component").agg((F.max("block") + 1).alias("blocks"))
     dealt = members.join(blocks, "component").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
