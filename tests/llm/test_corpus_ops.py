@@ -540,6 +540,23 @@ def test_suffix_dedup(spark, docs, rows, empty):
     assert suffix_dedup.repeats_removed(empty).count() == 0
 
 
+def test_suffix_dedup_leaves_no_bytes_of_ended_steps(spark, docs, monkeypatch):
+    """Each step's shuffle files go with it, and each of the rounds moves pieces to its own ranges only."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {b.split("_")[1] for b in disk.getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
+
+    before, rounds, pieces = shuffles(), [], suffix_dedup._pieces
+    monkeypatch.setattr(suffix_dedup, "_pieces", lambda *a: rounds.append(a[2:]) or pieces(*a))
+    out = suffix_dedup.repeats_removed(docs, block_bytes=4000, fan=5)
+    n = out.count()
+    assert len(shuffles() - before) <= 6  # those of the counts and of the last step
+    assert n == docs.where("doc_id is not null").count()
+    way, edges = rounds[0][0], [a for _, a, _ in rounds] + [rounds[-1][2]]
+    assert way.hops == len(rounds) > 1 and edges == [way.ranges * k // way.hops for k in range(way.hops + 1)]
+
+
 def kept_bytes(raw, length=50):
     """n_bytes, n_removed, n_spans, kept_sha256 of every text of ``raw``, window by window."""
     first, want = {}, {}

@@ -35,6 +35,21 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``saved``, and the shuffle files that the writing made are removed when it ends; else they stay on the executors'
+    disks until the driver happens to collect its garbage."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        return saved(df)
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def small(df: DataFrame, bytes_per_row: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows stay under ``BROADCAST_BYTES``, else as it is."""
     return F.broadcast(df) if df.count() * bytes_per_row <= BROADCAST_BYTES else df

@@ -18,11 +18,16 @@ segment. Texts are dealt to blocks of bounded size, and each step asks hash rang
    is built, and each run of suffixes with ``length`` equal bytes tells its first document. Every block learns the
    least document of each window it sent.
 4. A block removes from its texts what a smaller document has, in every place where they hold it.
+
+Answers are written before the next step, and the shuffle files of a step go with it. Step 3 moves the most bytes, once in
+each hop; it runs in as many rounds as there are hops, each for an equal share of the ranges, so that the bytes on disk at
+one time do not grow with the hops.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellisgraph.llm import common, exchange
-from trellisgraph.llm.common import BLOCK_BYTES, dealt, hash_ranges, lean, mixed, numbers, plain, saved, signed, spread, steps, unpacked, unsigned, walked
+from trellisgraph.llm.common import BLOCK_BYTES, dealt, hash_ranges, lean, mixed, numbers, plain, settled, signed, spread, steps, unpacked, unsigned, walked
 from trellisgraph.llm.exchange import FAN, Route, route
 
 _WINDOW = np.uint64(0x452821E638D01377)
@@ -248,9 +253,9 @@ def _known(crowd: int):
     return run
 
 
-def _pieces(length: int, seed: int, way: Route):
-    """Different pieces of a block that may hold a repeat, a message to each hash range; and a note where they are, which
-    comes back with the answers."""
+def _pieces(length: int, seed: int, way: Route, low: int, high: int):
+    """Different pieces of a block that may hold a repeat, a message to each hash range from ``low`` to below ``high``; and,
+    with the first ranges, a note where all pieces are, which comes back with the answers."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         block = docs.column("block")[0].as_py()
@@ -282,14 +287,19 @@ def _pieces(length: int, seed: int, way: Route):
         some = order[at]  # one place of each piece
         raw = texts.data.tobytes()
         used, (cut,) = exchange.cuts(way.ranges, key[some])
-        asked = []
-        for i, j in zip(cut, cut[1:]):
+        now, asked = [], []
+        for r, i, j in zip(used.tolist(), cut, cut[1:]):
+            if not low <= r < high:
+                continue
+            now.append(r)
             own = some[i:j]
             body = b"".join([raw[a : a + b] for a, b in zip(start[own].tolist(), size[own].tolist())])
             asked.append(plain(*steps(key[own]), size[own], signed(least[i:j])) + body)
-        order = np.lexsort((start, doc))
-        asked.append(plain(piece[order], doc[order], start[order] - texts.offsets[doc[order]]))
-        return exchange.posted(block, np.append(used, ~(block % way.ranges)), asked, way)
+        if not low:
+            order = np.lexsort((start, doc))
+            asked.append(plain(piece[order], doc[order], start[order] - texts.offsets[doc[order]]))
+            now.append(~(block % way.ranges))
+        return exchange.posted(block, now, asked, way)
 
     return run
 
@@ -460,17 +470,19 @@ def repeats_removed(docs: DataFrame, length: int = 50, seed: int = 16, crowd: in
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
     n = F.octet_length("text").cast("long")
-    sums = saved(rows.select("doc_id", "h1", "h2", n.alias("n"), F.sha2(F.when(n < length, F.col("text")).otherwise(""), 256).alias("sha")))
+    sums = settled(rows.select("doc_id", "h1", "h2", n.alias("n"), F.sha2(F.when(n < length, F.col("text")).otherwise(""), 256).alias("sha")))
     first = sums.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first"))
-    copies = saved(sums.join(first, ["h1", "h2", "n"]).where("doc_id > first").select("doc_id", "h1", "h2", "n", "sha"))
+    copies = settled(sums.join(first, ["h1", "h2", "n"]).where("doc_id > first").select("doc_id", "h1", "h2", "n", "sha"))
     late = common.small(copies.select("doc_id", "h1", "h2").distinct(), 32)
     looked = rows.join(late, ["doc_id", "h1", "h2"], "left_anti").select("doc_id", "text")
     way = route(hash_ranges(int(sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), block_bytes), fan)
-    texts = saved(dealt(looked, block_bytes)).repartition("block")  # rows out of a join may come in another order when read again
+    texts = settled(dealt(looked, block_bytes)).repartition("block")  # rows out of a join may come in another order when read again
     asked = exchange.arrived(texts.groupBy("block"), _ask(length, seed, way), way)
-    known = exchange.answered(asked, _known(crowd), way)
-    pieces = exchange.arrived(texts.groupBy("block").cogroup(known.groupBy("block")), _pieces(length, seed, way), way)
-    firsts = exchange.answered(pieces, _firsts(length), way)
+    known = settled(exchange.answered(asked, _known(crowd), way))
+    edges = [way.ranges * k // way.hops for k in range(way.hops + 1)]
+    rounds = [_pieces(length, seed, way, *edge) for edge in zip(edges, edges[1:])]
+    asked = [exchange.arrived(texts.groupBy("block").cogroup(known.groupBy("block")), ask, way) for ask in rounds]
+    firsts = reduce(DataFrame.unionByName, [settled(exchange.answered(x, _firsts(length), way)) for x in asked])
     kept = texts.groupBy("block").cogroup(firsts.groupBy("block")).applyInArrow(_results(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     short = F.col("n") < length
     gone = copies.select("doc_id", F.col("n").alias("n_bytes"), F.when(short, 0).otherwise(F.col("n")).cast("long").alias("n_removed"), F.when(short, 0).otherwise(1).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))
