@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,3 +207,15 @@ def test_shortest_paths(spark):
         nodes, rows = match.subgraph(g, seeds, most)
         assert {x["edge_id"] for x in rows.collect()} == {e for x in t for e in x["edges"]}
         assert {x["node_id"] for x in nodes.collect()} == {n for x in t for n in x["nodes"]} & {f"n{k}" for k in range(40)}
+
+
+def test_hashed_embedding_works_each_word_out_once(spark):
+    text = "alpha beta alpha gamma delta"
+    df = spark.createDataFrame([(text,), ("",), (None,)], "t string").select("t", search.hashed_embedding(F.col("t"), 8).alias("v"))
+    words = spark.createDataFrame([(w,) for w in text.split()], "w string").selectExpr("pmod(xxhash64(w), 8) AS at", "if(pmod(xxhash64(w, 1), 2) = 0, 1, -1) AS s").collect()
+    want = [sum(x["s"] for x in words if x["at"] == k) for k in range(8)]
+    norm = sum(x * x for x in want) ** 0.5
+    got = {x["t"]: x["v"] for x in df.collect()}
+    assert np.allclose(got[text], [x / norm for x in want], atol=1e-7) and got[""] == [None] * 8 and got[None] is None
+    # the plan names the two hashes of a word once each, not once more for every place and norm
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") == 2

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -259,13 +263,27 @@ def fuzzy_duplicates(names: DataFrame, low: float = 0.85, high: float = 0.98) ->
     return pairs.withColumn("score", indel_ratio(F.lower("a"), F.lower("b"))).where((F.col("score") >= low) & (F.col("score") < high))
 
 
+def _summed(dim: int):
+    """From the signed places (from 1) of a text's words to their sums, of length one; a text without words has nulls."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            n = len(column)
+            flat = np.asarray(column.flatten(), np.int64)
+            row = np.repeat(np.arange(n), np.asarray(column.value_lengths().fill_null(0)))
+            at = np.bincount(row * dim + np.abs(flat) - 1, np.sign(flat), n * dim).reshape(n, dim)
+            norm = np.sqrt((at * at).sum(1, keepdims=True))
+            unit = pa.array((at / np.where(norm == 0, 1, norm)).astype(np.float32).ravel(), mask=np.repeat(norm.ravel() == 0, dim))
+            yield pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), unit, mask=column.is_null())
+
+    return F.arrow_udf(run, "array<float>")
+
+
 def embedding_text(label: Column, name: Column, description: Column) -> Column:
     return F.concat_ws(" ", label, name, F.coalesce(description, F.lit("")))
 
 
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """A deterministic stand-in for an embedding model: signed word hashes, of length one."""
-    words = search_tokens(text)
-    at = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(words, F.lit(0.0), lambda s, w: s + F.when(F.pmod(F.xxhash64(w), F.lit(dim)) == i, F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
-    norm = F.sqrt(F.aggregate(at, F.lit(0.0), lambda s, v: s + v * v))
-    return F.transform(at, lambda v: F.try_divide(v, norm).cast("float"))
+    place = F.transform(search_tokens(text), lambda w: (F.pmod(F.xxhash64(w), F.lit(dim)).cast("int") + 1) * F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1).otherwise(-1))
+    return _summed(dim)(place)
