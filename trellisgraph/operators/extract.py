@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
+from re import _parser
 
 import numpy as np
 import pyarrow as pa
@@ -55,14 +57,91 @@ NUMBERS = {"axes": "int", "payload": "double", "reach": "double"}
 
 def java_pattern(pattern: str) -> tuple[str, dict[str, int]]:
     """A Python pattern with named groups as a Java one with numbered groups, Unicode classes, case aside."""
-    names = re.compile(pattern).groupindex
-    return "(?iuU)" + re.sub(r"\(\?P<\w+>", "(", pattern), dict(names)
+    names, first = re.compile(pattern).groupindex, first_letters(pattern)
+    # places where no alternative starts are passed over by one look at a set
+    ahead = f"(?=[{''.join(sorted(first))}])" if first and all(x.isalnum() for x in first) else ""
+    return "(?iuU)" + ahead + re.sub(r"\(\?P<\w+>", "(", pattern), dict(names)
+
+
+def _parts(items, best: Callable) -> object:
+    """What ``best`` makes of the parts of a parsed pattern: (literal text, None) or (None, list of parsed alternatives)."""
+    out, run = [], ""
+    for op, arg in items:
+        if op is _parser.LITERAL:
+            run += chr(arg)
+            continue
+        out, run = out + ([(run, None)] if run else []), ""
+        if op is _parser.SUBPATTERN:
+            out.append((None, [arg[3]]))
+        elif op is _parser.BRANCH:
+            out.append((None, arg[1]))
+        elif op is _parser.IN:
+            out.append((None, [[x] for x in arg]))
+        elif op is _parser.MAX_REPEAT:
+            out.append((None, [arg[2]]) if arg[0] else (None, None))
+        else:
+            out.append((None, None))
+    return best(out + ([(run, None)] if run else []))
+
+
+def needed(pattern: str) -> list[set[str]]:
+    """Sets of texts; every match of a pattern, in lower case, holds one of each set.
+
+    Only Han characters and Latin letters count that have no third form in another case (as i, k and s have).
+    """
+
+    def best(parts) -> list[set[str]]:
+        found = []
+        for literal, choices in parts:
+            if literal is not None:
+                found += [{x} for x in re.findall("[一-鿿]+|[a-hjl-rt-z]{2,}", literal.lower())]
+            elif choices and len(choices) == 1:
+                found += _parts(choices[0], best)
+            elif choices:
+                each = [max(_parts(c, best), key=lambda x: min(map(len, x)), default=None) for c in choices]
+                found += [set().union(*each)] if all(each) else []
+        return found
+
+    return _parts(_parser.parse(pattern), best)
+
 
+def first_letters(pattern: str) -> set[str] | None:
+    """The characters that a match of a pattern can start with, in either case, or None if they are not listed in it."""
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct> of all matches, a string field for each named group."""
+    def best(parts) -> set[str] | None:
+        literal, choices = parts[0] if parts else (None, None)
+        if literal is not None:
+            return {literal[0]}
+        each = [_parts(c, best) for c in choices or []]
+        return set().union(*each) if each and all(each) else None
+
+    return _parts(_parser.parse(pattern), best)
+
+
+def hinted(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(doc_id, text, han, low): whether a text has Han characters, and its lower case, for ``possible``."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.col(text).rlike("[一-鿿]").alias("han"), F.lower(text).alias("low"))
+
+
+def possible(pattern: str, han: Column, low: Column) -> Column:
+    """False where a text (see ``hinted``) lacks what a pattern needs."""
+
+    def one(x: set[str]) -> Column:
+        held = reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in sorted(x)])
+        return han & held if all("一" <= c <= "鿿" for w in x for c in w) else held
+
+    return reduce(Column.__and__, map(one, needed(pattern)), F.lit(True))
+
+
+def matches(text: Column, pattern: str, han: Column | None = None, low: Column | None = None) -> Column:
+    """array<struct> of all matches, a string field for each named group. With ``han`` and ``low`` (see ``hinted``) texts
+    that cannot match are passed over."""
     java, groups = java_pattern(pattern)
-    return F.arrays_zip(*[F.regexp_extract_all(text, F.lit(java), F.lit(i)).alias(name) for name, i in groups.items()])
+    found = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(java), F.lit(i)).alias(name) for name, i in groups.items()])
+    if low is None:
+        return found
+    none = F.array().cast(f"array<struct<{','.join(f'{name}:string' for name in groups)}>>")
+    return F.when(text.isNull() | possible(pattern, han, low), found).otherwise(none)
 
 
 def _entity(kind: str, pattern: str, number: int) -> Callable[[Column, Column], Column]:
@@ -87,8 +166,9 @@ def _relation(kind: str, src: str, dst: str) -> Callable[[Column], Column]:
 
 def entities(docs: DataFrame, patterns=ENTITY_PATTERNS, confidence: float = 0.95, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, type, name, props, confidence, ord): one row a (text, type, name); of each property the first match."""
-    every = [F.transform(matches(F.col(text), pattern), _entity(kind, pattern, i)) for i, (kind, pattern) in enumerate(patterns)]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.inline(F.concat(*every))).where("name <> ''")
+    docs = hinted(docs, id_col, text)
+    every = [F.transform(matches(F.col("text"), pattern, F.col("han"), F.col("low")), _entity(kind, pattern, i)) for i, (kind, pattern) in enumerate(patterns)]
+    rows = docs.select("doc_id", F.inline(F.concat(*every))).where("name <> ''")
     return merged(rows.withColumn("confidence", F.lit(confidence)), first=True)
 
 
@@ -96,9 +176,12 @@ def merged(rows: DataFrame, first: bool = True) -> DataFrame:
     """One row a (doc_id, type, name): the highest confidence; of each property the first (or last) value by ord."""
     key = ["doc_id", "type", "name"]
     pick = F.min_by if first else F.max_by
-    p = rows.select(*key, "ord", F.explode("props").alias("k", "v")).where("v is not null")
-    p = p.groupBy(*key, "k").agg(pick("v", "ord").alias("v")).groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("props"))
-    return rows.groupBy(*key).agg(F.max("confidence").alias("confidence"), F.min("ord").alias("ord")).join(p, key, "left").withColumn("props", F.coalesce("props", F.create_map().cast("map<string,string>")))
+    v = F.col("v").isNotNull()
+    # one row a property, one for a name without any: the names are worked out once
+    p = rows.select(*key, "ord", "confidence", F.explode_outer("props").alias("k", "v")).groupBy(*key, "k")
+    p = p.agg(F.max("confidence").alias("confidence"), F.min("ord").alias("ord"), pick("v", F.when(v, F.col("ord"))).alias("v"))
+    props = F.map_from_entries(F.array_sort(F.collect_list(F.when(v, F.struct("k", "v")))))
+    return p.groupBy(*key).agg(F.max("confidence").alias("confidence"), F.min("ord").alias("ord"), props.alias("props"))
 
 
 def relations(docs: DataFrame, patterns=RELATION_PATTERNS, confidence: float = 0.95, text: str = "text", id_col: str = "doc_id") -> DataFrame:
