@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trellisgraph.functions.text import json_block
+from trellisgraph.lineage import stored
 
 # Fixed values: (type, pattern, {group name: number}); groups are numbered, as Java names allow no underscore.
 ENTITY_PATTERNS = [
@@ -208,6 +209,7 @@ def funnel(docs: DataFrame, model: Callable[[DataFrame], DataFrame] | None = Non
         found = merged(found.unionByName(more.select(*found.columns)), first=True).select(*found.columns)
     if model is None:
         return found
+    found = stored(found)  # read three times below
     state = found.groupBy("doc_id").agg(F.min("confidence").alias("weak"), F.count("*").alias("n"))
     weak = docs.join(state, "doc_id", "left").where((F.coalesce("n", F.lit(0)) < least) | (F.col("weak") < gate)).drop("weak", "n")
     more = model(weak).join(found.select("doc_id", "type", "name"), ["doc_id", "type", "name"], "left_anti")
