@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import uuid
 
 import numpy as np
@@ -41,3 +42,34 @@ def test_shortest_path_does_not_widen_a_hub_for_every_source(spark):
     paths = {(x["source"], x["target"]): x["nodes"] for x in got}
     assert len(paths) == len(got) == 300 and paths["s0", "last"] == ["s0", "next", "last"] and paths["s1", "last"] == ["s1", "hub", "next", "last"]
     assert paths["s1", "top"] == ["s1", "hub", "top"] and rows < 100_000  # 150 x 1650 rows went through the hub
+
+
+def test_texts_passed_over_hold_no_match(spark):
+    r = random.Random(5)
+    bits = ["RV", "rv-20", "SHG25", "减速器", "伺服", "电机", "reach", "REACH", " 12 mm", "MM", "ISO 9", "ſuR", "Kuka", "KUKA", "轴", "是", "M-20 ", "6", "点焊", "用于", "传感器", "力", "视觉", "型号：", "x", " ", "公司", "推出", "控制器", "R-30"]
+    texts = spark.createDataFrame([(i, "".join(r.choice(bits) for _ in range(r.randint(0, 12)))) for i in range(1500)] + [(-1, None)], "doc_id int, text string")
+    rows = extract.hinted(texts, "doc_id", "text").cache()
+    found = 0
+    for _, pattern in extract.ENTITY_PATTERNS + training.NAME_PATTERNS:
+        plain = "(?iuU)" + pattern.replace("?P<", "?<").replace("_", "")
+        want = F.regexp_extract_all("text", F.lit(plain), F.lit(0))
+        got = F.transform(extract.matches(F.col("text"), pattern, F.col("han"), F.col("low")), lambda m: m["name"])
+        n, wrong = rows.agg(F.sum(F.size(want)), F.count_if(~F.size(got).eqNullSafe(F.size(want)))).first()
+        assert not wrong, pattern
+        found += n
+    assert found > 2000
+    assert extract.needed("(?:点焊)?x|a点") == [] and extract.needed("(?:A点|焊b)kMM") == [{"点", "焊"}, {"mm"}] and extract.first_letters("(?:a|bc)?d") is None
+
+
+def test_names_are_worked_out_once(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(extract.entities(docs)).count("Relation [") == 1  # the texts were read twice
+    spans = plan(training.pattern_spans(docs))
+    assert not re.search(r"Filter .*aggregate\(", spans)  # a filter on the spans worked them out a second time
+
+
+def test_funnel_works_rules_out_once(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    model = lambda d: d.select("doc_id", F.lit("Language").alias("type"), F.col("lang").alias("name"), F.create_map().cast("map<string,string>").alias("props"), F.lit(0.1).alias("confidence"), F.lit(0).cast("long").alias("ord"))
+    assert "regexp_extract_all" not in extract.funnel(docs, model)._jdf.queryExecution().optimizedPlan().toString()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellisgraph.graph import Graph
-from trellisgraph.operators.extract import java_pattern
+from trellisgraph.operators.extract import hinted, java_pattern, matches, possible
 
 # Fixed values: (type, pattern) of the regular expressions that find names before a model does.
 NAME_PATTERNS = [
@@ -55,7 +55,7 @@ def label(type_: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair]), type_)
 
 
-def _named(text: Column, kind: str, pattern: str, number: int) -> Column:
+def _named(text: Column, kind: str, pattern: str, number: int, han: Column, low: Column) -> Column:
     """array<struct<ord, start, name, type>> of a pattern's names, start from 0; ord says which pattern and match.
 
     A name starts after the gaps and matches before it and what its own match has in front of the name.
@@ -73,16 +73,18 @@ def _named(text: Column, kind: str, pattern: str, number: int) -> Column:
         ),
         lambda acc: acc["out"],
     )
-    return F.when(text.rlike(java), placed).otherwise(F.array().cast("array<struct<ord:int,start:int,name:string,type:string>>"))
+    return F.when(possible(pattern, han, low) & text.rlike(java), placed).otherwise(F.array().cast("array<struct<ord:int,start:int,name:string,type:string>>"))
 
 
-def _names(text: Column, patterns) -> Column:
-    return F.filter(F.concat(*[_named(text, kind, p, i) for i, (kind, p) in enumerate(patterns)]), lambda m: F.length(F.trim(m["name"])) >= 2)
+def _names(text: Column, patterns, han: Column, low: Column) -> Column:
+    return F.filter(F.concat(*[_named(text, kind, p, i, han, low) for i, (kind, p) in enumerate(patterns)]), lambda m: F.length(F.trim(m["name"])) >= 2)
 
 
 def prefiltered(docs: DataFrame, patterns=NAME_PATTERNS, confidence: float = 0.90, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, type, name, confidence, ord): one row a (text, type, name) of two characters or more, in either case."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.inline(_names(F.col(text), patterns)))
+    docs = hinted(docs, id_col, text)
+    found = lambda kind, p, n: F.transform(matches(F.col("text"), p, F.col("han"), F.col("low")), lambda m, i: F.struct(F.lit(kind).alias("type"), m["name"].alias("name"), (i + n * 1000000).alias("ord")))
+    rows = docs.select("doc_id", F.inline(F.concat(*[found(kind, p, n) for n, (kind, p) in enumerate(patterns)]))).where(F.length(F.trim("name")) >= 2)
     rows = rows.select("doc_id", "type", F.trim("name").alias("name"), "ord").groupBy("doc_id", "type", "name").agg(F.min("ord").alias("ord"))
     return rows.select("doc_id", "type", "name", F.lit(confidence).alias("confidence"), "ord")
 
@@ -120,9 +122,11 @@ def dictionary_spans(texts: DataFrame, names: DataFrame) -> DataFrame:
 def pattern_spans(docs: DataFrame, patterns=NAME_PATTERNS, least: int = 10, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, line, text, spans) of every trimmed line of ``least`` characters or more in which a pattern finds a name."""
     lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line", "text")).withColumn("text", F.btrim("text", F.lit(" \t\r\x0b\x0c"))).where(F.length("text") >= least)
-    found = F.filter(_names(F.col("text"), patterns), lambda m: label(m["type"]).isNotNull())
+    lines = lines.withColumn("han", F.col("text").rlike("[一-鿿]")).withColumn("low", F.lower("text"))
+    found = F.filter(_names(F.col("text"), patterns, F.col("han"), F.col("low")), lambda m: label(m["type"]).isNotNull())
     spans = _apart(F.transform(F.array_sort(found), lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["name"])).alias("end"), label(m["type"]).alias("label"))))
-    return lines.withColumn("spans", spans).where("size(spans) > 0")
+    # a filter on the spans would work them out a second time
+    return lines.select("doc_id", "line", "text", F.explode(F.filter(F.array(spans), lambda s: F.size(s) > 0)).alias("spans"))
 
 
 def training_set(*sources: DataFrame) -> DataFrame:
