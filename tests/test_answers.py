@@ -219,3 +219,14 @@ def test_hashed_embedding_works_each_word_out_once(spark):
     assert np.allclose(got[text], [x / norm for x in want], atol=1e-7) and got[""] == [None] * 8 and got[None] is None
     # the plan names the two hashes of a word once each, not once more for every place and norm
     assert df._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") == 2
+
+
+def test_link_by_every_alias_of_a_name(spark, tmp_path):
+    """Names that several suppliers share have several numbers; a number of five digits has no four."""
+    from trellisgraph.plans import registry
+
+    keys = [3, 8, 1003, 1008, 9999, 10000, 10003, 59003]
+    rows = [(k, f"Supplier#{k % 1000:09d}") for k in keys]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {(x["mention_id"], x["node_id"]): x["score"] for x in registry.queries()["f06_link_by_alias"](spark, str(tmp_path)).collect()}
+    assert got == {(k, f"Supplier::{k}"): 100.0 if k % 2 == 0 else 85 + 10 * 4 / 11 for k in keys if k < 10000}

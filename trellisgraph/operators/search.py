@@ -170,12 +170,13 @@ def match_score(query: Column, name: Column) -> Column:
 def link(mentions: DataFrame, candidates: DataFrame, top_k: int = 5, min_score: float = 60.0, aliases: DataFrame | None = None) -> DataFrame:
     """(mention_id, node_id, score, rank) from candidate pairs (mention_id, mention, node_id, name); best of each first.
 
-    aliases: (name, canonical), one row a name; a candidate is scored under its canonical name too, the better counts.
+    aliases: (name, canonical); a candidate is scored under each of its canonical names too, the best counts. A null
+    mention names nothing.
     """
-    rows = mentions.join(candidates, "mention_id")
+    rows = mentions.where("mention is not null").join(candidates, "mention_id")
     score = match_score(F.col("mention"), F.col("name"))
     if aliases is not None:
-        rows = rows.join(aliases.select("name", "canonical").dropDuplicates(["name"]), "name", "left")
+        rows = rows.join(aliases.select("name", "canonical").where("canonical is not null").distinct(), "name", "left")
         score = F.greatest(score, match_score(F.col("mention"), F.coalesce("canonical", "name")))
     rows = rows.withColumn("score", score).where(F.col("score") >= min_score)
     best = rows.groupBy("mention_id", "node_id").agg(F.max("score").alias("score"))
