@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from trellisgraph.functions.text import search_tokens
+from trellisgraph.operators import local
 from trellisgraph.operators.patterns import occurrences
 
 #: Query vectors that go to every task at once.
@@ -30,9 +31,16 @@ def inverted_index(rows: DataFrame, id_col: str, text: Column) -> tuple[DataFram
 def bm25(rows: DataFrame, id_col: str, text: Column, queries: DataFrame, k1: float = 1.2, b: float = 0.75, limit: int | None = None) -> DataFrame:
     """(query_id, id, score) for queries (query_id, query); the best ``limit`` of each, ties by id.
 
-    Corpus size and mean length are two numbers from an aggregate; words that no query has are dropped by a semi join
-    before anything is grouped. The term side of that join is as large as the queries.
+    Queries of up to ``LOCAL_WORDS`` words in all go to every task, and a text is scored where it lies (k1 and b as given by
+    default, ids that are not repeated). Otherwise words that no query has are dropped by a semi join before anything is
+    grouped; the term side of that join is as large as the queries.
     """
+    asked = queries.select("query_id", F.explode(F.array_distinct(search_tokens(F.col("query")))).alias("term")).distinct()
+    if (k1, b) == (local.K1, local.B) and asked.count() <= local.LOCAL_WORDS and not local.repeated(rows, id_col):
+        schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {rows.schema[id_col].dataType.simpleString()}, score double"
+        found = local.bm25(rows, id_col, text, asked.toArrow(), schema, limit)
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+        return found if limit is None else found.withColumn("_r", rank).where(F.col("_r") <= limit).drop("_r")
     words = rows.select(F.col(id_col).alias("id"), search_tokens(F.coalesce(text, F.lit(""))).alias("w")).withColumn("len", F.size("w"))
     stats = words.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len"))
     terms = queries.select("query_id", F.explode(F.array_distinct(search_tokens(F.col("query")))).alias("term"))
