@@ -73,3 +73,25 @@ def test_funnel_works_rules_out_once(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = lambda d: d.select("doc_id", F.lit("Language").alias("type"), F.col("lang").alias("name"), F.create_map().cast("map<string,string>").alias("props"), F.lit(0.1).alias("confidence"), F.lit(0).cast("long").alias("ord"))
     assert "regexp_extract_all" not in extract.funnel(docs, model)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("limit", [None, 3])
+def test_texts_are_scored_where_they_lie(spark, tmp_path, limit, monkeypatch):
+    """Few queries over many words: the same rows as by joins of words, repeated ids and tokens of all kinds included."""
+    r = random.Random(7)
+    bits = ["Arm", "gear-x2", "点焊", "ſ", "K9", "É", "w1 w2", "\n", "don't", "", "w3", "3.5"]
+    rows = [(i, " ".join(r.choice(bits) for _ in range(r.randint(0, 40))) if i % 40 else None) for i in range(900)]
+    queries = spark.createDataFrame([(1, "arm gear w3"), (2, "点 x2 x2 k9"), (3, "none"), (4, "焊 t don arm w1 5")], "query_id int, query string")
+    key = lambda x: (x["query_id"], x["id"])
+    for extra in ([], [(5, "w3 w3"), (5, rows[5][1])]):
+        df = spark.createDataFrame(rows + extra, "id long, text string").repartition(3)
+        got, n = moved(spark, lambda: {key(x): x["score"] for x in search.bm25(df, "id", F.col("text"), queries, limit=limit).collect()})
+        index = postings.build(df, "id", F.col("text"), f"{tmp_path}/{len(extra)}", buckets=3, block=8)
+        stored = {key(x): x["score"] for x in postings.search(index, queries, limit).collect()}
+        joined = {key(x): x["score"] for x in postings.search(index, queries, limit, local_words=0).collect()}
+        monkeypatch.setattr(search.local, "LOCAL_WORDS", 0)
+        want = {key(x): x["score"] for x in search.bm25(df, "id", F.col("text"), queries, limit=limit).collect()}
+        monkeypatch.undo()
+        assert want and got == pytest.approx(want) and stored == pytest.approx(want) and joined == pytest.approx(want)
+        if not extra:
+            assert n < 6000  # the ids of the texts and few more; the words are 15,000
