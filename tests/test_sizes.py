@@ -95,3 +95,19 @@ def test_texts_are_scored_where_they_lie(spark, tmp_path, limit, monkeypatch):
         assert want and got == pytest.approx(want) and stored == pytest.approx(want) and joined == pytest.approx(want)
         if not extra:
             assert n < 6000  # the ids of the texts and few more; the words are 15,000
+
+
+@pytest.mark.parametrize("plain", [True, False])
+def test_vectors_are_chosen_in_tasks_and_scored_as_before(spark, plain):
+    """The same rows as pair by pair, with equal vectors, other lengths, nulls and numbers that are none."""
+    r = np.random.default_rng(3)
+    odd = [None, [0.0] * 4, [float("nan"), 1.0, 1.0, 1.0], [None, 1.0, 2.0, 3.0], [1.0, 2.0], [3e30] * 4, [1e-40] * 4]
+    rows = [(f"k{i:04d}", [float(x) for x in r.normal(size=4).round(1)]) for i in range(700)] + [(f"x{i}", v) for i, v in enumerate(odd)]
+    df = spark.createDataFrame(rows, "id string, v array<float>").repartition(3)
+    queries = df.where("id like '%3' or id like 'x%'").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    key = lambda x: (x["query_id"], x["rank"], x["id"], repr(x["score"]))
+    found, n = moved(spark, lambda: search.vector_search(df, "id", "v", queries, 5, plain).collect())
+    pairs = search._by_pairs(df.where(search.usable(F.col("v"))), queries, plain).withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, id)")).where("rank <= 5").collect()
+    assert sorted(map(key, found)) == sorted(map(key, pairs)) and len(found) > 350
+    plan = search.vector_search(df, "id", "v", queries, 5, plain)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan

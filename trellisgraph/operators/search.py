@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,21 +88,105 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & F.exists(v, lambda x: x != 0)
 
 
+def _regular(v: Column) -> Column:
+    """Numbers only, none so great or small that a product overflows or vanishes: what matrix products may be used for."""
+    return F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < 1e100) & ((x == 0) | (F.abs(x) > 1e-100)))
+
+
+def _rescored(v: np.ndarray, q: np.ndarray, cosine_: bool) -> np.ndarray:
+    """The score of each pair of rows, summed place by place as ``dot`` does, so equal vectors score the same."""
+    total = [np.zeros(len(v)) for _ in range(3 if cosine_ else 1)]
+    for i in range(v.shape[1]):
+        total[0] = total[0] + v[:, i] * q[:, i]
+        if cosine_:
+            total[1], total[2] = total[1] + v[:, i] * v[:, i], total[2] + q[:, i] * q[:, i]
+    return total[0] / (np.sqrt(total[1]) * np.sqrt(total[2])) if cosine_ else total[0]
+
+
+def _best_of(held, top_k: int, cosine_: bool, rows: int = 2048, queries: int = 1024):
+    """The ``top_k`` of each query among a task's vectors. Matrix products choose, with room for their rounding, which pairs
+    are scored in full."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, flat, lengths = held.value
+        ends = np.cumsum(lengths)
+        groups = []  # queries of one length at a time
+        for n in np.unique(lengths[lengths > 0]):
+            own = np.flatnonzero(lengths == n)
+            for at in range(0, len(own), queries):
+                number = own[at : at + queries]
+                q = flat[(ends[number] - n)[:, None] + np.arange(n)]
+                size = np.linalg.norm(q, axis=1)
+                groups.append([n, number, q, size, np.full(len(q), -np.inf), None])
+        for batch in batches:
+            size_of = np.asarray(batch.column("v").value_lengths())
+            for group in groups:
+                n, number, q, size, least, best = group
+                some = batch.filter(pa.array(size_of == n))
+                for at in range(0, some.num_rows, rows):
+                    part = some.slice(at, rows)
+                    v = np.asarray(part.column("v").flatten(), np.float64).reshape(-1, n)
+                    norm = np.linalg.norm(v, axis=1)
+                    if cosine_:
+                        near, slack = (v / norm[:, None]) @ (q / size[:, None]).T, np.full(len(q), 1e-9)
+                    else:
+                        near, slack = v @ q.T, 1e-9 * size * norm.max(initial=0.0)
+                    floor = least
+                    if len(v) >= top_k and not np.isfinite(least).all():
+                        floor = np.maximum(least, np.partition(near, len(v) - top_k, axis=0)[len(v) - top_k])
+                    r, c = np.nonzero(near >= floor - 2 * slack)
+                    if not len(r):
+                        continue
+                    new = pa.table({"q": number[c], "score": _rescored(v[r], q[c], cosine_), "id": part.column("id").take(pa.array(r)), "c": c})
+                    best = new if best is None else pa.concat_tables([best, new])
+                    best = best.take(pc.sort_indices(best, [("c", "ascending"), ("score", "descending"), ("id", "ascending")], null_placement="at_start"))
+                    c = best.column("c").to_numpy()
+                    place = np.arange(len(c)) - np.searchsorted(c, c)
+                    last = place == top_k - 1
+                    least = least.copy()
+                    least[c[last]] = best.column("score").to_numpy()[last]
+                    group[4], group[5] = least, best.filter(pa.array(place < top_k))
+                    best = group[5]
+        for *_, best in groups:
+            if best is not None:
+                best = best.combine_chunks()
+                yield from pa.table({"query_id": ids.take(best.column("q").combine_chunks()), "id": best.column("id"), "score": best.column("score")}).to_batches(1 << 16)
+
+    return run
+
+
+def _by_pairs(base: DataFrame, queries: DataFrame, normalized: bool) -> DataFrame:
+    """(query_id, id, score) of all pairs of one length; the queries go to every task."""
+    score = dot(F.col("v"), F.col("q")) if normalized else cosine(F.col("v"), F.col("q"))
+    return base.join(F.broadcast(queries), F.size("v") == F.size("q")).select("query_id", "id", score.alias("score"))
+
+
 def vector_search(rows: DataFrame, id_col: str, vec_col: str, queries: DataFrame, top_k: int = 10, normalized: bool = True) -> DataFrame:
     """(query_id, id, score): the exact best by dot product (or cosine) for queries (query_id, q), ties by id.
 
-    The query side is a stated set; it is measured and goes to every task in blocks of at most ``QUERY_BYTES``. The best
-    are kept before the shuffle.
+    The query side is a stated set; it is measured and goes to every task in blocks of at most ``QUERY_BYTES``. A task keeps
+    the best of its vectors before the shuffle. Vectors and queries with nulls, numbers that are none or very great ones,
+    and queries of zeros, are compared pair by pair.
     """
-    score = dot(F.col("v"), F.col("q")) if normalized else cosine(F.col("v"), F.col("q"))
     base = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where(usable(F.col("v")))
     size = queries.agg(F.coalesce(F.sum(8 * F.size("q") + 32), F.lit(0))).first()[0]
     blocks = 1 + int(size) // QUERY_BYTES
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    out = None
+    plain = _regular(F.col("q")) & usable(F.col("q"))
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    sc, out = rows.sparkSession.sparkContext, None
     for b in range(blocks):
-        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = base.join(F.broadcast(own), F.size("v") == F.size("q")).select("query_id", "id", score.alias("score"))
+        own = queries.select("query_id", "q") if blocks == 1 else queries.select("query_id", "q").where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        listed = own.where(plain).withColumn("q", F.col("q").cast("array<double>")).toArrow().combine_chunks()
+        if listed.num_rows:
+            q = listed.column("q").combine_chunks()
+            ids = listed.column("query_id").combine_chunks()
+            held = sc.broadcast((ids, np.asarray(q.flatten(), np.float64), np.asarray(q.value_lengths(), np.int64)))
+            numbered = base.where(_regular(F.col("v"))).select("id", F.col("v").cast("array<double>").alias("v"))
+            near = numbered.mapInArrow(_best_of(held, top_k, not normalized), f"query_id {kind(queries, 'query_id')}, id {kind(base, 'id')}, score double")
+        else:
+            near = base.limit(0).crossJoin(own.select("query_id").limit(0)).select("query_id", "id", F.lit(0.0).alias("score"))
+        pairs = near.unionByName(_by_pairs(base.where(~_regular(F.col("v"))), own, normalized)).unionByName(_by_pairs(base.where(_regular(F.col("v"))), own.where(~F.coalesce(plain, F.lit(False))), normalized))
         best = pairs.withColumn("rank", rank).where(F.col("rank") <= top_k)
         out = best if out is None else out.unionByName(best)
     return out
