@@ -111,3 +111,24 @@ def test_vectors_are_chosen_in_tasks_and_scored_as_before(spark, plain):
     assert sorted(map(key, found)) == sorted(map(key, pairs)) and len(found) > 350
     plan = search.vector_search(df, "id", "v", queries, 5, plain)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan
+
+
+def test_names_that_are_all_alike_are_compared_in_blocks(spark, monkeypatch):
+    """Many names of one form, long ones, one with letters of three bytes, beside a type of different names."""
+    r = random.Random(4)
+    names = [("s", f"Supplier#{i:07d}") for i in range(0, 4000, 17)] + [("s", "SUPPLIER#0000017"), ("s", "Supplier点0000034"), ("s", "x" * 70 + "y"), ("s", "x" * 69 + "z")]
+    names += [("t", "".join(r.choice("abcdefghij") for _ in range(14))) for _ in range(60)] + [("t", "abcdefghijkl"), ("t", "abcdefghijkm")]
+    df = spark.createDataFrame(names, "type string, name string")
+    few = lambda n, low, high, make=search._all_pairs: make(n, low, high, 50)
+    monkeypatch.setattr(search, "_all_pairs", few)
+    got, rows = moved(spark, lambda: {(x["type"], x["a"], x["b"]): x["score"] for x in search.fuzzy_duplicates(df).collect()})
+    want = {}
+    for t, a in names:
+        for u, b in names:
+            if t == u and a.encode() < b.encode():
+                x, y = a.lower(), b.lower()
+                s = 2 * search._subsequence(x, y) / (len(x) + len(y))
+                if 0.85 <= s < 0.98:
+                    want[t, a, b] = s
+    assert got == pytest.approx(want) and len(want) > 8000
+    assert rows < 40_000  # names met on their pieces in rows of an exchange, many for a pair

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from trellisgraph.functions.text import search_tokens
+from trellisgraph.lineage import cut
 from trellisgraph.operators import local
 from trellisgraph.operators.patterns import occurrences
 
@@ -338,12 +339,80 @@ def exact_duplicates(names: DataFrame) -> DataFrame:
     return rows.join(least, ["type", "k"]).where("name <> a").select("type", "a", F.col("name").alias("b"))
 
 
+def _subsequences(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """The longest common subsequence of each row of ``a`` with each of ``b``: characters as numbers from 1, at most 64 a row,
+    zeros behind. A row of the table is the bits of one number, as in ``_subsequence``."""
+    out = np.empty((len(a), len(b)), np.int64)
+    columns = [np.ascontiguousarray(b[:, j]) for j in range(int(lb.max(initial=0)))]
+    places = np.zeros(int(max(a.max(initial=0), b.max(initial=0))) + 1, np.uint64)
+    for i, (x, n) in enumerate(zip(a, la)):
+        places[:] = 0
+        for k, c in enumerate(x[:n]):
+            places[c] |= np.uint64(1 << k)
+        full = np.uint64((1 << int(n)) - 1)
+        row = np.full(len(b), full)
+        for column in columns:  # behind the end of a name nothing is hit, and the row stays
+            hit = row & places[column]
+            row = (row + hit) | (row - hit)
+        out[i] = n - np.bitwise_count(row & full)
+    return out
+
+
+def _fitting(low: float, high: float):
+    """The pairs of two blocks of names of one type, or of one block: see ``_all_pairs``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        name, side = table.column("name").combine_chunks(), np.asarray(table.column("side"))
+        rank = np.empty(len(name), np.int64)  # Arrow orders texts by their bytes, as Spark does
+        rank[np.asarray(pc.sort_indices(name))] = np.arange(len(name))
+        lower = table.column("lower").to_pylist()
+        known = {c: k for k, c in enumerate(dict.fromkeys("".join(lower)), 1)}
+        length = np.array([len(x) for x in lower])
+        codes = np.zeros((len(lower), 64), np.int64)
+        for i, x in enumerate(lower):
+            if len(x) <= 64:
+                codes[i, : len(x)] = [known[c] for c in x]
+        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        same = table.column("x")[0] == table.column("y")[0]  # then both sides hold the same names
+        total = length[first][:, None] + length[second][None, :]
+        common = np.zeros(total.shape, np.int64)
+        short = [np.flatnonzero(length[x] <= 64) for x in (first, second)]
+        common[np.ix_(*short)] = _subsequences(codes[first[short[0]]], length[first[short[0]]], codes[second[short[1]]], length[second[short[1]]])
+        near = 2 * np.minimum(length[first][:, None], length[second][None, :]) >= low * total - 1e-9
+        for i, j in np.argwhere(near & ((length[first] > 64)[:, None] | (length[second] > 64)[None, :])):
+            common[i, j] = _subsequence(lower[first[i]], lower[second[j]])
+        ratio = 2 * common / total
+        i, j = np.nonzero((ratio >= low) & (ratio < high) & ((rank[first][:, None] < rank[second][None, :]) | (not same)))
+        one, other = first[i], second[j]
+        turned = rank[one] > rank[other]
+        a, b = np.where(turned, other, one), np.where(turned, one, other)
+        return pa.table({"type": table.column("type").take(pa.array(a)), "a": name.take(pa.array(a)), "b": name.take(pa.array(b)), "score": ratio[i, j]})
+
+    return run
+
+
+def _all_pairs(n: DataFrame, low: float, high: float, block: int = 1000) -> DataFrame:
+    """(type, a, b, score) of all pairs of names (type, name, lower) of one type: every block of names with itself and with
+    each later one. A task holds two blocks and the scores of their pairs."""
+    many = n.groupBy("type").agg(F.ceil(F.count("*") / block).cast("int").alias("m"))
+    rows = n.join(many, "type").withColumn("g", F.pmod(F.xxhash64("name"), F.col("m")).cast("int"))
+    to = lambda low, high, make: F.transform(F.sequence(low, high), make)
+    sides = F.concat(
+        to(F.col("g"), F.col("m") - 1, lambda k: F.struct(F.col("g").alias("x"), k.alias("y"), F.lit(0).alias("side"))),
+        to(F.lit(0), F.col("g"), lambda k: F.struct(k.alias("x"), F.col("g").alias("y"), F.lit(1).alias("side"))),
+    )
+    pairs = rows.select("type", "name", "lower", F.inline(sides)).groupBy("type", "x", "y")
+    return pairs.applyInArrow(_fitting(low, high), f"type {n.schema['type'].dataType.simpleString()}, a string, b string, score double")
+
+
 def fuzzy_duplicates(names: DataFrame, low: float = 0.85, high: float = 0.98) -> DataFrame:
     """(type, a, b, score) of names of one type whose lower-cased forms have an indel ratio in [low, high).
 
     Of a shorter name of n characters at most k = 2 n (1 - low) / low may be lost or parted by insertions, so one of k + 1
     equal pieces of it is in the other unchanged; pairs meet on such pieces at every place they can shift to, so no
-    name is compared with all others.
+    name is compared with all others. Where names are so alike that they would meet more often than there are pairs, all
+    pairs are compared, in blocks and many at once.
     """
     n = names.select("type", "name", F.lower("name").alias("lower")).distinct().withColumn("l", F.length("lower")).where("l > 0")
     edits = F.floor(2 * (1 - low) * F.col("l") / low + F.lit(1e-9)).cast("int")
@@ -352,9 +421,15 @@ def fuzzy_duplicates(names: DataFrame, low: float = 0.85, high: float = 0.98) ->
     sizes = a.select("type", "w").distinct()
     b = n.select("type", F.col("name").alias("b"), F.col("lower").alias("bl"), F.col("l").alias("lb")).join(sizes, "type").where("w <= lb")
     grams = b.select("type", "b", "lb", "w", F.explode(F.expr("array_distinct(transform(sequence(1, lb - w + 1), i -> substring(bl, i, w)))")).alias("piece"))
+    key = ["type", "w", "piece"]
+    meet = cuts.groupBy(*key).agg(F.count("*").alias("x")).join(grams.groupBy(*key).agg(F.count("*").alias("y")), key).groupBy("type").agg(F.sum(F.col("x").cast("double") * F.col("y")).alias("meet"))
+    # a pair that meets costs a row of an exchange, one of a block a few steps of an array
+    alike = cut(meet.join(n.groupBy("type").agg(F.count("*").alias("n")), "type").where("meet * 10 > n * n").select("type"))
     fits = "l <= lb and l * %r >= lb and a <> b" % ((2 - low) / low)
-    pairs = cuts.join(grams, ["type", "w", "piece"]).where(fits).select("type", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs.withColumn("score", indel_ratio(F.lower("a"), F.lower("b"))).where((F.col("score") >= low) & (F.col("score") < high))
+    cuts = cuts.join(alike, "type", "left_anti")
+    pairs = cuts.join(grams, key).where(fits).select("type", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = pairs.withColumn("score", indel_ratio(F.lower("a"), F.lower("b"))).where((F.col("score") >= low) & (F.col("score") < high))
+    return found.unionByName(_all_pairs(n.join(alike, "type", "left_semi").select("type", "name", "lower"), low, high))
 
 
 def _summed(dim: int):
