@@ -132,3 +132,39 @@ def test_names_that_are_all_alike_are_compared_in_blocks(spark, monkeypatch):
                     want[t, a, b] = s
     assert got == pytest.approx(want) and len(want) > 8000
     assert rows < 40_000  # names met on their pieces in rows of an exchange, many for a pair
+
+
+def test_windows_and_substrings_are_those_of_plain_loops(spark):
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("abcd点 #0") for _ in range(n))
+    pairs = [(word(r.randint(0, 12)), word(r.randint(0, 30))) for _ in range(1500)] + [(word(64), word(90)), (word(65), word(90)), ("ab", "ab"), (None, "a"), ("", ""), (word(64), word(64))]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", search.partial_ratio("a", "b").alias("p"), search.longest_common("a", "b").alias("c"))
+
+    def partial(x, y):
+        x, y = sorted((x or "", y or ""), key=len)
+        m, n = len(x), len(y)
+        spans = [(i, i + m) for i in range(n - m + 1)] + [(0, k) for k in range(1, m)] + [(n - k, n) for k in range(1, m)]
+        return max(2 * search._subsequence(x, y[i:j]) / (m + j - i) for i, j in spans) if x else 0.0
+
+    def common(x, y):
+        x, y = x or "", y or ""
+        return next((x[i : i + n] for n in range(len(x), 0, -1) for i in range(len(x) - n + 1) if x[i : i + n] in y), "")
+
+    for x in df.collect():
+        assert x["p"] == partial(x["a"], x["b"]) and x["c"] == common(x["a"], x["b"]), x
+    # all windows of many pairs at once: a loop over windows took 15 times as long
+    assert len(search._partial_ratios([(word(18), word(40)) for _ in range(2000)])) == 2000
+
+
+def test_questions_do_not_all_widen_a_hub(spark):
+    from trellisgraph.operators import ask
+
+    leaves = [f"l{i:04d}" for i in range(1000)]
+    g = graph(spark, [("hub", "Hub", "hub")] + [(x, "Leaf", x) for x in leaves], [("hub", x) for x in leaves])
+    seeds = spark.createDataFrame([(q, x) for q in range(200) for x in ("hub", leaves[q])], "question_id int, node_id string")
+    got, rows = moved(spark, lambda: ask.trails_by_question(g, seeds, 2, 5).collect())
+    of = lambda q: sorted(tuple(x["nodes"]) for x in got if x["question_id"] == q)
+    assert len(got) == 200 * 5 and of(7) == [("hub", x) for x in leaves[:5]]
+    one = ask.trails_by_question(g, seeds.where("question_id = 2 and node_id <> 'hub'"), 2, 5).collect()
+    assert sorted(tuple(x["nodes"]) for x in one) == [(leaves[2], "hub")] + [(leaves[2], "hub", x) for x in [*leaves[:2], *leaves[3:5]]]
+    assert rows < 20_000  # 200 questions times 1,000 leaves were sorted

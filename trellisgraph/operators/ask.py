@@ -72,7 +72,9 @@ def trails_by_question(g: Graph, seeds: DataFrame, max_hops: int = 3, limit: int
     node_id) the ``limit`` with fewest hops, ties by path.
 
     After every hop a question keeps what fills its limit; a full one goes no further, so one that goes on has fewer than
-    ``limit`` trails and a hub is met by no more rows than that. Levels are written out.
+    ``limit`` trails and a hub is met by no more rows than that. Trails that go on from one node in one way stand in the
+    order of their next node and edge, so of each node only the first edges are met: ``limit``, and one for each edge that
+    a trail may hold already. Levels are written out.
     """
     both = g.both_ways().select("edge_id", "a", "b")
     level = seeds.select("question_id", F.col("node_id").alias("seed")).distinct()
@@ -80,7 +82,9 @@ def trails_by_question(g: Graph, seeds: DataFrame, max_hops: int = 3, limit: int
     rank = _first([F.array_join("nodes", "|"), F.array_join("edges", "|")], ["question_id"])
     out = None
     for hops in range(1, max_hops + 1):
-        step = level.join(both, F.col("last") == F.col("a")).where(~F.array_contains("edges", F.col("edge_id")))
+        ways = both.join(level.select(F.col("last").alias("a")).distinct(), "a", "left_semi")
+        ways = ways.withColumn("_w", _first(["b", "edge_id"], ["a"])).where(F.col("_w") < limit + hops).drop("_w")
+        step = level.join(ways, F.col("last") == F.col("a")).where(~F.array_contains("edges", F.col("edge_id")))
         step = step.select("question_id", "seed", F.col("b").alias("last"), F.concat("nodes", F.array("b")).alias("nodes"), F.concat("edges", F.array("edge_id")).alias("edges"), "_left")
         step = cut(step.withColumn("_r", rank).where(F.col("_r") <= limit).where(F.col("_r") <= F.col("_left")).drop("_r"))
         rows = step.withColumn("hops", F.lit(hops)).drop("_left")

@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 K1, B = 1.2, 0.75
 #: Words of all queries up to which they go to every task.
-LOCAL_WORDS = 1 << 17
+LOCAL_WORDS = 1 << 14
 #: Rows counted at once, and postings that one segment of an index holds.
 ROWS, POSTINGS = 2000, 1 << 21
 

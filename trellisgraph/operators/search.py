@@ -20,6 +20,8 @@ from trellisgraph.operators.patterns import occurrences
 
 #: Query vectors that go to every task at once.
 QUERY_BYTES = 32 << 20
+#: Windows that are compared at once.
+WINDOWS = 1 << 18
 
 
 def inverted_index(rows: DataFrame, id_col: str, text: Column) -> tuple[DataFrame, DataFrame]:
@@ -235,15 +237,47 @@ def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The best indel ratio of the shorter string with a window of the longer one, of its length or shorter at the ends;
     0 if either is null or empty."""
 
-    def one(x: str | None, y: str | None) -> float:
-        if not x or not y:
-            return 0.0
-        x, y = sorted((x, y), key=len)
-        m, n = len(x), len(y)
-        spans = [(i, i + m) for i in range(n - m + 1)] + [(0, k) for k in range(1, m)] + [(n - k, n) for k in range(1, m)]
-        return max(2 * _subsequence(x, y[i:j]) / (m + j - i) for i, j in spans)
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+    pairs = [tuple(sorted((x, y), key=len)) if x and y else None for x, y in zip(a, b)]
+    out = np.zeros(len(pairs))
+    short = [i for i, p in enumerate(pairs) if p and len(p[0]) <= 64]
+    size = np.cumsum([len(pairs[i][0]) + len(pairs[i][1]) for i in short]) // WINDOWS  # windows of a piece
+    for piece in np.unique(size):
+        own = [i for i, k in zip(short, size) if k == piece]
+        out[own] = _partial_ratios([pairs[i] for i in own])
+    for i, p in enumerate(pairs):
+        if p and len(p[0]) > 64:
+            out[i] = max(2 * _subsequence(p[0], p[1][u:v]) / (len(p[0]) + v - u) for u, v in _spans(len(p[0]), len(p[1])))
+    return pd.Series(out)
+
+
+def _spans(m: int, n: int) -> list[tuple[int, int]]:
+    return [(i, i + m) for i in range(n - m + 1)] + [(0, k) for k in range(1, m)] + [(n - k, n) for k in range(1, m)]
+
+
+def _partial_ratios(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """The partial ratio of each (shorter of at most 64 characters, longer), all windows of all pairs at once, a row of each
+    table being the bits of one number as in ``_subsequence``."""
+    known = {c: k for k, c in enumerate(dict.fromkeys("".join(x for x, _ in pairs)), 1)}
+    m, n = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    places = np.zeros((len(pairs), len(known) + 1), np.uint64)
+    for i, (x, _) in enumerate(pairs):
+        for k, c in enumerate(x):
+            places[i, known[c]] |= np.uint64(1 << k)
+    # ``m`` zeros on either side of the longer text: a window at its ends is one that hangs over, and zeros hit nothing
+    text = np.array([k for x, y in pairs for k in [0] * len(x) + [known.get(c, 0) for c in y] + [0] * len(x)], np.int64)
+    first = np.cumsum(np.append(0, n + 2 * m))[:-1]
+    windows = n + m - 1
+    pair = np.repeat(np.arange(len(pairs)), windows)
+    at = np.arange(len(pair)) - np.repeat(np.cumsum(windows) - windows, windows) + 1  # from 1: one character inside
+    length = np.minimum(np.minimum(at, m[pair]), n[pair] + m[pair] - at)
+    full = np.array([(1 << int(k)) - 1 for k in m], np.uint64)[pair]
+    row, start = full.copy(), first[pair] + at
+    for k in range(int(m.max())):
+        inside = k < m[pair]
+        hit = row & np.where(inside, places[pair, text[np.where(inside, start + k, 0)]], np.uint64(0))
+        row = (row + hit) | (row - hit)
+    common = m[pair] - np.bitwise_count(row & full).astype(np.int64)
+    return np.maximum.reduceat(2 * common / (m[pair] + length), np.cumsum(windows) - windows)
 
 
 def match_score(query: Column, name: Column) -> Column:
@@ -303,17 +337,11 @@ def longest_common(a: pd.Series, b: pd.Series) -> pd.Series:
 
     def one(x: str | None, y: str | None) -> str:
         x, y = x or "", y or ""
-        best = (0, 0)
-        row = [0] * (len(y) + 1)
-        for i, c in enumerate(x):
-            new = [0] * (len(y) + 1)
-            for j, d in enumerate(y):
-                if c == d:
-                    new[j + 1] = row[j] + 1
-                    if new[j + 1] > best[0]:
-                        best = (new[j + 1], i + 1)
-            row = new
-        return x[best[1] - best[0] : best[1]]
+        at = n = 0
+        for i in range(len(x)):
+            while i + n < len(x) and x[i : i + n + 1] in y:
+                at, n = i, n + 1
+        return x[at : at + n]
 
     return pd.Series([one(x, y) for x, y in zip(a, b)])
 
