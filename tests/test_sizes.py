@@ -168,3 +168,21 @@ def test_questions_do_not_all_widen_a_hub(spark):
     one = ask.trails_by_question(g, seeds.where("question_id = 2 and node_id <> 'hub'"), 2, 5).collect()
     assert sorted(tuple(x["nodes"]) for x in one) == [(leaves[2], "hub")] + [(leaves[2], "hub", x) for x in [*leaves[:2], *leaves[3:5]]]
     assert rows < 20_000  # 200 questions times 1,000 leaves were sorted
+
+
+def test_components_write_no_circles(spark):
+    r = random.Random(8)
+    nodes = [f"n{i}" for i in range(600)]
+    edges = [(r.choice(nodes[k : k + 100]), r.choice(nodes[k : k + 100])) for k in range(0, 500, 100) for _ in range(1500)] + [("n500", "n501"), ("n501", "n502"), ("n503", "n503")]
+    g = graph(spark, [(x, "N", x) for x in nodes], edges)
+    least = {x: x for x in nodes}
+    for _ in range(600):
+        before = dict(least)
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+        if least == before:
+            break
+    for size in (1 << 20, 50):
+        assert {x["node_id"]: x["component"] for x in community.components(g, size).collect()} == least
+    links = g.edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).coalesce(1)
+    assert links.mapInArrow(community._stars(1 << 20), "a string, b string").count() <= 600 < community.simple_links(g).count()
